@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel  # noqa: F401  (kept importable for callers that persist)
 
 from .common import mix64, settle, slices, text_key
 
@@ -209,17 +208,38 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _hubs(spread: DataFrame) -> DataFrame:
+    """A member of each bucket of (bucket, b, label), by a hash that differs between buckets, and its label."""
+    first = F.min(F.struct(F.xxhash64("bucket", "b").alias("h"), "b", "label"))
+    return spread.groupBy("bucket").agg(first.alias("x")).select("bucket", F.col("x.b").alias("hub"), F.col("x.label").alias("hub_label"))
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) after further links: the classes so far are the nodes of a small graph."""
+    if labels is None:
+        return components(links)
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = components(joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    higher = between.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    moved = labels.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    fresh = between.join(labels.select("node"), "node", "left_anti")
+    return settle(moved.unionByName(fresh), "labels")
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, tkey (of the text), n_words, class_id, keeper.
 
     Rows of one class are joined by links of weighted Jaccard similarity >= similarity over five-word shingles. class_id is
     the class's smallest doc_id; keeper marks the row (or repeated rows) with that doc_id and smallest tkey. Texts without
     words (null, empty, only punctuation) take no part: each is its own class. Equal word sequences are one node from the
-    start, so groups of copies of any size cost one sketch and no pairs. Within a bucket of a band each node is compared
-    with the bucket's hub; those that are not similar to it elect a further hub, which is compared with the whole bucket,
-    until nothing is left. So no bucket is capped, and pairs number (hubs x members), not members squared. Every candidate
-    is checked exactly. A link is missed when no band agrees (for 0.8: 2 in 10,000), or when neither of its ends becomes a
-    hub of a shared bucket and both are tied to different hubs.
+    start, so groups of copies of any size cost one sketch and no pairs.
+
+    Candidates are nodes that share a bucket of a band, and each link is checked exactly. Links inside a class add nothing,
+    so not all are looked at: each node is compared with its bucket's hub (a random member, another in each bucket), then
+    those in another class than the hub with a second hub of their own, and what still differs from the hub's class with
+    every member of another class. So no bucket is capped, no link between the classes found is skipped, and pairs number
+    about members x hubs. Of links of 0.8 two in 10,000 share no band.
     """
     rows = settle(sketches(docs), "sketches")
     named = rows.where("n_words > 0")
@@ -233,23 +253,28 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tkey", text_key())
     texts = texts.join(of_node, texts.doc_id.eqNullSafe(of_node.doc_id) & (texts.tkey == of_node.tkey)).select("node", "text")
     sets = settle(_word_hashes(texts).select("node", "words").mapInArrow(_shingle_sets, "node long, h array<long>, w array<int>").dropDuplicates(["node"]), "shingles")
-    links, todo, known = None, members, None
-    while True:
-        hubs = todo.groupBy("bucket").agg(F.min("b").alias("a"))
-        spread = members if known is not None else todo
-        pairs = spread.join(hubs, "bucket").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels, known = None, None
+    for turn in ("hub", "second hub", "rest"):
+        if labels is None:
+            spread = members.withColumn("label", F.col("b"))
+            hubs = _hubs(spread)
+            pairs = spread.join(hubs, "bucket").where("b <> hub").select("b", F.col("hub").alias("o"))
+        else:
+            spread = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", F.coalesce("label", "b").alias("label"))
+            spread = settle(spread, "labelled")
+            differing = spread.join(_hubs(spread), "bucket").where("label <> hub_label").select("bucket", "b", "label")
+            differing = settle(differing, "differing")
+            if not differing.limit(1).count():
+                break
+            # The hub of those that differ meets the whole bucket; at last, all of them do.
+            asked = _hubs(differing).select("bucket", F.col("hub").alias("o"), F.col("hub_label").alias("own")) if turn == "second hub" else differing.select("bucket", F.col("b").alias("o"), F.col("label").alias("own"))
+            pairs = spread.join(asked, "bucket").where("label <> own").select("b", "o")
+        pairs = pairs.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         scored = settle(_similarities(pairs, sets), "scored")
         known = scored if known is None else known.unionByName(scored)
-        links = known.where(F.col("similarity") >= similarity)
-        tied = todo.join(hubs, "bucket").select("bucket", "b", "a", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        near = links.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("near"))
-        left = tied.where("a <> b").join(near, ["x", "y"], "left").where("near is null").select("bucket", "b")
-        todo = settle(left, "unsettled")
-        if not todo.limit(1).count():
-            break
-    labels = components(links)
+        labels = _relabelled(labels, scored.where(F.col("similarity") >= similarity).select("a", "b"))
     firsts = nodes.join(labels, "node", "left").select("k1", "k2", "doc_id", "tkey", F.coalesce("label", "node").alias("label"))
     firsts = settle(firsts, "firsts")
     heads = firsts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("head"))
