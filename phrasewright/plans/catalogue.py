@@ -1,11 +1,360 @@
-"""The queries of the library's own operators, with the SQL that gives the same rows."""
+"""The queries of the library's own operators over the driver's tables, with the SQL that gives the same rows.
+
+Documents hold no Chinese, so where a script is needed their letters are projected on
+fourteen characters, the same way on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from phrasewright.functions import text as X
+from phrasewright.operators import dictionaries as D
+from phrasewright.operators import names as N
+from phrasewright.operators import paragraphs as P
+from phrasewright.operators import spans as S
+from phrasewright.sources import files
+
+LETTERS, SCRIPT = "etaoinshrdlucm", "他很好红中人甲乙丙丁格尔一二"
+READINGS = {"他": "tha", "很": "ngận", "好": "hảo", "红": "hồng", "中": "trung", "人": "nhân", "甲": "giáp", "乙": "ất", "丙": "bính", "丁": "đinh"}
+PHRASES = {"很好": "rất tốt/rất ổn", "红中人": "cả cụm", "甲乙": "A", "乙丙丁": "B", "他": "hắn", "乙他": "nàng", "很乙他": "cô ấy", "中人": "trung nhân", "好很": "hay", "人很乙": "người"}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _script(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.translate(F.lower("text"), LETTERS, SCRIPT).alias("text"))
+
+
+def _pairs(spark, entries: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame([("d", i, k, v) for i, (k, v) in enumerate(entries.items())], "dict string, line_no int, key string, value string")
+
+
+_SQL_SCRIPT = f"(SELECT doc_id, translate(lower(text), '{LETTERS}', '{SCRIPT}') AS text FROM documents)"
+_SQL_LINES = "(SELECT p_partkey AS line_no, CASE WHEN p_size % 7 = 0 THEN p_brand || '=' || p_type || '=x' WHEN p_size % 5 = 0 THEN '# ' || p_name ELSE p_name || '=' || p_type || '/' || p_brand END AS raw FROM part)"
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    p = _t(spark, sf_dir, "part")
+    raw = F.when(F.col("p_size") % 7 == 0, F.concat("p_brand", F.lit("="), "p_type", F.lit("=x"))).when(F.col("p_size") % 5 == 0, F.concat(F.lit("# "), "p_name")).otherwise(F.concat("p_name", F.lit("="), "p_type", F.lit("/"), "p_brand"))
+    return p.select(F.lit("part").alias("dict"), F.col("p_partkey").alias("line_no"), raw.alias("raw"))
+
+
+def _sql_values(entries: dict[str, str], columns: str = "key, value") -> str:
+    return "(SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in entries.items()) + f") AS v({columns}))"
+
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@_query(f"SELECT key, value FROM (SELECT split_part(raw, '=', 1) AS key, split_part(raw, '=', 2) AS value, row_number() OVER (PARTITION BY split_part(raw, '=', 1) ORDER BY line_no) AS r FROM {_SQL_LINES} WHERE len(string_split(raw, '=')) = 2) WHERE r = 1")
+def dict_parse_first_wins(spark, sf_dir):
+    """Lines with one '=', the first line of a key."""
+    return D.first_wins(D.parse_pairs(_lines(spark, sf_dir))).select("key", "value")
+
+
+@_query(f"SELECT key, split_part(value, '/', 1) AS value FROM (SELECT split_part(raw, '=', 1) AS key, split_part(raw, '=', 2) AS value, row_number() OVER (PARTITION BY split_part(raw, '=', 1) ORDER BY line_no) AS r FROM {_SQL_LINES} WHERE len(string_split(raw, '=')) = 2) WHERE r = 1 AND length(key) <= 15")
+def dict_one_meaning(spark, sf_dir):
+    """First meanings of keys short enough to scan for."""
+    return D.one_meaning(D.first_wins(D.scannable(D.parse_pairs(_lines(spark, sf_dir))))).select("key", "value")
+
+
+@_query("""SELECT key, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY layer, line_no) AS r FROM (
+    SELECT c_mktsegment AS key, c_name AS value, c_custkey AS line_no, 1 AS layer FROM customer UNION ALL SELECT n_name, 'n' || n_regionkey, n_nationkey, 0 FROM nation UNION ALL SELECT r_name, 'r', r_regionkey, 2 FROM region)) WHERE r = 1""")
+def dict_names_merge(spark, sf_dir):
+    """Names of a later list override those of an earlier one, and both come before phrases."""
+    first = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.concat(F.lit("n"), "n_regionkey").alias("value"), F.col("n_nationkey").alias("line_no"))
+    second = _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("value"), F.col("c_custkey").alias("line_no"))
+    third = _t(spark, sf_dir, "region").select(F.col("r_name").alias("key"), F.lit("r").alias("value"), F.col("r_regionkey").alias("line_no"))
+    return D.overlaid(first, second, third)
+
+
+@_query("SELECT substr(p_name, 1, 1) AS first, CAST(max(length(p_name)) AS INTEGER) AS longest FROM part WHERE p_name <> '' GROUP BY 1")
+def key_length_index(spark, sf_dir):
+    """The longest key by first character."""
+    return D.key_lengths(_t(spark, sf_dir, "part").select(F.col("p_name").alias("key")))
+
+
+@_query("""WITH e AS (SELECT p_name AS key, CASE WHEN p_size % 2 = 0 THEN 'new' END AS new FROM part WHERE p_partkey % 10 = 0 QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1),
+    l AS (SELECT p_partkey AS line_no, p_name AS key, p_name || '=' || p_type AS raw FROM part), f AS (SELECT key, min(line_no) AS line_no FROM l GROUP BY key)
+    SELECT CASE WHEN e.key IS NOT NULL AND f.line_no IS NOT NULL THEN l.key || '=' || e.new ELSE l.raw END AS raw, count(*) AS n FROM l LEFT JOIN f ON l.key = f.key AND l.line_no = f.line_no LEFT JOIN e ON l.key = e.key WHERE e.key IS NULL OR e.new IS NOT NULL GROUP BY 1""")
+def dict_upsert(spark, sf_dir):
+    """Dictionary lines after edits and removals, counted by content."""
+    p = _t(spark, sf_dir, "part")
+    lines = p.select(F.col("p_partkey").alias("line_no"), F.concat("p_name", F.lit("="), "p_type").alias("raw"))
+    edits = p.where("p_partkey % 10 = 0").groupBy(F.col("p_name").alias("key")).agg(F.min_by(F.struct(F.when(F.col("p_size") % 2 == 0, "new").alias("v")), "p_partkey").alias("x")).select("key", F.col("x.v").alias("value"))
+    return D.upserted(lines, edits).groupBy("raw").agg(F.count("*").alias("n"))
+
+
+_SQL_NARROW = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+
+
+@_query(
+    f"""SELECT doc_id, md5(translate(replace(replace(replace(replace(text, '  ', ' '), ' ' || chr(13) || chr(10), chr(10)), ' ' || chr(10), chr(10)), ' ,', ','), '{_SQL_NARROW[0]}', '{_SQL_NARROW[1]}')) AS digest
+    FROM (SELECT doc_id, replace(replace(replace(replace(text, 'ü', 'ＡＢ'), 'ñ', '  '), 'é', ', '), 'è', '...') AS text FROM documents)"""
+)
+def narrow_and_punctuation(spark, sf_dir):
+    """Punctuation, single-pass space collapses and narrow forms over whole documents."""
+    text = _t(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace("text", F.lit("ü"), F.lit("ＡＢ")), F.lit("ñ"), F.lit("  ")).alias("text"))
+    marked = F.replace(F.replace("text", F.lit("é"), F.lit("，")), F.lit("è"), F.lit("…"))
+    return text.select("doc_id", F.md5(X.narrow(X.collapse_spaces(X.punctuation(marked)))).alias("digest"))
+
+
+@_query("SELECT doc_id, md5(replace(replace(replace(text, 'that', ''), 'tion', ''), 'en', '')) AS digest FROM documents")
+def ignored_removal(spark, sf_dir):
+    """Ignored phrases removed, longest first."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(X.without("text", ["en", "tion", "that"])).alias("digest"))
+
+
+@_query(f"SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: coalesce(map_from_entries([{', '.join(f"('{k}', '{v}')" for k, v in READINGS.items())}])[c], c)), ' ')) AS digest FROM {_SQL_SCRIPT}")
+def transliterate(spark, sf_dir):
+    """Readings of all characters, a space between every two."""
+    table = F.create_map(*(F.lit(x) for kv in READINGS.items() for x in kv))
+    words = F.transform(F.split("text", ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+    return _script(spark, sf_dir).select("doc_id", F.md5(F.array_join(words, " ")).alias("digest"))
+
+
+@_query("SELECT o_orderkey, CAST(o_custkey % 9999 AS BIGINT) AS value FROM orders")
+def numeral_roundtrip(spark, sf_dir):
+    """Numbers written as numerals and read back."""
+    return _t(spark, sf_dir, "orders").select("o_orderkey", X.under_ten_thousand(X.numerals_of(F.col("o_custkey") % 9999)).alias("value"))
+
+
+@_query("""WITH v AS (SELECT o_orderkey, CAST(o_orderkey * 7919 + o_custkey * 1000003 AS BIGINT) AS n FROM orders) SELECT o_orderkey, CASE WHEN n < 10000 THEN format('{:,}', n) ELSE
+    concat_ws(' ', CASE WHEN n >= 100000000 THEN format('{:,}', n // 100000000) || ' ức' END, CASE WHEN n % 100000000 // 10000 > 0 THEN format('{:,}', n % 100000000 // 10000) || ' vạn' END, CASE WHEN n % 10000 > 0 THEN format('{:,}', n % 10000) END) END AS words FROM v""")
+def magnitude_words(spark, sf_dir):
+    """Whole numbers in Vietnamese magnitudes."""
+    n = F.col("o_orderkey") * 7919 + F.col("o_custkey") * 1000003
+    return _t(spark, sf_dir, "orders").select("o_orderkey", X.magnitude_text(n).alias("words"))
+
+
+@_query("SELECT doc_id, span, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?')) AS span FROM documents) GROUP BY ALL")
+def number_spans(spark, sf_dir):
+    """Longest numbers in whole documents."""
+    found = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:[.,][0-9]+)?"), F.lit(0))).alias("span"))
+    return found.groupBy("doc_id", "span").agg(F.count("*").alias("n"))
+
+
+_ALTERNATIVES = "|".join(sorted(PHRASES, key=lambda k: (-len(k), k)))
+
+
+@_query(f"SELECT doc_id, span AS value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_ALTERNATIVES}')) AS span FROM {_SQL_SCRIPT}) GROUP BY ALL")
+def longest_match(spark, sf_dir):
+    """The greedy longest match of a phrase dictionary in whole documents, counted by key."""
+    pairs = _pairs(spark, {k: k for k in PHRASES})
+    picks = S.chosen(S.candidates(_script(spark, sf_dir), pairs))
+    return picks.select("doc_id", F.explode("picked.value").alias("value")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+
+
+@_query()
+def translate_documents(spark, sf_dir):
+    """Whole documents translated by longest match, first meanings only."""
+    return S.translated(_script(spark, sf_dir), D.one_meaning(_pairs(spark, PHRASES)))
+
+
+_SQL_TINY = "(SELECT conv_id * 1000 + turn AS doc_id, translate(lower(text), '%s', '%s') AS text FROM conversations)" % (LETTERS, SCRIPT)
+_SQL_SPANS = f"(SELECT doc_id, CAST(s - 1 AS INTEGER) AS start, length(key) AS length, key FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS s FROM {_SQL_TINY}), {_sql_values(PHRASES)} WHERE substr(text, s, length(key)) = key)"
+
+
+def _turns(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.translate(F.lower("text"), LETTERS, SCRIPT).alias("text"))
+
+
+@_query(f"WITH s AS (SELECT DISTINCT * FROM {_SQL_SPANS}) SELECT DISTINCT a.doc_id, a.start, CAST(a.length AS INTEGER) AS length, a.key FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.start > a.start AND b.start < a.start + a.length AND b.length > a.length")
+def overlap_reject(spark, sf_dir):
+    """Spans in which a longer key begins."""
+    return S.covered_by_longer(S.candidates(_turns(spark, sf_dir).distinct(), _pairs(spark, PHRASES))).select("doc_id", "start", "length", "key")
+
+
+@_query(f"WITH s AS (SELECT DISTINCT * FROM {_SQL_SPANS}) SELECT DISTINCT a.doc_id, a.start, CAST(a.length AS INTEGER) AS length, a.key FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.start > a.start AND b.start < a.start + a.length WHERE b.key IN ('中人', '乙他') AND a.key NOT IN ('中人', '乙他')")
+def name_cover(spark, sf_dir):
+    """Spans that hide the beginning of a name."""
+    names = _pairs(spark, {"中人": "", "乙他": ""})
+    return S.hiding_names(S.candidates(_turns(spark, sf_dir).distinct(), _pairs(spark, PHRASES)), names).select("doc_id", "start", "length", "key")
+
+
+@_query("SELECT conv_id, turn, md5(upper(substr(t, 1, 1)) || substr(t, 2)) AS digest FROM (SELECT conv_id, turn, regexp_replace(replace(text, 'ß', 's'), '^\\s+', '') AS t FROM conversations)")
+def prettified(spark, sf_dir):
+    """Conversation turns without leading blanks, first letter in upper case."""
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(X.pretty(F.replace("text", F.lit("ß"), F.lit("s")))).alias("digest"))
+
+
+@_query("""WITH q AS (SELECT p_partkey AS id, substr(trim(p_name), 1, 20) AS t FROM part), d AS (SELECT key, min_by(value, id) AS value FROM (SELECT split_part(p_name, ' ', 1) AS key, p_brand AS value, p_partkey AS id FROM part UNION ALL SELECT substr(p_name, 1, 1), p_type, p_partkey FROM part) GROUP BY key),
+    pr AS (SELECT DISTINCT id, substr(t, 1, n) AS source FROM (SELECT id, t, unnest(range(1, length(t) + 1)) AS n FROM q) UNION SELECT DISTINCT id, unnest(string_split(t, '')) FROM q)
+    SELECT id, source, value AS definition FROM pr JOIN d ON source = key""")
+def meaning_lookup(spark, sf_dir):
+    """Definitions of the beginnings and characters of part names."""
+    p = _t(spark, sf_dir, "part")
+    entries = p.select(F.split("p_name", " ")[0].alias("key"), F.col("p_brand").alias("value"), F.col("p_partkey").alias("line_no")).union(p.select(F.substring("p_name", 1, 1), "p_type", "p_partkey"))
+    return D.look_up(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), D.first_wins(entries)).select("id", "source", "definition")
+
+
+@_query("SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE regexp_matches(ch, '[^\\x00-\\x7F]') AND ch NOT IN ('é', 'ü', 'ñ') GROUP BY ch")
+def missing_readings(spark, sf_dir):
+    """Letters beyond ASCII without a reading."""
+    known = _pairs(spark, {"é": "e", "ü": "u", "ñ": "n"})
+    return D.missing_readings(_t(spark, sf_dir, "documents"), known, r"[^\x00-\x7F]")
+
+
+@_query("SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) BETWEEN 2 AND 5 AND NOT contains(word, 'th') AND NOT contains(word, 'en') GROUP BY ALL HAVING count(*) >= 3")
+def token_frequencies(spark, sf_dir):
+    """Frequent short tokens without stop strings."""
+    return N.token_counts(_tokens(spark, sf_dir), ["th", "en"], 3)
+
+
+def _tokens(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+
+
+@_query("SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) >= 2) QUALIFY row_number() OVER (PARTITION BY doc_id, substr(word, 1, 2) ORDER BY length(word), word) = 1")
+def shortest_per_prefix(spark, sf_dir):
+    """The shortest token of each two-letter beginning."""
+    return N.shortest_per_prefix(_tokens(spark, sf_dir).where("length(word) >= 2"))
+
+
+@_query("SELECT doc_id, gram, count(*) AS n FROM (SELECT conv_id * 1000 + turn AS doc_id, substr(text, s, n) AS gram FROM (SELECT conv_id, turn, text, n, unnest(range(1, length(text) - n + 2)) AS s FROM conversations, (VALUES (2), (3)) v(n))) WHERE regexp_full_match(gram, '[a-z]+') GROUP BY ALL")
+def ngram_seeds(spark, sf_dir):
+    """Letter bigrams and trigrams of conversation turns."""
+    turns = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return N.ngrams(turns, 2, 3, "[a-z]").groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT DISTINCT doc_id, title FROM (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<li>([^<\\n]*)<|<p>([^<\\n]*)<', 2)) AS title FROM pages) WHERE title <> ''")
+def bracketed_titles(spark, sf_dir):
+    """What stands between two brackets of a page on one line, once each."""
+    found = F.array_distinct(F.regexp_extract_all("html", F.lit(r"<li>([^<\n]*)<|<p>([^<\n]*)<"), F.lit(2)))
+    return _t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.explode(found).alias("title")).where("title <> ''")
+
+
+_SQL_FOUND = "(SELECT o_custkey AS doc_id, o_orderpriority AS word, count(*) AS n, bool_or(o_orderstatus = 'F') AS trigger, bool_or(o_totalprice > 200000) AS surname, bool_or(o_orderstatus = 'P') AS known, CAST(min(o_orderkey) AS BIGINT) AS first FROM orders GROUP BY ALL)"
+_SQL_SCORE = "greatest(0::FLOAT, least(0.99::FLOAT, ((((0.18::FLOAT + (0.07::FLOAT * least(n, 4)::FLOAT)) + 0.12::FLOAT) + CASE WHEN trigger THEN 0.3::FLOAT ELSE 0::FLOAT END) + CASE WHEN surname THEN 0.3::FLOAT ELSE 0::FLOAT END) + 0::FLOAT + 0::FLOAT + 0.1::FLOAT))"
+
+
+def _found(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("word")).agg(
+        F.count("*").alias("n"), F.bool_or(F.col("o_orderstatus") == "F").alias("trigger"), F.bool_or(F.col("o_totalprice") > 200000).alias("surname"), F.bool_or(F.col("o_orderstatus") == "P").alias("known"), F.min("o_orderkey").alias("first")
+    )
+    yes, no = F.lit(True), F.lit(False)
+    return o.withColumn("score", N.hybrid_score(F.col("n"), yes, F.col("trigger"), F.col("surname"), no, no, no))
+
+
+@_query(f"SELECT doc_id, word, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY known DESC, score DESC, n DESC, first, word) AS rank FROM (SELECT *, {_SQL_SCORE} AS score FROM {_SQL_FOUND})) WHERE rank <= 3")
+def candidate_ranking(spark, sf_dir):
+    """The three best candidates of each document by the hybrid score."""
+    return N.ranked(_found(spark, sf_dir), 3).select("doc_id", "word", "score", "rank")
+
+
+@_query("""WITH w AS (SELECT l_suppkey AS doc_id, substr(w, 1, k) AS word, count(*) AS n FROM (SELECT l_suppkey, l_shipdate, strftime(l_shipdate, '%Y%m') AS w FROM lineitem), (VALUES (4), (5), (6)) v(k) GROUP BY ALL), s AS (SELECT *, (n % 10)::FLOAT / 10::FLOAT AS score FROM w),
+    p AS (SELECT DISTINCT a.doc_id, a.word FROM s a JOIN s b ON a.doc_id = b.doc_id AND length(b.word) < length(a.word) AND (starts_with(a.word, b.word) OR ends_with(a.word, b.word)) AND b.n >= a.n AND b.score >= a.score + 0.15::FLOAT)
+    SELECT doc_id, word, n FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = s.doc_id AND p.word = s.word)""")
+def nested_pruning(spark, sf_dir):
+    """Candidates that no part of theirs beats."""
+    w = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.date_format("l_shipdate", "yyyyMM").alias("w"), F.explode(F.array(*map(F.lit, (4, 5, 6)))).alias("k"))
+    s = w.groupBy("doc_id", F.substr("w", F.lit(1), F.col("k")).alias("word")).agg(F.count("*").alias("n"))
+    s = s.withColumn("score", ((F.col("n") % 10).cast("float") / F.lit(10).cast("float")).cast("float"))
+    return N.pruned(s).select("doc_id", "word", "n")
+
+
+@_query("""WITH f AS (SELECT doc_id, lang AS word, CAST(0.5 AS DOUBLE) AS score FROM documents), e AS (SELECT doc_id, 'en' AS word, (quality + 1) / 2.5 AS confidence FROM labels UNION ALL SELECT doc_id, 'xx', (toxic + 2) / 4.0 FROM labels),
+    s AS (SELECT doc_id, word, CAST(confidence AS DOUBLE) AS confidence FROM e WHERE confidence >= 0.65)
+    SELECT doc_id, word, round(CASE WHEN score IS NOT NULL AND confidence IS NOT NULL THEN 1 - (1 - score) * (1 - confidence) ELSE coalesce(score, confidence) END, 6) AS score FROM f FULL JOIN s USING (doc_id, word)""")
+def entity_merge(spark, sf_dir):
+    """Mined candidates joined with entities from elsewhere."""
+    found = _t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("word"), F.lit(0.5).alias("score"))
+    labels = _t(spark, sf_dir, "labels")
+    told = labels.select("doc_id", F.lit("en").alias("word"), ((F.col("quality") + 1) / 2.5).alias("confidence"), F.lit(0).alias("pos")).union(labels.select("doc_id", F.lit("xx"), (F.col("toxic") + 2) / 4.0, F.lit(1)))
+    none = spark.createDataFrame([], "word string")
+    return N.merged_entities(found, told, none).select("doc_id", "word", F.round("score", 6).alias("score"))
+
+
+@_query("SELECT doc_id, substr(text, greatest(1, p - 36), p - greatest(1, p - 36)) || '【the】' || substr(text, p + 3, 36) AS context FROM (SELECT doc_id, text, instr(text, 'the') AS p FROM documents) WHERE p > 0")
+def contexts(spark, sf_dir):
+    """What stands around the first place of a word."""
+    return _t(spark, sf_dir, "documents").select("doc_id", N.contexts(F.col("text"), F.lit("the")).alias("context")).where("context is not null")
+
+
+@_query("SELECT hit, found, gold, round(hit / found, 9) AS precision, round(hit / gold, 9) AS recall FROM (SELECT (SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1 AND quality = 1) AS hit, (SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1) AS found, (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1) AS gold)")
+def retrieval_quality(spark, sf_dir):
+    """Precision and recall of one set of keys against another."""
+    labels = _t(spark, sf_dir, "labels").withColumnRenamed("doc_id", "key")
+    return N.quality(labels.where("toxic = 1"), labels.where("quality = 1")).select("hit", "found", "gold", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@_query("SELECT doc_id, n, paragraph, start FROM (SELECT doc_id, trim(raw) AS paragraph, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) AS INTEGER) AS n, CAST(before + length(raw) - length(ltrim(raw)) AS BIGINT) AS start FROM (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)) WHERE trim(raw) <> '')")
+def paragraph_ranges(spark, sf_dir):
+    """Paragraphs of whole documents with their places."""
+    return P.paragraphs(_t(spark, sf_dir, "documents"))
+
+
+@_query()
+def paragraph_alignment(spark, sf_dir):
+    """Paragraphs labelled, read back from a model's answer that lost every third, and completed from the source."""
+    parts = P.paragraphs(_t(spark, sf_dir, "documents"))
+    answer = P.labelled(parts.where("n % 3 <> 0").withColumn("paragraph", F.upper("paragraph")))
+    return P.aligned(parts, P.parsed_labels(answer), P.parsed_labels(answer).where("1 = 0")).select("doc_id", "n", F.md5("text").alias("digest"))
+
+
+@_query()
+def line_chunks(spark, sf_dir):
+    """Chunks of whole lines up to 1,000 characters."""
+    return P.line_chunks(_t(spark, sf_dir, "documents"), 1000).select("doc_id", "chunk", F.length("text").alias("size"), F.md5("text").alias("digest"))
+
+
+RULES = {"digits left": "[0-9]{4,}", "shouting": "[A-Z]{6,}", "double space": "  ", "address": "@[a-z0-9]+"}
+
+
+@_query(f"SELECT doc_id, CAST(line AS INTEGER) AS line, message, substr(raw, 1, 120) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), {_sql_values(RULES, 'message, pattern')} WHERE regexp_matches(raw, pattern)")
+def rule_violations(spark, sf_dir):
+    """Lines that break a rule."""
+    rules = spark.createDataFrame(list(RULES.items()), "message string, pattern string")
+    return P.violations(_t(spark, sf_dir, "documents"), rules)
+
+
+@_query("SELECT entry, arg_max(action, k) AS action, max(ts) AS last_at FROM (SELECT user_id AS entry, event_type AS action, ts, {'a': ts, 'b': event_id} AS k FROM events) GROUP BY entry")
+def history_compaction(spark, sf_dir):
+    """The last action on each entry."""
+    log = _t(spark, sf_dir, "events").select(F.col("user_id").alias("entry"), F.col("event_type").alias("action"), F.lit("u").alias("user"), F.col("ts").alias("at"), F.col("event_id").alias("line_no"))
+    return D.compacted_history(log).select("entry", "action", F.col("at").alias("last_at"))
+
+
+@_query("SELECT user_id AS id, min(s) AS start, max(e) AS \"end\" FROM (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT user_id, event_id // 50 AS s, event_id // 50 + 20 AS e FROM events))) GROUP BY user_id, island")
+def interval_coalesce(spark, sf_dir):
+    """Overlapping ranges of each user as one."""
+    at = F.floor(F.col("event_id") / 50)
+    return P.coalesced(_t(spark, sf_dir, "events").select(F.col("user_id").alias("id"), at.alias("start"), (at + 20).alias("end")))
+
+
+@_query("SELECT book, key, action FROM (SELECT user_id AS book, event_id % 10 AS key, arg_max(CASE WHEN event_id % 3 = 0 THEN 'accept' WHEN event_id % 3 = 1 THEN 'reject' ELSE 'undo' END, event_id) AS action FROM events GROUP BY ALL) WHERE action <> 'undo'")
+def memory_fold(spark, sf_dir):
+    """Accepted and rejected names after all decisions."""
+    action = F.when(F.col("event_id") % 3 == 0, "accept").when(F.col("event_id") % 3 == 1, "reject").otherwise("undo")
+    events = _t(spark, sf_dir, "events").select(F.col("user_id").alias("book"), (F.col("event_id") % 10).alias("key"), F.lit("v").alias("value"), action.alias("action"), F.col("event_id").alias("at"))
+    return N.memory(events).select("book", "key", "action")
+
+
+@_query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(CASE WHEN b = 0 THEN '' WHEN instr(r, '</article>') > 0 THEN substr(r, 1, instr(r, '</article>') - 1) ELSE r END, '<(?:/p|br)[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g'))) AS digest FROM (SELECT page_id, instr(html, '<article>') AS b, substr(html, instr(html, '<article>') + 9) AS r FROM pages)")
+def page_chapters(spark, sf_dir):
+    """The chapter between two markers of a page."""
+    return _t(spark, sf_dir, "pages").select("page_id", F.md5(files.chapter_of_page(F.col("html"), "<article>", "</article>")).alias("digest"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
