@@ -25,7 +25,7 @@ LEAST, NORMAL, MOST = 8, 32, 128
 HARD, EASY = 1 << (32 - 7), 1 << (32 - 3)
 GEAR = (mix64(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _GAP = 32
-_BATCH = 4_000_000
+_BATCH = 1_000_000
 
 
 def gear_hashes(parts: list[bytes]) -> tuple[np.ndarray, list[int]]:

@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Shorter segments are scored many at a time. A sum of scores under -_FAR is no path.
 _WIDE, _BASE, _NONE, _FAR = 24, np.uint64(0x9E3779B97F4A7C55), -(1 << 60), 1 << 58
 MARK, N_BEST = "▁", 4
-_CACHE_LIMIT = 250_000
+_CACHE_LIMIT = 120_000
 
 
 def load(path: str = MODEL) -> dict:
@@ -313,7 +313,7 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_pieces: boo
             for a in range(0, max(whole.num_rows, 1), 500):
                 batch, rows = whole.slice(a, 500), []
                 texts = [text or "" for text in batch.column(at).to_pylist()]
-                for few in slices([len(text) for text in texts], 3_000_000):
+                for few in slices([len(text) for text in texts], 1_000_000):
                     lattice.prime(texts[slice(*few)])
                 for text in texts:
                     ids, score, best = lattice.encode(text)

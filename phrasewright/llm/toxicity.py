@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled rows the fit uses at most, of each label: a bounded sample, the first in an order by hash.
-SAMPLE = 2500
+SAMPLE = 2000
 THRESHOLD = 0.3
 #: Standard errors by which a feature's log odds must exceed 0 to get a weight.
 CLEAR = 4.0
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _WORDED = re.compile(r"[^.!?\n]*?[^\W\d_][^.!?\n]*")
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 120_000
 
 
 def features(word: str) -> list[str]:
@@ -40,18 +40,24 @@ def features(word: str) -> list[str]:
     return ["=" + word, *["^" + word[:n] for n in range(2, min(8, len(word)) + 1)]]
 
 
-def clear_features(bags: list[set[str]], toxic) -> list[str]:
-    """Those found in toxic documents clearly more often than in others, sorted."""
-    counts = Counter(), Counter()
-    for words, y in zip(bags, toxic, strict=True):
-        counts[int(y)].update({f for w in words for f in features(w)})
-    yes, no = sum(map(bool, toxic)), sum(not y for y in toxic)
+def clear_features(texts, toxic) -> list[str]:
+    """Those found in toxic documents clearly more often than in others, sorted. Texts in lower case."""
+    yes, no = Counter(), Counter()
+    for text, y in zip(texts, toxic, strict=True):
+        if y:
+            yes.update({f for w in set(_WORD.findall(text)) for f in features(w)})
+    for f in [f for f, n in yes.items() if n < 3]:
+        del yes[f]
+    for text, y in zip(texts, toxic, strict=True):
+        if not y:
+            no.update({f for w in set(_WORD.findall(text)) for f in features(w) if f in yes})
+    rows = sum(map(bool, toxic)), sum(not y for y in toxic)
 
     def z(f):
-        p, n = counts[1][f] + 0.5, counts[0][f] + 0.5
-        return (log(p / (yes + 1 - p + 0.5)) - log(n / (no + 1 - n + 0.5))) / sqrt(1 / p + 1 / n)
+        p, n = yes[f] + 0.5, no[f] + 0.5
+        return (log(p / (rows[0] + 1.5 - p)) - log(n / (rows[1] + 1.5 - n))) / sqrt(1 / p + 1 / n)
 
-    return sorted(f for f in counts[0].keys() | counts[1].keys() if counts[0][f] + counts[1][f] >= 4 and z(f) >= CLEAR)
+    return sorted(f for f in yes if yes[f] + no[f] >= 4 and z(f) >= CLEAR)
 
 
 def fit(texts, toxic, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-5) -> tuple[dict[str, float], float]:
@@ -60,17 +66,17 @@ def fit(texts, toxic, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-5)
     y = np.asarray(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
         return {}, -12.0 if not len(y) or y.max() == 0 else 2.0
-    parts = [[set(_WORD.findall(x)) for x in _SENTENCE.findall((t or "").lower())] for t in texts]
-    chosen = clear_features([set().union(*x) for x in parts], toxic)
+    lower = [(t or "").lower() for t in texts]
+    chosen = clear_features(lower, toxic)
     slot = {f: i for i, f in enumerate(chosen)}
-    known: dict[str, list[int]] = {}
+    known: dict[str, tuple[int, ...]] = {}
     feature, size, doc = [], [], []
-    for d, sentences in enumerate(parts):
-        for words in filter(None, sentences):
+    for d, text in enumerate(lower):
+        for words in filter(None, (set(_WORD.findall(x)) for x in _SENTENCE.findall(text))):
             before = len(feature)
             for w in sorted(words):
                 if w not in known:
-                    known[w] = [slot[f] for f in features(w) if f in slot]
+                    known[w] = tuple(slot[f] for f in features(w) if f in slot) or ()
                 feature += known[w]
             size.append(len(feature) - before)
             doc.append(d)
