@@ -38,10 +38,12 @@ def read_dictionaries(spark: SparkSession, folder: str) -> DataFrame:
     return known.unionByName(empty)
 
 
-@F.pandas_udf("string")
-def decoded(content: pd.Series) -> pd.Series:
-    """Bytes as text: UTF-16 by its byte order mark, else UTF-8, else GB18030."""
+def decoded(content):
+    """A column of bytes as text: UTF-16 by its byte order mark, else UTF-8, else GB18030."""
+    return F.pandas_udf(_decode, "string")(content)
 
+
+def _decode(content: pd.Series) -> pd.Series:
     def one(b):
         if b is None:
             return None
