@@ -166,7 +166,7 @@ class _Writer:
             self.close()
 
     def put(self, data: bytes) -> None:
-        self.out.write(gzip.compress(data, 3, mtime=0))
+        self.out.write(gzip.compress(data, 1, mtime=0))
         self.size += len(data)
 
     def close(self) -> None:
