@@ -209,11 +209,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _hubs(spread: DataFrame) -> DataFrame:
-    """A member of each bucket of (bucket, b, label), by a hash that differs between buckets, and its label."""
-    first = F.min(F.struct(F.xxhash64("bucket", "b").alias("h"), "b", "label"))
+    """The member of each bucket of (bucket, b, crowd, label) that shares its buckets with most others, and its label."""
+    first = F.min(F.struct((-F.col("crowd")).alias("h"), "b", "label"))
     return spread.groupBy("bucket").agg(first.alias("x")).select("bucket", F.col("x.b").alias("hub"), F.col("x.label").alias("hub_label"))
 
 
+def _in_reach(spread: DataFrame, asked: DataFrame, hubs: DataFrame, scored: DataFrame, reach: float) -> DataFrame:
+    """Pairs (b, o) of one bucket and different classes whose distances to the bucket's hub differ by reach at most. The
+    distance 1 - similarity obeys the triangle inequality, so no other pair can be within reach. Distances are cut into
+    steps of reach, and only neighbouring steps meet."""
+    step = max(reach, 0.01)
+    to_hub = spread.join(hubs.select("bucket", "hub"), "bucket").select("bucket", F.col("b").alias("x"), "hub", "label", F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
+    far = F.when(F.col("x") == F.col("hub"), 0.0).otherwise(1 - F.col("similarity"))
+    placed = settle(to_hub.join(scored, ["a", "b"], "left").select("bucket", F.col("x").alias("b"), "label", far.alias("far")), "placed").withColumn("step", F.floor(F.col("far") / step))
+    beside = placed.join(asked.select("bucket", F.col("o").alias("b"), "own"), ["bucket", "b"]).select("bucket", F.col("b").alias("o"), "own", F.col("far").alias("o_far"), F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"))
+    return placed.join(beside, ["bucket", "step"]).where((F.col("label") != F.col("own")) & (F.abs(F.col("far") - F.col("o_far")) <= reach + 1e-9)).select("b", "o")
+
+
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, label) after further links: the classes so far are the nodes of a small graph."""
     if labels is None:
@@ -246,8 +258,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     by_key = named.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("m"), F.first("bands").alias("bands"))
     nodes = settle(by_key.select("k1", "k2", F.col("m.doc_id").alias("doc_id"), F.col("m.tkey").alias("tkey"), F.xxhash64("k1", "k2").alias("node"), "bands"), "nodes")
     banded = nodes.select(F.col("node").alias("b"), F.explode("bands").alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = settle(banded.join(crowded, "bucket"), "members")
+    crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = settle(banded.join(crowded, "bucket"), "shared")
+    members = settle(shared.join(shared.groupBy("b").agg(F.sum("n").alias("crowd")), "b").select("bucket", "b", "crowd"), "members")
     wanted = members.select(F.col("b").alias("node")).distinct()
     of_node = wanted.join(nodes.select("node", "doc_id", "tkey"), "node")
     texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tkey", text_key())
@@ -257,18 +270,21 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     for turn in ("hub", "second hub", "rest"):
         if labels is None:
             spread = members.withColumn("label", F.col("b"))
-            hubs = _hubs(spread)
+            hubs = settle(_hubs(spread), "hubs")
             pairs = spread.join(hubs, "bucket").where("b <> hub").select("b", F.col("hub").alias("o"))
         else:
-            spread = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", F.coalesce("label", "b").alias("label"))
+            spread = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", "crowd", F.coalesce("label", "b").alias("label"))
             spread = settle(spread, "labelled")
-            differing = spread.join(_hubs(spread), "bucket").where("label <> hub_label").select("bucket", "b", "label")
+            differing = spread.join(_hubs(spread), "bucket").where("label <> hub_label").select("bucket", "b", "crowd", "label")
             differing = settle(differing, "differing")
             if not differing.limit(1).count():
                 break
             # The hub of those that differ meets the whole bucket; at last, all of them do.
-            asked = _hubs(differing).select("bucket", F.col("hub").alias("o"), F.col("hub_label").alias("own")) if turn == "second hub" else differing.select("bucket", F.col("b").alias("o"), F.col("label").alias("own"))
-            pairs = spread.join(asked, "bucket").where("label <> own").select("b", "o")
+            if turn == "second hub":
+                asked = _hubs(differing).select("bucket", F.col("hub").alias("o"), F.col("hub_label").alias("own"))
+                pairs = spread.join(asked, "bucket").where("label <> own").select("b", "o")
+            else:
+                pairs = _in_reach(spread, differing.select("bucket", F.col("b").alias("o"), F.col("label").alias("own")), hubs, known, 1 - similarity)
         pairs = pairs.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
