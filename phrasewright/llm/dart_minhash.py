@@ -216,14 +216,18 @@ def _hubs(spread: DataFrame) -> DataFrame:
 
 def _in_reach(spread: DataFrame, asked: DataFrame, hubs: DataFrame, scored: DataFrame, reach: float) -> DataFrame:
     """Pairs (b, o) of one bucket and different classes whose distances to the bucket's hub differ by reach at most. The
-    distance 1 - similarity obeys the triangle inequality, so no other pair can be within reach. Distances are cut into
-    steps of reach, and only neighbouring steps meet."""
-    step = max(reach, 0.01)
-    to_hub = spread.join(hubs.select("bucket", "hub"), "bucket").select("bucket", F.col("b").alias("x"), "hub", "label", F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
+    distance 1 - similarity obeys the triangle inequality, so no other pair can be within reach, nor can a pair whose
+    shingle totals differ by more than that. Distances and totals are cut into steps, and only neighbouring steps meet."""
+    step, ratio = max(reach, 0.01), max(1 / (1 - reach), 1.01) if reach < 1 else 1e9
+    to_hub = spread.join(hubs.select("bucket", "hub"), "bucket").select("bucket", F.col("b").alias("x"), "hub", "label", "total", F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
     far = F.when(F.col("x") == F.col("hub"), 0.0).otherwise(1 - F.col("similarity"))
-    placed = settle(to_hub.join(scored, ["a", "b"], "left").select("bucket", F.col("x").alias("b"), "label", far.alias("far")), "placed").withColumn("step", F.floor(F.col("far") / step))
-    beside = placed.join(asked.select("bucket", F.col("o").alias("b"), "own"), ["bucket", "b"]).select("bucket", F.col("b").alias("o"), "own", F.col("far").alias("o_far"), F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"))
-    return placed.join(beside, ["bucket", "step"]).where((F.col("label") != F.col("own")) & (F.abs(F.col("far") - F.col("o_far")) <= reach + 1e-9)).select("b", "o")
+    placed = settle(to_hub.join(scored, ["a", "b"], "left").select("bucket", F.col("x").alias("b"), "label", "total", far.alias("far")), "placed")
+    placed = placed.withColumns({"step": F.floor(F.col("far") / step), "zone": F.floor(F.log("total") / log(ratio))})
+    beside = placed.join(asked.select("bucket", F.col("o").alias("b"), "own"), ["bucket", "b"]).select("bucket", F.col("b").alias("o"), "own", F.col("far").alias("o_far"), F.col("total").alias("o_total"), "step", "zone")
+    for key in ("step", "zone"):
+        beside = beside.withColumn(key, F.explode(F.sequence(F.col(key) - 1, F.col(key) + 1)))
+    alike = (F.abs(F.col("far") - F.col("o_far")) <= reach + 1e-9) & (F.least("total", "o_total") >= F.greatest("total", "o_total") * (1 - reach) - 1e-9)
+    return placed.join(beside, ["bucket", "step", "zone"]).where((F.col("label") != F.col("own")) & alike).select("b", "o")
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -248,19 +252,19 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     start, so groups of copies of any size cost one sketch and no pairs.
 
     Candidates are nodes that share a bucket of a band, and each link is checked exactly. Links inside a class add nothing,
-    so not all are looked at: each node is compared with its bucket's hub (a random member, another in each bucket), then
+    so not all are looked at: each node is compared with its bucket's hub (the member in the most crowded buckets), then
     those in another class than the hub with a second hub of their own, and what still differs from the hub's class with
-    every member of another class. So no bucket is capped, no link between the classes found is skipped, and pairs number
-    about members x hubs. Of links of 0.8 two in 10,000 share no band.
+    every member of another class that its distance to the hub and its length leave possible. So no bucket is capped and no
+    link between the classes found is skipped; that last turn can still grow with the square of a large group. Of links of 0.8 two in 10,000 share no band.
     """
     rows = settle(sketches(docs), "sketches")
     named = rows.where("n_words > 0")
-    by_key = named.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("m"), F.first("bands").alias("bands"))
-    nodes = settle(by_key.select("k1", "k2", F.col("m.doc_id").alias("doc_id"), F.col("m.tkey").alias("tkey"), F.xxhash64("k1", "k2").alias("node"), "bands"), "nodes")
-    banded = nodes.select(F.col("node").alias("b"), F.explode("bands").alias("bucket"))
+    by_key = named.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("m"), F.first("bands").alias("bands"), F.greatest(F.first("n_words") - (SHINGLE - 1), F.lit(1)).alias("total"))
+    nodes = settle(by_key.select("k1", "k2", F.col("m.doc_id").alias("doc_id"), F.col("m.tkey").alias("tkey"), F.xxhash64("k1", "k2").alias("node"), "bands", "total"), "nodes")
+    banded = nodes.select(F.col("node").alias("b"), "total", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = settle(banded.join(crowded, "bucket"), "shared")
-    members = settle(shared.join(shared.groupBy("b").agg(F.sum("n").alias("crowd")), "b").select("bucket", "b", "crowd"), "members")
+    members = settle(shared.join(shared.groupBy("b").agg(F.sum("n").alias("crowd")), "b").select("bucket", "b", "crowd", "total"), "members")
     wanted = members.select(F.col("b").alias("node")).distinct()
     of_node = wanted.join(nodes.select("node", "doc_id", "tkey"), "node")
     texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tkey", text_key())
@@ -273,7 +277,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
             hubs = settle(_hubs(spread), "hubs")
             pairs = spread.join(hubs, "bucket").where("b <> hub").select("b", F.col("hub").alias("o"))
         else:
-            spread = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", "crowd", F.coalesce("label", "b").alias("label"))
+            spread = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", "crowd", "total", F.coalesce("label", "b").alias("label"))
             spread = settle(spread, "labelled")
             differing = spread.join(_hubs(spread), "bucket").where("label <> hub_label").select("bucket", "b", "crowd", "label")
             differing = settle(differing, "differing")
