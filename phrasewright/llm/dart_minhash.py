@@ -25,6 +25,8 @@ from .common import mix64, settle, slices, text_key
 BANDS, ROWS, SHINGLE, SIMILARITY = 16, 4, 5, 0.8
 K = BANDS * ROWS
 DARTS = K * log(K) + 2 * K
+#: Of the K coordinates, in four bits each, so many agree in all but two in a million pairs of similarity 0.8.
+AGREEING = 36
 #: Cumulative Poisson(1) probabilities; beyond the last the chance is below 1e-12.
 _CDF = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, n + 1, dtype=float)) for n in range(15)])
 _CELLS = 400_000
@@ -129,8 +131,11 @@ def _sketched(batches):
             n, counts = b - a, np.diff(at)
             h, doc = shingles(own, at)
             bands = np.zeros((n, BANDS), dtype=np.uint64)
+            short = np.zeros((n, K // 16), dtype=np.uint64)
             if len(h):
                 darts = sketch(*weighted(h, doc), n).reshape(n, BANDS, ROWS)
+                nibbles = (mix64(darts.reshape(n, K // 16, 16)) & np.uint64(15)) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+                short = np.bitwise_or.reduce(nibbles, axis=2)
                 bands[:] = np.arange(BANDS, dtype=np.uint64)
                 for r in range(ROWS):
                     bands = mix64(bands ^ darts[:, :, r])
@@ -147,15 +152,17 @@ def _sketched(batches):
                     batch.column("doc_id").slice(a, n), batch.column("tkey").slice(a, n), pa.array(counts),
                     pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)),
                     pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands.reshape(-1).view(np.int64))),
+                    pa.ListArray.from_arrays(np.arange(0, n * K // 16 + 1, K // 16, dtype=np.int32), pa.array(short.reshape(-1).view(np.int64))),
                 ],
-                names=["doc_id", "tkey", "n_words", "k1", "k2", "bands"],
+                names=["doc_id", "tkey", "n_words", "k1", "k2", "bands", "short"],
             )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, n_words, k1, k2, bands) of each row; k1 and k2 are equal for equal word sequences."""
+    """(doc_id, tkey, n_words, k1, k2, bands, short) of each row; k1 and k2 are equal for equal word sequences, short holds
+    four bits of each coordinate."""
     df = _word_hashes(docs.select(F.col("doc_id").cast("long"), F.col("text"))).select("doc_id", F.coalesce(text_key(), F.lit(0).cast("long")).alias("tkey"), "words")
-    return df.mapInArrow(_sketched, "doc_id long, tkey long, n_words long, k1 long, k2 long, bands array<long>")
+    return df.mapInArrow(_sketched, "doc_id long, tkey long, n_words long, k1 long, k2 long, bands array<long>, short array<long>")
 
 
 def _shingle_sets(batches):
@@ -214,20 +221,34 @@ def _hubs(spread: DataFrame) -> DataFrame:
     return spread.groupBy("bucket").agg(first.alias("x")).select("bucket", F.col("x.b").alias("hub"), F.col("x.label").alias("hub_label"))
 
 
-def _in_reach(spread: DataFrame, asked: DataFrame, hubs: DataFrame, scored: DataFrame, reach: float) -> DataFrame:
+def _agreeing(one: str, other: str):
+    """In how many of the K coordinates two short sketches agree."""
+    total = F.lit(K)
+    for i in range(K // 16):
+        x = F.col(one)[i].bitwiseXOR(F.col(other)[i])
+        for by in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        total = total - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def _in_reach(spread: DataFrame, asked: DataFrame, hubs: DataFrame, scored: DataFrame, short: DataFrame, reach: float) -> DataFrame:
     """Pairs (b, o) of one bucket and different classes whose distances to the bucket's hub differ by reach at most. The
     distance 1 - similarity obeys the triangle inequality, so no other pair can be within reach, nor can a pair whose
-    shingle totals differ by more than that. Distances and totals are cut into steps, and only neighbouring steps meet."""
+    shingle totals differ by more than that. Distances and totals are cut into steps, and only neighbouring steps meet.
+    Of those that meet, pairs whose sketches agree too little for a link go before they are written."""
     step, ratio = max(reach, 0.01), max(1 / (1 - reach), 1.01) if reach < 1 else 1e9
-    to_hub = spread.join(hubs.select("bucket", "hub"), "bucket").select("bucket", F.col("b").alias("x"), "hub", "label", "total", F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
+    to_hub = spread.join(hubs.join(asked.select("bucket").distinct(), "bucket").select("bucket", "hub"), "bucket").select("bucket", F.col("b").alias("x"), "hub", "label", "total", F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
     far = F.when(F.col("x") == F.col("hub"), 0.0).otherwise(1 - F.col("similarity"))
-    placed = settle(to_hub.join(scored, ["a", "b"], "left").select("bucket", F.col("x").alias("b"), "label", "total", far.alias("far")), "placed")
+    placed = to_hub.join(scored, ["a", "b"], "left").select("bucket", F.col("x").alias("b"), "label", "total", far.alias("far"))
+    placed = settle(placed.join(short, "b"), "placed")
     placed = placed.withColumns({"step": F.floor(F.col("far") / step), "zone": F.floor(F.log("total") / log(ratio))})
-    beside = placed.join(asked.select("bucket", F.col("o").alias("b"), "own"), ["bucket", "b"]).select("bucket", F.col("b").alias("o"), "own", F.col("far").alias("o_far"), F.col("total").alias("o_total"), "step", "zone")
+    beside = placed.join(asked.select("bucket", F.col("o").alias("b"), "own"), ["bucket", "b"]).select("bucket", F.col("b").alias("o"), "own", F.col("far").alias("o_far"), F.col("total").alias("o_total"), F.col("short").alias("o_short"), "step", "zone")
     for key in ("step", "zone"):
         beside = beside.withColumn(key, F.explode(F.sequence(F.col(key) - 1, F.col(key) + 1)))
     alike = (F.abs(F.col("far") - F.col("o_far")) <= reach + 1e-9) & (F.least("total", "o_total") >= F.greatest("total", "o_total") * (1 - reach) - 1e-9)
-    return placed.join(beside, ["bucket", "step", "zone"]).where((F.col("label") != F.col("own")) & alike).select("b", "o")
+    needed = AGREEING if reach <= 1 - SIMILARITY + 1e-9 else 0
+    return placed.join(beside, ["bucket", "step", "zone"]).where((F.col("label") != F.col("own")) & alike & (_agreeing("short", "o_short") >= needed)).select("b", "o")
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -254,13 +275,15 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     Candidates are nodes that share a bucket of a band, and each link is checked exactly. Links inside a class add nothing,
     so not all are looked at: each node is compared with its bucket's hub (the member in the most crowded buckets), then
     those in another class than the hub with a second hub of their own, and what still differs from the hub's class with
-    every member of another class that its distance to the hub and its length leave possible. So no bucket is capped and no
-    link between the classes found is skipped; that last turn can still grow with the square of a large group. Of links of 0.8 two in 10,000 share no band.
+    every member of another class that its distance to the hub, its length and its sketch leave possible. So no bucket is
+    capped and no link between the classes found is skipped, but for what the sketch can't tell: of links of 0.8 two in
+    10,000 share no band, and two in a million agree in too few coordinates for the last turn. That turn still meets the
+    square of a large group of texts that are alike by less than a link, though it writes only pairs close to one.
     """
     rows = settle(sketches(docs), "sketches")
     named = rows.where("n_words > 0")
-    by_key = named.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("m"), F.first("bands").alias("bands"), F.greatest(F.first("n_words") - (SHINGLE - 1), F.lit(1)).alias("total"))
-    nodes = settle(by_key.select("k1", "k2", F.col("m.doc_id").alias("doc_id"), F.col("m.tkey").alias("tkey"), F.xxhash64("k1", "k2").alias("node"), "bands", "total"), "nodes")
+    by_key = named.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("m"), F.first("bands").alias("bands"), F.first("short").alias("short"), F.greatest(F.first("n_words") - (SHINGLE - 1), F.lit(1)).alias("total"))
+    nodes = settle(by_key.select("k1", "k2", F.col("m.doc_id").alias("doc_id"), F.col("m.tkey").alias("tkey"), F.xxhash64("k1", "k2").alias("node"), "bands", "short", "total"), "nodes")
     banded = nodes.select(F.col("node").alias("b"), "total", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = settle(banded.join(crowded, "bucket"), "shared")
@@ -288,7 +311,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
                 asked = _hubs(differing).select("bucket", F.col("hub").alias("o"), F.col("hub_label").alias("own"))
                 pairs = spread.join(asked, "bucket").where("label <> own").select("b", "o")
             else:
-                pairs = _in_reach(spread, differing.select("bucket", F.col("b").alias("o"), F.col("label").alias("own")), hubs, known, 1 - similarity)
+                pairs = _in_reach(spread, differing.select("bucket", F.col("b").alias("o"), F.col("label").alias("own")), hubs, known, nodes.select(F.col("node").alias("b"), "short"), 1 - similarity)
         pairs = pairs.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
@@ -299,7 +322,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     firsts = settle(firsts, "firsts")
     heads = firsts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("head"))
     classes = firsts.select("k1", "k2", "label").join(heads, "label").select("k1", "k2", "head")
-    out = rows.drop("bands").join(classes, ["k1", "k2"], "left")
+    out = rows.drop("bands", "short").join(classes, ["k1", "k2"], "left")
     alone = F.col("n_words") == 0
     return out.select(
         "doc_id", "tkey", "n_words",
