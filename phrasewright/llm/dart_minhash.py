@@ -27,6 +27,8 @@ K = BANDS * ROWS
 DARTS = K * log(K) + 2 * K
 #: Of the K coordinates, in four bits each, so many agree in all but two in a million pairs of similarity 0.8.
 AGREEING = 36
+#: Shingles of the documents that a block of comparisons holds, about.
+BLOCK = 200_000
 #: Cumulative Poisson(1) probabilities; beyond the last the chance is below 1e-12.
 _CDF = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, n + 1, dtype=float)) for n in range(15)])
 _CELLS = 400_000
@@ -171,32 +173,46 @@ def _shingle_sets(batches):
         for a, b in slices(np.diff(starts).tolist(), _CELLS):
             n = b - a
             h, doc, weight = weighted(*shingles(words[starts[a] : starts[b]], starts[a : b + 1] - starts[a]))
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node").slice(a, n), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(weight.astype(np.int32)))],
-                names=["node", "h", "w"],
-            )
+            nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            elements = mix64(np.repeat(h, weight) + nth.astype(np.uint64))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(doc, weight), minlength=n))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, n), pa.ListArray.from_arrays(offsets, pa.array(elements.view(np.int64)))], names=["node", "h"])
 
 
-def weighted_jaccard(h1, w1, h2, w2) -> float:
-    """Of two sorted shingle arrays with multiplicities; 0 if both are empty."""
-    _, i, j = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
-    shared = float(np.minimum(w1[i], w2[j]).sum())
-    total = float(w1.sum() + w2.sum()) - shared
+def jaccard(one: frozenset, other: frozenset) -> float:
+    """Of two sets; 0 if both are empty. Where the n-th repeat of a shingle is its own element, the weighted similarity."""
+    shared = len(one & other)
+    total = len(one) + len(other) - shared
     return shared / total if total else 0.0
 
 
 def _compared(batches):
+    """Rows sorted by block, in each block first its sets and then its pairs."""
+    block, sets = None, {}
     for batch in batches:
-        sides = [(np.asarray(c.values), np.asarray(c.offsets)) for c in (batch.column(x) for x in ("h1", "w1", "h2", "w2"))]
-        score = np.fromiter((weighted_jaccard(*(v[o[i] : o[i + 1]] for v, o in sides)) for i in range(batch.num_rows)), dtype=np.float64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score)], names=["a", "b", "similarity"])
+        elements, ends = np.asarray(batch.column("h").values), np.asarray(batch.column("h").offsets)
+        firsts, seconds, scores = [], [], []
+        for i, (of, pair, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "pair", "a", "b")), strict=True)):
+            if of != block:
+                block, sets = of, {}
+            if pair:
+                firsts.append(a)
+                seconds.append(b)
+                scores.append(jaccard(sets[a], sets[b]))
+            else:
+                sets[a] = frozenset(elements[ends[i] : ends[i + 1]].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(scores, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("node").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1"))
-    right = sets.select(F.col("node").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(_compared, "a long, b long, similarity double")
+def _similarities(pairs: DataFrame, sets: DataFrame, blocks: int) -> DataFrame:
+    """Similarity of each pair (a, b). The nodes are dealt to blocks, and a set goes once to each two blocks that have a pair
+    with it, however many pairs there are."""
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    pairs = settle(pairs.select((F.least(own("a"), own("b")) * blocks + F.greatest(own("a"), own("b"))).alias("block"), F.lit(True).alias("pair"), "a", "b", F.array().cast("array<long>").alias("h")), "pairs")
+    wanted = pairs.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = wanted.join(sets, "node").select("block", F.lit(False).alias("pair"), F.col("node").alias("a"), F.col("node").alias("b"), "h").unionByName(pairs)
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "block").sortWithinPartitions("block", "pair").mapInArrow(_compared, "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,7 +308,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     of_node = wanted.join(nodes.select("node", "doc_id", "tkey"), "node")
     texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tkey", text_key())
     texts = texts.join(of_node, texts.doc_id.eqNullSafe(of_node.doc_id) & (texts.tkey == of_node.tkey)).select("node", "text")
-    sets = settle(_word_hashes(texts).select("node", "words").mapInArrow(_shingle_sets, "node long, h array<long>, w array<int>").dropDuplicates(["node"]), "shingles")
+    sets = settle(_word_hashes(texts).select("node", "words").mapInArrow(_shingle_sets, "node long, h array<long>").dropDuplicates(["node"]), "shingles")
+    blocks = max(1, (sets.agg(F.sum(F.size("h"))).first()[0] or 0) // BLOCK)
     labels, known = None, None
     for turn in ("hub", "second hub", "rest"):
         if labels is None:
@@ -315,7 +332,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
         pairs = pairs.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        scored = settle(_similarities(pairs, sets), "scored")
+        scored = settle(_similarities(pairs, sets, blocks), "scored")
         known = scored if known is None else known.unionByName(scored)
         labels = _relabelled(labels, scored.where(F.col("similarity") >= similarity).select("a", "b"))
     firsts = nodes.join(labels, "node", "left").select("k1", "k2", "doc_id", "tkey", F.coalesce("label", "node").alias("label"))
