@@ -17,10 +17,10 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, settle, slices, text_key
+from .common import mix64, settle, sized_broadcast, slices, text_key
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 16, 4, 5, 0.8
 K = BANDS * ROWS
@@ -29,6 +29,8 @@ DARTS = K * log(K) + 2 * K
 AGREEING = 36
 #: Shingles of the documents that a block of comparisons holds, about.
 BLOCK = 200_000
+#: A shingle in so many documents of a comparison, or fewer, is rare; one in more than HOT is hot.
+RARE, HOT = 8, 1000
 #: Cumulative Poisson(1) probabilities; beyond the last the chance is below 1e-12.
 _CDF = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, n + 1, dtype=float)) for n in range(15)])
 _CELLS = 400_000
@@ -248,23 +250,55 @@ def _agreeing(one: str, other: str):
     return total
 
 
-def _in_reach(spread: DataFrame, asked: DataFrame, hubs: DataFrame, scored: DataFrame, short: DataFrame, reach: float) -> DataFrame:
-    """Pairs (b, o) of one bucket and different classes whose distances to the bucket's hub differ by reach at most. The
-    distance 1 - similarity obeys the triangle inequality, so no other pair can be within reach, nor can a pair whose
-    shingle totals differ by more than that. Distances and totals are cut into steps, and only neighbouring steps meet.
-    Of those that meet, pairs whose sketches agree too little for a link go before they are written."""
-    step, ratio = max(reach, 0.01), max(1 / (1 - reach), 1.01) if reach < 1 else 1e9
-    to_hub = spread.join(hubs.join(asked.select("bucket").distinct(), "bucket").select("bucket", "hub"), "bucket").select("bucket", F.col("b").alias("x"), "hub", "label", "total", F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
+def _rare(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, h, n) for the shingles that n <= RARE of the nodes hold."""
+    elements = sets.join(nodes, "node").select("node", F.explode("h").alias("h"))
+    counts = settle(elements.groupBy("h").agg(F.count("*").alias("n")), "counts")
+    hot = sized_broadcast(counts.where(F.col("n") > HOT).select("h"))
+    return settle(elements.join(hot, "h", "left_anti").join(counts.where(F.col("n") <= RARE), "h").select("node", "h", "n"), "rare")
+
+
+def _sharing_rare(rare: DataFrame, of_node: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (b, o) of different classes that share a rare shingle among their rarest ones. Sets whose similarity reaches s
+    share s of each, so the rarest that they share is among the rarest total - s * total + 1 of both."""
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "h"))
+    first = rare.withColumn("rank", rank).where("n > 1").join(of_node, "node")
+    first = first.where(F.col("rank") <= F.col("total") - F.ceil(F.col("total") * similarity - 1e-9) + 1)
+    first = settle(first.select("h", F.col("node").alias("b"), "label"), "rarest")
+    other = first.select("h", F.col("b").alias("o"), F.col("label").alias("own"))
+    return first.join(other, "h").where("b < o and label <> own").select("b", "o").distinct()
+
+
+def _in_reach(spread: DataFrame, asked: DataFrame, hubs: DataFrame, scored: DataFrame, short: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (b, o) of different classes that may be links, as of what is known without comparing them.
+
+    Either they share a rare shingle, or what they share is no more than the shingles of either that aren't rare: most
+    members of a large group of near copies have too many edits of their own for a link without a shared one, and the rest
+    meet within their buckets. There the distance 1 - similarity obeys the triangle inequality, so the distances to the
+    bucket's hub differ by 1 - similarity at most, and shingle totals by that factor. Distances and totals are cut into
+    steps, and only neighbouring steps meet. Pairs whose sketches agree too little for a link go before they are written.
+    """
+    reach = 1 - similarity
+    step, ratio = max(reach, 0.01), max(1 / similarity, 1.01) if similarity > 0 else 1e9
+    inside = spread.join(asked.select("bucket").distinct(), "bucket")
+    of_node = settle(inside.select(F.col("b").alias("node"), "label", "total").distinct(), "inside")
+    rare = _rare(of_node.select("node"), sets)
+    owned = of_node.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left")
+    owned = owned.select(F.col("node").alias("b"), (F.col("total") - F.coalesce("rare", F.lit(0))).alias("common")).where(F.col("common") >= F.col("total") * similarity - 1e-9)
+    to_hub = inside.join(owned, "b").join(short, "b").join(hubs.select("bucket", "hub"), "bucket")
+    to_hub = to_hub.select("bucket", F.col("b").alias("x"), "hub", "label", "total", "common", "short", F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
     far = F.when(F.col("x") == F.col("hub"), 0.0).otherwise(1 - F.col("similarity"))
-    placed = to_hub.join(scored, ["a", "b"], "left").select("bucket", F.col("x").alias("b"), "label", "total", far.alias("far"))
-    placed = settle(placed.join(short, "b"), "placed")
+    placed = settle(to_hub.join(scored, ["a", "b"], "left").select("bucket", F.col("x").alias("b"), "label", "total", "common", "short", far.alias("far")), "placed")
     placed = placed.withColumns({"step": F.floor(F.col("far") / step), "zone": F.floor(F.log("total") / log(ratio))})
-    beside = placed.join(asked.select("bucket", F.col("o").alias("b"), "own"), ["bucket", "b"]).select("bucket", F.col("b").alias("o"), "own", F.col("far").alias("o_far"), F.col("total").alias("o_total"), F.col("short").alias("o_short"), "step", "zone")
+    beside = placed.join(asked.select("bucket", F.col("o").alias("b"), "own"), ["bucket", "b"])
+    beside = beside.select("bucket", F.col("b").alias("o"), "own", *(F.col(c).alias(f"o_{c}") for c in ("far", "total", "common", "short")), "step", "zone")
     for key in ("step", "zone"):
         beside = beside.withColumn(key, F.explode(F.sequence(F.col(key) - 1, F.col(key) + 1)))
-    alike = (F.abs(F.col("far") - F.col("o_far")) <= reach + 1e-9) & (F.least("total", "o_total") >= F.greatest("total", "o_total") * (1 - reach) - 1e-9)
-    needed = AGREEING if reach <= 1 - SIMILARITY + 1e-9 else 0
-    return placed.join(beside, ["bucket", "step", "zone"]).where((F.col("label") != F.col("own")) & alike & (_agreeing("short", "o_short") >= needed)).select("b", "o")
+    alike = (F.abs(F.col("far") - F.col("o_far")) <= reach + 1e-9) & (F.least("total", "o_total") >= F.greatest("total", "o_total") * similarity - 1e-9)
+    enough = F.least("common", "o_common") >= (F.col("total") + F.col("o_total")) * (similarity / (1 + similarity)) - 1e-6
+    needed = AGREEING if similarity >= SIMILARITY - 1e-9 else 0
+    met = placed.join(beside, ["bucket", "step", "zone"]).where((F.col("label") != F.col("own")) & alike & enough & (_agreeing("short", "o_short") >= needed))
+    return met.select("b", "o").unionByName(_sharing_rare(rare, of_node, similarity))
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -291,10 +325,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     Candidates are nodes that share a bucket of a band, and each link is checked exactly. Links inside a class add nothing,
     so not all are looked at: each node is compared with its bucket's hub (the member in the most crowded buckets), then
     those in another class than the hub with a second hub of their own, and what still differs from the hub's class with
-    every member of another class that its distance to the hub, its length and its sketch leave possible. So no bucket is
-    capped and no link between the classes found is skipped, but for what the sketch can't tell: of links of 0.8 two in
-    10,000 share no band, and two in a million agree in too few coordinates for the last turn. That turn still meets the
-    square of a large group of texts that are alike by less than a link, though it writes only pairs close to one.
+    every member of another class that the rare shingles, the distance to the hub, the length and the sketch leave
+    possible. So no bucket is capped and no link between the classes found is skipped, but for what sketches can't tell:
+    of links of 0.8 two in 10,000 share no band, and two in a million agree in too few coordinates for the last turn.
     """
     rows = settle(sketches(docs), "sketches")
     named = rows.where("n_words > 0")
@@ -328,7 +361,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
                 asked = _hubs(differing).select("bucket", F.col("hub").alias("o"), F.col("hub_label").alias("own"))
                 pairs = spread.join(asked, "bucket").where("label <> own").select("b", "o")
             else:
-                pairs = _in_reach(spread, differing.select("bucket", F.col("b").alias("o"), F.col("label").alias("own")), hubs, known, nodes.select(F.col("node").alias("b"), "short"), 1 - similarity)
+                pairs = _in_reach(spread, differing.select("bucket", F.col("b").alias("o"), F.col("label").alias("own")), hubs, known, nodes.select(F.col("node").alias("b"), "short"), sets, similarity)
         pairs = pairs.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
