@@ -1,16 +1,24 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a 4-gram model over 64 character classes (letters singly, the most usual
-accented ones too, capitals, digits and symbols by class), so it holds at most 64**4
-n-grams whatever the corpus. Counts are gathered from all trusted text: every task counts
-its own rows and the partial counts are summed by n-gram key. Continuation counts, context
-totals, discounts and interpolated probabilities are joins and groupings of those counts,
-sharded by n-gram. A document's perplexity is that of its whole text; it is rejected when
-it exceeds a quantile of held-out trusted documents of its language.
+The model is a 3-gram model over whole words of any script (a character each where a script
+writes no spaces), so it grows with the corpus. Its base, which spells words never seen, is a
+4-gram model over 64 character classes and the share of each character in its class; that
+part holds at most 64**4 n-grams and a number for each code point.
+
+Counts of all orders are tables keyed by n-gram, and so are discounts, shares and back-off
+masses. The logarithm of a probability is a sum over the n-grams of a text: each n-gram that
+the model has adds its gain, each context that it has adds its mass. So a text's distinct
+n-grams are joined to the one table of gains and the products summed by text. The HOT most
+frequent n-grams are sent to the tasks instead, which leaves no common key to that join.
+
+A word equal to the one before it is the word REPEAT, and perplexity is by character of the
+other words: REPEAT is rare in trusted text, so what repeats itself is improbable. A text is rejected when
+its perplexity exceeds a quantile of held-out trusted documents of its language.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 
 import numpy as np
@@ -19,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import code_points, settle, sized_broadcast, slices
+from .common import code_points, mix64, settle, sized_broadcast, slices, text_key
 
 ORDER, CLASSES = 4, 64
 #: Trusted rows with crc32(doc_id as text) mod 5 = 0 set the thresholds; the others train the model.
@@ -29,6 +37,8 @@ QUANTILE, MARGIN = 0.99, 1.35
 #: Languages with fewer held-out trusted rows use the threshold of all languages together.
 LEAST = 50
 _BATCH = 1_000_000
+#: N-grams that are sent to the tasks.
+HOT = 200_000
 #: The characters that have a class of their own, in the order of their classes from 8.
 OWN = "abcdefghijklmnopqrstuvwxyz" + "éèêçàäöüßñóíáú" + ".,'-\"!?:;%&"
 START, BREAK, SPACE, CAPITAL, DIGIT, LETTER, SYMBOL, OTHER = range(8)
@@ -134,32 +144,193 @@ def probabilities(model) -> np.ndarray:
     return np.log2(p, out=p)
 
 
-def perplexities(texts: list[str], table: np.ndarray) -> np.ndarray:
-    """By character; nan for empty texts."""
-    keys, starts = grams(texts)
-    sums = np.append(0.0, np.cumsum(table[keys], dtype=np.float64))
-    sizes = np.diff(starts)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.exp2(-(sums[starts[1:]] - sums[starts[:-1]]) / np.where(sizes > 0, sizes, np.nan))
+_A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E27F8862D)
+#: The words before a text's first, and one equal to the word before it with its base log2 probability.
+BEFORE, REPEAT, REPEAT_BASE = np.uint64(1), np.uint64(2), -10.0
+_KINDS: list[np.ndarray] = []
 
 
-_TABLES: dict = {}
+def _kinds() -> np.ndarray:
+    """By code point: 0 for space, 1 for characters of words, 2 for those that are a word each."""
+    if not _KINDS:
+        out = np.full(0x110000, 2, dtype=np.uint8)
+        for c in range(0x20000):
+            ch = chr(c)
+            if ch.isspace():
+                out[c] = 0
+            elif ch.isalnum() or ch == "_" or unicodedata.category(ch)[0] == "M":
+                out[c] = 1
+        # Scripts written without spaces: Thai to Myanmar, Khmer, Han and kana.
+        for a, b in ((0xE00, 0xF00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA4D0), (0xF900, 0xFB00)):
+            out[a:b][out[a:b] == 1] = 2
+        _KINDS.append(out)
+    return _KINDS[0]
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """docs with __perplexity double (null for null and empty texts)."""
-    sent, name, at = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, docs.columns.index("text")
+def count_characters(texts: DataFrame) -> np.ndarray:
+    """log2 of each code point's share in its class, from all rows of texts (text); half a place more for each code point."""
 
-    def scored(batches):
-        if name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[name] = probabilities(sent.value)
+    def counted(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            found = [perplexities(texts[a:b], _TABLES[name]) for a, b in slices([len(t) for t in texts], _BATCH)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64(), from_pandas=True)], names=[*batch.schema.names, "__perplexity"])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in slices([len(t) for t in texts], _BATCH):
+                points, n = np.unique(code_points(texts[a:b])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(points.astype(np.int32)), pa.array(n, pa.int64())], names=["point", "n"])
+
+    got = texts.select("text").mapInArrow(counted, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")).toArrow()
+    n = np.full(0x110000, 0.5)
+    n[np.asarray(got["point"])] += np.asarray(got["n"])
+    cls = _TABLE[np.minimum(np.arange(0x110000), 0xFFFF)]
+    return np.log2(n / np.bincount(cls, n, CLASSES)[cls]).astype(np.float32)
+
+
+def spelling(texts: DataFrame):
+    """What words() spells words with, sent to the tasks."""
+    return texts.sparkSession.sparkContext.broadcast((probabilities(train(texts)), count_characters(texts)))
+
+
+def words(texts: list[str], spelling):
+    """(word number, its base log2 probability, text, characters with the end, 0 for REPEAT) of each word of the texts, in order."""
+    (table, within), (points, starts) = spelling, code_points(texts)
+    kind = _kinds()[points]
+    opens = kind == 1
+    opens[1:] &= kind[:-1] != 1
+    inner = starts[:-1][np.diff(starts) > 0]
+    opens[inner] = kind[inner] == 1
+    opens |= kind == 2
+    if not opens.any():
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = np.searchsorted(starts, np.flatnonzero(opens), side="right") - 1
+    held = kind > 0
+    opens, points = opens[held], points[held]
+    at = np.flatnonzero(opens)
+    size = np.diff(np.append(at, len(points)))
+    nth = np.arange(len(points)) - np.repeat(at, size)
+    word = mix64(np.add.reduceat(mix64(points.astype(np.uint64) + nth.astype(np.uint64) * _A), at))
+    cls = _TABLE[np.minimum(points, 0xFFFF)].astype(np.int32)
+    before = [cls]
+    for back in range(1, ORDER):
+        shifted = np.full_like(cls, SPACE)
+        shifted[back:] = cls[:-back] if len(cls) > back else cls[:0]
+        shifted[nth < back] = SPACE
+        before.append(shifted)
+    spelt = np.add.reduceat((table[sum(x << (6 * k) for k, x in enumerate(before))] + within[points]).astype(float), at)
+    last = np.append(at[1:], len(points)) - 1
+    spelt += table[SPACE + sum(x[last] << (6 * k) for k, x in enumerate(before[:-1], 1))]
+    same = np.zeros(len(word), dtype=bool)
+    same[1:] = (word[1:] == word[:-1]) & (of[1:] == of[:-1])
+    word[same], spelt[same] = REPEAT, REPEAT_BASE
+    return word, spelt, of, np.where(same, 0, size + 1)
+
+
+def word_grams(word: np.ndarray, of: np.ndarray):
+    """Numbers of the 3-gram, its context, the 2-gram, its context and the 1-gram that end at each word."""
+    def back(k):
+        out = np.full_like(word, BEFORE)
+        out[k:] = np.where(of[k:] == of[:-k], word[:-k], BEFORE) if len(word) > k else out[k:]
+        return out
+
+    v, u = back(1), back(2)
+    one = lambda x: mix64(x + _B)
+    two = lambda x, y: mix64(mix64(x * _A + _B) + y)
+    long = two(u, v)
+    return [x.view(np.int64) for x in (mix64(long * _A + word), long, two(v, word), one(v), one(word))]
+
+
+def _taken(batches, spelt, columns):
+    """(columns of the slice, their texts' words) by slices of batches."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for a, b in slices([len(t) for t in texts], _BATCH):
+            yield [np.asarray(batch.column(c))[a:b] for c in columns], words(texts[a:b], spelt), b - a
+
+
+def count_words(texts: DataFrame, spelt) -> DataFrame:
+    """(k3, c3, k2, c2, k1, base, n) of each 3-gram of words of texts (text)."""
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("__perplexity", T.DoubleType())]))
+    def counted(batches):
+        for _, (word, base, of, _), _ in _taken(batches, spelt.value, ()):
+            keys = word_grams(word, of)
+            _, first, n = np.unique(keys[0], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[first]) for k in keys), pa.array(base[first], pa.float64()), pa.array(n, pa.int64())], names=["k3", "c3", "k2", "c2", "k1", "base", "n"])
+
+    rows = texts.select("text").mapInArrow(counted, "k3 long, c3 long, k2 long, c2 long, k1 long, base double, n long")
+    return rows.groupBy("k3").agg(*(F.first(c).alias(c) for c in ("c3", "k2", "c2", "k1", "base")), F.sum("n").alias("n"))
+
+
+def _shares(counts: DataFrame, context: str) -> tuple[DataFrame, DataFrame]:
+    """counts with own, the discounted share of each n-gram, and back; and (context, back), the mass each context leaves."""
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    each = counts.crossJoin(F.broadcast(discounts(counts))).withColumn("cut", F.least(cut, F.col("n")))
+    totals = settle(each.groupBy(context).agg(F.sum("n").alias("all"), (F.sum("cut") / F.sum("n")).alias("back")), "contexts")
+    return each.join(sized_broadcast(totals, HOT), context).withColumn("own", (F.col("n") - F.col("cut")) / F.col("all")).drop("cut", "d1", "d2", "d3", "all"), totals.select(context, "back")
+
+
+def train_words(texts: DataFrame, spelt) -> tuple[DataFrame, float]:
+    """(key, gain, carry, heat) of all n-grams and contexts, settled, and the mass that the shortest level leaves to the base."""
+    third = settle(count_words(texts, spelt), "words")
+    second = settle(third.groupBy("k2").agg(F.count("*").alias("n"), F.sum("n").alias("heat"), *(F.first(c).alias(c) for c in ("c2", "k1", "base"))), "words")
+    first = settle(second.groupBy("k1").agg(F.count("*").alias("n"), F.sum("heat").alias("heat"), F.first("base").alias("base")).withColumn("c1", F.lit(0)), "words")
+    p1, left = _shares(first, "c1")
+    rest = left.first()
+    rest = rest.back if rest else 1.0
+    p1 = settle(p1.withColumn("p1", F.col("own") + F.col("back") * F.pow(F.lit(2.0), "base")), "words")
+    p2, mass2 = _shares(second, "c2")
+    p2 = p2.join(sized_broadcast(p1.select("k1", "p1"), HOT), "k1").withColumn("p2", F.col("own") + F.col("back") * F.col("p1"))
+    p2 = settle(p2.select("k2", "heat", "p2", (F.log2(F.col("p2") / F.col("p1")) - F.log2("back")).alias("gain")), "words")
+    p3, mass3 = _shares(third, "c3")
+    p3 = p3.join(p2.select("k2", "p2"), "k2").select(F.col("k3").alias("key"), (F.log2((F.col("own") + F.col("back") * F.col("p2")) / F.col("p2")) - F.log2("back")).alias("gain"), F.col("n").alias("heat"))
+    nothing = F.lit(0.0)
+    parts = (
+        p1.select(F.col("k1").alias("key"), (F.log2("p1") - F.log2("back") - F.col("base")).alias("gain"), nothing.alias("carry"), "heat"),
+        mass2.select(F.col("c2").alias("key"), nothing.alias("gain"), F.log2("back").alias("carry"), F.lit(0).cast("long").alias("heat")),
+        p2.select(F.col("k2").alias("key"), "gain", nothing.alias("carry"), "heat"),
+        mass3.select(F.col("c3").alias("key"), nothing.alias("gain"), F.log2("back").alias("carry"), F.lit(0).cast("long").alias("heat")),
+        p3.select("key", "gain", nothing.alias("carry"), "heat"),
+    )
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return settle(every.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("gain", "carry", "heat"))), "gains"), rest
+
+
+def score(docs: DataFrame, model) -> DataFrame:
+    """docs with __perplexity double by character (null for null and blank texts)."""
+    spelt, gains, rest = model
+    hot = gains.orderBy(F.desc("heat"), "key").limit(HOT).toArrow().sort_by("key")
+    sent = docs.sparkSession.sparkContext.broadcast([np.asarray(hot[c]) for c in ("key", "gain", "carry")])
+
+    def sought(batches):
+        known, gain, carry = sent.value
+        for (rows,), (word, base, of, size), n_texts in _taken(batches, spelt.value, ("row",)):
+            _, context3, pair, context2, single = keys = word_grams(word, of)
+            bits = np.bincount(of, base + np.log2(rest), n_texts)
+            chars = np.bincount(of, size, n_texts).astype(np.int64)
+            key, text = np.concatenate([keys[0], pair, single, context3, context2]), np.tile(of, 5)
+            order = np.lexsort((key, text))
+            role = np.repeat([1, 0], [3 * len(of), 2 * len(of)])[order]
+            key, text = key[order], text[order]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))) if len(key) else np.zeros(0, np.int64)
+            n = np.add.reduceat(role, first) if len(first) else first
+            m = np.diff(np.append(first, len(key))) - n
+            key, text = key[first], text[first]
+            at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+            hit = known[at] == key if len(known) else np.zeros(len(key), dtype=bool)
+            bits += np.bincount(text[hit], n[hit] * gain[at[hit]] + m[hit] * carry[at[hit]], n_texts)
+            # A text's own row goes by a key that no n-gram has, so that texts are dealt out evenly.
+            own, miss = mix64(rows.astype(np.uint64) ^ _B).view(np.int64), ~hit
+            none = np.zeros(miss.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([rows, rows[text[miss]]])), pa.array(np.concatenate([own, key[miss]])), *(pa.array(np.concatenate([np.zeros(n_texts), x[miss]]).astype(np.int32)) for x in (n, m)), pa.array(np.concatenate([bits, none])), pa.array(np.concatenate([chars, none.astype(np.int64)]))],
+                names=["row", "key", "n", "m", "bits", "chars"],
+            )
+
+    looked = docs.select(text_key().alias("row"), "text").where("text is not null").mapInArrow(sought, "row long, key long, n int, m int, bits double, chars long")
+    joined = looked.join(gains.select("key", "gain", "carry"), "key", "left")
+    # Copies of a text add up to the same quotient.
+    sums = joined.groupBy("row").agg(F.sum(F.col("bits") + F.coalesce(F.col("n") * F.col("gain") + F.col("m") * F.col("carry"), F.lit(0.0))).alias("bits"), F.sum("chars").alias("chars"))
+    found = settle(sums.where("chars > 0").select(F.col("row").alias("__row"), F.pow(F.lit(2.0), -F.col("bits") / F.col("chars")).alias("__perplexity")), "perplexities")
+    return docs.withColumn("__row", text_key()).join(sized_broadcast(found), "__row", "left").drop("__row")
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -179,11 +350,13 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MA
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """docs with __perplexity, __limit (of the language) and __keep.
 
-    Null and empty texts have no perplexity and aren't kept. Without trusted rows nothing is known, and all other texts are
+    Null and blank texts have no perplexity and aren't kept. Without trusted rows nothing is known, and all other texts are
     kept. Repeated rows are judged alike; null is a language like any other. Labels choose the trusted text only.
     """
     known = trusted(docs, labels)
-    model = train(known.where("not calibrates"))
+    taught = known.where("not calibrates")
+    spelt = spelling(taught)
+    model = (spelt, *train_words(taught, spelt))
     limits = settle(thresholds(score(known.where("calibrates"), model), quantile, margin), "limits")
     own = limits.where("not every").select(F.col("lang").alias("__lang"), F.col("limit").alias("__own"))
     scored = score(docs, model).join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left")
