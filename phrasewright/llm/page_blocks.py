@@ -26,14 +26,19 @@ from pyspark.sql import types as T
 PATH, WORDS, NUMBERS, HIDDEN = 160, 64, 8, 20
 SIZE = PATH + WORDS + NUMBERS
 PAGES, ROUNDS, SEED = 700, 14, 7
-#: Elements whose content is never text; elements that don't end a block.
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|video|audio|head|title"
+#: Elements whose content is never text, those of them that reach to the end of a page without an end tag, elements of a head; elements that don't end a block.
+RAW = frozenset("script style noscript template svg math iframe object textarea select canvas video audio title".split())
+TO_END = frozenset("script style textarea".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript object script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
+    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<end>>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    re.S,
 )
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+#: A tag that closes itself: its slash isn't the end of an unquoted value.
+_CLOSED = re.compile(r"(?:\A|[\s\"']|=\s*(?:\"[^\"]*\"|'[^']*')|\A[^=]*|\s[^\s=]+)/\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
@@ -63,17 +68,31 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], float]]:
         parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()
+    while m := _TOKEN.search(page, last):
         if m.start() > last:
+            if stack and stack[-1][0] == "head" and not page[last : m.start()].isspace():
+                stack.pop()
             parts.append(page[last : m.start()])
             if links:
                 linked += m.start() - last
         last = m.end()
         if not m["tag"]:
-            if m["raw"]:
-                flush()
             continue
         tag, closing = m["tag"].lower(), bool(m["close"])
+        if not closing and stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            stack.pop()
+        if tag in RAW and not closing and m["end"]:
+            flush()
+            if not _CLOSED.search(m["rest"]):
+                ends = None if tag in endless else _ENDS[tag].search(page, last)
+                if ends:
+                    last = ends.end()
+                elif tag in TO_END:
+                    last = len(page)
+                else:
+                    endless.add(tag)
+            continue
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
