@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import unicodedata
 import uuid
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from .common import code_points, mix64, settle, sized_broadcast, slices, text_ke
 ORDER, CLASSES = 4, 64
 #: Trusted rows with crc32(doc_id as text) mod 5 = 0 set the thresholds; the others train the model.
 FOLDS = 5
-#: A document is rejected above this quantile of its language's held-out trusted perplexities, times the margin.
-QUANTILE, MARGIN = 0.99, 1.35
+#: A document is rejected above this quantile of its language's held-out trusted perplexities.
+QUANTILE = 0.99
 #: Languages with fewer held-out trusted rows use the threshold of all languages together.
 LEAST = 50
 _BATCH = 1_000_000
@@ -340,14 +341,23 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(good, "doc_id", "left_semi").withColumn("calibrates", fold)
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """(lang, limit) of each language with enough rows; lang null with every = true: of all of them."""
-    q = F.percentile_approx("__perplexity", quantile, 10_000) * margin
-    by = scored.groupBy("lang").agg(q.alias("limit"), F.count("__perplexity").alias("rows")).where(F.col("rows") >= LEAST)
-    return by.select("lang", "limit", F.lit(False).alias("every")).unionByName(scored.agg(q.alias("limit")).select(F.lit(None).cast("string").alias("lang"), "limit", F.lit(True).alias("every")))
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(lang, limit) of each language with enough rows; lang null with every = true: of all of them.
+
+    Rows that are too few to hold the quantile (98 for 0.99) have it below their largest, so there the limit is the
+    upper 95 % bound of the quantile of a normal distribution of log perplexities (a tolerance limit).
+    """
+    z, sure = NormalDist().inv_cdf(quantile), NormalDist().inv_cdf(0.95)
+    rows, logs = F.count("__perplexity"), F.ln("__perplexity")
+    a, b = 1 - sure**2 / (2 * (rows - 1)), z**2 - sure**2 / rows
+    bound = F.exp(F.avg(logs) + F.stddev_samp(logs) * (z + F.sqrt(z**2 - a * b)) / a)
+    q = F.percentile_approx("__perplexity", quantile, 10_000)
+    limit = F.when(((rows + 1) * (1 - quantile) < 1) & (rows > 10), F.greatest(q, bound)).otherwise(q)
+    by = scored.groupBy("lang").agg(limit.alias("limit"), rows.alias("rows")).where(F.col("rows") >= LEAST)
+    return by.select("lang", "limit", F.lit(False).alias("every")).unionByName(scored.agg(limit.alias("limit")).select(F.lit(None).cast("string").alias("lang"), "limit", F.lit(True).alias("every")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """docs with __perplexity, __limit (of the language) and __keep.
 
     Null and blank texts have no perplexity and aren't kept. Without trusted rows nothing is known, and all other texts are
@@ -357,7 +367,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     taught = known.where("not calibrates")
     spelt = spelling(taught)
     model = (spelt, *train_words(taught, spelt))
-    limits = settle(thresholds(score(known.where("calibrates"), model), quantile, margin), "limits")
+    limits = settle(thresholds(score(known.where("calibrates"), model), quantile), "limits")
     own = limits.where("not every").select(F.col("lang").alias("__lang"), F.col("limit").alias("__own"))
     scored = score(docs, model).join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     scored = scored.crossJoin(F.broadcast(limits.where("every").select(F.col("limit").alias("__all"))))

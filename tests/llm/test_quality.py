@@ -103,3 +103,22 @@ def test_other_scripts_and_growth(spark):
     sent = spark.sparkContext.broadcast((np.full(64**4, -6.0, dtype=np.float32), np.zeros(0x110000, dtype=np.float32)))
     few, many = (kneser_ney.train_words(docs.where(f"doc_id < {n}"), sent)[0].count() for n in (100, 200))
     assert many > 1.5 * few
+
+
+def test_limit_is_the_quantile(spark):
+    rows = [(i, "a" if i % 3 else None, float(i)) for i in range(1, 301)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, __perplexity double")
+    got = {(r.lang, r.every): r.limit for r in kneser_ney.thresholds(scored).collect()}
+    assert got == {("a", False): 296.0, (None, False): 297.0, (None, True): 297.0}
+
+
+def test_repeated_words_are_rejected(spark):
+    rnd = random.Random(9)
+    vocabulary = ["".join(rnd.choices("aeinrst", k=rnd.randint(2, 6))) for _ in range(300)]
+    draw = lambda n: rnd.choices(vocabulary, weights=[1 / k for k in range(1, 301)], k=n)
+    good = [(i, " ".join(draw(60))) for i in range(300)]
+    poor = [(1000 + i, " ".join(w for w in draw(6) for _ in range(15))) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in good + poor], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(280)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r["__keep"] for r in kneser_ney.classify(docs, labels).collect()}
+    assert not any(got[i] for i, _ in poor) and sum(got[i] for i, _ in good) >= 290
