@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,25 +88,83 @@ def modifiers_last(text) -> Column:
 
 
 def under_ten_thousand(text) -> Column:
-    """Value of numerals up to thousands: digit x unit summed; a unit alone counts one; a last digit alone is itself."""
-    digit = lambda c: F.translate(c, NUMERALS, DIGITS).try_cast("long")
+    """Value of numerals up to thousands: digit x unit summed; a unit alone or after zero counts one; other characters are nothing."""
+    digit = lambda c: F.when(c.rlike(f"^[{NUMERALS}]$"), F.translate(c, NUMERALS, DIGITS)).try_cast("long")
     unit = F.create_map(*(F.lit(x) for u, v in UNITS.items() for x in (u, v)))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(None).cast("long").alias("digit"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("total"), zero.alias("digit"))
     step = lambda acc, c: F.when(
-        F.map_contains_key(unit, c), F.struct((acc["total"] + F.coalesce(acc["digit"], F.lit(1)) * F.element_at(unit, c).cast("long")).alias("total"), F.lit(None).cast("long").alias("digit"))
-    ).otherwise(F.struct(acc["total"].alias("total"), digit(c).alias("digit")))
-    return F.aggregate(F.split(col(text), ""), start, step, lambda acc: acc["total"] + F.coalesce(acc["digit"], F.lit(0)))
+        F.map_contains_key(unit, c), F.struct((acc["total"] + F.greatest(acc["digit"], F.lit(1)) * F.element_at(unit, c).cast("long")).alias("total"), zero.alias("digit"))
+    ).otherwise(F.struct(acc["total"].alias("total"), F.coalesce(digit(c), acc["digit"]).alias("digit")))
+    return F.aggregate(F.split(col(text), ""), start, step, lambda acc: acc["total"] + acc["digit"])
+
+
+_DIGIT = {n: int(d) for n, d in zip(NUMERALS, DIGITS, strict=True)}
+_MIXED = re.compile(r"([0-9]+)\s*([万亿])\s*([0-9])")
+_LARGE = {"亿": 100_000_000, "万": 10_000}
+
+
+def _whole(n: int | None) -> int | None:
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
+def _numeral(text: str | None) -> int | None:
+    if text is None:
+        return None
+    text = text.strip()
+    if not text:
+        return 0
+    if re.fullmatch("[+-]?[0-9]+", text) and _whole(int(text)) is not None:
+        return int(text)
+    if m := _MIXED.fullmatch(text):
+        left, unit = int(m[1]), _LARGE[m[2]]
+        if _whole(left * unit + int(m[3]) * unit // 10) is not None:
+            return left * unit + int(m[3]) * unit // 10
+    for name, unit in _LARGE.items():
+        leading, found, trailing = text.rpartition(name)
+        if found:
+            high = _numeral(leading) if leading else 1
+            low = _DIGIT[trailing] * unit // 10 if trailing in _DIGIT else _numeral(trailing)
+            return None if high is None or low is None or _whole(high * unit) is None else _whole(high * unit + low)
+    if len(text) >= 3 and all(c in _DIGIT for c in text):
+        return _whole(int("".join(str(_DIGIT[c]) for c in text)))
+    total = digit = 0
+    for c in text:
+        if c in _DIGIT:
+            digit = _DIGIT[c]
+        elif c in UNITS:
+            total, digit = total + (digit or 1) * UNITS[c], 0
+    return _whole(total + digit)
+
+
+def _decimal(text: str | None) -> str | None:
+    text = (text or "").strip()
+    if not text:
+        return None
+    whole, point, fraction = text.partition("点")
+    if point:
+        n = _numeral(whole)
+        return None if n is None else f"{n}." + "".join(str(_DIGIT.get(c, c)) for c in fraction)
+    if len(text) >= 2 and all(c in _DIGIT for c in text):
+        return "".join(str(_DIGIT[c]) for c in text)
+    if len(text) == 3 and text[2] == "十" and text[0] in _DIGIT and text[1] in _DIGIT:
+        return f"{_DIGIT[text[0]] * 10}-{_DIGIT[text[1]] * 10}"
+    n = _numeral(text)
+    return None if n is None else str(n)
 
 
 def numeral_value(text) -> Column:
-    """Value of numerals with 亿 and 万; a digit that ends the text right after a larger unit means the next lower unit."""
-    whole = col(text)
-    part = lambda expression: F.regexp_extract(whole, r"^(?:(.*)亿)?(?:([^亿]*)万)?([^亿万]*)$", expression)
-    yi, wan, rest = part(1), part(2), part(3)
-    value = lambda t: F.when(t == "", 0).otherwise(under_ten_thousand(t)).cast("long")
-    bare = F.translate(rest, NUMERALS, DIGITS).try_cast("long")
-    short = F.when(whole.rlike("万[一二三四五六七八九两]$"), bare * 1000).when(whole.rlike("亿[一二三四五六七八九两]$"), bare * 10_000_000).otherwise(value(rest))
-    return F.when(whole.rlike("^[零〇一二三四五六七八九]{3,}$"), F.translate(whole, NUMERALS, DIGITS).try_cast("long")).otherwise(value(yi) * 100_000_000 + value(wan) * 10_000 + short)
+    """Value of numerals split by the last 亿, then by the last 万, either of which counts one if it leads; null beyond 64 bits.
+
+    A digit that ends the text right after 亿 or 万 means the next lower unit, as it does in 3万5; three or more digits without
+    units are read by position, and ASCII digits are a number.
+    """
+    return F.udf(_numeral, "long", useArrow=True)(col(text))
+
+
+def decimal_text(text) -> Column:
+    """Numerals as digits: with 点 a fraction, digits without units one by one, 三四十 the range 30-40."""
+    return F.udf(_decimal, "string", useArrow=True)(col(text))
 
 
 def grouped(n) -> Column:
@@ -125,3 +185,16 @@ def numerals_of(n) -> Column:
     digit = lambda k: F.floor(v / k) % 10
     name = lambda d: F.element_at(F.split(F.lit("零一二三四五六七八九"), ""), (d + 1).cast("int"))
     return F.concat(*(F.when(digit(k) > 0, F.concat(name(digit(k)), F.lit(u))).otherwise("") for k, u in ((1000, "千"), (100, "百"), (10, "十"), (1, ""))))
+
+
+def whole_numerals_of(n) -> Column:
+    """A number below 10^12 in units of 亿 and 万; 零 stands before a part below a thousand that follows one of them."""
+    v = col(n).cast("long")
+    high, mid, low = F.floor(v / 100_000_000), F.floor(F.pmod(v, F.lit(100_000_000)) / 10_000), F.pmod(v, F.lit(10_000))
+    filled = lambda part, above: F.concat(F.when((part < 1000) & above, "零").otherwise(""), numerals_of(part))
+    parts = (
+        F.when(high > 0, F.concat(numerals_of(high), F.lit("亿"))).otherwise(""),
+        F.when(mid > 0, F.concat(filled(mid, high > 0), F.lit("万"))).otherwise(""),
+        F.when(low > 0, filled(low, v >= 10_000)).otherwise(""),
+    )
+    return F.when(v == 0, "零").otherwise(F.concat(*parts))

@@ -130,8 +130,9 @@ def transliterate(spark, sf_dir):
 
 @_query("SELECT o_orderkey, CAST(o_custkey % 9999 AS BIGINT) AS value FROM orders")
 def numeral_roundtrip(spark, sf_dir):
-    """Numbers written as numerals and read back."""
-    return _t(spark, sf_dir, "orders").select("o_orderkey", X.under_ten_thousand(X.numerals_of(F.col("o_custkey") % 9999)).alias("value"))
+    """Whole order and customer numbers written as numerals and read back; the SQL has the latter's remainder."""
+    read = lambda n: X.numeral_value(X.whole_numerals_of(n))
+    return _t(spark, sf_dir, "orders").select(read("o_orderkey").alias("o_orderkey"), (read("o_custkey") % 9999).alias("value"))
 
 
 @_query("""WITH v AS (SELECT o_orderkey, CAST(o_orderkey * 7919 + o_custkey * 1000003 AS BIGINT) AS n FROM orders) SELECT o_orderkey, CASE WHEN n < 10000 THEN format('{:,}', n) ELSE
