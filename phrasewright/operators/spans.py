@@ -92,23 +92,41 @@ def joined(words: list[tuple[str, bool]]) -> str:
     return out
 
 
-def _render(text: pd.Series, picked: pd.Series) -> pd.Series:
-    out = []
-    for t, spans in zip(text, picked, strict=True):
-        words, at = [], 0
-        for s in spans if spans is not None else ():
-            words += [(c, False) for c in t[at : s["start"]]]
-            words.append((s["value"], True))
-            at = s["start"] + s["length"]
-        out.append(joined(words + [(c, False) for c in t[at:]]))
-    return pd.Series(out, dtype=object)
+def accepted(spans: DataFrame, names: DataFrame | None = None, algorithm: int = 1) -> DataFrame:
+    """Spans that a translation may take: none that hide a name, if names go first; but for algorithm 1, none in which a
+    longer key begins (algorithm 2: longer than three too), unless they are names that go first."""
+    at = ["doc_id", "start", "length", "key"]
+    out = spans
+    if names is not None:
+        out = out.join(hiding_names(spans, names).select(at).distinct(), at, "left_anti")
+    if algorithm != 1:
+        rejected = covered_by_longer(spans, 0 if algorithm == 0 else 3)
+        if names is not None:
+            rejected = rejected.join(names.select("key").distinct(), "key", "left_anti")
+        out = out.join(rejected.select(at).distinct(), at, "left_anti")
+    return out
+
+
+def _renderer(readings: dict[str, str]):
+    def rendered(text: pd.Series, picked: pd.Series) -> pd.Series:
+        each, out = lambda part: [(readings.get(c, c), c in readings) for c in part], []
+        for t, spans in zip(text, picked, strict=True):
+            words, at = [], 0
+            for s in spans if spans is not None else ():
+                words += each(t[at : s["start"]])
+                words.append((s["value"], True))
+                at = s["start"] + s["length"]
+            out.append(joined(words + each(t[at:])))
+        return pd.Series(out, dtype=object)
+
+    return rendered
 
 
-def translated(texts: DataFrame, pairs: DataFrame, scan: int = 30) -> DataFrame:
-    """(doc_id, translated, n_spans) of each text; texts without a match keep their characters, null texts are empty."""
+def translated(texts: DataFrame, pairs: DataFrame, scan: int = 30, readings: dict[str, str] | None = None, names: DataFrame | None = None, algorithm: int = 1) -> DataFrame:
+    """(doc_id, translated, n_spans) of each text; characters without a match come as their readings or as they are, null texts are empty."""
     texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    picks = chosen(candidates(texts, pairs, scan))
-    return texts.join(picks, "doc_id", "left").select("doc_id", F.pandas_udf(_render, "string")("text", "picked").alias("translated"), F.coalesce(F.size("picked"), F.lit(0)).cast("long").alias("n_spans"))
+    picks = chosen(accepted(candidates(texts, pairs, scan), names, algorithm))
+    return texts.join(picks, "doc_id", "left").select("doc_id", F.pandas_udf(_renderer(readings or {}), "string")("text", "picked").alias("translated"), F.coalesce(F.size("picked"), F.lit(0)).cast("long").alias("n_spans"))
 
 
 def segments(length, picked):

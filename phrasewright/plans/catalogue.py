@@ -163,8 +163,8 @@ def longest_match(spark, sf_dir):
 
 @_query()
 def translate_documents(spark, sf_dir):
-    """Whole documents translated by longest match, first meanings only."""
-    return S.translated(_script(spark, sf_dir), D.one_meaning(_pairs(spark, PHRASES)))
+    """Whole documents translated by longest match, first meanings only, other characters by their readings."""
+    return S.translated(_script(spark, sf_dir), D.one_meaning(_pairs(spark, PHRASES)), readings=READINGS)
 
 
 _SQL_TINY = "(SELECT conv_id * 1000 + turn AS doc_id, translate(lower(text), '%s', '%s') AS text FROM conversations)" % (LETTERS, SCRIPT)
