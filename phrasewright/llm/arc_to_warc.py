@@ -35,6 +35,8 @@ from .common import fresh_path, settle
 
 #: Uncompressed bytes after which the next archive file starts; payloads of fewer bytes are never revisits.
 ROLL, SAME_FROM = 16 << 20, 100
+#: A payload of more records is met by each task and not by key.
+HEAVY = 100_000
 #: Header fields by ARC version.
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 _STAMP = re.compile(r"(\d{4})(\d\d)(\d\d)(\d\d)?(\d\d)?(\d\d)?\d*")
@@ -213,45 +215,52 @@ def write_arc(pages: DataFrame, folder: str) -> DataFrame:
 
 def _read(folder: str, name: str) -> bytes:
     fs, top = _filesystem(folder)
-    with fs.open_input_stream(f"{top}/{name}", compression=None) as f:
-        return gzip.decompress(f.read())
+    # One reader over all members: decompress() would copy what is left of the file for each of them.
+    with fs.open_input_stream(f"{top}/{name}", compression=None) as f, gzip.GzipFile(fileobj=io.BytesIO(f.read())) as members:
+        return members.read()
 
 
-def read_arc(files: DataFrame, folder: str, with_content: bool = True) -> DataFrame:
-    """Records of ARC files: digest and size of the payload, page_id, and with_content the header fields and the content."""
-    columns = "page_id long, digest string, payload_bytes long" + (", url string, ip string, stamp string, type string, content binary" if with_content else "")
+def read_arc(files: DataFrame, folder: str) -> DataFrame:
+    """Records of ARC files: their file, place in it (from 0), page_id, and digest and size of the payload."""
+    names = ["file", "nth", "page_id", "digest", "payload_bytes"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
     def parsed(batches):
         for batch in batches:
             for name in batch.column("file").to_pylist():
-                rows, held = [], 0
-                for header, content, _ in parse_arc(_read(folder, name)):
+                rows = []
+                for nth, (_, content, _) in enumerate(parse_arc(_read(folder, name))):
                     http, payload = split_http(content)
                     page = http_field(http, "X-Page-Id")
-                    row = (int(page) if page else None, hashlib.sha256(payload).hexdigest(), len(payload))
-                    rows.append((*row, header["URL"], header["IP-address"], header["Archive-date"], header["Content-type"], content) if with_content else row)
-                    held += len(content) if with_content else 0
-                    if held > 4 << 20:
-                        yield _record_batch(rows, with_content)
-                        rows, held = [], 0
-                yield _record_batch(rows, with_content)
+                    rows.append((name, nth, int(page) if page else None, hashlib.sha256(payload).hexdigest(), len(payload)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
-    return _spread(files).mapInArrow(parsed, columns)
+    return _spread(files.select("file")).mapInArrow(parsed, "file string, nth long, page_id long, digest string, payload_bytes long")
 
 
-def _record_batch(rows, with_content):
-    kinds = [pa.int64(), pa.string(), pa.int64()] + ([pa.string()] * 4 + [pa.binary()] if with_content else [])
-    names = ["page_id", "digest", "payload_bytes", "url", "ip", "stamp", "type", "content"][: len(kinds)]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+def _spread(files: DataFrame) -> DataFrame:
+    """One file or a few for each task, dealt in turn and not by hash."""
+    return files.repartition(max(1, min(files.count(), 100_000)))
 
 
-def _spread(files: DataFrame) -> DataFrame:
-    """One file or a few for each task."""
-    return files.select("file").repartition(max(1, min(files.count(), 100_000)), "file")
+def revisits(index: DataFrame) -> DataFrame:
+    """(file, nth, refers_to) of the records of read_arc() that repeat the payload of another of at least SAME_FROM bytes.
+
+    Digests of more than HEAVY records, of which there are few, are sent to the tasks, so no digest gathers its records in
+    one of them.
+    """
+    index = index.where(F.col("payload_bytes") >= SAME_FROM)
+    same = settle(index.groupBy("digest").agg(F.min("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null"), "same")
+    heavy = F.broadcast(same.where(F.col("n") > HEAVY).select("digest", F.col("keeper").alias("heavy")))
+    first = index.join(heavy, "digest", "left")
+    light = first.where("heavy is null").join(same.where(F.col("n") <= HEAVY), "digest").select("file", "nth", "page_id", "keeper")
+    every = light.unionByName(first.where("heavy is not null").select("file", "nth", "page_id", F.col("heavy").alias("keeper")))
+    return every.where("page_id is null or page_id <> keeper").select("file", "nth", F.col("keeper").alias("refers_to"))
 
 
-def write_warc(records: DataFrame, folder: str) -> DataFrame:
-    """Convert ARC records (of read_arc, with refers_to) to WARC files; returns the files."""
+def write_warc(files: DataFrame, legacy: str, repeats: DataFrame, folder: str) -> DataFrame:
+    """Convert the ARC files in the folder legacy to WARC files; returns the files. A task takes its files with their own part of
+    repeats (of revisits()), and contents stay in it."""
 
     def opening(name):
         body = f"software: phrasewright\r\nformat: WARC File Format 1.1\r\nconformsTo: {name}\r\n".encode()
@@ -260,12 +269,16 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
     def written(batches):
         writer = _Writer(folder, ".warc.gz", opening)
         for batch in batches:
-            for url, ip, stamp, kind, content, refers in zip(*(batch.column(c).to_pylist() for c in ("url", "ip", "stamp", "type", "content", "refers_to")), strict=True):
-                writer.add(convert({"URL": url, "IP-address": ip, "Archive-date": stamp, "Content-type": kind}, content, refers))
+            for name, known in zip(batch.column("file").to_pylist(), batch.column("known").to_pylist(), strict=True):
+                refers = {x["nth"]: x["refers_to"] for x in known or ()}
+                for nth, (header, content, _) in enumerate(parse_arc(_read(legacy, name))):
+                    writer.add(convert(header, content, refers.get(nth)))
         writer.close()
         yield _reported(writer)
 
-    return settle(records.mapInArrow(written, _FILES), "warc-files")
+    own = repeats.groupBy("file").agg(F.collect_list(F.struct("nth", "refers_to")).alias("known"))
+    dealt = _spread(settle(files.select("file").join(own, "file", "left"), "dealt"))
+    return settle(dealt.mapInArrow(written, _FILES), "warc-files")
 
 
 def read_warc(files: DataFrame, folder: str) -> DataFrame:
@@ -287,7 +300,7 @@ def read_warc(files: DataFrame, folder: str) -> DataFrame:
                     rows.append((int(page) if page else None, size, digest, header["warc-type"], int(header["x-refers-to-page"]) if revisit else None, header["warc-record-id"], header["warc-date"], header["warc-target-uri"]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
-    return _spread(files).mapInArrow(parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, url string")
+    return _spread(files.select("file")).mapInArrow(parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, url string")
 
 
 def archive(pages: DataFrame) -> DataFrame:
@@ -300,8 +313,5 @@ def archive(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     legacy, modern = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     files = write_arc(pages, legacy)
-    index = read_arc(files, legacy, with_content=False).where(F.col("payload_bytes") >= SAME_FROM)
-    same = index.groupBy("digest").agg(F.min("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
-    records = read_arc(files, legacy).join(settle(same, "same"), "digest", "left")
-    refers = F.when(F.coalesce(F.col("page_id") != F.col("keeper"), F.lit(True)), F.col("keeper"))
-    return read_warc(write_warc(records.withColumn("refers_to", refers), modern), modern)
+    repeats = revisits(settle(read_arc(files, legacy), "index"))
+    return read_warc(write_warc(files, legacy, repeats, modern), modern)

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder all executors see, from spark.checkpoint.dir. Where that is unset, a temporary one in local mode; on a cluster
+    an error, since each machine would write to a disk of its own."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="phrasewright-")
         context.setCheckpointDir(found)
     return found.rstrip("/")

@@ -48,6 +48,20 @@ def test_op1_round_trip(spark):
     assert arc_to_warc.archive(pages.limit(0)).count() == 0
 
 
+def test_op1_many_members_in_a_file(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i % 900}</p>" + "same words " * 20) for i in range(6000)]
+    got = arc_to_warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {r.page_id: r.refers_to for r in got} == {i: i % 900 if i >= 900 else None for i in range(6000)}
+    assert len({r.record_id for r in got}) == 6000
+
+
+def test_op1_heavy_digests_go_another_way(spark, monkeypatch):
+    monkeypatch.setattr(arc_to_warc, "HEAVY", 2)
+    rows = [("f", n, n if n else None, d, 200) for n, d in enumerate("aaaabbc")]
+    got = arc_to_warc.revisits(spark.createDataFrame(rows, "file string, nth long, page_id long, digest string, payload_bytes long")).collect()
+    assert {r.nth: r.refers_to for r in got} == {0: 1, 2: 1, 3: 1, 5: 4}
+
+
 def test_op1_formats():
     for version in (1, 2):
         body = b"HTTP/1.0 200 OK\r\n\r\nhello\nworld"
