@@ -31,6 +31,8 @@ AGREEING = 36
 BLOCK = 200_000
 #: A shingle in so many documents of a comparison, or fewer, is rare; one in more than HOT is hot.
 RARE, HOT = 8, 1000
+#: Parts into which common shingles are counted.
+PARTS = 64
 #: Cumulative Poisson(1) probabilities; beyond the last the chance is below 1e-12.
 _CDF = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, n + 1, dtype=float)) for n in range(15)])
 _CELLS = 400_000
@@ -269,35 +271,53 @@ def _sharing_rare(rare: DataFrame, of_node: DataFrame, similarity: float) -> Dat
     return first.join(other, "h").where("b < o and label <> own").select("b", "o").distinct()
 
 
-def _in_reach(spread: DataFrame, asked: DataFrame, hubs: DataFrame, scored: DataFrame, short: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _histograms(batches):
+    """Of the elements of each node (node, h): their number and how many fall in each of PARTS parts."""
+    for batch in batches:
+        n, column = batch.num_rows, batch.column("h")
+        ends = np.asarray(column.offsets).astype(np.int64)
+        elements, owner = np.asarray(column.values)[ends[0] : ends[-1]].view(np.uint64), np.repeat(np.arange(n), np.diff(ends))
+        parts = np.bincount(owner * PARTS + (elements % np.uint64(PARTS)).astype(np.int64), minlength=n * PARTS).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(np.arange(0, n * PARTS + 1, PARTS, dtype=np.int32), pa.array(parts))], names=["node", "common", "parts"])
+
+
+def _in_reach(spread: DataFrame, asked: DataFrame, hubs: DataFrame, scored: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (b, o) of different classes that may be links, as of what is known without comparing them.
 
     Either they share a rare shingle, or what they share is no more than the shingles of either that aren't rare: most
     members of a large group of near copies have too many edits of their own for a link without a shared one, and the rest
     meet within their buckets. There the distance 1 - similarity obeys the triangle inequality, so the distances to the
     bucket's hub differ by 1 - similarity at most, and shingle totals by that factor. Distances and totals are cut into
-    steps, and only neighbouring steps meet. Pairs whose sketches agree too little for a link go before they are written.
+    steps, and only neighbouring steps meet. Pairs whose sketches agree too little for a link go before they are written, and
+    so do those that can't share enough: of the common shingles in each of PARTS parts, no more than the smaller number. A
+    pair is named once, in the first of the buckets in which it meets.
     """
     reach = 1 - similarity
     step, ratio = max(reach, 0.01), max(1 / similarity, 1.01) if similarity > 0 else 1e9
     inside = spread.join(asked.select("bucket").distinct(), "bucket")
     of_node = settle(inside.select(F.col("b").alias("node"), "label", "total").distinct(), "inside")
     rare = _rare(of_node.select("node"), sets)
-    owned = of_node.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left")
-    owned = owned.select(F.col("node").alias("b"), (F.col("total") - F.coalesce("rare", F.lit(0))).alias("common")).where(F.col("common") >= F.col("total") * similarity - 1e-9)
-    to_hub = inside.join(owned, "b").join(short, "b").join(hubs.select("bucket", "hub"), "bucket")
-    to_hub = to_hub.select("bucket", F.col("b").alias("x"), "hub", "label", "total", "common", "short", F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
+    held = of_node.join(sets, "node").join(rare.groupBy("node").agg(F.collect_list("h").alias("rare")), "node", "left")
+    held = held.select("node", F.array_except("h", F.coalesce("rare", F.array().cast("array<long>"))).alias("h"), "total").where(F.size("h") >= F.col("total") * similarity - 1e-9)
+    asked_in = asked.groupBy(F.col("o").alias("node")).agg(F.collect_list("bucket").alias("asked"))
+    owned = held.select("node", "h").mapInArrow(_histograms, "node long, common long, parts array<int>").join(nodes.select("node", "short", "bands"), "node").join(asked_in, "node", "left")
+    carried = ("total", "common", "parts", "short", "bands", "asked")
+    to_hub = inside.join(owned.withColumnRenamed("node", "b"), "b").join(hubs.select("bucket", "hub"), "bucket")
+    to_hub = to_hub.select("bucket", F.col("b").alias("x"), "hub", "label", *carried, F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
     far = F.when(F.col("x") == F.col("hub"), 0.0).otherwise(1 - F.col("similarity"))
-    placed = settle(to_hub.join(scored, ["a", "b"], "left").select("bucket", F.col("x").alias("b"), "label", "total", "common", "short", far.alias("far")), "placed")
+    placed = settle(to_hub.join(scored, ["a", "b"], "left").select("bucket", F.col("x").alias("b"), "label", *carried, far.alias("far")), "placed")
     placed = placed.withColumns({"step": F.floor(F.col("far") / step), "zone": F.floor(F.log("total") / log(ratio))})
     beside = placed.join(asked.select("bucket", F.col("o").alias("b"), "own"), ["bucket", "b"])
-    beside = beside.select("bucket", F.col("b").alias("o"), "own", *(F.col(c).alias(f"o_{c}") for c in ("far", "total", "common", "short")), "step", "zone")
+    beside = beside.select("bucket", F.col("b").alias("o"), "own", *(F.col(c).alias(f"o_{c}") for c in ("far", *carried)), "step", "zone")
     for key in ("step", "zone"):
         beside = beside.withColumn(key, F.explode(F.sequence(F.col(key) - 1, F.col(key) + 1)))
     alike = (F.abs(F.col("far") - F.col("o_far")) <= reach + 1e-9) & (F.least("total", "o_total") >= F.greatest("total", "o_total") * similarity - 1e-9)
-    enough = F.least("common", "o_common") >= (F.col("total") + F.col("o_total")) * (similarity / (1 + similarity)) - 1e-6
+    least = (F.col("total") + F.col("o_total")) * (similarity / (1 + similarity)) - 1e-6
+    most = F.aggregate(F.zip_with("parts", "o_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
     needed = AGREEING if similarity >= SIMILARITY - 1e-9 else 0
-    met = placed.join(beside, ["bucket", "step", "zone"]).where((F.col("label") != F.col("own")) & alike & enough & (_agreeing("short", "o_short") >= needed))
+    once = (F.array_min(F.array_intersect("bands", "o_asked")) == F.col("bucket")) & ((F.col("b") < F.col("o")) | F.col("asked").isNull() | ~F.arrays_overlap("asked", "o_bands"))
+    may = (F.col("label") != F.col("own")) & alike & (F.least("common", "o_common") >= least) & (_agreeing("short", "o_short") >= needed) & once & (most >= least)
+    met = placed.join(beside, ["bucket", "step", "zone"]).where(may)
     return met.select("b", "o").unionByName(_sharing_rare(rare, of_node, similarity))
 
 
@@ -361,7 +381,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
                 asked = _hubs(differing).select("bucket", F.col("hub").alias("o"), F.col("hub_label").alias("own"))
                 pairs = spread.join(asked, "bucket").where("label <> own").select("b", "o")
             else:
-                pairs = _in_reach(spread, differing.select("bucket", F.col("b").alias("o"), F.col("label").alias("own")), hubs, known, nodes.select(F.col("node").alias("b"), "short"), sets, similarity)
+                pairs = _in_reach(spread, differing.select("bucket", F.col("b").alias("o"), F.col("label").alias("own")), hubs, known, nodes, sets, similarity)
         pairs = pairs.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
