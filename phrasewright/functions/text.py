@@ -67,6 +67,12 @@ def title_words(text) -> Column:
     return F.array_join(F.transform(F.split(col(text), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
 
 
+def transliterated(text, readings: dict[str, str]) -> Column:
+    """The reading of each character, or itself, with a space between every two."""
+    table = F.create_map(*(F.lit(x) for kv in readings.items() for x in kv))
+    return F.array_join(F.transform(F.split(col(text), ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), " ")
+
+
 def first_meaning(value) -> Column:
     return F.regexp_extract(col(value), r"^([^/|]*)", 1)
 

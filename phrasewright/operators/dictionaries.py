@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from phrasewright.functions.text import first_meaning
 
 KEY_MOST = 15
+#: Line numbers of appended keys begin here.
+LATE = 1 << 40
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -92,17 +94,17 @@ def missing_readings(texts: DataFrame, known: DataFrame, letters: str = r"\p{IsH
 
 
 def upserted(lines: DataFrame, edits: DataFrame) -> DataFrame:
-    """Raw lines with the edits (key, value; null value: removed): the first line of a key takes its new value, keys not
-    found are appended in order."""
+    """Raw lines with the edits (key, value, line_no; null value: removed): the first line of a key takes its new value, keys
+    not found are appended in the order of the edits, from LATE on."""
     at = F.instr("raw", "=")
     keyed = lines.withColumn("key", F.when(at > 1, F.substr("raw", F.lit(1), at - 1)))
     firsts = keyed.where("key is not null").groupBy("key").agg(F.min("line_no").alias("line_no")).withColumn("first", F.lit(True))
-    edits = edits.select("key", F.col("value").alias("new"), F.lit(True).alias("edited"))
+    edits = edits.select("key", F.col("value").alias("new"), F.lit(True).alias("edited"), F.col("line_no").cast("long").alias("nth"))
     marked = keyed.join(firsts, ["key", "line_no"], "left").join(edits, "key", "left")
     changed = F.when(F.col("edited") & F.col("first") & F.col("new").isNotNull(), F.concat("key", F.lit("="), "new")).otherwise(F.col("raw"))
-    kept = marked.where("edited is null or new is not null").select("line_no", changed.alias("raw"))
+    kept = marked.where("edited is null or new is not null").select(F.col("line_no").cast("long").alias("line_no"), changed.alias("raw"))
     fresh = edits.where("new is not null").join(firsts.select("key"), "key", "left_anti")
-    return kept.unionByName(fresh.select((F.lit(1 << 40) + F.xxhash64("key") % (1 << 20)).alias("line_no"), F.concat("key", F.lit("="), "new").alias("raw")))
+    return kept.unionByName(fresh.select((F.lit(LATE) + F.col("nth")).alias("line_no"), F.concat("key", F.lit("="), "new").alias("raw")))
 
 
 def compacted_history(log: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def ngrams(texts: DataFrame, least: int = 2, most: int = 8, inside: str = r"\p{IsHan}") -> DataFrame:
-    """(doc_id, start, gram): all substrings of these lengths inside runs of script characters."""
-    runs = texts.select("doc_id", "text", F.explode(F.sequence(F.lit(least), F.lit(most))).alias("n"))
-    at = runs.where(F.length("text") >= F.col("n")).select("doc_id", "n", "text", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("p"))
-    grams = at.select("doc_id", (F.col("p") - 1).alias("start"), F.substr("text", F.col("p"), F.col("n")).alias("gram"))
-    return grams.where(F.col("gram").rlike(f"^(?:{inside})+$"))
+    """(doc_id, start, gram): all substrings of these lengths inside runs of script characters. A text is cut to characters
+    once, and only its substrings become rows."""
+    chars = F.split(F.regexp_replace("text", f"(?s)(?!{inside}).", "\n"), "")
+    at = lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.size("chars") - n + 1), lambda p: F.struct((p - 1).alias("start"), F.array_join(F.slice("chars", p, n), "").alias("gram"))), lambda x: ~F.contains(x["gram"], F.lit("\n")))
+    each = F.flatten(F.transform(F.sequence(F.lit(least), F.least(F.lit(most), F.size("chars"))), at))
+    cut = texts.where(F.length("text") >= least).select("doc_id", chars.alias("chars"))
+    return cut.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.start", "x.gram")
 
 
 def token_counts(tokens: DataFrame, stop: list[str], least: int = 2, sizes: tuple[int, int] = (2, 5)) -> DataFrame:
@@ -34,11 +36,13 @@ def affixes(word, least: int = 1, most: int = 3):
     return F.array_distinct(F.concat(F.transform(sizes, lambda n: F.substr(word, F.lit(1), n)), F.transform(sizes, lambda n: F.substr(word, F.length(word) - n + 1, n))))
 
 
-def chained(words: DataFrame, names: DataFrame) -> DataFrame:
-    """Words whose proper beginning is a known name that ends with the word's first character."""
+def chained(words: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Words whose proper beginning is a known name that ends with the word's first character, if the name with the word's
+    other characters after it stands in the text."""
     begins = words.select("doc_id", "word", F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.length("word")), lambda n: n < F.length("word")), lambda n: F.substr("word", F.lit(1), n))).alias("key"))
-    hit = begins.join(names.select("key"), "key", "left_semi")
-    return hit.where(F.substr("key", F.length("key"), F.lit(1)) == F.substring("word", 1, 1)).select("doc_id", "word").distinct()
+    hit = begins.join(names.select("key").distinct(), "key", "left_semi").where(F.substr("key", F.length("key"), F.lit(1)) == F.substring("word", 1, 1))
+    whole = hit.withColumn("whole", F.concat("key", F.substr("word", F.lit(2))))
+    return whole.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("whole"))).select("doc_id", "word").distinct()
 
 
 def titles(texts: DataFrame, open_: str = "《", close: str = "》") -> DataFrame:
@@ -99,11 +103,24 @@ def merged_entities(found: DataFrame, entities: DataFrame, rejected: DataFrame,
     return both.select("doc_id", "word", score.alias("score"))
 
 
-def contexts(text, word, radius: int = 36):
-    """What stands around the first place of a word, which is marked."""
-    at = F.instr(text, word)
-    before = F.substr(text, F.greatest(F.lit(1), at - radius), at - F.greatest(F.lit(1), at - radius))
-    return F.when(at > 0, F.concat(before, F.lit("【"), word, F.lit("】"), F.substr(text, at + F.length(word), F.lit(radius))))
+def places(text, word):
+    """Starts (from 1) of the places of a word from left to right, none inside another."""
+    parts = F.transform(F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1), lambda x: F.length(x))
+    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + x))
+    return F.when(F.size(parts) > 1, F.transform(F.slice(upto, 1, F.size(parts) - 1), lambda x, i: x + i * F.length(word) + 1)).otherwise(F.array().cast("array<int>"))
+
+
+def contexts(text, word, radius: int = 36, most: int = 3):
+    """What stands around the first `most` places of a word, which is marked; array<string>."""
+    def around(at):
+        first = F.greatest(F.lit(1), at - radius)
+        return F.concat(F.substr(text, first, at - first), F.lit("【"), word, F.lit("】"), F.substr(text, at + F.length(word), F.lit(radius)))
+
+    # Only as much of the text as holds the places: the rest stays in one piece.
+    few = F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")), most + 1)
+    sizes = F.transform(F.slice(few, 1, F.size(few) - 1), lambda x: F.length(x))
+    starts = F.transform(sizes, lambda x, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, y: a + y) + i * F.length(word) + 1)
+    return F.transform(starts, around)
 
 
 def memory(events: DataFrame) -> DataFrame:

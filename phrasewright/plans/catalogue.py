@@ -9,16 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasewright.functions import normal, numbers
 from phrasewright.functions import text as X
 from phrasewright.operators import dictionaries as D
+from phrasewright.operators import editing as E
+from phrasewright.operators import mining as M
 from phrasewright.operators import names as N
 from phrasewright.operators import paragraphs as P
+from phrasewright.operators import rules as R
+from phrasewright.operators import scan
 from phrasewright.operators import spans as S
 from phrasewright.sources import files
 
 LETTERS, SCRIPT = "etaoinshrdlucm", "他很好红中人甲乙丙丁格尔一二"
 READINGS = {"他": "tha", "很": "ngận", "好": "hảo", "红": "hồng", "中": "trung", "人": "nhân", "甲": "giáp", "乙": "ất", "丙": "bính", "丁": "đinh"}
-PHRASES = {"很好": "rất tốt/rất ổn", "红中人": "cả cụm", "甲乙": "A", "乙丙丁": "B", "他": "hắn", "乙他": "nàng", "很乙他": "cô ấy", "中人": "trung nhân", "好很": "hay", "人很乙": "người"}
+#: Our own entries over the script's characters: (key, value).
+PHRASES = {
+    "很人": "tân nhân/người mới", "好中甲": "giữa ngọ", "乙红": "sắc đỏ", "红丙人": "thợ son", "他": "y", "中他": "kẻ ấy", "人中他": "kẻ ở giữa", "丙中": "nam trung", "很好人": "người lành/kẻ hiền", "甲人红": "áo đỏ",
+    "他红甲": "nét son", "人人": "mọi người", "丁丁": "leng keng", "很甲": "thêm giáp", "好乙很": "gỗ tốt", "乙中": "giữa ất",
+}
+NAMES, NOUNS = {"丙中": "Nam Trung", "中他": "Trung Tha"}, {"他": "hắn", "丙中": "Nam Trung"}
+SURNAMES, SUFFIXES, GRAMMAR = {"甲": "Giáp", "红": "Hồng"}, {"乙好": "tiên sinh", "很丁": "cô nương"}, {"很{n}好": "ở chỗ {n}", "{n}红甲": "{n} mặc đỏ", "乙{s}丁": "thứ {s}"}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,15 +100,20 @@ def key_length_index(spark, sf_dir):
     return D.key_lengths(_t(spark, sf_dir, "part").select(F.col("p_name").alias("key")))
 
 
-@_query("""WITH e AS (SELECT p_name AS key, CASE WHEN p_size % 2 = 0 THEN 'new' END AS new FROM part WHERE p_partkey % 10 = 0 QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1),
-    l AS (SELECT p_partkey AS line_no, p_name AS key, p_name || '=' || p_type AS raw FROM part), f AS (SELECT key, min(line_no) AS line_no FROM l GROUP BY key)
-    SELECT CASE WHEN e.key IS NOT NULL AND f.line_no IS NOT NULL THEN l.key || '=' || e.new ELSE l.raw END AS raw, count(*) AS n FROM l LEFT JOIN f ON l.key = f.key AND l.line_no = f.line_no LEFT JOIN e ON l.key = e.key WHERE e.key IS NULL OR e.new IS NOT NULL GROUP BY 1""")
+@_query("""WITH e AS (SELECT c_mktsegment || ' ' || (c_custkey % 7) AS key, c_custkey AS line_no, CASE WHEN c_nationkey % 2 = 0 THEN 'new' END AS new FROM customer UNION ALL SELECT p_name, 1000000 + p_partkey, CASE WHEN p_size % 2 = 0 THEN 'new' END FROM part WHERE p_size > 40),
+    d AS (SELECT key, min(line_no) AS line_no, arg_min({'v': new}, line_no).v AS new FROM e GROUP BY key),
+    l AS (SELECT p_partkey AS line_no, p_name AS key, p_name || '=' || p_type AS raw FROM part), f AS (SELECT key, min(line_no) AS line_no FROM l GROUP BY key),
+    a AS (SELECT l.line_no, CASE WHEN d.key IS NOT NULL AND f.line_no IS NOT NULL THEN l.key || '=' || d.new ELSE l.raw END AS raw FROM l LEFT JOIN f ON l.key = f.key AND l.line_no = f.line_no LEFT JOIN d ON l.key = d.key WHERE d.key IS NULL OR d.new IS NOT NULL
+    UNION ALL SELECT 1099511627776 + d.line_no, d.key || '=' || d.new FROM d WHERE d.new IS NOT NULL AND d.key NOT IN (SELECT key FROM l))
+    SELECT CAST(line_no AS BIGINT) AS line_no, raw FROM a""")
 def dict_upsert(spark, sf_dir):
-    """Dictionary lines after edits and removals, counted by content."""
+    """Dictionary lines after edits, removals and new keys, in order."""
     p = _t(spark, sf_dir, "part")
     lines = p.select(F.col("p_partkey").alias("line_no"), F.concat("p_name", F.lit("="), "p_type").alias("raw"))
-    edits = p.where("p_partkey % 10 = 0").groupBy(F.col("p_name").alias("key")).agg(F.min_by(F.struct(F.when(F.col("p_size") % 2 == 0, "new").alias("v")), "p_partkey").alias("x")).select("key", F.col("x.v").alias("value"))
-    return D.upserted(lines, edits).groupBy("raw").agg(F.count("*").alias("n"))
+    fresh = _t(spark, sf_dir, "customer").select(F.concat("c_mktsegment", F.lit(" "), F.col("c_custkey") % 7).alias("key"), F.col("c_custkey").alias("line_no"), F.when(F.col("c_nationkey") % 2 == 0, "new").alias("new"))
+    told = fresh.unionByName(p.where("p_size > 40").select(F.col("p_name").alias("key"), (F.col("p_partkey") + 1_000_000).alias("line_no"), F.when(F.col("p_size") % 2 == 0, "new").alias("new")))
+    edits = told.groupBy("key").agg(F.min("line_no").alias("line_no"), F.min_by(F.struct("new"), "line_no").alias("x")).select("key", "line_no", F.col("x.new").alias("value"))
+    return D.upserted(lines, edits).select("line_no", "raw")
 
 
 _SQL_NARROW = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
@@ -123,9 +139,7 @@ def ignored_removal(spark, sf_dir):
 @_query(f"SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: coalesce(map_from_entries([{', '.join(f"('{k}', '{v}')" for k, v in READINGS.items())}])[c], c)), ' ')) AS digest FROM {_SQL_SCRIPT}")
 def transliterate(spark, sf_dir):
     """Readings of all characters, a space between every two."""
-    table = F.create_map(*(F.lit(x) for kv in READINGS.items() for x in kv))
-    words = F.transform(F.split("text", ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
-    return _script(spark, sf_dir).select("doc_id", F.md5(F.array_join(words, " ")).alias("digest"))
+    return _script(spark, sf_dir).select("doc_id", F.md5(X.transliterated("text", READINGS)).alias("digest"))
 
 
 @_query("SELECT o_orderkey, CAST(o_custkey % 9999 AS BIGINT) AS value FROM orders")
@@ -145,9 +159,11 @@ def magnitude_words(spark, sf_dir):
 
 @_query("SELECT doc_id, span, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?')) AS span FROM documents) GROUP BY ALL")
 def number_spans(spark, sf_dir):
-    """Longest numbers in whole documents."""
-    found = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:[.,][0-9]+)?"), F.lit(0))).alias("span"))
-    return found.groupBy("doc_id", "span").agg(F.count("*").alias("n"))
+    """Longest numbers in whole documents; those that only blanks part are one span, which the query cuts again."""
+    spans = _t(spark, sf_dir, "documents").select("doc_id", F.explode(numbers.number_spans("text")).alias("x"))
+    found = spans.select("doc_id", F.explode(F.split("x.text", "[ \t]+")).alias("span"))
+    # Digits and a second fraction without a blank between stand in one span too.
+    return found.select("doc_id", F.explode(F.regexp_extract_all("span", F.lit("[0-9]+(?:[.,][0-9]+)?"), F.lit(0))).alias("span")).groupBy("doc_id", "span").agg(F.count("*").alias("n"))
 
 
 _ALTERNATIVES = "|".join(sorted(PHRASES, key=lambda k: (-len(k), k)))
@@ -161,10 +177,111 @@ def longest_match(spark, sf_dir):
     return picks.select("doc_id", F.explode("picked.value").alias("value")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
 
+def _dictionaries(spark) -> DataFrame:
+    kinds = {"vietphrase": PHRASES, "names": NAMES, "pronouns": NOUNS, "surnames": SURNAMES, "suffixes": SUFFIXES, "readings": READINGS, "rules": GRAMMAR}
+    return spark.createDataFrame([(d, i, k, v) for d, entries in kinds.items() for i, (k, v) in enumerate(entries.items())], "dict string, line_no int, key string, value string")
+
+
 @_query()
 def translate_documents(spark, sf_dir):
-    """Whole documents translated by longest match, first meanings only, other characters by their readings."""
-    return S.translated(_script(spark, sf_dir), D.one_meaning(_pairs(spark, PHRASES)), readings=READINGS)
+    """Whole documents normalised and translated: phrases by first meaning, names first, rules, numbers, readings."""
+    found = scan.translated(_script(spark, sf_dir), scan.lexicon(_dictionaries(spark), one_meaning=True), normalise=True)
+    return found.select("doc_id", "translated", "n_spans")
+
+
+@_query()
+def translate_ranges(spark, sf_dir):
+    """Where each piece of a translation comes from and where it stands, for whole conversation turns, with the slices of both."""
+    turns = _turns(spark, sf_dir).distinct()
+    found = scan.translated(turns, scan.lexicon(_dictionaries(spark), one_meaning=True), normalise=True)
+    pieces = found.select("doc_id", F.posexplode(F.arrays_zip("source_ranges", "target_ranges")).alias("nth", "x"))
+    return pieces.select("doc_id", "nth", F.col("x.source_ranges.start").alias("start"), F.col("x.source_ranges.length").alias("length"), F.col("x.target_ranges.start").alias("said_at"), F.col("x.target_ranges.length").alias("said_length"))
+
+
+@_query()
+def rule_best_match(spark, sf_dir):
+    """The rule that applies first in each conversation turn, and what it says."""
+    lex = scan.lexicon(_dictionaries(spark)).ready()
+    found = _turns(spark, sf_dir).distinct().select("doc_id", R.best_match("text", lex.matcher).alias("m"))
+    return found.where("m is not null").select("doc_id", "m.index", "m.length", "m.key", "m.rendered")
+
+
+def _sql_numeral(n: str) -> str:
+    digit = lambda k: f"({n} // {k} % 10)"
+    return " || ".join(f"CASE WHEN {digit(k)} > 0 THEN substr('一二三四五六七八九', CAST({digit(k)} AS INTEGER), 1) || '{u}' ELSE '' END" for k, u in ((1000, "千"), (100, "百"), (10, "十"), (1, "")))
+
+
+@_query("""SELECT o_orderkey, CASE WHEN day(o_orderdate) < 10 THEN 'mùng ' ELSE 'ngày ' END || day(o_orderdate) || ' tháng ' || month(o_orderdate) || ' năm ' || year(o_orderdate) AS said FROM orders""")
+def rule_render(spark, sf_dir):
+    """Order dates as numerals, read by a date rule."""
+    rules = spark.createDataFrame([("{s}年{s}月{s}号", "ngày {3} tháng {2} năm {1}")], "key string, value string")
+    matcher = R.Rules([r.asDict() for r in R.prepared(rules).collect()])
+    text = F.concat(F.year("o_orderdate").cast("string"), F.lit("年"), X.numerals_of(F.month("o_orderdate")), F.lit("月"), F.dayofmonth("o_orderdate").cast("string"), F.lit("号"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", R.best_match(text, matcher)["rendered"].alias("said"))
+
+
+@_query("""WITH v AS (SELECT p_partkey, CAST(p_size // 10 AS BIGINT) AS a, CAST(p_size % 10 AS BIGINT) AS b FROM part)
+    SELECT p_partkey, CASE WHEN a > 0 AND a < b THEN a || '-' || b || ' vạn' WHEN a = 0 AND b > 0 THEN b || ' vạn' END AS several,
+    CASE WHEN a > 0 AND b > 0 THEN (20 + a) || '-' || (20 + b) END AS tens FROM v WHERE NOT (a > 0 AND a >= b)""")
+def number_ranges(spark, sf_dir):
+    """Part sizes as ranges of numerals, read back."""
+    digit = lambda c: F.element_at(F.split(F.lit("零一二三四五六七八九"), ""), (F.col(c) + 1).cast("int"))
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_size") / 10).alias("a"), (F.col("p_size") % 10).alias("b")).where("not (a > 0 and a >= b)")
+    pair = F.concat(F.when(F.col("a") > 0, digit("a")).otherwise(""), digit("b"))
+    several = F.when(F.col("b") > 0, numbers.number_phrase(F.concat(pair, F.lit("万"))))
+    return p.select("p_partkey", several.alias("several"), F.when((F.col("a") > 0) & (F.col("b") > 0), numbers.number_range(F.concat(F.lit("二十"), pair))).alias("tens"))
+
+
+@_query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160)), '&amp;', '&')) AS digest FROM (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '&([#a-zA-Z0-9]*)', '[\\1]', 'g'), '\\[(lt|gt|quot|nbsp|amp)\\];', '&\\1;', 'g') AS html FROM pages)")
+def entity_decode(spark, sf_dir):
+    """Character references of whole pages decoded; others than five common ones are put in brackets first."""
+    marked = F.regexp_replace(F.coalesce("html", F.lit("")), "&([#a-zA-Z0-9]*)", "[$1]")
+    marked = F.regexp_replace(marked, r"\[(lt|gt|quot|nbsp|amp)\];", "&$1;")
+    return _t(spark, sf_dir, "pages").select("page_id", F.md5(normal.decoded_entities(marked)).alias("digest"))
+
+
+@_query("""SELECT key, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY layer, line_no) AS r FROM (
+    SELECT n_name AS key, 'name' AS value, n_nationkey AS line_no, 0 AS layer FROM nation UNION ALL SELECT p_name, 'patch', p_partkey, 1 FROM part WHERE p_size > 25 UNION ALL SELECT p_name, p_type, p_partkey, 2 FROM part)) WHERE r = 1""")
+def dict_patch_overlay(spark, sf_dir):
+    """Names, then patches, then phrases: the first that has the key."""
+    p = _t(spark, sf_dir, "part").select(F.col("p_name").alias("key"), "p_type", "p_size", F.col("p_partkey").alias("line_no"))
+    names = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.lit("name").alias("value"), F.col("n_nationkey").alias("line_no"))
+    patch = p.where("p_size > 25").select("key", F.lit("patch").alias("value"), "line_no")
+    return D.overlaid(names, patch, p.select("key", F.col("p_type").alias("value"), "line_no"))
+
+
+@_query("""SELECT p_brand AS dict, CAST(sum(CASE WHEN p_size % 7 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS entries, CAST(sum(CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS raw,
+    md5(string_agg(CASE WHEN p_size % 7 = 0 THEN p_name ELSE p_name || '=' || p_type END, chr(13) || chr(10) ORDER BY p_partkey)) AS digest FROM part GROUP BY p_brand""")
+def dict_round_trip(spark, sf_dir):
+    """Dictionary files cut to records, counted, and written again as they were."""
+    line = F.when(F.col("p_size") % 7 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit("="), "p_type"))
+    each = _t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("dict")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("raw")))).alias("all"))
+    given = each.select("dict", F.array_join("all.raw", "\r\n").alias("value"))
+    found = E.records(given)
+    return E.statistics(found).join(E.serialised(found, E.documents(given)), "dict").select("dict", "entries", "raw", F.md5("value").alias("digest"))
+
+
+@_query("SELECT doc_id, md5(CASE WHEN t = '' THEN '' ELSE t || chr(10) END) AS digest FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r?\\n', chr(10), 'g'), '[ \\t\\r\\f\\v]+\\n', chr(10), 'g') || chr(10), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) AS t FROM (SELECT doc_id, regexp_replace(text, '^[ \\t\\n]+', '') AS text FROM documents))")
+def laid_out_documents(spark, sf_dir):
+    """Whole documents with blocks of lines parted by one empty line."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \t\n]+", "")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(E.laid_out(text)).alias("digest"))
+
+
+@_query()
+def name_filter_hybrid(spark, sf_dir):
+    """Name candidates of conversation turns with their facts, scores and suggestions."""
+    make = lambda entries: _pairs(spark, entries).select("key", "value")
+    tables = {"surnames": make(SURNAMES), "nouns": make({"中": "{0} trung"}), "suffixes": make(SUFFIXES), "names": make(NAMES), "raw": make(PHRASES), "phrases": D.one_meaning(make(PHRASES)), "readings": make(READINGS)}
+    return M.hybrid(_turns(spark, sf_dir).distinct(), tables, "[" + "".join(READINGS) + "]", longest=4, most=20)
+
+
+@_query("""WITH t AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)), k AS (SELECT unnest(['the', 'ent', 'tion', 'an']) AS key)
+    SELECT DISTINCT doc_id, word FROM t, k WHERE length(word) > 1 AND (starts_with(key, word) OR contains(word, key))""")
+def part_of_names(spark, sf_dir):
+    """Words of whole documents that begin a name or hold one, as if none had a surname."""
+    names = _pairs(spark, dict.fromkeys(("the", "ent", "tion", "an"), "x"))
+    return M.part_of_names(_tokens(spark, sf_dir), names, names.limit(0))
 
 
 _SQL_TINY = "(SELECT conv_id * 1000 + turn AS doc_id, translate(lower(text), '%s', '%s') AS text FROM conversations)" % (LETTERS, SCRIPT)
@@ -282,10 +399,12 @@ def entity_merge(spark, sf_dir):
     return N.merged_entities(found, told, none).select("doc_id", "word", F.round("score", 6).alias("score"))
 
 
-@_query("SELECT doc_id, substr(text, greatest(1, p - 36), p - greatest(1, p - 36)) || '【the】' || substr(text, p + 3, 36) AS context FROM (SELECT doc_id, text, instr(text, 'the') AS p FROM documents) WHERE p > 0")
+@_query("""WITH s AS (SELECT doc_id, text, len(string_split(text, 'the')) AS k, string_split(text, 'the') AS parts FROM documents WHERE contains(text, 'the')),
+    p AS (SELECT doc_id, text, i, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) AS BIGINT) + 3 * (i - 1) + 1 AS p FROM (SELECT *, unnest(range(1, least(k, 4))) AS i FROM s))
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS nth, substr(text, greatest(1, p - 36), p - greatest(1, p - 36)) || '【the】' || substr(text, p + 3, 36) AS context FROM p""")
 def contexts(spark, sf_dir):
-    """What stands around the first place of a word."""
-    return _t(spark, sf_dir, "documents").select("doc_id", N.contexts(F.col("text"), F.lit("the")).alias("context")).where("context is not null")
+    """What stands around the first three places of a word."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(N.contexts(F.col("text"), F.lit("the"))).alias("nth", "context"))
 
 
 @_query("SELECT hit, found, gold, round(hit / found, 9) AS precision, round(hit / gold, 9) AS recall FROM (SELECT (SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1 AND quality = 1) AS hit, (SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1) AS found, (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1) AS gold)")
