@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +49,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(docs: DataFrame, *taken: str) -> tuple[DataFrame, list]:
+    """docs with the columns that have one of the names taken under other names, and what selects all under their own again."""
+    lower = {c.lower() for c in taken}
+    moved = {c: f"{c} {uuid.uuid4().hex}" for c in docs.columns if c.lower() in lower}
+    quoted = lambda c: F.col("`" + moved.get(c, c).replace("`", "``") + "`").alias(c)
+    return docs.withColumnsRenamed(moved), [quoted(c) for c in docs.columns]
+
+
+def widened(docs: DataFrame, function, added: list[T.StructField]) -> DataFrame:
+    """docs with the columns that an Arrow function adds at the end. Spark can't pass names with dots to it, so these get others there."""
+    plain = docs.toDF(*(f"dotted {i} {uuid.uuid4().hex}" if "." in c else c for i, c in enumerate(docs.columns)))
+    return plain.mapInArrow(function, T.StructType([*plain.schema.fields, *added])).toDF(*docs.columns, *(f.name for f in added))
+
+
 def text_key(text: str = "text"):
     """Tells texts with the same doc_id apart."""
     return F.xxhash64(F.col(text), F.length(text))

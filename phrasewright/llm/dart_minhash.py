@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, settle, sized_broadcast, slices, text_key
+from .common import aside, mix64, settle, sized_broadcast, slices, text_key
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 16, 4, 5, 0.8
 K = BANDS * ROWS
@@ -402,8 +402,10 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that remain when each class keeps one: the smallest doc_id (ties: smallest tkey; repeated rows: one)."""
+    """The rows of docs that remain when each class keeps one: the smallest doc_id (ties: smallest tkey; repeated rows: one).
+    They have the columns of docs, whatever their names."""
     kept = near_duplicate_classes(docs, similarity).where("keeper").select(F.col("doc_id").alias("kept_id"), F.col("tkey").alias("kept_key")).distinct()
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.coalesce(text_key(), F.lit(0).cast("long"))})
+    moved, back = aside(docs, "__id", "__key", "kept_id", "kept_key")
+    keyed = moved.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.coalesce(text_key(), F.lit(0).cast("long"))})
     joined = keyed.join(kept, F.col("__id").eqNullSafe(F.col("kept_id")) & (F.col("__key") == F.col("kept_key")), "left_semi")
-    return joined.dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    return joined.dropDuplicates(["__id", "__key"]).select(*back)

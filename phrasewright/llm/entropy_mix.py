@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import aside, settle
 
 #: The weights of the sources in order, repeating; the total as a share of all sizes; the most copies.
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
@@ -89,7 +89,10 @@ def mix(docs: DataFrame) -> DataFrame:
     Null sources are one source, the last. Documents without words (null, empty or white space) get 0 copies. Repeated rows
     are rows of their own; rows with equal doc_id, source and text share a hash and so are taken or left together where the
     cut falls, which the cut's last step settles by the nearer total. The hash depends on doc_id and size alone, so reruns agree.
+    Texts of any length count whole; an empty table stays empty. Columns of docs with one of the five names are replaced;
+    others are left alone, whatever their names.
     """
+    docs, back = aside(docs.drop("__size", "__source_size", "__target", "__rate", "__copies"), "__s", "__mean", "__strength", "__cut")
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
     sized = settle(small, "sized")
     state = dual(sized, targets(sized))
@@ -99,7 +102,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rate, v = _rated(F.col("doc_id").cast("long"), F.col("__size"))
     copies = F.floor(rate) + F.when((rate < MOST) & (v <= F.col("__cut")), 1).otherwise(0)
     copies = F.when(F.col("__size") > 0, copies).otherwise(0).cast("int")
-    return joined.select(*docs.columns, "__size", "__source_size", "__target", rate.alias("__rate"), copies.alias("__copies"))
+    return joined.select(*back, "__size", "__source_size", "__target", rate.alias("__rate"), copies.alias("__copies"))
 
 
 def _rated(doc_id, size):
@@ -139,6 +142,7 @@ def _cut(sized: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def copied(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken."""
-    taken = mix(docs).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names."""
+    moved, back = aside(docs, "__size", "__source_size", "__target", "__rate", "__copies", "__copy")
+    taken = mix(moved).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*back)

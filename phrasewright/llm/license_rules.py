@@ -15,6 +15,8 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
+
 #: The phrases whose places are counted, with their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Priorities of rules, and what a detection of each says for its label.
@@ -160,33 +162,34 @@ def _spaces(text):
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _indices(words, test):
+    """Where in an array of words the test holds."""
+    return F.filter(F.transform(words, lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
+
+
 def _places(line, expression):
-    """Word intervals [start, end) of an expression's matches, left to right, as array<struct<start, end>>."""
-    bounded = F.concat(F.lit("(?<= )(?:"), expression, F.lit(")(?= )"))
-    parts, found = F.split(line, bounded, -1), F.regexp_extract_all(line, bounded, F.lit(0))
-    each = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("part"), found.alias("match"))
-    # A part ends with the space before its match; every word before that match has one space before it.
-    start = F.aggregate(
-        each,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + _spaces(x["part"]) + _spaces(x["match"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + _spaces(x["part"]) - 1).alias("start"), (acc["at"] + _spaces(x["part"]) + _spaces(x["match"])).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return start
+    """Word intervals [start, end) of an expression's matches, left to right, as array<struct<start, end>>: matches are put
+    between two marks, and the marked words' numbers are read off."""
+    bounded = F.concat(F.lit("(?<= )("), expression, F.lit(")(?= )"))
+    words = F.split(F.regexp_replace(line, bounded, F.lit("\u0001$1\u0002")), " ")
+    # The line begins with a space, so the first word has number 1.
+    starts, ends = _indices(words, lambda w: F.startswith(w, F.lit("\u0001"))), _indices(words, lambda w: F.endswith(w, F.lit("\u0002")))
+    both = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct((x["a"] - 1).alias("start"), x["b"].alias("end")))
+    return F.when(F.rlike(line, bounded), both).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def _base_places(line, phrase: str):
     """Starts of all places of a phrase, overlapping or not."""
-    parts = F.split(line, f" (?={phrase} )", -1)
-    ahead = F.aggregate(
-        F.slice(parts, 1, F.size(parts) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + _spaces(x) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"] + _spaces(x))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    first, *rest = phrase.split(" ")
+    words = F.split(line, " ")
+
+    def here(w, i):
+        test = w == first
+        for k, x in enumerate(rest, 1):
+            test = test & (F.try_element_at(words, i + k + 1) == x)
+        return F.when(test, i - 1)
+
+    ahead = F.filter(F.transform(words, here), lambda i: i.isNotNull())
     return F.when(F.contains(line, F.lit(f" {phrase} ")), ahead).otherwise(F.array().cast("array<int>"))
 
 
@@ -201,11 +204,14 @@ def scan(docs: DataFrame) -> DataFrame:
     """docs with __n_words, __base (array<struct<label, start>>), __detections (unsuppressed, by start), __labels, __score.
 
     Null texts are empty; texts without words have no detections. Everything happens in the row: nothing is shuffled, and
-    repeated rows come out alike. A very long text with many detections costs in proportion to them. The score is the largest
-    confidence of a detection or base place (0 without any).
+    repeated rows come out alike. Finding places costs in proportion to a text; suppression copies the detections kept so far
+    for each of a text's detections. The score is the largest confidence of a detection or base place (0 without any). An
+    empty table stays empty. Columns of docs with one of the five names are replaced; others are left alone.
     """
     table = F.from_json(F.lit(_as_json()), "array<struct<label:string,priority:int,keyword:string,expression:string>>")
-    keep = docs.select(*(F.col(c) for c in docs.columns), words_line().alias("__line"))
+    docs = docs.drop("__n_words", "__base", "__detections", "__labels", "__score")
+    moved, back = aside(docs, "__line")
+    keep = moved.withColumn("__line", words_line())
     line = F.col("__line")
     general = F.lit(False)
     for word in GENERAL:
@@ -216,7 +222,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.concat(*(_labelled(_base_places(line, phrase), label) for phrase, label in BASE))
     base = F.when(F.contains(line, F.lit(" cc by ")) | F.contains(line, F.lit("general public license")) | F.contains(line, F.lit("all rights reserved")), base).otherwise(F.array().cast("array<struct<label:string,start:int>>"))
     n_words = F.when(F.length(line) <= 2, 0).otherwise(_spaces(line) - 1).cast("long")
-    out = keep.select(*docs.columns, n_words.alias("__n_words"), base.alias("__base"), detections.alias("__detections"))
+    out = keep.select(*back, n_words.alias("__n_words"), base.alias("__base"), detections.alias("__detections"))
     names = F.array_sort(F.array_distinct(F.concat(F.col("__base.label"), F.col("__detections.label"))))
     sure = F.aggregate("__detections", F.when(F.size("__base") > 0, CONFIDENCE[NAMED]).otherwise(0.0), lambda a, x: F.greatest(a, F.element_at(F.create_map(*(F.lit(v) for pair in CONFIDENCE.items() for v in pair)), x["priority"])))
     return out.withColumns({"__labels": names, "__score": sure})

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import widened
+
 PATH, WORDS, NUMBERS, HIDDEN = 160, 64, 8, 20
 SIZE = PATH + WORDS + NUMBERS
 PAGES, ROUNDS, SEED = 700, 14, 7
@@ -368,7 +370,7 @@ def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:
     a line feed. Repeated rows come out alike. A column of pages with one of these names is replaced.
     """
     added = {"text": (T.StringType(), pa.string()), "n_chars": (T.LongType(), pa.int64()), "n_blocks": (T.LongType(), pa.int64()), "n_kept": (T.LongType(), pa.int64())}
-    pages = pages.select(*(c for c in pages.columns if c not in added))
+    pages = pages.drop(*added)
     sent, name, at = pages.sparkSession.sparkContext.broadcast(model or train()), uuid.uuid4().hex, pages.columns.index("html")
 
     def extracted(batches):
@@ -383,4 +385,4 @@ def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:
                 columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(added.values())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
-    return pages.mapInArrow(extracted, T.StructType([*pages.schema.fields, *(T.StructField(c, kind) for c, (kind, _) in added.items())]))
+    return widened(pages, extracted, [T.StructField(c, kind) for c, (kind, _) in added.items()])

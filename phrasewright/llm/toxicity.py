@@ -24,8 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import widened
+
 #: Labelled rows the fit uses at most, of each label: a bounded sample, the first in an order by hash.
 SAMPLE = 2000
+#: Bytes of text that the fit takes to the driver at most.
+MOST_BYTES = 256 << 20
 THRESHOLD = 0.3
 #: Standard errors by which a feature's log odds must exceed 0 to get a weight.
 CLEAR = 4.0
@@ -136,15 +140,25 @@ def score_text(scorer: Scorer, text: str | None) -> tuple[float, list[tuple[int,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
-    """Fit on at most `sample` rows of each label whose crc32(doc_id as text) mod 4 is not 2."""
+    """Fit on at most `sample` rows of each label whose crc32(doc_id as text) mod 4 is not 2. Repeated rows of a text count once;
+    the fit's texts are gathered on the driver, so more than MOST_BYTES of them are an error: take a smaller sample then."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and crc32(cast(doc_id as string)) % 4 <> 2")
     first = [own.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = first[0].union(first[1]).distinct()
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow()
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").distinct()
+    got = _bounded(got).toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), map(hash_text, got["text"].to_pylist()), got["text"].to_pylist(), got["toxic"].to_pylist(), strict=True), key=lambda r: (r[0], r[1], r[3]))
     return fit([r[2] for r in rows], [r[3] for r in rows])
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """rows, after a look at the size of their texts."""
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of labelled texts, more than {MOST_BYTES}")
+    return rows
+
+
 def hash_text(text: str | None) -> int:
     return crc32((text or "").encode("utf-8", "surrogatepass"))
 
@@ -174,9 +188,11 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
     """docs (text and any other columns) with __toxicity double, __offending array<struct<start, end, score>>.
 
     Null, empty and wordless texts score 0. Repeated rows score alike. __offending lists the sentences whose own probability
-    reaches the threshold, by code point offsets into the text.
+    reaches the threshold, by code point offsets into the text. Texts are read whole, sentence by sentence; an empty table
+    stays empty. Columns of docs with one of the two names are replaced.
     """
-    shared, schema = _Model(docs.sparkSession, model, uuid.uuid4().hex), docs.schema
+    docs = docs.drop("__toxicity", "__offending")
+    shared = _Model(docs.sparkSession, model, uuid.uuid4().hex)
     at = docs.columns.index("text")
 
     def scored(batches):
@@ -188,4 +204,4 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.float64()), pa.array(bad, kind)], names=[*batch.schema.names, "__toxicity", "__offending"])
 
     spot = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
-    return docs.mapInArrow(scored, T.StructType([*schema.fields, T.StructField("__toxicity", T.DoubleType()), T.StructField("__offending", spot)]))
+    return widened(docs, scored, [T.StructField("__toxicity", T.DoubleType()), T.StructField("__offending", spot)])
