@@ -1,337 +1,288 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a 3-gram model over whole words of any script (a character each where a script
-writes no spaces), so it grows with the corpus. Its base, which spells words never seen, is a
-4-gram model over 64 character classes and the share of each character in its class; that
-part holds at most 64**4 n-grams and a number for each code point.
+The model is a 5-gram model over the characters of any script, by code point, so its tables
+grow with the corpus. A word equal to the one before it is the one symbol REPEAT: it is rare
+in trusted text, so what repeats itself is improbable, and perplexity is by symbol of the others. The shortest level leaves its mass to
+the uniform distribution over the symbols seen and one more.
 
 Counts of all orders are tables keyed by n-gram, and so are discounts, shares and back-off
-masses. The logarithm of a probability is a sum over the n-grams of a text: each n-gram that
-the model has adds its gain, each context that it has adds its mass. So a text's distinct
-n-grams are joined to the one table of gains and the products summed by text. The HOT most
-frequent n-grams are sent to the tasks instead, which leaves no common key to that join.
-
-A word equal to the one before it is the word REPEAT, and perplexity is by character of the
-other words: REPEAT is rare in trusted text, so what repeats itself is improbable. A text is rejected when
-its perplexity exceeds a quantile of held-out trusted documents of its language.
+masses. An n-gram is two numbers, 21 bits a symbol, from which the shorter ones are cut. The
+logarithm of a probability is a sum over the n-grams of a text: each n-gram that the model
+has adds its gain, each context that it has adds its mass. The HOT most frequent n-grams are
+sent to the tasks. Of the others a filter of a fixed size tells which a text may hold; these
+are joined to the table of gains, pre-aggregated by text, and the products summed by text.
+
+A text is rejected when its perplexity exceeds a quantile of held-out trusted documents of
+its language.
 """
 
 from __future__ import annotations
 
 import unicodedata
-import uuid
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import code_points, mix64, settle, sized_broadcast, slices, text_key
+from .common import aside, code_points, mix64, settle, sized_broadcast, slices, text_key
 
-ORDER, CLASSES = 4, 64
+ORDER, BITS = 5, 21
 #: Trusted rows with crc32(doc_id as text) mod 5 = 0 set the thresholds; the others train the model.
 FOLDS = 5
 #: A document is rejected above this quantile of its language's held-out trusted perplexities.
 QUANTILE = 0.99
 #: Languages with fewer held-out trusted rows use the threshold of all languages together.
 LEAST = 50
-_BATCH = 1_000_000
-#: N-grams that are sent to the tasks.
-HOT = 200_000
-#: The characters that have a class of their own, in the order of their classes from 8.
-OWN = "abcdefghijklmnopqrstuvwxyz" + "éèêçàäöüßñóíáú" + ".,'-\"!?:;%&"
-START, BREAK, SPACE, CAPITAL, DIGIT, LETTER, SYMBOL, OTHER = range(8)
-
-
-def _class_table() -> np.ndarray:
-    out = np.full(1 << 16, OTHER, dtype=np.uint8)
-    for c in range(1 << 16):
-        ch = chr(c)
-        if ch.isspace():
-            out[c] = BREAK if ch in "\n\r" else SPACE
-        elif ch.isupper():
-            out[c] = CAPITAL
-        elif ch.isdigit():
-            out[c] = DIGIT
-        elif ch.isalpha():
-            out[c] = LETTER
-        elif ch.isprintable():
-            out[c] = SYMBOL
-    for i, ch in enumerate(OWN):
-        out[ord(ch)] = 8 + i
-    return out
+_BATCH = 500_000
+#: N-grams that are sent to the tasks, 24 bytes each; bits of the filter of the others.
+HOT, FILTER = 2_000_000, 1 << 26
+#: No symbol, what stands before a text, a word equal to the one before it; characters follow.
+NONE, BEFORE, REPEAT, FIRST = range(4)
+_A, _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E27F8862D), np.uint64(0xC2B2AE3D27D4EB4F)
+_KINDS: list[np.ndarray] = []
 
 
-_TABLE = _class_table()
+def _letters() -> np.ndarray:
+    """By code point: whether it is part of a word."""
+    if not _KINDS:
+        out = np.zeros(0x110000, dtype=bool)
+        for c in range(0x20000):
+            ch = chr(c)
+            out[c] = ch.isalnum() or ch == "_" or unicodedata.category(ch)[0] == "M"
+        # Scripts written without spaces have no words to tell: Thai to Myanmar, Khmer, Han and kana.
+        for a, b in ((0xE00, 0xF00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA4D0), (0xF900, 0xFB00)):
+            out[a:b] = False
+        _KINDS.append(out)
+    return _KINDS[0]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram number ending at each character of the texts (START fills in before the first), and where texts start."""
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of the texts in order, and the text of each. White space before REPEAT goes with it."""
     points, starts = code_points(texts)
-    cls = _TABLE[np.minimum(points, 0xFFFF)].astype(np.int32)
-    nth = np.arange(len(cls)) - np.repeat(starts[:-1], np.diff(starts))
-    out = cls.copy()
-    for back in range(1, ORDER):
-        before = np.zeros_like(cls)
-        before[back:] = cls[:-back] if len(cls) > back else cls[:0]
-        before[nth < back] = START
-        out += before << (6 * back)
-    return out, starts
-
-
-def _counted(batches):
-    total: dict[int, int] = {}
-    for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for a, b in slices([len(t) for t in texts], _BATCH):
-            keys, n = np.unique(grams(texts[a:b])[0], return_counts=True)
-            for k, c in zip(keys.tolist(), n.tolist(), strict=True):
-                total[k] = total.get(k, 0) + c
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+    symbol, of = points.astype(np.int64) + FIRST, np.repeat(np.arange(len(texts)), np.diff(starts))
+    letter = _letters()[points]
+    opens = letter.copy()
+    opens[1:] &= ~letter[:-1] | (of[1:] != of[:-1])
+    held, at = np.flatnonzero(letter), np.flatnonzero(opens[letter])
+    if not len(at):
+        return symbol, of
+    size = np.diff(np.append(at, len(held)))
+    nth = np.arange(len(held)) - np.repeat(at, size)
+    word = np.add.reduceat(mix64(points[held].astype(np.uint64) + nth.astype(np.uint64) * _A), at)
+    same = np.zeros(len(word), dtype=bool)
+    same[1:] = (word[1:] == word[:-1]) & (of[held[at[1:]]] == of[held[at[:-1]]]) & (size[1:] == size[:-1])
+    again = np.repeat(same, size)
+    symbol[held[again & (nth == 0)]] = REPEAT
+    keep = np.ones(len(points), dtype=bool)
+    keep[held[again & (nth > 0)]] = False
+    begin, end = held[at[1:]][same[1:]], held[at[1:] - 1][same[1:]]
+    inked = np.cumsum(~_blank(points))
+    begin, end = (x[inked[begin] - inked[end] == 1] for x in (begin, end))
+    inside = np.zeros(len(points) + 1, dtype=np.int64)
+    np.add.at(inside, end + 1, 1)
+    np.add.at(inside, begin, -1)
+    keep &= np.cumsum(inside)[:-1] == 0
+    return symbol[keep], of[keep]
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(gram int, n long) over all rows of texts (text); at most 64**4 rows."""
-    return texts.select("text").mapInArrow(_counted, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def _blank(points: np.ndarray) -> np.ndarray:
+    return (points == 32) | ((points >= 9) & (points <= 13)) | (points == 0xA0) | ((points >= 0x2000) & (points <= 0x200A))
 
 
-def discounts(counts: DataFrame):
-    """One row (d1, d2, d3) from counts of counts; 0.5, 1 and 1.5 where these are too few."""
-    at = {k: F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double") for k in (1, 2, 3, 4)}
-    rows = counts.agg(*(v.alias(f"n{k}") for k, v in at.items()))
-    y = "n1 / (n1 + 2 * n2)"
-    ok = "n1 > 0 and n2 > 0 and n3 > 0 and n4 > 0"
-    raw = rows.selectExpr(f"if({ok}, 1 - 2 * {y} * n2 / n1, 0.5) d1", f"if({ok}, 2 - 3 * {y} * n3 / n2, 1D) d2", f"if({ok}, 3 - 4 * {y} * n4 / n3, 1.5) d3")
-    return raw.selectExpr("greatest(0.01D, least(d1, 0.99D)) d1", "greatest(0.02D, least(d2, 1.98D)) d2", "greatest(0.03D, least(d3, 2.97D)) d3")
+def windows(symbol: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(high, low) of the 5-gram that ends at each symbol: three symbols low, the two before them high."""
+    back = [symbol]
+    for k in range(1, ORDER):
+        out = np.full_like(symbol, BEFORE)
+        out[k:] = np.where(of[k:] == of[:-k], symbol[:-k], BEFORE) if len(symbol) > k else out[k:]
+        back.append(out)
+    return (back[4] << BITS) | back[3], (back[2] << 2 * BITS) | (back[1] << BITS) | back[0]
 
 
-def _level(counts: DataFrame) -> DataFrame:
-    """(gram, n) -> (gram, context, own, back): the discounted share of each n-gram, and the mass its context leaves."""
-    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    each = counts.crossJoin(F.broadcast(discounts(counts))).withColumn("cut", F.least(cut, F.col("n"))).withColumn("context", F.shiftrightunsigned("gram", 6))
-    totals = each.groupBy("context").agg(F.sum("n").alias("all"), F.sum("cut").alias("freed"))
-    return each.join(totals, "context").selectExpr("gram", "context", "(n - cut) / all as own", "freed / all as back")
-
-
-def train(texts: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By order: grams, discounted shares, and contexts with the mass they leave; at most 64**4 entries in all orders' sum x 1.02."""
-    counts, model = settle(count_grams(texts), "grams"), {}
-    for order in range(ORDER, 0, -1):
-        got = _level(counts).toArrow()
-        gram, context = np.asarray(got["gram"]).astype(np.int64), np.asarray(got["context"]).astype(np.int64)
-        sort = np.argsort(gram)
-        seen, first = np.unique(context, return_index=True)
-        model[order] = gram[sort].astype(np.int32), np.asarray(got["own"])[sort], seen.astype(np.int32), np.asarray(got["back"])[first]
-        if order > 1:
-            shorter = (1 << 6 * (order - 1)) - 1
-            counts = settle(counts.groupBy(F.col("gram").bitwiseAND(shorter).alias("gram")).agg(F.count("*").alias("n")), "grams")
-    return model
-
-
-def probabilities(model) -> np.ndarray:
-    """log2 p(last | first three) of all 64**4 n-grams, interpolated down to the uniform distribution."""
-    p = np.full(1, 1 / CLASSES, dtype=np.float32)
-    for order in range(1, ORDER + 1):
-        gram, own, context, back = model[order]
-        left = np.ones(CLASSES ** (order - 1), dtype=np.float32)
-        left[context] = back
-        # p by (first character of the context, rest of the context, last character); the lower order knows the last two.
-        lower = p.reshape(1, -1, CLASSES) if order > 1 else np.full((1, 1, CLASSES), 1 / CLASSES, dtype=np.float32)
-        p = (left.reshape(-1, lower.shape[1], 1) * lower).reshape(-1)
-        p[gram] += own.astype(np.float32)
-    np.maximum(p, 1e-12, out=p)
-    return np.log2(p, out=p)
-
-
-_A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E27F8862D)
-#: The words before a text's first, and one equal to the word before it with its base log2 probability.
-BEFORE, REPEAT, REPEAT_BASE = np.uint64(1), np.uint64(2), -10.0
-_KINDS: list[np.ndarray] = []
+def keys(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One number for an n-gram."""
+    return mix64(mix64(high.astype(np.uint64) + _B) * _A + low.astype(np.uint64)).view(np.int64)
 
 
-def _kinds() -> np.ndarray:
-    """By code point: 0 for space, 1 for characters of words, 2 for those that are a word each."""
-    if not _KINDS:
-        out = np.full(0x110000, 2, dtype=np.uint8)
-        for c in range(0x20000):
-            ch = chr(c)
-            if ch.isspace():
-                out[c] = 0
-            elif ch.isalnum() or ch == "_" or unicodedata.category(ch)[0] == "M":
-                out[c] = 1
-        # Scripts written without spaces: Thai to Myanmar, Khmer, Han and kana.
-        for a, b in ((0xE00, 0xF00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA4D0), (0xF900, 0xFB00)):
-            out[a:b][out[a:b] == 1] = 2
-        _KINDS.append(out)
-    return _KINDS[0]
+_M1, _M2 = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+#: What keeps of (high, low) the last n symbols.
+_LAST = {5: (_M2, -1), 4: (_M1, -1), 3: (0, -1), 2: (0, _M2), 1: (0, _M1)}
+
 
+def _pairs(high: np.ndarray, low: np.ndarray):
+    """Keys of the n-grams that end a window, longest first, and of the contexts of all but the shortest."""
+    own = [keys(high & h, low & x) for _, (h, x) in sorted(_LAST.items(), reverse=True)]
+    before, high = (low >> BITS) | ((high & _M1) << 2 * BITS), high >> BITS
+    return own, [keys(high & _LAST[n][0], before & _LAST[n][1]) for n in range(ORDER - 1, 0, -1)]
 
-def count_characters(texts: DataFrame) -> np.ndarray:
-    """log2 of each code point's share in its class, from all rows of texts (text); half a place more for each code point."""
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(high, low, n) of each 5-gram of texts (text)."""
 
     def counted(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in slices([len(t) for t in texts], _BATCH):
-                points, n = np.unique(code_points(texts[a:b])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(points.astype(np.int32)), pa.array(n, pa.int64())], names=["point", "n"])
-
-    got = texts.select("text").mapInArrow(counted, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")).toArrow()
-    n = np.full(0x110000, 0.5)
-    n[np.asarray(got["point"])] += np.asarray(got["n"])
-    cls = _TABLE[np.minimum(np.arange(0x110000), 0xFFFF)]
-    return np.log2(n / np.bincount(cls, n, CLASSES)[cls]).astype(np.float32)
-
-
-def spelling(texts: DataFrame):
-    """What words() spells words with, sent to the tasks."""
-    return texts.sparkSession.sparkContext.broadcast((probabilities(train(texts)), count_characters(texts)))
-
-
-def words(texts: list[str], spelling):
-    """(word number, its base log2 probability, text, characters with the end, 0 for REPEAT) of each word of the texts, in order."""
-    (table, within), (points, starts) = spelling, code_points(texts)
-    kind = _kinds()[points]
-    opens = kind == 1
-    opens[1:] &= kind[:-1] != 1
-    inner = starts[:-1][np.diff(starts) > 0]
-    opens[inner] = kind[inner] == 1
-    opens |= kind == 2
-    if not opens.any():
-        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    of = np.searchsorted(starts, np.flatnonzero(opens), side="right") - 1
-    held = kind > 0
-    opens, points = opens[held], points[held]
-    at = np.flatnonzero(opens)
-    size = np.diff(np.append(at, len(points)))
-    nth = np.arange(len(points)) - np.repeat(at, size)
-    word = mix64(np.add.reduceat(mix64(points.astype(np.uint64) + nth.astype(np.uint64) * _A), at))
-    cls = _TABLE[np.minimum(points, 0xFFFF)].astype(np.int32)
-    before = [cls]
-    for back in range(1, ORDER):
-        shifted = np.full_like(cls, SPACE)
-        shifted[back:] = cls[:-back] if len(cls) > back else cls[:0]
-        shifted[nth < back] = SPACE
-        before.append(shifted)
-    spelt = np.add.reduceat((table[sum(x << (6 * k) for k, x in enumerate(before))] + within[points]).astype(float), at)
-    last = np.append(at[1:], len(points)) - 1
-    spelt += table[SPACE + sum(x[last] << (6 * k) for k, x in enumerate(before[:-1], 1))]
-    same = np.zeros(len(word), dtype=bool)
-    same[1:] = (word[1:] == word[:-1]) & (of[1:] == of[:-1])
-    word[same], spelt[same] = REPEAT, REPEAT_BASE
-    return word, spelt, of, np.where(same, 0, size + 1)
+                high, low = windows(*symbols(texts[a:b]))
+                _, first, n = np.unique(keys(high, low), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(high[first]), pa.array(low[first]), pa.array(n, pa.int64())], names=["high", "low", "n"])
 
+    return texts.select("text").mapInArrow(counted, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
 
-def word_grams(word: np.ndarray, of: np.ndarray):
-    """Numbers of the 3-gram, its context, the 2-gram, its context and the 1-gram that end at each word."""
-    def back(k):
-        out = np.full_like(word, BEFORE)
-        out[k:] = np.where(of[k:] == of[:-k], word[:-k], BEFORE) if len(word) > k else out[k:]
-        return out
 
-    v, u = back(1), back(2)
-    one = lambda x: mix64(x + _B)
-    two = lambda x, y: mix64(mix64(x * _A + _B) + y)
-    long = two(u, v)
-    return [x.view(np.int64) for x in (mix64(long * _A + word), long, two(v, word), one(v), one(word))]
+def discounts(counts: DataFrame):
+    """One row (d1, d2, d3) from counts of counts; 0.5, 1 and 1.5 where these are too few."""
+    at = {k: F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double") for k in (1, 2, 3, 4)}
+    rows = counts.agg(*(v.alias(f"n{k}") for k, v in at.items()))
+    y = "n1 / (n1 + 2 * n2)"
+    ok = "n1 > 0 and n2 > 0 and n3 > 0 and n4 > 0"
+    raw = rows.selectExpr(f"if({ok}, 1 - 2 * {y} * n2 / n1, 0.5) d1", f"if({ok}, 2 - 3 * {y} * n3 / n2, 1D) d2", f"if({ok}, 3 - 4 * {y} * n4 / n3, 1.5) d3")
+    return raw.selectExpr("greatest(0.01D, least(d1, 0.99D)) d1", "greatest(0.02D, least(d2, 1.98D)) d2", "greatest(0.03D, least(d3, 2.97D)) d3")
 
 
-def _taken(batches, spelt, columns):
-    """(columns of the slice, their texts' words) by slices of batches."""
-    for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for a, b in slices([len(t) for t in texts], _BATCH):
-            yield [np.asarray(batch.column(c))[a:b] for c in columns], words(texts[a:b], spelt), b - a
+def _cut_to(order: int):
+    """Columns high and low of an n-gram's last `order` symbols."""
+    high, low = _LAST[order]
+    return F.col("high").bitwiseAND(F.lit(high).cast("long")).alias("high"), F.col("low").bitwiseAND(F.lit(low).cast("long")).alias("low")
 
 
-def count_words(texts: DataFrame, spelt) -> DataFrame:
-    """(k3, c3, k2, c2, k1, base, n) of each 3-gram of words of texts (text)."""
+def _context():
+    """Columns high and low of an n-gram without its last symbol."""
+    kept = F.shiftleft(F.col("high").bitwiseAND(F.lit(_M1).cast("long")), 2 * BITS)
+    return F.shiftright("high", BITS).alias("c_high"), F.shiftright("low", BITS).bitwiseOR(kept).alias("c_low")
 
-    def counted(batches):
-        for _, (word, base, of, _), _ in _taken(batches, spelt.value, ()):
-            keys = word_grams(word, of)
-            _, first, n = np.unique(keys[0], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(k[first]) for k in keys), pa.array(base[first], pa.float64()), pa.array(n, pa.int64())], names=["k3", "c3", "k2", "c2", "k1", "base", "n"])
 
-    rows = texts.select("text").mapInArrow(counted, "k3 long, c3 long, k2 long, c2 long, k1 long, base double, n long")
-    return rows.groupBy("k3").agg(*(F.first(c).alias(c) for c in ("c3", "k2", "c2", "k1", "base")), F.sum("n").alias("n"))
+def _shares(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """counts with own, the discounted share of each n-gram, and back; and (high, low, back): the mass that each context leaves."""
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    each = counts.crossJoin(F.broadcast(discounts(counts))).withColumn("cut", F.least(cut, F.col("n"))).select("*", *_context())
+    totals = each.groupBy("c_high", "c_low").agg(F.sum("n").alias("all"), (F.sum("cut") / F.sum("n")).alias("back"))
+    joined = each.join(totals, ["c_high", "c_low"]).withColumn("own", (F.col("n") - F.col("cut")) / F.col("all"))
+    return joined.select("high", "low", "n", "heat", "own", "back"), totals.select(F.col("c_high").alias("high"), F.col("c_low").alias("low"), "back")
 
 
-def _shares(counts: DataFrame, context: str) -> tuple[DataFrame, DataFrame]:
-    """counts with own, the discounted share of each n-gram, and back; and (context, back), the mass each context leaves."""
-    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    each = counts.crossJoin(F.broadcast(discounts(counts))).withColumn("cut", F.least(cut, F.col("n")))
-    totals = settle(each.groupBy(context).agg(F.sum("n").alias("all"), (F.sum("cut") / F.sum("n")).alias("back")), "contexts")
-    return each.join(sized_broadcast(totals, HOT), context).withColumn("own", (F.col("n") - F.col("cut")) / F.col("all")).drop("cut", "d1", "d2", "d3", "all"), totals.select(context, "back")
-
-
-def train_words(texts: DataFrame, spelt) -> tuple[DataFrame, float]:
-    """(key, gain, carry, heat) of all n-grams and contexts, settled, and the mass that the shortest level leaves to the base."""
-    third = settle(count_words(texts, spelt), "words")
-    second = settle(third.groupBy("k2").agg(F.count("*").alias("n"), F.sum("n").alias("heat"), *(F.first(c).alias(c) for c in ("c2", "k1", "base"))), "words")
-    first = settle(second.groupBy("k1").agg(F.count("*").alias("n"), F.sum("heat").alias("heat"), F.first("base").alias("base")).withColumn("c1", F.lit(0)), "words")
-    p1, left = _shares(first, "c1")
-    rest = left.first()
-    rest = rest.back if rest else 1.0
-    p1 = settle(p1.withColumn("p1", F.col("own") + F.col("back") * F.pow(F.lit(2.0), "base")), "words")
-    p2, mass2 = _shares(second, "c2")
-    p2 = p2.join(sized_broadcast(p1.select("k1", "p1"), HOT), "k1").withColumn("p2", F.col("own") + F.col("back") * F.col("p1"))
-    p2 = settle(p2.select("k2", "heat", "p2", (F.log2(F.col("p2") / F.col("p1")) - F.log2("back")).alias("gain")), "words")
-    p3, mass3 = _shares(third, "c3")
-    p3 = p3.join(p2.select("k2", "p2"), "k2").select(F.col("k3").alias("key"), (F.log2((F.col("own") + F.col("back") * F.col("p2")) / F.col("p2")) - F.log2("back")).alias("gain"), F.col("n").alias("heat"))
-    nothing = F.lit(0.0)
-    parts = (
-        p1.select(F.col("k1").alias("key"), (F.log2("p1") - F.log2("back") - F.col("base")).alias("gain"), nothing.alias("carry"), "heat"),
-        mass2.select(F.col("c2").alias("key"), nothing.alias("gain"), F.log2("back").alias("carry"), F.lit(0).cast("long").alias("heat")),
-        p2.select(F.col("k2").alias("key"), "gain", nothing.alias("carry"), "heat"),
-        mass3.select(F.col("c3").alias("key"), nothing.alias("gain"), F.log2("back").alias("carry"), F.lit(0).cast("long").alias("heat")),
-        p3.select("key", "gain", nothing.alias("carry"), "heat"),
-    )
+def _with_keys(batches):
+    for batch in batches:
+        own = keys(np.asarray(batch.column("high")), np.asarray(batch.column("low")))
+        yield pa.RecordBatch.from_arrays([pa.array(own), *(batch.column(c) for c in ("gain", "carry", "heat"))], names=["key", "gain", "carry", "heat"])
+
+
+def train(texts: DataFrame) -> tuple[DataFrame, float]:
+    """(key, gain, carry, heat) of all n-grams and contexts, settled, and the log2 probability of a symbol never seen."""
+    levels = {ORDER: settle(count_grams(texts).withColumn("heat", F.col("n")), "grams")}
+    for order in range(ORDER - 1, 0, -1):
+        shorter = levels[order + 1].groupBy(*_cut_to(order)).agg(F.count("*").alias("n"), F.sum("heat").alias("heat"))
+        levels[order] = settle(shorter, "grams")
+    base = 1.0 / (levels[1].count() + 1)
+    below, parts, floor = None, [], None
+    for order in range(1, ORDER + 1):
+        shares, left = _shares(levels[order])
+        if order == 1:
+            found = left.first()
+            floor = float(np.log2(base * found.back)) if found else float(np.log2(base))
+            shares = shares.withColumn("below", F.lit(base))
+        else:
+            shorter = below.select(F.col("high").alias("s_high"), F.col("low").alias("s_low"), F.col("p").alias("below"))
+            high, low = _cut_to(order - 1)
+            shares = shares.withColumns({"s_high": high, "s_low": low}).join(shorter, ["s_high", "s_low"]).drop("s_high", "s_low")
+            parts.append(left.select("high", "low", F.lit(0.0).alias("gain"), F.log2("back").alias("carry"), F.lit(0).cast("long").alias("heat")))
+        below = settle(shares.withColumn("p", F.col("own") + F.col("back") * F.col("below")), "shares")
+        parts.append(below.select("high", "low", (F.log2(F.col("p") / F.col("below")) - F.log2("back")).alias("gain"), F.lit(0.0).alias("carry"), "heat"))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return settle(every.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("gain", "carry", "heat"))), "gains"), rest
+    sums = every.groupBy("high", "low").agg(*(F.sum(c).alias(c) for c in ("gain", "carry", "heat")))
+    return settle(sums.mapInArrow(_with_keys, "key long, gain double, carry double, heat long"), "gains"), floor
+
+
+def _bits(key: np.ndarray) -> np.ndarray:
+    """Two places in the filter of each key."""
+    x = key.view(np.uint64)
+    return np.stack([mix64(x ^ _C), mix64(x + _C)]) % np.uint64(FILTER)
+
+
+def _filter(cold: DataFrame) -> np.ndarray:
+    """A bit for each place of the keys of cold; FILTER bits whatever their number."""
+
+    def placed(batches):
+        for batch in batches:
+            at = np.unique(_bits(np.asarray(batch.column("key"))).reshape(-1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(at & 31)], names=["word", "bit"])
+
+    one = F.expr("shiftleft(1L, cast(bit as int))")
+    got = cold.select("key").mapInArrow(placed, "word long, bit long").groupBy("word").agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(FILTER >> 5, dtype=np.uint32)
+    out[np.asarray(got["word"])] = np.asarray(got["bits"]).astype(np.uint32)
+    return out
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """docs with __perplexity double by character (null for null and blank texts)."""
-    spelt, gains, rest = model
-    hot = gains.orderBy(F.desc("heat"), "key").limit(HOT).toArrow().sort_by("key")
-    sent = docs.sparkSession.sparkContext.broadcast([np.asarray(hot[c]) for c in ("key", "gain", "carry")])
+def score(docs: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
+    """docs with __perplexity double by symbol other than REPEAT (null for null and empty texts)."""
+    gains, floor = model
+    docs = docs.drop("__perplexity")
+    order = [F.desc("heat"), F.asc("key")]
+    hot = gains.orderBy(*order).limit(HOT).toArrow()
+    cold = gains
+    if hot.num_rows:
+        heat, key = hot["heat"][-1].as_py(), hot["key"][-1].as_py()
+        cold = gains.where((F.col("heat") < heat) | ((F.col("heat") == heat) & (F.col("key") > key)))
+    hot = hot.sort_by("key")
+    sent = docs.sparkSession.sparkContext.broadcast(([np.asarray(hot[c]) for c in ("key", "gain", "carry")], _filter(cold)))
 
     def sought(batches):
-        known, gain, carry = sent.value
-        for (rows,), (word, base, of, size), n_texts in _taken(batches, spelt.value, ("row",)):
-            _, context3, pair, context2, single = keys = word_grams(word, of)
-            bits = np.bincount(of, base + np.log2(rest), n_texts)
-            chars = np.bincount(of, size, n_texts).astype(np.int64)
-            key, text = np.concatenate([keys[0], pair, single, context3, context2]), np.tile(of, 5)
-            order = np.lexsort((key, text))
-            role = np.repeat([1, 0], [3 * len(of), 2 * len(of)])[order]
-            key, text = key[order], text[order]
-            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))) if len(key) else np.zeros(0, np.int64)
-            n = np.add.reduceat(role, first) if len(first) else first
-            m = np.diff(np.append(first, len(key))) - n
-            key, text = key[first], text[first]
-            at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-            hit = known[at] == key if len(known) else np.zeros(len(key), dtype=bool)
-            bits += np.bincount(text[hit], n[hit] * gain[at[hit]] + m[hit] * carry[at[hit]], n_texts)
-            # A text's own row goes by a key that no n-gram has, so that texts are dealt out evenly.
-            own, miss = mix64(rows.astype(np.uint64) ^ _B).view(np.int64), ~hit
-            none = np.zeros(miss.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([rows, rows[text[miss]]])), pa.array(np.concatenate([own, key[miss]])), *(pa.array(np.concatenate([np.zeros(n_texts), x[miss]]).astype(np.int32)) for x in (n, m)), pa.array(np.concatenate([bits, none])), pa.array(np.concatenate([chars, none.astype(np.int64)]))],
-                names=["row", "key", "n", "m", "bits", "chars"],
-            )
-
-    looked = docs.select(text_key().alias("row"), "text").where("text is not null").mapInArrow(sought, "row long, key long, n int, m int, bits double, chars long")
-    joined = looked.join(gains.select("key", "gain", "carry"), "key", "left")
+        (known, gain, carry), held = sent.value
+
+        def found(key, value):
+            """The value of each key sent, and which others the filter lets through."""
+            if not len(known):
+                hit = np.zeros(len(key), dtype=bool)
+            else:
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                hit = known[at] == key
+            maybe = np.ones(len(key), dtype=bool)
+            for place in _bits(key):
+                maybe &= (held[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+            return np.where(hit, value[at], 0.0) if len(known) else np.zeros(len(key)), maybe & ~hit
+
+        for batch in batches:
+            texts, row = [t or "" for t in batch.column("text").to_pylist()], np.asarray(batch.column("row"))
+            for a, b in slices([len(t) for t in texts], _BATCH):
+                symbol, of = symbols(texts[a:b])
+                high, low = windows(symbol, of)
+                _, first, each = np.unique(keys(high, low), return_index=True, return_inverse=True)
+                own, contexts = _pairs(high[first], low[first])
+                value, asked = np.full(len(first), floor), []
+                for role, some in ((0, own), (1, contexts)):
+                    for key in some:
+                        got, maybe = found(key, (gain, carry)[role])
+                        value += got
+                        if maybe.any():
+                            at = np.flatnonzero(maybe[each])
+                            asked.append((of[at], key[each[at]], np.full(len(at), role)))
+                bits, count = np.bincount(of, value[each], b - a), np.bincount(of[symbol != REPEAT], minlength=b - a)
+                text, key, role = (np.concatenate(x) for x in zip(*asked, strict=True)) if asked else (np.zeros(0, np.int64),) * 3
+                by = np.lexsort((key, text))
+                text, key, role = text[by], key[by], role[by]
+                new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))) if len(key) else np.zeros(0, np.int64)
+                m = np.add.reduceat(role, new) if len(new) else new
+                n = np.diff(np.append(new, len(key))) - m
+                # A text's own row goes by a key of its own, so that copies are dealt out evenly.
+                alone = mix64(row[a:b].view(np.uint64) ^ (np.arange(a, b).astype(np.uint64) * _C)).view(np.int64)
+                none = np.zeros(len(new))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([row[a:b], row[a:b][text[new]]])), pa.array(np.concatenate([alone, key[new]])), *(pa.array(np.concatenate([np.zeros(b - a), x]).astype(np.int32)) for x in (n, m)), pa.array(np.concatenate([bits, none])), pa.array(np.concatenate([count, none]).astype(np.int64))],
+                    names=["row", "key", "n", "m", "bits", "count"],
+                )
+
+    docs, back = aside(docs, "__row")
+    looked = docs.select(text_key().alias("row"), "text").where("text is not null").mapInArrow(sought, "row long, key long, n int, m int, bits double, count long")
+    joined = looked.join(cold.select("key", "gain", "carry"), "key", "left")
     # Copies of a text add up to the same quotient.
-    sums = joined.groupBy("row").agg(F.sum(F.col("bits") + F.coalesce(F.col("n") * F.col("gain") + F.col("m") * F.col("carry"), F.lit(0.0))).alias("bits"), F.sum("chars").alias("chars"))
-    found = settle(sums.where("chars > 0").select(F.col("row").alias("__row"), F.pow(F.lit(2.0), -F.col("bits") / F.col("chars")).alias("__perplexity")), "perplexities")
-    return docs.withColumn("__row", text_key()).join(sized_broadcast(found), "__row", "left").drop("__row")
+    sums = joined.groupBy("row").agg(F.sum(F.col("bits") + F.coalesce(F.col("n") * F.col("gain") + F.col("m") * F.col("carry"), F.lit(0.0))).alias("bits"), F.sum("count").alias("count"))
+    found = settle(sums.where("count > 0").select(F.col("row").alias("__row"), F.pow(F.lit(2.0), -F.col("bits") / F.col("count")).alias("__perplexity")), "perplexities")
+    return docs.withColumn("__row", text_key()).join(sized_broadcast(found), "__row", "left").select(*back, "__perplexity")
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -360,17 +311,20 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """docs with __perplexity, __limit (of the language) and __keep.
 
-    Null and blank texts have no perplexity and aren't kept. Without trusted rows nothing is known, and all other texts are
-    kept. Repeated rows are judged alike; null is a language like any other. Labels choose the trusted text only.
+    Null texts and such of white space alone have no perplexity and aren't kept. Without trusted rows nothing is known, and
+    all other texts are kept. Repeated rows are judged alike; null is a language like any other. Labels choose the trusted
+    text only. Texts of any length are read whole, a slice of texts at a time. An empty table stays empty. Columns of docs
+    with one of the three names are replaced; others are left alone, whatever their names.
     """
+    docs = docs.drop("__perplexity", "__limit", "__keep")
     known = trusted(docs, labels)
-    taught = known.where("not calibrates")
-    spelt = spelling(taught)
-    model = (spelt, *train_words(taught, spelt))
+    model = train(known.where("not calibrates"))
     limits = settle(thresholds(score(known.where("calibrates"), model), quantile), "limits")
+    moved, back = aside(docs, "__lang", "__own", "__all")
     own = limits.where("not every").select(F.col("lang").alias("__lang"), F.col("limit").alias("__own"))
-    scored = score(docs, model).join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    scored = score(moved, model).join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("__lang")), "left")
     scored = scored.crossJoin(F.broadcast(limits.where("every").select(F.col("limit").alias("__all"))))
-    limit = F.coalesce("__own", "__all")
-    keep = F.col("__perplexity").isNotNull() & F.coalesce(F.col("__perplexity") <= limit, F.lit(True))
-    return scored.select(*docs.columns, "__perplexity", limit.alias("__limit"), keep.alias("__keep"))
+    limit, said = F.coalesce("__own", "__all"), F.col("text").rlike(r"\S")
+    shown = F.when(said, F.col("__perplexity"))
+    keep = shown.isNotNull() & F.coalesce(shown <= limit, F.lit(True))
+    return scored.select(*back, shown.alias("__perplexity"), limit.alias("__limit"), F.coalesce(keep, F.lit(False)).alias("__keep"))

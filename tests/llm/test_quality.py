@@ -1,12 +1,10 @@
-"""The word model of the quality classifier against a plain one, and what a model of 64 character classes can't tell."""
+"""The language model of the quality classifier against a plain one, other scripts, and texts that repeat themselves."""
 
 import collections
 import math
 import random
 import re
 
-import numpy as np
-
 from phrasewright.llm import kneser_ney
 
 
@@ -16,29 +14,25 @@ def _texts():
     return [" ".join(rnd.choices(vocabulary, weights=range(44, 0, -1), k=rnd.randint(1, 60))) for _ in range(60)] + ["кот и пёс", "漢字漢字 漢漢", "a a a a b", "zq", ". . ."]
 
 
-def _plain_words(text):
-    out, last = [], None
-    for w in re.findall(r"[一-鿿]|[^\W一-鿿]+|[^\w\s]", text):
-        out.append("<same>" if w == last else w)
-        last = w
-    return out
-
+def _plain_symbols(text):
+    out, last, gap = [], None, []
+    for part in re.findall(r"[^\W一-鿿]+|[\W一-鿿]", text):
+        if re.match(r"[^\W一-鿿]", part):
+            out += [*([] if part == last and not "".join(gap).strip() else gap), *(["<same>"] if part == last else part)]
+            last, gap = part, []
+        else:
+            gap.append(part)
+    return out + gap
 
-def _plain_base(word, table, within):
-    if word == "<same>":
-        return kneser_ney.REPEAT_BASE
-    cls = [kneser_ney.SPACE] * 3 + [int(kneser_ney._TABLE[ord(c)]) for c in word] + [kneser_ney.SPACE]
-    return sum(float(table[((cls[i - 3] * 64 + cls[i - 2]) * 64 + cls[i - 1]) * 64 + cls[i]]) for i in range(3, len(cls))) + sum(float(within[ord(c)]) for c in word)
 
-
-def _plain_model(taught, base):
-    """p(context, word): the same model by dictionaries."""
+def _plain_model(taught):
+    """p(context, symbol): the same model by dictionaries."""
     counts = collections.Counter()
     for t in taught:
-        w = ["<s>", "<s>", *_plain_words(t)]
-        counts.update(tuple(w[i - 2 : i + 1]) for i in range(2, len(w)))
-    levels = {3: counts}
-    for k in (2, 1):
+        w = ["<s>"] * 4 + _plain_symbols(t)
+        counts.update(tuple(w[i - 4 : i + 1]) for i in range(4, len(w)))
+    levels = {5: counts}
+    for k in (4, 3, 2, 1):
         levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
     cut, free, total = {}, collections.Counter(), collections.Counter()
     for k, level in levels.items():
@@ -53,40 +47,37 @@ def _plain_model(taught, base):
             free[k, g[:-1]] += cut[g]
             total[k, g[:-1]] += c
 
-    def p(context, word):
+    def p(context, symbol):
         k = len(context) + 1
-        below = p(context[1:], word) if context else 2 ** base(word)
+        below = p(context[1:], symbol) if context else 1 / (len(levels[1]) + 1)
         if not total[k, context]:
             return below
-        g = (*context, word)
+        g = (*context, symbol)
         return (levels[k][g] - cut.get(g, 0)) / total[k, context] + free[k, context] / total[k, context] * below
 
-    return p
+    return p, levels
 
 
-def test_word_model_against_plain(spark):
+def test_model_against_plain(spark):
     texts, hot = _texts(), kneser_ney.HOT
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, " \n"), (0, texts[0])], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)] + [(900, None, 1, 2), (901, "", 1, 2), (0, texts[0], 1, 2)], "doc_id long, text string, __row int, `a.b` int")
     taught = docs.where("doc_id < 50")
-    sent = kneser_ney.spelling(taught)
-    table, within = sent.value
-    cls = kneser_ney._TABLE[np.minimum(np.arange(0x110000), 0xFFFF)]
-    shares = np.bincount(cls, np.exp2(within.astype(float)))
-    assert np.abs(shares[shares > 0] - 1).max() < 1e-3
-    p = _plain_model([*texts[:50], texts[0]], lambda w: _plain_base(w, table, within))
+    p, levels = _plain_model([*texts[:50], texts[0]])
+    symbols = [x for (x,) in levels[1]]
+    assert abs(sum(p(("<s>",) * 4, x) for x in symbols) + p(("<s>",) * 4, "unseen") - 1) < 1e-9
+    model = kneser_ney.train(taught)
     try:
-        for kneser_ney.HOT in (20, hot):
-            model = (sent, *kneser_ney.train_words(taught, sent))
+        for kneser_ney.HOT in (0, 20, hot):
             got = kneser_ney.score(docs, model).collect()
-            assert len(got) == docs.count()
+            assert len(got) == docs.count() and all(r["__row"] == 1 and r["a.b"] == 2 for r in got)
             for r in got:
                 if r.doc_id >= 900:
                     assert r["__perplexity"] is None
                     continue
-                w = ["<s>", "<s>", *_plain_words(r.text)]
-                bits = -sum(math.log2(p(tuple(w[i - 2 : i]), w[i])) for i in range(2, len(w)))
-                chars = sum(len(x) + 1 for x in w[2:] if x != "<same>")
-                assert abs(bits / chars - math.log2(r["__perplexity"])) < 1e-6, r.text
+                w = ["<s>"] * 4 + _plain_symbols(r.text)
+                bits = -sum(math.log2(p(tuple(w[i - 4 : i]), w[i])) for i in range(4, len(w)))
+                size = sum(x != "<same>" for x in w[4:])
+                assert abs(bits / size - math.log2(r["__perplexity"])) < 1e-9, r.text
     finally:
         kneser_ney.HOT = hot
 
@@ -96,12 +87,12 @@ def test_other_scripts_and_growth(spark):
     known = ["".join(rnd.choices(letters, k=4)) for _ in range(60)]
     strange = ["".join(rnd.choices(letters, k=4)) for _ in range(400)]
     rows = [(i, " ".join(rnd.choices(known, k=40))) for i in range(300)] + [(1000 + i, " ".join(rnd.sample(strange, 40))) for i in range(20)]
-    docs = spark.createDataFrame([(i, t, "ru") for i, t in rows], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, t, None if i % 3 == 0 else "ru") for i, t in rows], "doc_id long, text string, lang string").selectExpr("*", "1 as __keep", "2 as __lang", "3 as __perplexity")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(280)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r["__keep"] for r in kneser_ney.classify(docs, labels).collect()}
-    assert not any(got[1000 + i] for i in range(20)) and sum(got[i] for i in range(300)) >= 290
-    sent = spark.sparkContext.broadcast((np.full(64**4, -6.0, dtype=np.float32), np.zeros(0x110000, dtype=np.float32)))
-    few, many = (kneser_ney.train_words(docs.where(f"doc_id < {n}"), sent)[0].count() for n in (100, 200))
+    rows = kneser_ney.classify(docs, labels).collect()
+    got = {r.doc_id: r["__keep"] for r in rows}
+    assert not any(got[1000 + i] for i in range(20)) and sum(got[i] for i in range(300)) >= 290 and all(r["__lang"] == 2 for r in rows)
+    few, many = (kneser_ney.train(docs.where(f"doc_id < {n}"))[0].count() for n in (5, 20))
     assert many > 1.5 * few
 
 
