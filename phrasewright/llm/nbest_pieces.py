@@ -13,27 +13,32 @@ differs decides for the lower rank.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 import uuid
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, widened
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Shorter segments are scored many at a time. A sum of scores under -_FAR is no path.
 _WIDE, _BASE, _NONE, _FAR = 24, np.uint64(0x9E3779B97F4A7C55), -(1 << 60), 1 << 58
 MARK, N_BEST = "▁", 4
-_CACHE_LIMIT = 120_000
+_CACHE_LIMIT = 300_000
+#: Scores that aren't whole numbers are kept in this part of one.
+_FINE = 1_000_000
 
 
 def load(path: str = MODEL) -> dict:
-    """Pieces as (text, score, bytes or None) from a SentencePiece model file that the driver can read."""
+    """Pieces with their scores from a SentencePiece model file that the driver can read. Scores are whole numbers of 1 / scale:
+    those of a pair-merging model as they are, those of a unigram model to six places."""
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=path)
@@ -43,25 +48,28 @@ def load(path: str = MODEL) -> dict:
         if sp.is_byte(i):
             byte[int(sp.id_to_piece(i)[3:5], 16)] = i
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-            plain[sp.id_to_piece(i)] = (i, round(sp.get_score(i)))
-    return {"plain": plain, "byte": byte, "size": size}
+            plain[sp.id_to_piece(i)] = (i, sp.get_score(i))
+    scale = 1 if all(score == round(score) for _, score in plain.values()) else _FINE
+    return {"plain": {p: (i, round(score * scale)) for p, (i, score) in plain.items()}, "byte": byte, "size": size, "scale": scale}
 
 
 class Lattice:
     """Encodes and decodes with the pieces of load(); remembers words, up to a limit."""
 
     def __init__(self, pieces: dict, n: int = N_BEST):
-        self.n, self.byte = n, pieces["byte"]
+        self.n, self.byte, self.scale = n, pieces["byte"], pieces.get("scale", 1)
         self.plain = {p.replace(MARK, " "): x for p, x in pieces["plain"].items()}
         self.longest = max(map(len, self.plain), default=1)
         self.joined = {pair for p in self.plain for pair in zip(p, p[1:], strict=False)}
+        self.pairs = np.array(sorted((ord(a) << 21) | ord(b) for a, b in self.joined), dtype=np.int64)
         self.begins = {p[:i]: None for p in self.plain for i in range(1, len(p))} | self.plain
-        self.below = min((s for _, s in self.plain.values() if s > -(10**8)), default=0) - 10
+        self.below = min((s for _, s in self.plain.values() if s > -(10**8) * self.scale), default=0) - 10 * self.scale
         self.spelling = [b""] * pieces["size"]
         for p, (i, _) in self.plain.items():
             self.spelling[i] = p.encode()
         for b, i in self.byte.items():
             self.spelling[i] = bytes([b])
+        self.numbers = list(map(str, range(pieces["size"])))
         keys = {_poly(p): x for p, x in self.plain.items()}
         self.keys = np.sort(np.fromiter(keys, dtype=np.uint64, count=len(keys)))
         self.key_ids = np.array([keys[int(k)][0] for k in self.keys], dtype=np.int32)
@@ -118,12 +126,15 @@ class Lattice:
                     second = so_far + score + back[j]
         return top, path, None if second is None else top - second
 
-    def prime(self, texts: list[str]) -> None:
-        """Find the nearest() of the texts' new segments at once."""
+    def prime(self, texts: list[str]) -> list[tuple[list[str], list[tuple]]]:
+        """The words of each text and what is known of them, after the new ones' segments were searched at once."""
         if len(self.words) > _CACHE_LIMIT:
             self.words.clear()
-        words = sorted(set().union(*map(words_of, texts)) - self.words.keys()) if texts else []
-        cut = list(map(self.segments, words))
+        get, every = self.words.get, list(map(words_of, texts))
+        known = [list(map(get, found)) for found in every]
+        lacking = [i for i, row in enumerate(known) if not all(row)]
+        words = list({w for i in lacking for w, x in zip(every[i], known[i], strict=True) if x is None})
+        cut = self.all_segments(words)
         fresh = {s for x in cut for s in x} - self.parts.keys()
         if len(self.parts) + len(fresh) > _CACHE_LIMIT:
             self.parts.clear()
@@ -132,8 +143,28 @@ class Lattice:
         fresh = sorted((s for s in fresh if len(s) <= _WIDE and plain >= set(s)), key=len)
         for a in range(0, len(fresh), 2048):
             self.parts.update(zip(fresh[a : a + 2048], self.together(fresh[a : a + 2048]), strict=True))
-        for w, x in zip(words, cut, strict=True):
-            self.words[w] = self.sum_of(x)
+        self.words.update(zip(words, map(self.sum_of, cut), strict=True))
+        for i in lacking:
+            known[i] = [x or self.words[w] for w, x in zip(every[i], known[i], strict=True)]
+        return list(zip(every, known, strict=True))
+
+    def all_segments(self, words: list[str]) -> list[list[str]]:
+        """segments() of many words."""
+        text, sizes = "".join(words), np.array([len(w) for w in words], dtype=np.int64)
+        if not text:
+            return [self.segments(w) for w in words]
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        pairs = (points[:-1] << 21) | points[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
+        begins = np.ones(len(points), dtype=bool)
+        if len(self.pairs):
+            begins[1:] = self.pairs[at] != pairs
+        starts = np.cumsum(sizes) - sizes
+        begins[starts] = True
+        cuts = np.flatnonzero(begins).tolist()
+        parts = [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+        upto = np.append(np.searchsorted(cuts, starts), len(cuts)).tolist()
+        return [parts[a:b] for a, b in zip(upto, upto[1:], strict=False)]
 
     def together(self, segments: list[str]) -> list[tuple[int, tuple[int, ...], int | None]]:
         """nearest() of many short segments whose characters are pieces, by columns."""
@@ -214,6 +245,9 @@ class Lattice:
 
     def sum_of(self, segments: list[str]) -> tuple:
         """(pieces of the best, its score, the smallest loss of a segment's second best, the n - 1 smallest with their places)."""
+        if len(segments) == 1:
+            score, ids, loss = self.parts.get(segments[0]) or self.part(segments[0])
+            return (ids, score, _FAR, ()) if loss is None else (ids, score, loss, ((loss, 0),))
         get, ids, score, losses = self.parts.get, (), 0, []
         for place, s in enumerate(segments):
             one, own, loss = get(s) or self.part(s)
@@ -240,20 +274,18 @@ class Lattice:
         out = self.parts[s] = self.nearest(s)
         return out
 
-    def encode(self, text: str) -> tuple[list[int], int, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
+    def encode(self, text: str, primed=None) -> tuple[list[int], int, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
         """The best pieces and score, and the n best as (score, changes): a change replaces the pieces of a segment, named by
-        its word and place."""
-        found, ids, near, most, limit = words_of(text), [], [], self.n - 1, _FAR - 1
-        known = [self.words.get(w) or self.word(w) for w in found]
+        its word and place. primed: the text's entry of prime()."""
+        found, known = primed or ((words := words_of(text)), [self.words.get(w) or self.word(w) for w in words])
+        ids, most = [], self.n - 1
         for x in known:
             ids += x[0]
         total = sum([x[1] for x in known])
-        for k, x in enumerate(known):
-            if x[2] <= limit:
-                near += [(loss, -k, place) for loss, place in x[3]]
-                if len(near) > 12 + most:
-                    near = sorted(near)[:most]
-                    limit = near[-1][0] if most else -1
+        # A text's nearest rivals stand in the words with the nearest ones.
+        least = [x[2] for x in known]
+        limit = min(_FAR - 1, sorted(least)[most - 1] if 0 < most <= len(least) else _FAR - 1)
+        near = [(loss, -k, place) for k, loss_ in enumerate(least) if loss_ <= limit for loss, place in known[k][3]]
         variants = [(0, (), [])]
         for _, k, place in sorted(sorted(near)[:most], key=lambda x: (-x[1], -x[2])):
             options = self.search(self.segments(found[-k])[-place], self.n)
@@ -271,8 +303,19 @@ class Lattice:
         return out
 
     def decode(self, ids) -> str:
-        spelling = self.spelling
-        return b"".join([spelling[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+        return b"".join(_taken(self.spelling, ids)).decode("utf-8", "surrogatepass")[1:]
+
+    def digest(self, ids) -> str:
+        """SHA-256 of the numbers, comma-joined."""
+        return hashlib.sha256(",".join(_taken(self.numbers, ids)).encode()).hexdigest()
+
+    def same_text(self, found: list[str], changes) -> bool:
+        """Whether the changed segments spell what they replace."""
+        return all(b"".join([self.spelling[i] for i in ids]).decode("utf-8", "surrogatepass") == self.segments(found[k])[place] for k, place, ids in changes)
+
+
+def _taken(table: list, ids) -> tuple:
+    return itemgetter(*ids)(table) if len(ids) > 1 else tuple([table[i] for i in ids])
 
 
 def _poly(s: str) -> int:
@@ -292,35 +335,54 @@ _LATTICES: dict = {}
 
 
 def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_pieces: bool = True) -> DataFrame:
-    """docs with n_pieces, piece_score, nbest_scores (best first), pieces_sha256 (of the best's numbers, comma-joined),
-    round_trip (whether decoding gave the text), and pieces array<int> unless with_pieces is false.
+    """docs with n_pieces, piece_score, nbest_scores (best first), nbest_changes, pieces_sha256 (of the best's numbers,
+    comma-joined), round_trip (whether decoding gave the text), and pieces array<int> unless with_pieces is false.
 
-    Null and empty texts are the lone space before them (round_trip then compares with ''). Repeated rows give equal rows. A
-    column of docs with one of these names is replaced.
+    nbest_changes tells for each of the n best (for the best: nothing) which segments, named by word and place, have other
+    pieces than in the best; round_trip covers these too. Null and empty texts are the lone space before them (round_trip
+    then compares with ''). Repeated rows give equal rows, and such that follow each other are encoded once. Texts of any
+    length are walked word by word. A column of docs with one of these names is replaced; an empty table stays empty.
     """
-    added = {"n_pieces": (T.LongType(), pa.int64()), "piece_score": (T.LongType(), pa.int64()), "nbest_scores": (T.ArrayType(T.LongType()), pa.list_(pa.int64())), "pieces_sha256": (T.StringType(), pa.string()), "round_trip": (T.BooleanType(), pa.bool_())}
+    change = T.StructType([T.StructField("word", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    changes_kind = pa.list_(pa.list_(pa.struct([("word", pa.int32()), ("place", pa.int32()), ("pieces", pa.list_(pa.int32()))])))
+    added = {
+        "n_pieces": (T.LongType(), pa.int64()), "piece_score": (T.DoubleType(), pa.float64()), "nbest_scores": (T.ArrayType(T.DoubleType()), pa.list_(pa.float64())),
+        "nbest_changes": (T.ArrayType(T.ArrayType(change)), changes_kind), "pieces_sha256": (T.StringType(), pa.string()), "round_trip": (T.BooleanType(), pa.bool_()),
+    }
     if with_pieces:
         added["pieces"] = (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))
-    docs = docs.select(*(c for c in docs.columns if c not in added))
+    docs = docs.drop(*added)
     sent, name, at = docs.sparkSession.sparkContext.broadcast((load(path), n)), uuid.uuid4().hex, docs.columns.index("text")
 
+    def one(lattice, text, primed):
+        ids, score, best = lattice.encode(text, primed)
+        whole = lattice.decode(ids) == text and all(lattice.same_text(primed[0], changes) for _, changes in best)
+        told = [[{"word": k, "place": p, "pieces": new} for k, p, new in changes] for _, changes in best]
+        row = len(ids), score / lattice.scale, [s / lattice.scale for s, _ in best], told, lattice.digest(ids), whole
+        return (*row, np.array(ids, dtype=np.int32)) if with_pieces else row
+
     def encoded(batches):
         if name not in _LATTICES:
             _LATTICES.clear()
             _LATTICES[name] = Lattice(*sent.value)
-        lattice = _LATTICES[name]
+        # Nothing here is cyclic: the collector would only walk through the remembered words again and again.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            yield from coded(_LATTICES[name], batches)
+        finally:
+            if collects:
+                gc.enable()
+
+    def coded(lattice, batches):
         for whole in batches:
             for a in range(0, max(whole.num_rows, 1), 500):
                 batch, rows = whole.slice(a, 500), []
                 texts = [text or "" for text in batch.column(at).to_pylist()]
-                for few in slices([len(text) for text in texts], 1_000_000):
-                    lattice.prime(texts[slice(*few)])
-                for text in texts:
-                    ids, score, best = lattice.encode(text)
-                    flat = np.array(ids, dtype=np.int32)
-                    digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-                    rows.append((len(ids), score, [s for s, _ in best], digest, lattice.decode(ids) == text, flat)[: len(added)])
+                for b, c in slices([len(text) for text in texts], 1_000_000):
+                    for i, primed in enumerate(lattice.prime(texts[b:c]), b):
+                        rows.append(rows[-1] if i and texts[i] == texts[i - 1] else one(lattice, texts[i], primed))
                 columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), added.values(), strict=True)] if rows else [pa.array([], kind) for _, kind in added.values()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
-    return docs.mapInArrow(encoded, T.StructType([*docs.schema.fields, *(T.StructField(c, kind) for c, (kind, _) in added.items())]))
+    return widened(docs, encoded, [T.StructField(c, kind) for c, (kind, _) in added.items()])

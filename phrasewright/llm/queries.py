@@ -73,9 +73,10 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: pieces of the best segmentation (number, score, digest), the n best scores, and whether decoding gives the text."""
+    """Per document: pieces of the best segmentation (number, score, digest), the n best scores with a digest of what each
+    changes in the best, and whether decoding gives the text."""
     coded = nbest_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), with_pieces=False)
-    return coded.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_pieces", "piece_score", "nbest_scores", "pieces_sha256", "round_trip")
+    return coded.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_pieces", "piece_score", "nbest_scores", F.transform("nbest_changes", lambda x: F.sha2(F.to_json(x), 256)).alias("nbest_digests"), "pieces_sha256", "round_trip")
 
 
 def op10_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
