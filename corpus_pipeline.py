@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasewright.llm import dart_minhash, entropy_mix, kneser_ney, nbest_pieces, toxicity
-from phrasewright.llm.common import settle, table
+from phrasewright.llm.common import aside, settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the labelled rows among docs don't teach us to call toxic."""
+    """The documents that the labelled rows among docs don't teach us to call toxic; null and empty texts stay, repeated rows
+    stay or go together, and columns keep their names and values."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    moved, back = aside(docs, "__toxicity", "__offending")
+    return toxicity.score(moved, model).where(F.col("__toxicity") < toxicity.THRESHOLD).select(*back)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose perplexity is usual in trusted text of their language."""
-    return kneser_ney.classify(docs, table(spark, sf_dir, "labels")).where("__keep").select(*docs.columns)
+    """The documents whose perplexity is usual in trusted text of their language; null and blank texts go."""
+    moved, back = aside(docs, "__perplexity", "__limit", "__keep")
+    return kneser_ney.classify(moved, table(spark, sf_dir, "labels")).where("__keep").select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class; texts without words are classes of their own."""
     return dart_minhash.one_of_each(docs)
 
 
