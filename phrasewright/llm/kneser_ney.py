@@ -234,17 +234,22 @@ def score(docs: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
     def sought(batches):
         (known, gain, carry), held = sent.value
 
+        some = bool(held.any())
+
         def found(key, value):
-            """The value of each key sent, and which others the filter lets through."""
-            if not len(known):
-                hit = np.zeros(len(key), dtype=bool)
-            else:
+            """The value of each key sent, and which of the others the filter lets through (None if it is empty)."""
+            hit, out = np.zeros(len(key), dtype=bool), np.zeros(len(key))
+            if len(known):
                 at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 hit = known[at] == key
-            maybe = np.ones(len(key), dtype=bool)
-            for place in _bits(key):
-                maybe &= (held[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
-            return np.where(hit, value[at], 0.0) if len(known) else np.zeros(len(key)), maybe & ~hit
+                out = np.where(hit, value[at], 0.0)
+            if not some:
+                return out, None
+            maybe = ~hit
+            rest = np.flatnonzero(maybe)
+            for place in _bits(key[rest]):
+                maybe[rest] &= (held[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+            return out, maybe
 
         for batch in batches:
             texts, row = [t or "" for t in batch.column("text").to_pylist()], np.asarray(batch.column("row"))
@@ -254,11 +259,11 @@ def score(docs: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
                 _, first, each = np.unique(keys(high, low), return_index=True, return_inverse=True)
                 own, contexts = _pairs(high[first], low[first])
                 value, asked = np.full(len(first), floor), []
-                for role, some in ((0, own), (1, contexts)):
-                    for key in some:
+                for role, grams in ((0, own), (1, contexts)):
+                    for key in grams:
                         got, maybe = found(key, (gain, carry)[role])
                         value += got
-                        if maybe.any():
+                        if maybe is not None and maybe.any():
                             at = np.flatnonzero(maybe[each])
                             asked.append((of[at], key[each[at]], np.full(len(at), role)))
                 bits, count = np.bincount(of, value[each], b - a), np.bincount(of[symbol != REPEAT], minlength=b - a)
