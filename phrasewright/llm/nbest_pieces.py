@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Shorter segments are scored many at a time. A sum of scores under -_FAR is no path.
 _WIDE, _BASE, _NONE, _FAR = 24, np.uint64(0x9E3779B97F4A7C55), -(1 << 60), 1 << 58
 MARK, N_BEST = "▁", 4
-_CACHE_LIMIT = 300_000
+_CACHE_LIMIT = 200_000
 #: Scores that aren't whole numbers are kept in this part of one.
 _FINE = 1_000_000
 
