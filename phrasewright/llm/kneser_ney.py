@@ -218,18 +218,28 @@ def _filter(cold: DataFrame) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
-    """docs with __perplexity double by symbol other than REPEAT (null for null and empty texts)."""
+def sent_to_tasks(gains: DataFrame):
+    """A broadcast of the most frequent n-grams (at most HOT, whole classes of frequency) and of the filter of the others; and
+    these. Frequencies are counted by classes, so nothing is sorted on the driver."""
+    rank = F.floor(F.log(F.col("heat") + 1.0) * 16)
+    sizes = sorted(((r["rank"], r["n"]) for r in gains.groupBy(rank.alias("rank")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, float("inf")
+    for found, n in sizes:
+        total += n
+        if total > HOT:
+            break
+        least = found
+    hot = gains.where(rank >= F.lit(least)).select("key", "gain", "carry").toArrow().sort_by("key")
+    cold = gains.where(rank < F.lit(least))
+    return gains.sparkSession.sparkContext.broadcast(([np.asarray(hot[c]) for c in ("key", "gain", "carry")], _filter(cold))), cold
+
+
+def score(docs: DataFrame, model: tuple[DataFrame, float], ready=None) -> DataFrame:
+    """docs with __perplexity double by symbol other than REPEAT (null for null and empty texts). ready: what sent_to_tasks()
+    gave for the model, to be shared."""
     gains, floor = model
     docs = docs.drop("__perplexity")
-    order = [F.desc("heat"), F.asc("key")]
-    hot = gains.orderBy(*order).limit(HOT).toArrow()
-    cold = gains
-    if hot.num_rows:
-        heat, key = hot["heat"][-1].as_py(), hot["key"][-1].as_py()
-        cold = gains.where((F.col("heat") < heat) | ((F.col("heat") == heat) & (F.col("key") > key)))
-    hot = hot.sort_by("key")
-    sent = docs.sparkSession.sparkContext.broadcast(([np.asarray(hot[c]) for c in ("key", "gain", "carry")], _filter(cold)))
+    sent, cold = ready or sent_to_tasks(gains)
 
     def sought(batches):
         (known, gain, carry), held = sent.value
@@ -324,10 +334,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     docs = docs.drop("__perplexity", "__limit", "__keep")
     known = trusted(docs, labels)
     model = train(known.where("not calibrates"))
-    limits = settle(thresholds(score(known.where("calibrates"), model), quantile), "limits")
+    ready = sent_to_tasks(model[0])
+    limits = settle(thresholds(score(known.where("calibrates"), model, ready), quantile), "limits")
     moved, back = aside(docs, "__lang", "__own", "__all")
     own = limits.where("not every").select(F.col("lang").alias("__lang"), F.col("limit").alias("__own"))
-    scored = score(moved, model).join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    scored = score(moved, model, ready).join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("__lang")), "left")
     scored = scored.crossJoin(F.broadcast(limits.where("every").select(F.col("limit").alias("__all"))))
     limit, said = F.coalesce("__own", "__all"), F.col("text").rlike(r"\S")
     shown = F.when(said, F.col("__perplexity"))
