@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +77,13 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), starts
 
 
+def text_slices(column, budget: int):
+    """(from, texts) of an Arrow column of strings, null as empty: about so many code points at a time, so that no more of a
+    batch than that lies in Python."""
+    for a, b in slices(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), budget):
+        yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
 def slices(sizes, budget: int):
     """(from, to) index ranges whose sizes add up to about the budget; one large item gets its own."""
     start, total = 0, 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, code_points, mix64, settle, sized_broadcast, slices, text_key
+from .common import aside, code_points, mix64, settle, sized_broadcast, text_key, text_slices
 
 ORDER, BITS = 5, 21
 #: Trusted rows with crc32(doc_id as text) mod 5 = 0 set the thresholds; the others train the model.
@@ -35,7 +35,7 @@ FOLDS = 5
 QUANTILE = 0.99
 #: Languages with fewer held-out trusted rows use the threshold of all languages together.
 LEAST = 50
-_BATCH = 500_000
+_BATCH = 250_000
 #: N-grams that are sent to the tasks, 24 bytes each; bits of the filter of the others.
 HOT, FILTER = 2_000_000, 1 << 26
 #: No symbol, what stands before a text, a word equal to the one before it; characters follow.
@@ -123,9 +123,8 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
     def counted(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in slices([len(t) for t in texts], _BATCH):
-                high, low = windows(*symbols(texts[a:b]))
+            for _, texts in text_slices(batch.column("text"), _BATCH):
+                high, low = windows(*symbols(texts))
                 _, first, n = np.unique(keys(high, low), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(high[first]), pa.array(low[first]), pa.array(n, pa.int64())], names=["high", "low", "n"])
 
@@ -262,9 +261,10 @@ def score(docs: DataFrame, model: tuple[DataFrame, float], ready=None) -> DataFr
             return out, maybe
 
         for batch in batches:
-            texts, row = [t or "" for t in batch.column("text").to_pylist()], np.asarray(batch.column("row"))
-            for a, b in slices([len(t) for t in texts], _BATCH):
-                symbol, of = symbols(texts[a:b])
+            row = np.asarray(batch.column("row"))
+            for a, texts in text_slices(batch.column("text"), _BATCH):
+                b = a + len(texts)
+                symbol, of = symbols(texts)
                 high, low = windows(symbol, of)
                 _, first, each = np.unique(keys(high, low), return_index=True, return_inverse=True)
                 own, contexts = _pairs(high[first], low[first])

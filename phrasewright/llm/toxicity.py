@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import widened
+from .common import text_slices, widened
 
 #: Labelled rows the fit uses at most, of each label: a bounded sample, the first in an order by hash.
 SAMPLE = 2000
@@ -37,6 +37,8 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _WORDED = re.compile(r"[^.!?\n]*?[^\W\d_][^.!?\n]*")
 _CACHE_LIMIT = 120_000
+#: Code points of texts that are scored before their rows go on.
+_BATCH = 1_000_000
 
 
 def features(word: str) -> list[str]:
@@ -197,11 +199,15 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
 
     def scored(batches):
         scorer = _worker(shared)
-        for batch in batches:
-            found = [score_text(scorer, t) for t in batch.column(at).to_pylist()]
-            bad = [[{"start": a, "end": b, "score": s} for a, b, s in parts if s >= THRESHOLD] for _, parts in found]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.float64()), pa.array(bad, kind)], names=[*batch.schema.names, "__toxicity", "__offending"])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+        for whole in batches:
+            for a, texts in text_slices(whole.column(at), _BATCH):
+                batch, found, bad = whole.slice(a, len(texts)), [], []
+                for text in texts:
+                    toxic, parts = score_text(scorer, text)
+                    found.append(toxic)
+                    bad.append([{"start": b, "end": c, "score": s} for b, c, s in parts if s >= THRESHOLD])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array(bad, kind)], names=[*batch.schema.names, "__toxicity", "__offending"])
 
     spot = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
     return widened(docs, scored, [T.StructField("__toxicity", T.DoubleType()), T.StructField("__offending", spot)])

@@ -113,3 +113,17 @@ def test_repeated_words_are_rejected(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(280)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r["__keep"] for r in kneser_ney.classify(docs, labels).collect()}
     assert not any(got[i] for i, _ in poor) and sum(got[i] for i, _ in good) >= 290
+
+
+def test_text_slices_hand_out_every_text_once():
+    import pyarrow as pa
+
+    from phrasewright.llm.common import text_slices
+
+    texts = ["ab", None, "", "x" * 50, "😀é", "c"] * 3
+    for kind in (pa.string(), pa.large_string()):
+        for budget in (1, 5, 1000):
+            out = list(text_slices(pa.array(texts, kind), budget))
+            assert [t for _, some in out for t in some] == [t or "" for t in texts]
+            assert all(some == [t or "" for t in texts[a : a + len(some)]] for a, some in out)
+    assert list(text_slices(pa.array([], pa.string()), 5)) == []
