@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from html.entities import name2codepoint
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,25 +26,62 @@ RANGE = "struct<start:int,length:int>"
 
 
 class Aligned:
+    """A text with, for each character, where its source begins and how many UTF-16 units it takes there. Both never fall."""
+
     def __init__(self, text: str):
-        self.text, self.ranges, at = text, [], 0
-        for c in text:
-            size = 2 if ord(c) > 0xFFFF else 1
-            self.ranges.append((at, size))
-            at += size
+        self.text = text
+        self.size = 1 + (points(text) > 0xFFFF).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    @property
+    def ranges(self) -> list[tuple[int, int]]:
+        return list(zip(self.start.tolist(), self.size.tolist(), strict=True))
+
+    def take(self, first: np.ndarray, last: np.ndarray) -> None:
+        """Each new character stands for the characters from first to last."""
+        end = (self.start + self.size)[last]
+        self.start = self.start[first]
+        self.size = end - self.start
 
     def sub(self, pattern: re.Pattern, replaced) -> None:
         """What pattern matches, left to right, becomes replaced(match); the new characters share the range of the old ones."""
-        text, ranges, at = [], [], 0
+        text, first, last, at = [], [], [], 0
         for m in pattern.finditer(self.text):
             new = replaced(m)
             if new is None:
                 continue
             a, b = m.span()
             text += [self.text[at:a], new]
-            ranges += self.ranges[at:a] + [merged(self.ranges[a:b])] * len(new)
+            kept = np.arange(at, a)
+            first += [kept, np.full(len(new), a)]
+            last += [kept, np.full(len(new), b - 1)]
             at = b
-        self.text, self.ranges = "".join([*text, self.text[at:]]), ranges + self.ranges[at:]
+        if text:
+            kept = np.arange(at, len(self.text))
+            self.text = "".join([*text, self.text[at:]])
+            self.take(np.concatenate([*first, kept]), np.concatenate([*last, kept]))
+
+
+def points(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def table_of(characters) -> np.ndarray:
+    """By code point: whether it is one of the characters."""
+    out = np.zeros(0x110000, dtype=bool)
+    out[[ord(c) for c in characters if len(c) == 1]] = True
+    return out
+
+
+@lru_cache(4)
+def _known(readings: frozenset) -> np.ndarray:
+    return table_of(readings)
+
+
+@lru_cache(1)
+def _digits() -> np.ndarray:
+    return table_of(c for c in map(chr, range(0x20000)) if unicodedata.category(c) == "Nd")
 
 
 def merged(ranges) -> tuple[int, int]:
@@ -64,29 +103,27 @@ def entity(m: re.Match) -> str | None:
 def spaced(text: Aligned, known) -> None:
     """Spaces between characters with a reading (known) and others, and after sentences; control characters go. The last
     character is left alone."""
-    t, out, ranges = text.text, [], []
-    if len(t) <= 1:
+    if len(text.text) <= 1:
         return
-    digit = lambda c: unicodedata.category(c) == "Nd"
-    for i, c in enumerate(t[:-1]):
-        after, space = t[i + 1], False
-        if unicodedata.category(c) == "Cc" and c not in "\t\n\r":
-            continue
-        if digit(c) and after == "》":
-            space = True
-        elif c == "." and i and digit(t[i - 1]) and digit(after):
-            pass
-        elif c in known:
-            space = after not in known and after not in _NO_SPACE
-        elif c in "\t\n \"'(":
-            pass
-        elif c in "!.?":
-            space = after not in "\" '"
-        else:
-            space = after in known
-        out.append(c + " " * space)
-        ranges += [text.ranges[i]] * (1 + space)
-    text.text, text.ranges = "".join(out) + t[-1], [*ranges, text.ranges[-1]]
+    all_points = points(text.text)
+    c, after = all_points[:-1], all_points[1:]
+    digit, read = _digits()[all_points], _known(frozenset(known))[all_points]
+    among = lambda x, marks: np.isin(x, [ord(m) for m in marks])
+    between = (c == ord(".")) & digit[1:]
+    between[0] = False
+    between[1:] &= digit[:-2]
+    space = np.select(
+        [digit[:-1] & (after == ord("》")), between, read[:-1], among(c, "\t\n \"'("), among(c, "!.?")],
+        [True, False, ~read[1:] & ~among(after, _NO_SPACE), False, ~among(after, "\" '")],
+        read[1:],
+    )
+    control = ((c < 32) | ((c >= 127) & (c < 160))) & ~among(c, "\t\n\r")
+    kept = np.append(np.flatnonzero(~control), len(c))
+    times = 1 + np.append(space, False)[kept]
+    new = np.repeat(all_points[kept], times)
+    new[(np.cumsum(times) - 1)[times > 1]] = 32
+    text.text = new.tobytes().decode("utf-32-le", "surrogatepass")
+    text.take(np.repeat(kept, times), np.repeat(kept, times))
     text.sub(re.compile(r"\. \. \. \. \. \."), lambda m: "...")
 
 
@@ -122,12 +159,18 @@ def standardize(source: str, simplify: dict, known, ignored=()) -> Aligned:
 
 def blanked(source: str, simplify: dict, known, ignored=()) -> tuple[str, list[bool]]:
     """The source with a line feed for each character of an ignored phrase, and which characters these are."""
-    text, hidden = without_ignored(source, simplify, known), set()
+    text, hidden = without_ignored(source, simplify, known), []
     for p in ignored:
         for m in re.finditer(re.escape(p), text.text):
-            start, size = merged(text.ranges[m.start() : m.end()])
-            hidden.update(range(start, start + size))
-    flags = [any(u in hidden for u in range(s, s + n)) for s, n in Aligned(source).ranges]
+            if m[0]:
+                hidden.append((text.start[m.start()], text.start[m.end() - 1] + text.size[m.end() - 1]))
+    own = Aligned(source)
+    units = np.zeros(int(own.size.sum()) + 1, dtype=np.int64)
+    for a, b in hidden:
+        units[a] += 1
+        units[b] -= 1
+    covered = np.append(0, np.cumsum(np.cumsum(units)[:-1] > 0))
+    flags = (covered[own.start + own.size] > covered[own.start]).tolist()
     return "".join("\n" if f else c for c, f in zip(source, flags, strict=True)), flags
 
 

@@ -1,7 +1,9 @@
 """Translation of whole texts: the left-to-right scan over phrases, rules, numbers and readings.
 
-Which dictionaries hold is settled with DataFrames (`lexicon`); the scan itself depends on
-what it took before, so each task walks its texts with the dictionaries sent to it.
+Which dictionaries hold is settled with DataFrames (`lexicon`) and written to one file that
+all tasks of a machine map (`keys`). A text is searched once for all keys; which phrase may be
+taken at each place is then settled for all places together, and what depends on what was
+taken before walks from one chosen piece to the next.
 """
 
 from __future__ import annotations
@@ -9,20 +11,22 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasewright.functions import normal, numbers
 from phrasewright.operators import dictionaries as D
+from phrasewright.operators import keys as K
 from phrasewright.operators import rules as R
 
-#: Keys that a dictionary sent to all executors may have; more is an error, since the scan needs the whole dictionary.
-DICTIONARY_ROWS = 2_000_000
 #: What ends a sentence for the word that follows; the reach of the overlap and name tests; the wider view of a rule.
 ENDERS = ("\n", "\t", ". ", '"', "'", "? ", "! ", '." ', '?" ', '!" ', ": ")
 INNER, WIDE = 20, 100
-SLOTS = ("phrases", "names", "raw", "nouns", "surnames", "suffixes", "readings")
+_ENDS = frozenset(e[-1] for e in ENDERS)
+_SPECIAL = np.isin(np.arange(128), [ord(c) for c in "\"'.?!"])
+SLOTS = ("phrases", "names", "raw", "nouns", "surnames", "suffixes")
 
 
 @dataclass(frozen=True)
@@ -37,47 +41,51 @@ class Options:
 
 @dataclass
 class Lexicon:
-    phrases: dict = field(default_factory=dict)
-    names: dict = field(default_factory=dict)
-    raw: dict = field(default_factory=dict)
-    nouns: dict = field(default_factory=dict)
-    surnames: dict = field(default_factory=dict)
-    suffixes: dict = field(default_factory=dict)
+    """name: of the dictionary file; readings: by character; rules: rows of rules.prepared()."""
+
+    name: str = ""
     readings: dict = field(default_factory=dict)
     rules: list = field(default_factory=list)
 
-    def ready(self):
-        """With what the scan derives from the dictionaries."""
-        self.longest, self.name_longest = longest(self.phrases), longest(self.names)
-        self.matcher = R.Rules(self.rules, self.nouns, self.surnames, self.suffixes, self.phrases, self.raw)
-        return self
+    @classmethod
+    def of(cls, readings: dict | None = None, rules: list | None = None, **slots: dict[str, str]) -> Ready:
+        """From dictionaries in memory, ready on this machine."""
+        return Ready(K.Keys.of(**{s: slots.get(s, {}) for s in SLOTS}), readings or {}, rules or [])
+
+    def ready(self) -> Ready:
+        return Ready(K.mapped(self.name), self.readings, self.rules)
+
+
+class Ready:
+    """A lexicon as a task uses it."""
+
+    def __init__(self, keys: K.Keys, readings: dict, rules: list):
+        self.keys, self.readings, self.matcher = keys, readings, R.Rules(rules, keys)
+        self.read = normal.table_of(readings)
+        self.astral = keys.astral or any(c > "\uffff" for said in [*readings.values(), *(r["value"] for r in rules)] for c in said)
+
 
+class _Raw:
+    """The keys that aren't numbers, for numbers.spans()."""
 
-def longest(table: dict) -> dict[str, int]:
-    """The length of the longest key by first character."""
-    out: dict[str, int] = {}
-    for key in table:
-        if key and len(key) > out.get(key[0], 0):
-            out[key[0]] = len(key)
-    return out
+    def __init__(self, keys: K.Keys):
+        self.keys = keys
 
+    def __contains__(self, word: str) -> bool:
+        return self.keys.has("raw", word)
 
-def collected(tables: dict[str, DataFrame], rules: DataFrame | None = None) -> Lexicon:
-    """Dictionaries (key, value) by slot, on the driver; each is counted before it comes."""
-    out = {}
-    for slot, frame in tables.items():
-        frame = frame.where("key is not null and value is not null and key <> ''").select("key", "value")
-        if frame.limit(DICTIONARY_ROWS + 1).count() > DICTIONARY_ROWS:
-            raise ValueError(f"more than {DICTIONARY_ROWS} keys in {slot}")
-        out[slot] = dict(frame.toArrow().to_pandas().itertuples(index=False, name=None))
-    return Lexicon(**out, rules=[r.asDict() for r in R.prepared(rules).collect()] if rules is not None else [])
+
+def collected(tables: dict[str, DataFrame], readings: DataFrame, rules: DataFrame | None = None) -> Lexicon:
+    """Dictionaries (key, value) by slot, written to a file; readings, at most one for each code point, and rules come to the driver."""
+    read = {r.key: r.value for r in readings.where("key is not null and value is not null and char_length(key) = 1").select("key", "value").toLocalIterator()}
+    return Lexicon(K.written(tables), read, [r.asDict() for r in R.prepared(rules).collect()] if rules is not None else [])
 
 
 def lexicon(pairs: DataFrame, overrides: dict[str, DataFrame] | None = None, patches: dict[str, DataFrame] | None = None, one_meaning: bool = False) -> Lexicon:
     """From (dict, line_no, key, value) with dict vietphrase, names, names2, pronouns, surnames, suffixes, readings or rules.
 
     An override replaces a whole dictionary (an empty one empties it). Patches of vietphrase and readings go before the
-    base's entries, though names still go before patched phrases.
+    base's entries, though names still go before patched phrases. Dictionaries may have any number of keys.
     """
     source = lambda name: (overrides or {}).get(name, pairs.where(F.col("dict") == name))
     empty = pairs.limit(0)
@@ -90,42 +98,77 @@ def lexicon(pairs: DataFrame, overrides: dict[str, DataFrame] | None = None, pat
     tables = {
         "phrases": D.one_meaning(phrases) if one_meaning else phrases, "names": names, "raw": raw,
         "nouns": D.noun_values(source("pronouns"), line(names)), "surnames": D.first_wins(source("surnames")), "suffixes": D.first_wins(source("suffixes")),
-        "readings": D.overlaid(patch("readings"), source("readings").where(F.length("key") == 1)),
     }
-    return collected(tables, D.first_wins(source("rules")))
+    return collected(tables, D.overlaid(patch("readings"), source("readings").where(F.length("key") == 1)), D.first_wins(source("rules")))
 
 
 class _Line:
-    """The text so far, what was appended last, and the ranges of source and target."""
+    """The text so far, the end of what was appended since the last word began, and the ranges of source and target."""
 
-    def __init__(self):
-        self.parts, self.last, self.size, self.source, self.target = [], "", 0, [], []
+    __slots__ = ("parts", "last", "size", "blank", "count", "from_start", "from_size", "source_start", "source_size", "target_start", "target_size")
 
-    def ends_blank(self) -> bool:
-        return bool(self.parts) and self.parts[-1].endswith(" ")
+    def __init__(self, start: list[int], size: list[int], astral: bool):
+        self.parts, self.last, self.size, self.blank = [], "", 0, False
+        # UTF-16 units are characters where no character takes two.
+        self.count = units if astral else len
+        self.from_start, self.from_size = start, size
+        self.source_start, self.source_size, self.target_start, self.target_size = [], [], [], []
 
     def raw(self, text: str) -> None:
         self.parts.append(text)
-        self.last += text
-        self.size += units(text)
-
-    def word(self, text: str) -> None:
-        if self.last.endswith(ENDERS):
+        # Three characters tell a sentence's end.
+        self.last = (self.last + text)[-3:]
+        self.blank = text[-1:] == " "
+        self.size += self.count(text)
+
+    def word(self, text: str) -> int:
+        """Appends a word; its own units."""
+        last, own = self.last, self.count(text)
+        if last[-1:] in _ENDS and last.endswith(ENDERS):
             new = capital(text)
         else:
-            new = text if self.last.endswith((" ", "(")) else " " + text
-        if text[:1] in (",", ".", "?", "!", "") and self.ends_blank():
+            new = text if last[-1:] in (" ", "(") else " " + text
+        if self.blank and text[:1] in (",", ".", "?", "!", ""):
             self.parts[-1] = self.parts[-1][:-1]
             self.size -= 1
-        self.last = new
+            self.blank = self.parts[-1][-1:] == " "
         if new:
             self.parts.append(new)
-        self.size += units(new)
+            self.blank = new[-1] == " "
+        self.last = new[-3:]
+        self.size += self.count(new)
+        return own
+
+    def pair(self, first: int, last: int, start: int, size: int) -> None:
+        """A piece of the target stands for the characters from first to last."""
+        begin = self.from_start[first]
+        self.source_start.append(begin)
+        self.source_size.append(self.from_start[last] + self.from_size[last] - begin)
+        self.target_start.append(start)
+        self.target_size.append(size)
+
+    def run(self, text: str, a: int, b: int) -> None:
+        """Characters that stand for themselves."""
+        own, at = text[a:b], self.size
+        self.source_start += self.from_start[a:b]
+        self.source_size += self.from_size[a:b]
+        if (total := self.count(own)) == b - a:
+            self.target_start += range(at, at + total)
+            self.target_size += [1] * total
+        else:
+            for c in own:
+                self.target_start.append(at)
+                self.target_size.append(units(c))
+                at += units(c)
+        self.raw(own)
+
+    def done(self) -> tuple[str, list, list]:
+        return "".join(self.parts), [self.source_start, self.source_size], [self.target_start, self.target_size]
 
 
 def units(text: str) -> int:
     """UTF-16 units."""
-    return len(text) + sum(c > "￿" for c in text) if not text.isascii() else len(text)
+    return len(text) if text.isascii() or max(text) <= "￿" else len(text) + sum(c > "￿" for c in text)
 
 
 def capital(text: str) -> str:
@@ -134,106 +177,145 @@ def capital(text: str) -> str:
     return text[:at] + text[at : at + 1].upper() + text[at + 1 :]
 
 
-def hides_longer(text: str, at: int, size: int, lex: Lexicon, floor: int) -> bool:
-    """Whether a key longer than floor begins inside the phrase."""
-    for i in range(at + 1, at + size):
-        most = min(INNER, len(text) - i, lex.longest.get(text[i], 0))
-        if any(text[i : i + n] in lex.phrases for n in range(most, floor, -1)):
-            return True
-    return False
-
-
-def hides_name(text: str, at: int, size: int, lex: Lexicon) -> bool:
-    """Whether a name of two characters or more begins inside the phrase, which is no name itself."""
-    if size < 2 or text[at : at + size] in lex.names:
-        return False
-    for i in range(at + 1, at + size):
-        most = min(INNER, len(text) - i, lex.name_longest.get(text[i], 0))
-        if any(text[i : i + n] in lex.names for n in range(most, 1, -1)):
-            return True
-    return False
-
-
-def accepted(text: str, at: int, size: int, lex: Lexicon, options: Options) -> bool:
-    if options.names_first and hides_name(text, at, size, lex):
-        return False
-    if options.algorithm not in (0, 2) or (options.names_first and text[at : at + size] in lex.names):
-        return True
-    return size < 2 or not hides_longer(text, at, size, lex, size if options.algorithm == 0 else max(size, 3))
+class _Choice:
+    """For all places of a text: the longest phrase that may be taken, and what hides behind a phrase."""
+
+    def __init__(self, keys: K.Keys, size: int, found: tuple[np.ndarray, np.ndarray, np.ndarray], options: Options):
+        start, length, record = found
+        mask = np.asarray(keys.mask)[record]
+        is_name = mask & keys.bit["names"] > 0
+        begins = np.zeros(size + 2, dtype=np.int64)
+        begins[start[is_name & (length >= 2) & (length <= INNER)] + 1] = 1
+        #: How many places before each have a name of two characters or more.
+        self.names_before = np.cumsum(begins)
+        self.names = set((start[is_name] << 6 | length[is_name]).tolist())
+        phrase = mask & keys.bit["phrases"] > 0
+        start, length, record, is_name = start[phrase], length[phrase], record[phrase], is_name[phrase]
+        inside = (length >= 2) & ~is_name & (self.names_before[start + length] > self.names_before[start + 1])
+        ok = length <= options.scan
+        if options.names_first:
+            ok &= ~inside
+        if options.algorithm in (0, 2):
+            longest = np.zeros(size + K.LONGEST, dtype=np.int64)
+            reach = length <= INNER
+            longest[start[reach]] = length[reach]
+            floor = length if options.algorithm == 0 else np.maximum(length, 3)
+            hides = np.zeros(len(start), dtype=bool)
+            for d in range(1, int(length.max(initial=0))):
+                hides |= (d < length) & (longest[start + d] > floor)
+            ok &= ~hides | (is_name & options.names_first)
+        size_of, of, lengths = (np.zeros(size, dtype=np.int64) for _ in range(3))
+        # Keys come the shortest first, so the longest stays.
+        size_of[start[ok]], of[start[ok]] = length[ok], record[ok]
+        np.add.at(lengths, start, np.left_shift(1, length))
+        #: A bit for the length of each phrase at a place, taken or not.
+        self.size, self.record, self.lengths = size_of.tolist(), of.tolist(), lengths.tolist()
+
+    def hides_name(self, at: int, size: int) -> bool:
+        """Whether a name of two characters or more begins inside a stretch, which is no name itself."""
+        return size >= 2 and (at << 6 | size) not in self.names and bool(self.names_before[at + size] > self.names_before[at + 1])
 
 
 class _RuleTries:
     """When a rule may be tried: not again at a place that failed, nor before the match that is pending, nor inside a stretch
     that was found to hold none."""
 
-    def __init__(self, text: str, lex: Lexicon):
-        self.text, self.lex, self.free_to, self.pending, self.failed_at = text, lex, -1, -1, -1
+    def __init__(self, text: str, codes: np.ndarray, lex: Ready, places: R.Places, choice: _Choice):
+        self.text, self.lex, self.places, self.choice = text, lex, places, choice
+        self.free_to, self.pending, self.failed_at = -1, -1, -1
+        ends = np.where((codes == 10) | (codes == 9), np.arange(len(codes)), len(codes))
+        #: Where the line of each place ends.
+        self.line_end = np.minimum.accumulate(ends[::-1])[::-1].tolist()
 
     def open(self, at: int, size: int) -> bool:
         return self.failed_at != at and self.free_to < at + size - 1 and at >= self.pending
 
     def at(self, at: int, size: int) -> tuple[int, str] | None:
         """(length, rendered) of a rule that applies at this place, seen through a window of this size."""
-        text, rules, readings = self.text, self.lex.matcher, self.lex.readings
-        m = rules.best(text[at : at + size])
-        if m:
+        text, rules = self.text, self.lex.matcher
+        if m := self.places.best(at, at + size):
             self.pending = at + m.index
-            if m.index or ("{n}" not in m.key and hides_name(text, at, m.length, self.lex)):
+            if m.index or ("{n}" not in m.key and self.choice.hides_name(at, m.length)):
                 return None
             said = rules.render(text[at : at + m.length], m)
             return None if said is None else (m.length, said.strip())
         self.pending, self.free_to, self.failed_at = at - 1, at + size - 1, at
         wide = WIDE
-        while at + wide < len(text) and text[at + wide - 1] in readings:
+        while at + wide < len(text) and text[at + wide - 1] in self.lex.readings:
             wide += 1
-        if at + wide <= len(text) and rules.best(text[at : at + wide]) is None:
+        if at + wide <= len(text) and self.places.best(at, at + wide) is None:
             self.free_to = at + wide - 1
         return None
 
+    def match(self, at: int, window: int, least: int) -> tuple[int, str] | None:
+        """A rule's match at this place that is tried before any phrase that may be taken."""
+        phrases = self.choice.lengths[at]
+        for size in range(min(window, self.line_end[at] - at), max(least, self.choice.size[at] + 1, 3) - 1, -1):
+            if not phrases >> size & 1 and self.open(at, size):
+                if hit := self.at(at, size):
+                    return hit
+                if not self.open(at, size - 1):
+                    return None
+        return None
+
 
-def scan(text: str, ranges: list[tuple[int, int]], lex: Lexicon, options: Options) -> tuple[str, list, list]:
-    """The translation of a normalised text, and the ranges of source and target that belong together."""
-    found = numbers.spans(text, lex.raw)
-    text = swapped(text)
-    line, at, rules = _Line(), 0, _RuleTries(text, lex) if lex.matcher else None
-
-    def put(said: str, size: int) -> int:
-        said = f"[{said}]" if options.wrap else said
-        line.word(said)
-        line.source.append(normal.merged(ranges[at : at + size]))
-        line.target.append((max(0, line.size - units(said)), units(said)))
-        if text[at + size : at + size + 1] in lex.readings:
-            line.raw(" ")
-        return at + size
-
-    while at < len(text):
-        number, moved = found.get(at), None
-        window = min(options.scan, len(text) - at)
-        most, least = min(window, lex.longest.get(text[at], 0)), number[0] if number else 1
-        size, broken = most, 0
-        if rules and rules.open(at, window):
-            size = window
-            broken = next((i for i in range(window) if text[at + i] in "\n\t"), window)
-        while size >= least:
-            said = lex.phrases.get(text[at : at + size]) if size <= most else None
-            if said is not None:
-                if accepted(text, at, size, lex, options):
-                    moved = put(said, size)
-                    break
-            elif 2 < size <= broken and rules.open(at, size):
-                if hit := rules.at(at, size):
-                    moved = put(hit[1], hit[0])
-                    break
-                if not rules.open(at, size - 1):
-                    broken, size = 0, min(size, most + 1)
-            size -= 1
-        if moved is None and number and (said := numbers.phrase(number[1])) is not None:
-            moved = put(said, number[0])
-        if moved is None:
-            single(text, at, ranges[at], lex, options, line)
-            moved = at + 1
-        at = moved
-    return "".join(line.parts), line.source, line.target
+def scan(x: normal.Aligned, lex: Ready, options: Options) -> tuple[str, list, list]:
+    """The translation of a normalised text, and the ranges of source and target that belong together, as starts and lengths."""
+    found = numbers.spans(x.text, _Raw(lex.keys))
+    text = swapped(x.text)
+    codes, size, readings = normal.points(text), len(text), lex.readings
+    keys = lex.keys.find(codes)
+    choice = _Choice(lex.keys, size, keys, options)
+    line = _Line(x.start.tolist(), x.size.tolist(), lex.astral or bool((codes > 0xFFFF).any()))
+    rules = None
+    if lex.matcher and (places := R.Places(lex.matcher, text, codes, keys)):
+        rules = _RuleTries(text, codes, lex, places, choice)
+    longest, records, value, reach = choice.size, choice.record, lex.keys.value, options.scan
+    read = lex.read[codes]
+    # Up to where characters stand for themselves, from each place on.
+    special = read | _SPECIAL[np.minimum(codes, 127)] | (np.array(longest, dtype=np.int64) > 0)
+    special[list(found)] = True
+    stop = np.where(special, np.arange(size), size)
+    stop = np.minimum.accumulate(stop[::-1])[::-1].tolist()
+    read = [*read.tolist(), False]
+    word, raw, pair, run, wrap = line.word, line.raw, line.pair, line.run, options.wrap
+    at = 0
+    while at < size:
+        if (end := stop[at]) > at and not rules:
+            run(text, at, end)
+            at = end
+            continue
+        number = found.get(at) if found else None
+        least, said = number[0] if number else 1, None
+        if rules and rules.free_to < at + reach - 1 and rules.open(at, window := min(reach, size - at)) and (hit := rules.match(at, window, least)):
+            length, said = hit
+        elif longest[at] >= least:
+            length, said = longest[at], value("phrases", records[at])
+        elif number and (said := numbers.phrase(number[1])) is not None:
+            length = least
+        if said is not None:
+            own = word(f"[{said}]" if wrap else said)
+            pair(at, at + length - 1, max(0, line.size - own), own)
+            at += length
+            if read[at]:
+                raw(" ")
+        elif end > at:
+            if rules:
+                # Rules stay shut as long as windows end inside the free stretch.
+                end = max(at + 1, min(end, rules.free_to - reach + 2))
+            run(text, at, end)
+            at = end
+        elif read[at]:
+            said, start = readings[text[at]], line.size
+            own = word(f"[{said}]" if wrap else said)
+            pair(at, at, start, own)
+            at += 1
+            if read[at]:
+                raw(" ")
+        else:
+            _single(text, at, line)
+            at += 1
+    return line.done()
 
 
 def swapped(text: str) -> str:
@@ -241,69 +323,67 @@ def swapped(text: str) -> str:
     return re.sub("([余多])([百千万亿])", r"\2\1", text) if "余" in text or "多" in text else text
 
 
-def single(text: str, at: int, source: tuple[int, int], lex: Lexicon, options: Options, line: _Line) -> None:
-    """One character: its reading, a quote with a space before it, or as it is. Its target begins before the space."""
+def _single(text: str, at: int, line: _Line) -> None:
+    """A character without a reading: a quote with a space before it, or as it is. Its target begins before the space."""
     c, after, start = text[at], text[at + 1 : at + 2], line.size
-    if c in lex.readings:
-        said = f"[{lex.readings[c]}]" if options.wrap else lex.readings[c]
-        line.word(said)
-        if after in lex.readings:
-            line.raw(" ")
-    elif c in "\"'" and not line.last.endswith((" ", ".", "?", "!", "\t")) and after not in ("", " ", ","):
-        said = c
-        line.raw(" ")
-        line.raw(c)
+    if c in "\"'" and not line.last.endswith((" ", ".", "?", "!", "\t")) and after not in ("", " ", ","):
+        line.raw(" " + c)
     else:
-        said = c
-        line.raw(c)
         decimal = c == "." and at > 0 and "0" <= text[at - 1] <= "9" and "0" <= after <= "9"
-        if c in ".?!" and after not in ("", " ", '"', "'") and not decimal:
-            line.raw(" ")
-    line.source.append(source)
-    line.target.append((start, units(said)))
+        line.raw(c + " " if c in ".?!" and after not in ("", " ", '"', "'") and not decimal else c)
+    line.pair(at, at, start, units(c))
 
 
-def read_aloud(text: str, ranges: list[tuple[int, int]], readings: dict) -> tuple[str, list, list]:
+def read_aloud(x: normal.Aligned, readings: dict) -> tuple[str, list, list]:
     """Readings only: every known character by its reading, a space between words; all options are ignored."""
-    line = _Line()
+    line, text = _Line(x.start.tolist(), x.size.tolist(), True), x.text
     for at, c in enumerate(text):
         start = line.size
         if c in readings:
-            line.word(readings[c])
+            said = readings[c]
+            line.word(said)
             if text[at + 1 : at + 2] in readings:
                 line.raw(" ")
-            said = readings[c]
         else:
             said = "" if c == "　" else c
             line.raw(said)
-        line.source.append(ranges[at])
-        line.target.append((start, units(said)))
-    return "".join(line.parts), line.source, line.target
+        line.pair(at, at, start, units(said))
+    return line.done()
 
 
 _RESULT = f"doc_id long, translated string, n_spans long, source_ranges array<{normal.RANGE}>, target_ranges array<{normal.RANGE}>"
 
 
+def _listed(rows: list) -> pa.Array:
+    """[starts, lengths] of each row as lists of ranges."""
+    ends = np.append(0, np.cumsum([len(s) for s, _ in rows])).astype(np.int32)
+    flat = [pa.array(np.fromiter((v for r in rows for v in r[i]), dtype=np.int32, count=int(ends[-1]))) for i in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, ["start", "length"]))
+
+
 def translated(texts: DataFrame, lex: Lexicon, options: Options = Options(), mode: str = "phrases", normalise: bool = False, simplify: tuple[str, str] = ("", ""), ignored=()) -> DataFrame:
     """(doc_id, translated, n_spans, source_ranges, target_ranges) of each text; mode "readings" takes only readings.
 
     n_spans counts the ranges. With normalise, texts are normalised first, and source ranges still point into the given text.
-    Null texts are empty and give nothing. No row is shuffled.
+    Null texts are empty and give nothing. Texts that lie in fewer partitions than there are cores are dealt out anew, since a
+    scan costs far more than moving its text; else no row is shuffled.
     """
-    sent = texts.sparkSession.sparkContext.broadcast((lex, options, normal.tables(simplify, lex.readings, ignored)))
+    session = texts.sparkSession
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if texts.rdd.getNumPartitions() < (cores := session.sparkContext.defaultParallelism):
+        texts = texts.repartition(4 * cores)
+    sent = session.sparkContext.broadcast((lex, options, normal.tables(simplify, lex.readings, ignored)))
 
     def walked(batches):
         own, options, known = sent.value
-        if not hasattr(own, "longest"):
-            own.ready()
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+        ready = own.ready()
         for whole in batches:
-            for a in range(0, max(whole.num_rows, 1), 256):
-                batch, rows = whole.slice(a, 256), []
+            for a in range(0, max(whole.num_rows, 1), 64):
+                batch, rows = whole.slice(a, 64), []
                 for text in batch.column("text").to_pylist():
                     x = normal.standardize(text or "", *known) if normalise else normal.Aligned(text or "")
-                    rows.append(read_aloud(x.text, x.ranges, own.readings) if mode == "readings" else scan(x.text, x.ranges, own, options))
-                listed = lambda i: pa.array([[{"start": s, "length": n} for s, n in r[i]] for r in rows], kind)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([len(r[1]) for r in rows], pa.int64()), listed(1), listed(2)], names=["doc_id", "translated", "n_spans", "source_ranges", "target_ranges"])
+                    rows.append(read_aloud(x, ready.readings) if mode == "readings" else scan(x, ready, options))
+                counts = pa.array([len(r[1][0]) for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), counts, *(_listed([r[i] for r in rows]) for i in (1, 2))], names=["doc_id", "translated", "n_spans", "source_ranges", "target_ranges"])
 
-    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(walked, _RESULT)
+    return texts.mapInArrow(walked, _RESULT)

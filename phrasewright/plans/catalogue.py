@@ -201,8 +201,8 @@ def translate_ranges(spark, sf_dir):
 @_query()
 def rule_best_match(spark, sf_dir):
     """The rule that applies first in each conversation turn, and what it says."""
-    lex = scan.lexicon(_dictionaries(spark)).ready()
-    found = _turns(spark, sf_dir).distinct().select("doc_id", R.best_match("text", lex.matcher).alias("m"))
+    lex = scan.lexicon(_dictionaries(spark))
+    found = _turns(spark, sf_dir).distinct().select("doc_id", R.best_match("text", lex.name, lex.rules).alias("m"))
     return found.where("m is not null").select("doc_id", "m.index", "m.length", "m.key", "m.rendered")
 
 

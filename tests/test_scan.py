@@ -16,9 +16,9 @@ def prepared(spark):
 
 
 def run(text, options=S.Options(), mode="phrases", **tables):
-    lex = S.Lexicon(**{"readings": READINGS, **tables}).ready()
-    x = normal.Aligned(text)
-    return S.read_aloud(x.text, x.ranges, lex.readings) if mode == "readings" else S.scan(x.text, x.ranges, lex, options)
+    lex, x = S.Lexicon.of(**{"readings": READINGS, **tables}), normal.Aligned(text)
+    said, source, target = S.read_aloud(x, lex.readings) if mode == "readings" else S.scan(x, lex, options)
+    return said, list(zip(*source, strict=True)), list(zip(*target, strict=True))
 
 
 def test_phrases_and_readings():
@@ -54,7 +54,7 @@ def test_numbers():
 
 
 def test_rules(prepared):
-    rules = R.Rules(prepared, {"他": "hắn"})
+    rules = R.Rules.of(prepared, nouns={"他": "hắn"})
     for text, said in {"第十二章": "chương 12:", "百分之三点五": "3.5%", "三分之四": "4/3", "2025年7月21号": "ngày 21 tháng 7 năm 2025", "在他身后": "sau lưng hắn", "2025年7月2号": "mùng 2 tháng 7 năm 2025", "十两": "10 lượng"}.items():
         m = rules.best(text)
         assert m.index == 0 and rules.render(text, m) == said, text
@@ -62,7 +62,7 @@ def test_rules(prepared):
     assert (m.index, m.length, m.noun) == (4, 4, "hắn")
     for key, begin in {"在{n}身后": "在", "第{s}(更|章)": "第", "百分[之]?{s}": "百分", "QQ号{n}": "QQ号", "{s}年{s}月{s}号": "", "[与和跟]{n}无关": "", "在?他{n}": "", "很{2}好{n}": "", "他|她{n}身后": "", "在 他{n}": "在"}.items():
         assert R.anchor(key) == begin, key
-    assert R.literals("在{n}身[后]?x?y(a|b)") == ["在", "身", "y"] and R.normalized_length("(更|章节)[ab]c?") == 3
+    assert R.literals("在{n}身[后]?x?y(a|b)") == ["在", "身", "y"] and R.measure("(更|章节)[ab]c?") == 3 and R.needed("在{n}身后来[的]?") == "身后来"
 
 
 def test_rules_in_the_scan(prepared):
