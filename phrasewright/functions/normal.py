@@ -32,6 +32,8 @@ class Aligned:
         self.text = text
         self.size = 1 + (points(text) > 0xFFFF).astype(np.int64)
         self.start = np.cumsum(self.size) - self.size
+        #: Which characters stand for something cut out, over which nothing may reach.
+        self.blocked = np.zeros(len(text), dtype=bool)
 
     @property
     def ranges(self) -> list[tuple[int, int]]:
@@ -40,6 +42,11 @@ class Aligned:
     def take(self, first: np.ndarray, last: np.ndarray) -> None:
         """Each new character stands for the characters from first to last."""
         end = (self.start + self.size)[last]
+        if self.blocked.any():
+            before = np.append(0, np.cumsum(self.blocked))
+            self.blocked = before[last + 1] > before[first]
+        else:
+            self.blocked = np.zeros(len(first), dtype=bool)
         self.start = self.start[first]
         self.size = end - self.start
 
@@ -62,6 +69,17 @@ class Aligned:
             self.take(np.concatenate([*first, kept]), np.concatenate([*last, kept]))
 
 
+    def separate(self, phrase: str) -> None:
+        """Each place of a phrase becomes one blocked line feed, which holds the phrase's range."""
+        at, shift = [], 0
+        for m in re.finditer(re.escape(phrase), self.text) if phrase else ():
+            at.append(m.start() - shift)
+            shift += len(phrase) - 1
+        if at:
+            self.sub(re.compile(re.escape(phrase)), lambda m: "\n")
+            self.blocked[at] = True
+
+
 def points(text: str) -> np.ndarray:
     """The code points of a text."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -92,9 +110,18 @@ def merged(ranges) -> tuple[int, int]:
     return start, max(s + n for s, n in ranges) - start
 
 
-def entity(m: re.Match) -> str | None:
+#: Names of HTML 4 that the normaliser leaves as they are; it knows apos besides the others.
+UNKNOWN = (
+    "quot gt reg Aring AElig Ccedil Igrave Icirc Iuml ETH Ograve Ocirc Otilde Uacute Yacute agrave aacute acirc atilde auml egrave eacute ecirc euml iacute ntilde oacute ouml oslash ugrave "
+    "ucirc uuml thorn OElig scaron Yuml tilde Beta Delta Epsilon Zeta Theta Iota Lambda Xi Pi Tau Phi Chi alpha gamma eta kappa mu nu omicron rho sigma upsilon psi omega Dagger Prime trade "
+    "larr rarr darr uArr rArr dArr hArr and cap cup le ge sup lang rang"
+).split()
+LEGACY = {k: v for k, v in name2codepoint.items() if k not in UNKNOWN} | {"apos": 39}
+
+
+def entity(m: re.Match, names: dict[str, int] = LEGACY) -> str | None:
     """The character of a reference; None leaves it as it is."""
-    code = int(m["d"]) if m["d"] else int(m["x"], 16) if m["x"] else name2codepoint.get(m["name"])
+    code = int(m["d"]) if m["d"] else int(m["x"], 16) if m["x"] else names.get(m["name"])
     if code is None or code > 0x10FFFF or 0xD800 <= code < 0xE000:
         return None
     return chr(code)
@@ -158,17 +185,15 @@ def standardize(source: str, simplify: dict, known, ignored=()) -> Aligned:
 
 
 def blanked(source: str, simplify: dict, known, ignored=()) -> tuple[str, list[bool]]:
-    """The source with a line feed for each character of an ignored phrase, and which characters these are."""
-    text, hidden = without_ignored(source, simplify, known), []
+    """The source with a line feed for each character of an ignored phrase, and which characters these are. Phrases are looked
+    for in the normalised text, the longest first; what one has taken, a later one doesn't reach over."""
+    text = without_ignored(source, simplify, known)
     for p in ignored:
-        for m in re.finditer(re.escape(p), text.text):
-            if m[0]:
-                hidden.append((text.start[m.start()], text.start[m.end() - 1] + text.size[m.end() - 1]))
+        text.separate(p)
     own = Aligned(source)
     units = np.zeros(int(own.size.sum()) + 1, dtype=np.int64)
-    for a, b in hidden:
-        units[a] += 1
-        units[b] -= 1
+    np.add.at(units, text.start[text.blocked], 1)
+    np.add.at(units, (text.start + text.size)[text.blocked], -1)
     covered = np.append(0, np.cumsum(np.cumsum(units)[:-1] > 0))
     flags = (covered[own.start + own.size] > covered[own.start]).tolist()
     return "".join("\n" if f else c for c, f in zip(source, flags, strict=True)), flags
@@ -180,9 +205,10 @@ def tables(simplify: tuple[str, str] = ("", ""), readings=(), ignored=()):
     return table, known, ignored_list(ignored, table, known)
 
 
-def decoded_entities(text) -> Column:
-    """Character references decoded once; what isn't one stays."""
-    return F.udf(lambda t: None if t is None else _ENTITY.sub(lambda m: entity(m) or m[0], t), "string", useArrow=True)(col(text))
+def decoded_entities(text, legacy: bool = False) -> Column:
+    """Character references decoded once; what isn't one stays. legacy: only the names that the normaliser knows, else those of HTML 4."""
+    names = LEGACY if legacy else name2codepoint
+    return F.udf(lambda t: None if t is None else _ENTITY.sub(lambda m: entity(m, names) or m[0], t), "string", useArrow=True)(col(text))
 
 
 def standardized(text, simplify: tuple[str, str] = ("", ""), readings=(), ignored=()) -> Column:

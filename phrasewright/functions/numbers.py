@@ -27,13 +27,14 @@ _SHAPES = {"tens": re.compile("[十百千]+..[万亿]", re.S), "both": re.compil
 
 
 def magnitude(n: int) -> str:
-    """In units of ức and vạn, the rest grouped; ức themselves are counted the same way."""
+    """In units of ức and vạn, the rest grouped; ức themselves are counted the same way. Below -9,999 there is no such text."""
     if abs(n) < 10_000:
         return f"{n:,}"
+    if n < 0:
+        return ""
     high, rest = divmod(n, UNIT["亿"])
-    parts = [f"{magnitude(high)} ức"] if high > 0 else []
     mid, low = divmod(rest, UNIT["万"])
-    return " ".join([*parts, *([f"{mid:,} vạn"] if mid else []), *([f"{low:,}"] if low else [])])
+    return " ".join([*([f"{magnitude(high)} ức"] if high else []), *([f"{mid:,} vạn"] if mid else []), *([f"{low:,}"] if low else [])])
 
 
 def range_text(text: str) -> str | None:

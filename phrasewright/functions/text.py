@@ -177,12 +177,15 @@ def grouped(n) -> Column:
     return F.format_number(col(n).cast("long"), 0)
 
 
-def magnitude_text(n) -> Column:
-    """Whole numbers in units of ức (10^8) and vạn (10^4), the rest grouped."""
+def magnitude_text(n, deep: int = 2) -> Column:
+    """Whole numbers in units of ức (10^8) and vạn (10^4), the rest grouped; ức themselves are counted the same way, which two
+    levels do for 64 bits. Numbers below -9,999 are empty."""
     v = col(n).cast("long")
-    high, mid, low = F.floor(v / 100_000_000), F.floor(F.pmod(v, F.lit(100_000_000)) / 10_000), F.pmod(v, F.lit(10_000))
-    parts = F.concat_ws(" ", F.when(high > 0, F.concat(grouped(high), F.lit(" ức"))), F.when(mid > 0, F.concat(grouped(mid), F.lit(" vạn"))), F.when(low > 0, grouped(low)))
-    return F.when(v < 10_000, grouped(v)).otherwise(parts)
+    whole = lambda by: F.call_function("div", v, F.lit(by))
+    high, mid, low = whole(100_000_000), F.floor(F.pmod(v, F.lit(100_000_000)) / 10_000), F.pmod(v, F.lit(10_000))
+    said = magnitude_text(high, deep - 1) if deep else grouped(high)
+    parts = F.concat_ws(" ", F.when(high > 0, F.concat(said, F.lit(" ức"))), F.when(mid > 0, F.concat(grouped(mid), F.lit(" vạn"))), F.when(low > 0, grouped(low)))
+    return F.when(v <= -10_000, "").when(v < 10_000, grouped(v)).otherwise(parts)
 
 
 def numerals_of(n) -> Column:

@@ -103,9 +103,14 @@ def merged_entities(found: DataFrame, entities: DataFrame, rejected: DataFrame,
     return both.select("doc_id", "word", score.alias("score"))
 
 
+def _quoted(word):
+    """A word as an expression that matches it alone; the quote's own end inside the word is quoted apart."""
+    return F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def places(text, word):
     """Starts (from 1) of the places of a word from left to right, none inside another."""
-    parts = F.transform(F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1), lambda x: F.length(x))
+    parts = F.transform(F.split(text, _quoted(word), -1), lambda x: F.length(x))
     upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + x))
     return F.when(F.size(parts) > 1, F.transform(F.slice(upto, 1, F.size(parts) - 1), lambda x, i: x + i * F.length(word) + 1)).otherwise(F.array().cast("array<int>"))
 
@@ -117,7 +122,7 @@ def contexts(text, word, radius: int = 36, most: int = 3):
         return F.concat(F.substr(text, first, at - first), F.lit("【"), word, F.lit("】"), F.substr(text, at + F.length(word), F.lit(radius)))
 
     # Only as much of the text as holds the places: the rest stays in one piece.
-    few = F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")), most + 1)
+    few = F.split(text, _quoted(word), most + 1)
     sizes = F.transform(F.slice(few, 1, F.size(few) - 1), lambda x: F.length(x))
     starts = F.transform(sizes, lambda x, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, y: a + y) + i * F.length(word) + 1)
     return F.transform(starts, around)

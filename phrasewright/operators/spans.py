@@ -1,7 +1,6 @@
 """Longest-match translation as joins: candidate spans, acceptance tests, the greedy choice, and rendering.
 
-Every text position probes the broadcast dictionary (its size is checked) for lengths up to
-the longest key that begins with that character. The greedy left-to-right choice takes, from
+Every text is searched for all keys of a dictionary at once (`keys`). The greedy left-to-right choice takes, from
 the longest span at each position, those that begin where the last ended.
 """
 
@@ -12,28 +11,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keys that a dictionary sent to all executors may have.
-DICTIONARY_ROWS = 2_000_000
+from phrasewright.functions.normal import points
+from phrasewright.operators import keys as K
+
 _ENDERS = ("\n", "\t", ". ", '"', "'", "? ", "! ", '." ', '?" ', '!" ', ": ")
 
 
 def candidates(texts: DataFrame, pairs: DataFrame, scan: int = 30) -> DataFrame:
-    """(doc_id, start, length, key, value): all dictionary keys in all texts; start from 0."""
-    spark = texts.sparkSession
-    if pairs.limit(DICTIONARY_ROWS + 1).count() > DICTIONARY_ROWS:
-        raise ValueError(f"more than {DICTIONARY_ROWS} keys")
-    entries = spark.sparkContext.broadcast({r.key: r.value for r in pairs.where(F.length("key").between(1, scan)).select("key", "value").toLocalIterator()})
+    """(doc_id, start, length, key, value): all dictionary keys of up to `scan` characters in all texts; start from 0. A key that
+    stands twice counts once. The dictionary goes to the tasks as a file, so it may have any number of keys."""
+    name = K.written({"keys": pairs.where(F.length("key") <= scan).groupBy("key").agg(F.max("value").alias("value"))})
 
     def found(batches):
-        table, longest = entries.value, {}
-        for key in table:
-            longest[key[0]] = max(longest.get(key[0], 0), len(key))
+        table = K.mapped(name)
         for batch in batches:
             for doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
-                rows = [(doc, i, n, text[i : i + n]) for i, c in enumerate(text or "") if c in longest for n in range(1, min(longest[c], len(text) - i) + 1) if text[i : i + n] in table]
-                for a in range(0, len(rows), 50_000):
-                    ids, starts, sizes, keys = zip(*rows[a : a + 50_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys), pa.array([table[k] for k in keys])], names=["doc_id", "start", "length", "key", "value"])
+                start, length, record = table.find(points(text or ""))
+                for a in range(0, len(start), 50_000):
+                    s, n, r = (x[a : a + 50_000].tolist() for x in (start, length, record))
+                    keys = [text[i : i + k] for i, k in zip(s, n, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(s), pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(keys, pa.string()), pa.array([table.value("keys", x) for x in r], pa.string())], names=["doc_id", "start", "length", "key", "value"])
 
     return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, "doc_id long, start int, length int, key string, value string")
 
