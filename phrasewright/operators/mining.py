@@ -6,12 +6,15 @@ a segmenter come as a DataFrame too; without one, candidates are n-grams alone.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phrasewright.functions.numbers import NUMBER_CHARS
 from phrasewright.functions.text import first_meaning, title_words
 from phrasewright.operators import names as N
+from phrasewright.sources.shared import settled
 
 #: What introduces a name; endings of persons, places and organisations; strings that no name holds.
 TRIGGERS = "名为 名字叫 叫做 叫 姓 名叫 自称 号称 称为 乃是".split()
@@ -20,6 +23,8 @@ PLACES = "国 州 郡 省 市 县 镇 乡 村 城 山 峰 谷 岛 海 湖 河 
 ORGANISATIONS = "宗 门 派 教 帮 盟 会 阁 殿 宫 院 学院 公司 集团 协会 军 队 局 部 家族 一族 王朝 帝国".split()
 STOPS = "她 着 的 你 我 了 他 什么 也 什 们 在 您 那 这 这个 不过 尔 啊 吧 一边 没 哪个 就是 有些 很 非常 还是 再有 发现 数 十几".split()
 OFTEN, TITLE_SCORE = 5, 0.90
+#: What no name of an external list holds.
+MARKS = "[0-9\"'\t。，！？；：、—\\\\/@.]|……"
 
 
 def _any(words) -> str:
@@ -145,8 +150,8 @@ def hybrid(texts: DataFrame, tables: dict[str, DataFrame], inside: str = r"\p{Is
     value = N.hybrid_score(F.col("n"), F.col("token"), F.col("trigger"), F.col("surname"), F.col("suffix"), F.col("remainder"), F.col("common"))
     found = found.withColumn("score", F.when(F.col("known"), F.lit(1.0).cast("float")).otherwise(value))
     told = F.col("trigger") | F.col("surname") | F.col("suffix") | (F.col("n") >= least)
-    # Kept while its words are spelled and matched with templates: candidates are few beside the n-grams they come from.
-    found = found.where(F.col("known") | ((F.col("score") >= F.lit(score).cast("float")) & told)).persist()
+    # Written, as its words are spelled and matched with templates: candidates are few beside the n-grams they come from.
+    found = settled(found.where(F.col("known") | ((F.col("score") >= F.lit(score).cast("float")) & told)), "candidates")
     found = suggested(found, tables["nouns"], tables["raw"], tables["phrases"], tables["readings"], F.col("surname") | F.col("trigger"))
     found = found.withColumn("suggested", F.coalesce("told", "suggested")).where(F.col("known") | F.contains("suggested", F.lit(" ")))
     return N.ranked(N.pruned(found), most).select("doc_id", "word", "suggested", "entity_type", "score", "n", "first", "known", "rank")
@@ -189,16 +194,16 @@ def local(texts: DataFrame, tokens: DataFrame, tables: dict[str, DataFrame], lea
     """(doc_id, word, suggested, score, n, first, rank): frequent tokens (doc_id, start, word) of two to five characters,
     thinned by common beginnings and known names, in the order of their first places; book titles besides."""
     names2 = tables.get("names2", tables["names"].limit(0))
-    words = N.shortest_per_prefix(N.token_counts(tokens, STOPS, least)).select("doc_id", "word")
+    tokens = settled(tokens, "tokens")
+    words = settled(N.shortest_per_prefix(N.token_counts(tokens, STOPS, least)).select("doc_id", "word"), "words")
     for _ in range(2):
-        words = words.join(N.chained(words, names2, texts), ["doc_id", "word"], "left_anti")
-    words = led_by_segments(words, tokens, tables["raw"], tables["phrases"], tables["nouns"], tables["surnames"])
+        words = settled(words.join(N.chained(words, names2, texts), ["doc_id", "word"], "left_anti"), "words")
+    words = settled(led_by_segments(words, tokens, tables["raw"], tables["phrases"], tables["nouns"], tables["surnames"]), "words")
     words = words.join(tables["phrases"].select(F.col("key").alias("word")), "word", "left_anti").join(part_of_names(words, names2, tables["surnames"]), ["doc_id", "word"], "left_anti")
     words = words.where(~F.col("word").rlike(f"^[{NUMBER_CHARS}]{{3,}}$")).withColumn("title", F.lit(False))
     titled = N.titles(texts).select("doc_id", F.concat(F.lit("《"), "title", F.lit("》")).alias("word"), F.lit(True).alias("title"))
-    at = words.unionByName(titled).join(texts.select("doc_id", "text"), "doc_id")
-    plain = F.replace("text", F.col("word"), F.lit(""))
-    found = at.select("doc_id", "word", "title", ((F.length("text") - F.length(plain)) / F.length("word")).cast("long").alias("n"), (F.instr("text", F.col("word")) - 1).alias("first")).where("n > 0")
+    every = settled(words.unionByName(titled), "words")
+    found = settled(every.join(N.occurrences(texts, every), ["doc_id", "word"]), "found")
     found = suggested(found, tables["nouns"], tables["phrases"].limit(0), tables["phrases"], tables["readings"], F.lit(True))
     found = found.where(F.col("title") | F.contains("suggested", F.lit(" ")))
     found = found.withColumns({"score": F.when(F.col("title"), F.lit(TITLE_SCORE).cast("float")).when(F.col("n") < least, F.lit(0.0).cast("float")).otherwise(N.local_score(F.col("n"), least)), "word": F.when(F.col("title"), F.concat(F.lit("《 "), F.substr("word", F.lit(2), F.length("word") - 2), F.lit(" 》"))).otherwise(F.col("word"))})
@@ -206,6 +211,43 @@ def local(texts: DataFrame, tokens: DataFrame, tables: dict[str, DataFrame], lea
     return found.withColumn("rank", order).where(F.col("rank") <= most).select("doc_id", "word", "suggested", "score", "n", "first", "rank")
 
 
+def refiltered(listed: DataFrame, texts: DataFrame, tables: dict[str, DataFrame], stops: list[str] = STOPS) -> DataFrame:
+    """(doc_id, word, spelled, n, listed, rank): an external list of names (doc_id, word) after the checks of a text.
+
+    Words go that are names already, hold digits, quotes or marks, hold a stop string, are part of a name of the second list
+    (names2), or are the beginning of a listed word one character longer. The others stay if they stand twice in the text, or
+    once with a surname before, a noun behind or in title brackets, and if they have readings. Order: how many entries of the
+    list hold the word, then its length and itself.
+    """
+    names2 = tables.get("names2", tables["names"].limit(0))
+    each = listed.where("trim(word) <> ''").select("doc_id", "word")
+    words = each.distinct()
+    # One longer: a word without its last character, met by equality.
+    begun = words.where("length(word) > 1").select("doc_id", F.substr("word", F.lit(1), F.length("word") - 1).alias("word")).distinct()
+    kept = words.join(begun, ["doc_id", "word"], "left_anti").join(tables["names"].select(F.col("key").alias("word")).distinct(), "word", "left_anti")
+    kept = kept.where(~F.col("word").rlike(MARKS)).join(part_of_names(kept, names2, tables["surnames"]), ["doc_id", "word"], "left_anti")
+    kept = settled(kept.where(F.lit(True) if not stops else ~F.col("word").rlike(_any(map(_escaped, stops)))), "kept")
+    # How many entries hold a word: their substrings of the lengths at hand meet the words.
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda a: F.transform(F.sequence(F.lit(1), F.length("word") - a + 1), lambda n: F.substr("word", a, n))))
+    inside = each.groupBy("doc_id", "word").agg(F.count("*").alias("times")).select("doc_id", "times", F.explode(F.array_distinct(pieces)).alias("word"))
+    counted = inside.join(kept, ["doc_id", "word"], "left_semi").groupBy("doc_id", "word").agg(F.sum("times").alias("listed"))
+    found = N.occurrences(texts, kept).select("doc_id", "word", "n")
+    for n in (1, 2):
+        found = _flag(found, F.substring("word", 1, n), tables["surnames"], f"_s{n}")
+    for n in (1, 2, 3):
+        found = _flag(found, _tail(F.col("word"), n), tables["nouns"], f"_e{n}")
+    backed = F.col("_s1") | F.col("_s2") | F.col("_e1") | F.col("_e2") | F.col("_e3") | F.col("word").rlike("《.*》")
+    found = found.where((F.col("n") >= 2) | backed).select("doc_id", "word", "n").join(counted, ["doc_id", "word"])
+    found = settled(found, "found")
+    said = found.join(spelled(found, tables["readings"]), "word").where((F.lower("spelled") != F.lower("word")) & (F.col("spelled") != ""))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("listed"), F.length("word"), "word"))
+    return said.select("doc_id", "word", "spelled", "n", "listed", order.alias("rank"))
+
+
+def _escaped(word: str) -> str:
+    return re.sub(r"([\\.*+?^${}()|\[\]])", r"\\\1", word)
+
+
 def automatic_threshold(characters):
     """How often a name must occur in a text of this length."""
     return F.when(characters < 50_000, 1).when(characters < 100_000, 2).when(characters < 200_000, 3).otherwise(4)

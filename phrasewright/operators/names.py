@@ -36,13 +36,23 @@ def affixes(word, least: int = 1, most: int = 3):
     return F.array_distinct(F.concat(F.transform(sizes, lambda n: F.substr(word, F.lit(1), n)), F.transform(sizes, lambda n: F.substr(word, F.length(word) - n + 1, n))))
 
 
+def occurrences(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, word, n, first): how often each word (doc_id, word) stands in its text, none inside another, and where first, from
+    0; words that don't are left out. A text meets all its words in one row."""
+    asked = words.where("word <> ''").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
+    text = F.col("text")
+    each = F.transform("words", lambda w: F.struct(w.alias("word"), ((F.length(text) - F.length(F.replace(text, w, F.lit("")))) / F.length(w)).cast("long").alias("n"), (F.instr(text, w) - 1).alias("first")))
+    return texts.select("doc_id", "text").join(asked, "doc_id").select("doc_id", F.inline(F.filter(each, lambda x: x["n"] > 0)))
+
+
 def chained(words: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
     """Words whose proper beginning is a known name that ends with the word's first character, if the name with the word's
     other characters after it stands in the text."""
     begins = words.select("doc_id", "word", F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.length("word")), lambda n: n < F.length("word")), lambda n: F.substr("word", F.lit(1), n))).alias("key"))
     hit = begins.join(names.select("key").distinct(), "key", "left_semi").where(F.substr("key", F.length("key"), F.lit(1)) == F.substring("word", 1, 1))
     whole = hit.withColumn("whole", F.concat("key", F.substr("word", F.lit(2))))
-    return whole.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("whole"))).select("doc_id", "word").distinct()
+    there = occurrences(texts, whole.select("doc_id", F.col("whole").alias("word"))).select("doc_id", F.col("word").alias("whole"))
+    return whole.join(there, ["doc_id", "whole"]).select("doc_id", "word").distinct()
 
 
 def titles(texts: DataFrame, open_: str = "《", close: str = "》") -> DataFrame:

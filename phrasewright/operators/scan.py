@@ -361,17 +361,20 @@ def _listed(rows: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, ["start", "length"]))
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts for work that costs far more than moving them: dealt out anew if they lie in fewer partitions than there are cores."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(4 * cores) if texts.rdd.getNumPartitions() < cores else texts
+
+
 def translated(texts: DataFrame, lex: Lexicon, options: Options = Options(), mode: str = "phrases", normalise: bool = False, simplify: tuple[str, str] = ("", ""), ignored=()) -> DataFrame:
     """(doc_id, translated, n_spans, source_ranges, target_ranges) of each text; mode "readings" takes only readings.
 
     n_spans counts the ranges. With normalise, texts are normalised first, and source ranges still point into the given text.
-    Null texts are empty and give nothing. Texts that lie in fewer partitions than there are cores are dealt out anew, since a
-    scan costs far more than moving its text; else no row is shuffled.
+    Null texts are empty and give nothing. Texts that lie in too few partitions are dealt out anew; else no row is shuffled.
     """
     session = texts.sparkSession
-    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if texts.rdd.getNumPartitions() < (cores := session.sparkContext.defaultParallelism):
-        texts = texts.repartition(4 * cores)
+    texts = spread(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     sent = session.sparkContext.broadcast((lex, options, normal.tables(simplify, lex.readings, ignored)))
 
     def walked(batches):

@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 from phrasewright.functions.normal import points
 from phrasewright.operators import keys as K
+from phrasewright.operators.scan import spread
 
 BEGIN, INSIDE, END, ALONE = range(4)
 #: What may stand before each state, and which states may end a run.
 BEFORE = {BEGIN: (END, ALONE), INSIDE: (BEGIN, INSIDE), END: (BEGIN, INSIDE), ALONE: (END, ALONE)}
 LAST = (END, ALONE)
 HAN = "㐀-䶿一-鿿"
+#: Runs that a task remembers.
+SHORT, KNOWN = 12, 1 << 17
 _OTHER = r"[A-Za-z0-9]+(?:\.[0-9]+)?%?|\s+|."
 
 
@@ -92,53 +95,71 @@ class Segmenter:
         self.keys, self.model, self.total = keys, model, math.log(max(total, 1.0))
         self.parts = re.compile(f"(?P<run>[{inside}]+)|{_OTHER}", re.S)
         self.weight: dict[int, float] = {}
-
-    def path(self, run: str) -> list[str]:
-        """The words of the best path, the longer word where two paths weigh the same. A character that is no word counts once."""
-        start, length, record = self.keys.find(points(run))
-        at: list[list[tuple[int, float]]] = [[] for _ in run]
-        for i, n, r in zip(start.tolist(), length.tolist(), record.tolist(), strict=True):
-            w = self.weight.get(r)
-            if w is None:
-                w = self.weight[r] = math.log(float(self.keys.value("words", r))) - self.total
-            at[i].append((n, w))
-        best, step = [0.0] * (len(run) + 1), [1] * len(run)
-        for i in range(len(run) - 1, -1, -1):
-            ways = at[i] if at[i] and at[i][0][0] == 1 else [(1, -self.total), *at[i]]
-            best[i], step[i] = max((w + best[i + n], n) for n, w in ways)
-        out, i = [], 0
-        while i < len(run):
-            out.append(run[i : i + step[i]])
-            i += step[i]
+        #: What runs of up to SHORT characters were cut to; runs between marks come again and again.
+        self.known: dict[str, list[str]] = {}
+
+    def words(self, text: str) -> tuple[list[int], list[int], list[float]]:
+        """Of all dictionary words in a text, by their starts and then lengths: where those of each place begin, lengths, weights."""
+        start, length, record = self.keys.find(points(text))
+        order = np.lexsort((length, start))
+        known, of = np.unique(record[order], return_inverse=True)
+        for r in known.tolist():
+            if r not in self.weight:
+                self.weight[r] = math.log(float(self.keys.value("words", r))) - self.total
+        weights = np.array([self.weight[r] for r in known.tolist()])
+        return np.searchsorted(start[order], np.arange(len(text) + 1)).tolist(), length[order].tolist(), weights[of].tolist() if len(known) else []
+
+    def path(self, run: str, a: int = 0, b: int | None = None, words=None) -> list[str]:
+        """The words of the best path through run[a:b], the longer word where two paths weigh the same. A character that is no
+        word counts once."""
+        b = len(run) if b is None else b
+        at, length, weight = words or self.words(run)
+        best, step = [0.0] * (b - a + 1), [1] * (b - a)
+        for i in range(b - 1, a - 1, -1):
+            top, size = best[i - a + 1] - self.total, 1
+            for j in range(at[i], at[i + 1]):
+                n = length[j]
+                if i + n > b:
+                    break
+                if (way := weight[j] + best[i - a + n]) >= top or n == 1:
+                    top, size = way, n
+            best[i - a], step[i - a] = top, size
+        out, i = [], a
+        while i < b:
+            out.append(run[i : i + step[i - a]])
+            i += step[i - a]
         return out
 
-    def cut(self, run: str) -> list[str]:
-        """A run of script in words; characters alone go to the model, unless together they are a word that the path left."""
+    def cut(self, run: str, a: int = 0, b: int | None = None, words=None) -> list[str]:
+        """run[a:b] in words; characters alone go to the model, unless together they are a word that the path left."""
         out, alone = [], ""
-
-        def flush():
-            nonlocal alone
-            if len(alone) > 1 and self.model and not self.keys.has("words", alone):
-                out.extend(self.model.cut(alone))
-            else:
-                out.extend(alone)
-            alone = ""
-
-        for word in self.path(run):
+        for word in [*self.path(run, a, b, words), ""]:
             if len(word) == 1:
                 alone += word
+                continue
+            if len(alone) > 1 and self.model and not self.keys.has("words", alone):
+                out += self.model.cut(alone)
             else:
-                flush()
+                out += alone
+            alone = ""
+            if word:
                 out.append(word)
-        flush()
         return out
 
     def tokens(self, text: str) -> list[tuple[int, str]]:
         """(start, word) of a text: runs of script in words; Latin words, numbers and blanks as they stand; other characters alone."""
-        out = []
+        out, words = [], self.words(text)
         for m in self.parts.finditer(text):
             at = m.start()
-            for word in self.cut(m[0]) if m["run"] else (m[0],):
+            if not m["run"]:
+                out.append((at, m[0]))
+                continue
+            run = m[0]
+            if (cut := self.known.get(run)) is None:
+                cut = self.cut(text, at, m.end(), words)
+                if len(run) <= SHORT and len(self.known) < KNOWN:
+                    self.known[run] = cut
+            for word in cut:
                 out.append((at, word))
                 at += len(word)
         return out
@@ -167,4 +188,4 @@ def segmented(texts: DataFrame, words: DataFrame, model: Model | None = None, in
                 flat = [x for f in found for x in f]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array([s for s, _ in flat], pa.int32()), pa.array([w for _, w in flat], pa.string())], names=["doc_id", "start", "word"])
 
-    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(walked, "doc_id long, start int, word string")
+    return spread(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(walked, "doc_id long, start int, word string")

@@ -6,10 +6,10 @@ fourteen characters, the same way on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phrasewright.functions import normal, numbers
+from phrasewright.functions import answers, normal, numbers, ranges
 from phrasewright.functions import text as X
 from phrasewright.operators import dictionaries as D
 from phrasewright.operators import editing as E
@@ -18,8 +18,10 @@ from phrasewright.operators import names as N
 from phrasewright.operators import paragraphs as P
 from phrasewright.operators import rules as R
 from phrasewright.operators import scan
+from phrasewright.operators import segment as G
 from phrasewright.operators import spans as S
 from phrasewright.sources import files
+from phrasewright.sources.shared import settled
 
 LETTERS, SCRIPT = "etaoinshrdlucm", "他很好红中人甲乙丙丁格尔一二"
 READINGS = {"他": "tha", "很": "ngận", "好": "hảo", "红": "hồng", "中": "trung", "人": "nhân", "甲": "giáp", "乙": "ất", "丙": "bính", "丁": "đinh"}
@@ -298,10 +300,10 @@ def overlap_reject(spark, sf_dir):
     return S.covered_by_longer(S.candidates(_turns(spark, sf_dir).distinct(), _pairs(spark, PHRASES))).select("doc_id", "start", "length", "key")
 
 
-@_query(f"WITH s AS (SELECT DISTINCT * FROM {_SQL_SPANS}) SELECT DISTINCT a.doc_id, a.start, CAST(a.length AS INTEGER) AS length, a.key FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.start > a.start AND b.start < a.start + a.length WHERE b.key IN ('中人', '乙他') AND a.key NOT IN ('中人', '乙他')")
+@_query(f"WITH s AS (SELECT DISTINCT * FROM {_SQL_SPANS}) SELECT DISTINCT a.doc_id, a.start, CAST(a.length AS INTEGER) AS length, a.key FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.start > a.start AND b.start < a.start + a.length WHERE b.key IN ('中人', '乙他', '中他', '乙中') AND a.key NOT IN ('中人', '乙他', '中他', '乙中')")
 def name_cover(spark, sf_dir):
     """Spans that hide the beginning of a name."""
-    names = _pairs(spark, {"中人": "", "乙他": ""})
+    names = _pairs(spark, {"中人": "", "乙他": "", "中他": "", "乙中": ""})
     return S.hiding_names(S.candidates(_turns(spark, sf_dir).distinct(), _pairs(spark, PHRASES)), names).select("doc_id", "start", "length", "key")
 
 
@@ -351,23 +353,26 @@ def ngram_seeds(spark, sf_dir):
     return N.ngrams(turns, 2, 3, "[a-z]").groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT DISTINCT doc_id, title FROM (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<li>([^<\\n]*)<|<p>([^<\\n]*)<', 2)) AS title FROM pages) WHERE title <> ''")
+@_query("SELECT DISTINCT doc_id, title FROM (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<p>([^<\\n]*)<', 1)) AS title FROM pages) WHERE title <> ''")
 def bracketed_titles(spark, sf_dir):
     """What stands between two brackets of a page on one line, once each."""
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit(r"<li>([^<\n]*)<|<p>([^<\n]*)<"), F.lit(2)))
-    return _t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.explode(found).alias("title")).where("title <> ''")
+    return N.titles(_t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "<p>", "<")
 
 
-_SQL_FOUND = "(SELECT o_custkey AS doc_id, o_orderpriority AS word, count(*) AS n, bool_or(o_orderstatus = 'F') AS trigger, bool_or(o_totalprice > 200000) AS surname, bool_or(o_orderstatus = 'P') AS known, CAST(min(o_orderkey) AS BIGINT) AS first FROM orders GROUP BY ALL)"
-_SQL_SCORE = "greatest(0::FLOAT, least(0.99::FLOAT, ((((0.18::FLOAT + (0.07::FLOAT * least(n, 4)::FLOAT)) + 0.12::FLOAT) + CASE WHEN trigger THEN 0.3::FLOAT ELSE 0::FLOAT END) + CASE WHEN surname THEN 0.3::FLOAT ELSE 0::FLOAT END) + 0::FLOAT + 0::FLOAT + 0.1::FLOAT))"
+_SQL_FOUND = "(SELECT o_custkey AS doc_id, o_orderpriority AS word, count(*) AS n, bool_or(o_orderstatus = 'F') AS trigger, bool_or(o_totalprice > 200000) AS surname, bool_or(o_orderkey % 3 = 0) AS token, bool_or(o_orderkey % 5 = 0) AS suffix, bool_or(o_custkey % 7 = 0) AS remainder, bool_or(o_orderkey % 11 = 0) AS common, bool_or(o_orderstatus = 'P') AS known, CAST(min(o_orderkey) AS BIGINT) AS first FROM orders GROUP BY ALL)"
+_SQL_EVIDENCE = (("token", 0.12), ("trigger", 0.3), ("surname", 0.3), ("suffix", 0.2), ("remainder", 0.25))
+_SQL_SCORE = "0.18::FLOAT + (0.07::FLOAT * least(n, 4)::FLOAT)"
+for _flag, _weight in _SQL_EVIDENCE:
+    _SQL_SCORE = f"({_SQL_SCORE}) + CASE WHEN {_flag} THEN {_weight}::FLOAT ELSE 0::FLOAT END"
+_SQL_SCORE = f"greatest(0::FLOAT, least(0.99::FLOAT, ({_SQL_SCORE}) + CASE WHEN common THEN -0.12::FLOAT WHEN token THEN 0.1::FLOAT ELSE 0::FLOAT END))"
 
 
 def _found(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("word")).agg(
-        F.count("*").alias("n"), F.bool_or(F.col("o_orderstatus") == "F").alias("trigger"), F.bool_or(F.col("o_totalprice") > 200000).alias("surname"), F.bool_or(F.col("o_orderstatus") == "P").alias("known"), F.min("o_orderkey").alias("first")
+        F.count("*").alias("n"), F.bool_or(F.col("o_orderstatus") == "F").alias("trigger"), F.bool_or(F.col("o_totalprice") > 200000).alias("surname"), F.bool_or(F.col("o_orderstatus") == "P").alias("known"), F.min("o_orderkey").alias("first"),
+        *(F.bool_or(F.col(c) % k == 0).alias(name) for name, c, k in (("token", "o_orderkey", 3), ("suffix", "o_orderkey", 5), ("remainder", "o_custkey", 7), ("common", "o_orderkey", 11))),
     )
-    yes, no = F.lit(True), F.lit(False)
-    return o.withColumn("score", N.hybrid_score(F.col("n"), yes, F.col("trigger"), F.col("surname"), no, no, no))
+    return o.withColumn("score", N.hybrid_score(*map(F.col, ("n", "token", "trigger", "surname", "suffix", "remainder", "common"))))
 
 
 @_query(f"SELECT doc_id, word, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY known DESC, score DESC, n DESC, first, word) AS rank FROM (SELECT *, {_SQL_SCORE} AS score FROM {_SQL_FOUND})) WHERE rank <= 3")
@@ -472,6 +477,117 @@ def page_chapters(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.md5(files.chapter_of_page(F.col("html"), "<article>", "</article>")).alias("digest"))
 
 
+@_query("""WITH v AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000000000000 + CAST(o_custkey AS BIGINT) * 99991 AS n FROM orders), h AS (SELECT o_orderkey, n // 100000000 AS high, n % 100000000 AS rest FROM v),
+    g AS (SELECT *, concat_ws(' ', CASE WHEN high // 100000000 > 0 THEN format('{:,}', high // 100000000) || ' ức' END, CASE WHEN high % 100000000 // 10000 > 0 THEN format('{:,}', high % 100000000 // 10000) || ' vạn' END, CASE WHEN high % 10000 > 0 THEN format('{:,}', high % 10000) END) AS said FROM h)
+    SELECT o_orderkey, concat_ws(' ', CASE WHEN high > 0 THEN said || ' ức' END, CASE WHEN rest // 10000 > 0 THEN format('{:,}', rest // 10000) || ' vạn' END, CASE WHEN rest % 10000 > 0 THEN format('{:,}', rest % 10000) END) AS words FROM g""")
+def magnitude_words_far(spark, sf_dir):
+    """Numbers beyond 10^12, whose ức are counted in ức and vạn themselves."""
+    n = F.col("o_orderkey").cast("long") * F.lit(10**12) + F.col("o_custkey").cast("long") * 99991
+    return _t(spark, sf_dir, "orders").select("o_orderkey", X.magnitude_text(n).alias("words"))
+
+
+_REFERENCES = (("&", "＆"), ("é", "&#233;"), ("ç", "&ccedil;"), ("à", "&#xE0;"), ("ß", "&szlig;"), ("ü", "&uuml;"), ("ñ", "&ntilde;"), ("that", "&apos;"), ("of", "&#x1F600;"), ("die", "&nope;"))
+
+
+@_query("SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(coalesce(text, ''), '&', '＆'), 'ü', '&uuml;'), 'ñ', '&ntilde;'), 'that', chr(39)), 'of', '😀'), 'die', '&nope;')) AS digest FROM documents")
+def entity_decode_legacy(spark, sf_dir):
+    """Whole documents with references for some letters decoded as the normaliser does: by number, and by the names it knows."""
+    text = F.coalesce("text", F.lit(""))
+    for plain, reference in _REFERENCES:
+        text = F.replace(text, F.lit(plain), F.lit(reference))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(normal.decoded_entities(text, legacy=True)).alias("digest"))
+
+
+def _astral(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("e"), F.lit("😀")).alias("text"))
+
+
+def _piece_ranges(texts: DataFrame) -> DataFrame:
+    """(doc_id, start, length) in UTF-16 units of what stands between blanks."""
+    pieces = texts.select("doc_id", F.posexplode(F.split("text", " ")).alias("nth", "piece")).withColumn("length", X.utf16_length(F.col("piece")).cast("long"))
+    before = F.sum(F.col("length") + 1).over(Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return pieces.select("doc_id", (before - F.col("length") - 1).alias("start"), "length")
+
+
+@_query("""WITH p AS (SELECT doc_id, unnest(string_split(t, ' ')) AS piece, generate_subscripts(string_split(t, ' '), 1) AS nth FROM (SELECT doc_id, replace(coalesce(text, ''), 'e', '😀') AS t FROM documents)),
+    s AS (SELECT doc_id, nth, piece, length(piece) + length(piece) - length(replace(piece, '😀', '')) AS u, strlen(piece) AS b FROM p),
+    r AS (SELECT *, sum(u + 1) OVER w - u - 1 AS start, sum(b + 1) OVER w - b - 1 AS byte_start, sum(length(piece) + 1) OVER w - length(piece) - 1 AS char_start FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY nth ROWS UNBOUNDED PRECEDING))
+    SELECT doc_id, count(*) AS n, sum(start)::BIGINT AS starts, sum(char_start)::BIGINT AS char_starts, sum(byte_start)::BIGINT AS byte_starts, sum(b)::BIGINT AS bytes, count(*) FILTER (WHERE starts_with(piece, '😀')) AS inside FROM r GROUP BY doc_id""")
+def range_round_trip(spark, sf_dir):
+    """What stands between blanks of whole documents, located in UTF-16 units, characters and bytes; inside: how many ranges are
+    refused when they begin a unit later, in the middle of a character."""
+    texts = _astral(spark, sf_dir)
+    found = _piece_ranges(texts)
+    later = found.where("length > 0").select("doc_id", (F.col("start") + 1).alias("start"), (F.col("length") - 1).alias("length"))
+    located = ranges.located(texts, found).groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"{c}s") for c in ("start", "char_start", "byte_start")), F.sum("byte_length").alias("bytes"))
+    refused = ranges.located(texts, later).groupBy("doc_id").agg(F.sum(F.when(F.col("aligned"), 0).otherwise(1)).alias("inside"))
+    return located.join(refused, "doc_id", "left").withColumn("inside", F.coalesce("inside", F.lit(0).cast("long")))
+
+
+@_query()
+def name_scan_ranges(spark, sf_dir):
+    """Per document: how many ranges between blanks the name scan may map back to the source, and where these lie, after ignored
+    phrases were blanked."""
+    texts = _astral(spark, sf_dir)
+    mapped = ranges.mapped_back(texts, _piece_ranges(texts), ignored=["th😀", "ing", "tion"])
+    return mapped.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kept"), 1).otherwise(0)).alias("kept"), F.sum(F.when(F.col("kept"), F.col("source_start") + F.col("source_length"))).alias("ends"))
+
+
+def _frequent_words(spark, sf_dir) -> DataFrame:
+    """(word, n): what stands often in conversation turns, and the phrases."""
+    grams = N.ngrams(_turns(spark, sf_dir), 1, 3, f"[{SCRIPT}]").groupBy(F.col("gram").alias("word")).agg(F.count("*").alias("n")).where("n >= 5")
+    return grams.unionByName(spark.createDataFrame([(k, 5) for k in PHRASES], "word string, n long")).groupBy("word").agg(F.max("n").alias("n")).transform(settled)
+
+
+@_query()
+def segmented_words(spark, sf_dir):
+    """Words of whole documents by the best path and the hidden Markov model, counted."""
+    tokens = G.segmented(_script(spark, sf_dir), _frequent_words(spark, sf_dir), inside=SCRIPT)
+    return tokens.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@_query()
+def name_filter_local(spark, sf_dir):
+    """Name candidates of conversation turns by their segments alone."""
+    make = lambda entries: _pairs(spark, entries).select("key", "value")
+    tables = {"surnames": make(SURNAMES), "nouns": make({"中": "{0} trung"}), "names": make(NAMES), "raw": make(PHRASES), "phrases": D.one_meaning(make(PHRASES)), "readings": make(READINGS)}
+    turns = _turns(spark, sf_dir).where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return M.local(turns, G.segmented(turns, _frequent_words(spark, sf_dir), inside=SCRIPT), tables, most=20)
+
+
+@_query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS back FROM orders)
+    SELECT o_custkey, count(*) FILTER (WHERE read AND o_orderkey % 9 > 0) AS n_items, sum(CASE WHEN o_orderkey % 4 = 0 THEN 0.75 ELSE 0.5 END) FILTER (WHERE read AND o_orderkey % 9 > 0)::DOUBLE AS confidence,
+    CAST(count(*) FILTER (WHERE read AND o_orderkey % 9 = 0) + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_refused, o_custkey % 3 = 0 AS cut
+    FROM (SELECT *, o_custkey % 3 > 0 OR back > 1 AS read FROM o) GROUP BY o_custkey""")
+def model_answers(spark, sf_dir):
+    """Entities read back from answers in fences and inside other JSON, every third of them cut off; some items have no text, some
+    no confidence."""
+    key = F.col("o_orderkey")
+    item = F.struct(F.when(key % 9 > 0, F.concat(F.lit("order "), key.cast("string"))).alias("text"), F.col("o_orderpriority").alias("entityType"), F.when(key % 4 > 0, 0.5).alias("confidence"))
+    each = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("item")))), lambda x: x["item"]).alias("entities"))
+    said = F.to_json(F.struct("entities"))
+    cut, fence = F.col("o_custkey") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), said)
+    answer = F.when(cut, F.substr(fence, F.lit(1), F.length(fence) - 10)).when(F.col("o_custkey") % 3 == 1, F.concat(fence, F.lit("\n```\nDone."))).otherwise(F.to_json(F.struct(said.alias("content"))))
+    read = each.select("o_custkey", cut.alias("cut"), answers.entities(answer).alias("x")).select("o_custkey", "cut", "x.items", "x.refused")
+    told = F.when(F.size("items") > 0, F.aggregate("items", F.lit(0.0), lambda a, i: a + i["confidence"]))
+    return read.select("o_custkey", F.size("items").cast("long").alias("n_items"), told.alias("confidence"), F.size("refused").alias("n_refused"), "cut")
+
+
+@_query("""WITH x AS (SELECT conv_id * 1000 + turn AS doc_id, max(lower(text)) AS text FROM conversations GROUP BY 1), e AS (SELECT doc_id, word, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{3,}')) AS word FROM x) GROUP BY ALL),
+    k AS (SELECT doc_id, word FROM e WHERE word NOT IN ('the', 'and', 'that') AND NOT EXISTS (SELECT 1 FROM e b WHERE b.doc_id = e.doc_id AND length(b.word) = length(e.word) + 1 AND starts_with(b.word, e.word))),
+    c AS (SELECT k.doc_id, k.word, sum(e.times)::BIGINT AS listed FROM k JOIN e ON e.doc_id = k.doc_id AND contains(e.word, k.word) GROUP BY ALL),
+    n AS (SELECT k.doc_id, k.word, CAST((length(text) - length(replace(text, word, ''))) // length(word) AS BIGINT) AS n FROM k JOIN x USING (doc_id))
+    SELECT doc_id, word, array_to_string(list_transform(string_split(word, ''), lambda c: upper(c) || 'i'), ' ') AS spelled, n, listed, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY listed DESC, length(word), word) AS INTEGER) AS rank
+    FROM n JOIN c USING (doc_id, word) WHERE n >= 2 OR word[1:1] IN ('v', 'w') OR word[1:2] = 'an' OR word[-3:] = 'ing' OR word[-2:] = 'ly'""")
+def external_list(spark, sf_dir):
+    """A list of words from elsewhere after the checks of each conversation turn, the most listed first."""
+    make = lambda entries: _pairs(spark, entries).select("key", "value")
+    tables = {"names": make(dict.fromkeys(("the", "and", "that"), "x")), "surnames": make(dict.fromkeys(("v", "w", "an"), "x")), "nouns": make(dict.fromkeys(("ing", "ly"), "x")), "readings": make({c: f"{c}i" for c in "abcdefghijklmnopqrstuvwxyz"})}
+    turns = _t(spark, sf_dir, "conversations").groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")).agg(F.max(F.lower("text")).alias("text"))
+    listed = turns.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    return M.refiltered(listed, turns, tables)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
