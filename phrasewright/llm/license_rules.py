@@ -162,6 +162,12 @@ def _spaces(text):
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _let(value, body):
+    """body(value), the value computed once: a lambda's argument is at hand as it is, while a column inside a lambda is computed
+    for each of its elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _indices(words, test):
     """Where in an array of words the test holds."""
     return F.filter(F.transform(words, lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
@@ -171,26 +177,30 @@ def _places(line, expression):
     """Word intervals [start, end) of an expression's matches, left to right, as array<struct<start, end>>: matches are put
     between two marks, and the marked words' numbers are read off."""
     bounded = F.concat(F.lit("(?<= )("), expression, F.lit(")(?= )"))
-    words = F.split(F.regexp_replace(line, bounded, F.lit("\u0001$1\u0002")), " ")
-    # The line begins with a space, so the first word has number 1.
-    starts, ends = _indices(words, lambda w: F.startswith(w, F.lit("\u0001"))), _indices(words, lambda w: F.endswith(w, F.lit("\u0002")))
-    both = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct((x["a"] - 1).alias("start"), x["b"].alias("end")))
+
+    def intervals(words):
+        # The line begins with a space, so the first word has number 1.
+        starts, ends = _indices(words, lambda w: F.startswith(w, F.lit("\u0001"))), _indices(words, lambda w: F.endswith(w, F.lit("\u0002")))
+        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct((x["a"] - 1).alias("start"), x["b"].alias("end")))
+
+    both = _let(F.split(F.regexp_replace(line, bounded, F.lit("\u0001$1\u0002")), " "), intervals)
     return F.when(F.rlike(line, bounded), both).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def _base_places(line, phrase: str):
     """Starts of all places of a phrase, overlapping or not."""
     first, *rest = phrase.split(" ")
-    words = F.split(line, " ")
 
-    def here(w, i):
-        test = w == first
-        for k, x in enumerate(rest, 1):
-            test = test & (F.try_element_at(words, i + k + 1) == x)
-        return F.when(test, i - 1)
+    def starts(words):
+        def here(w, i):
+            test = w == first
+            for k, x in enumerate(rest, 1):
+                test = test & (F.try_element_at(words, i + k + 1) == x)
+            return F.when(test, i - 1)
+
+        return F.filter(F.transform(words, here), lambda i: i.isNotNull())
 
-    ahead = F.filter(F.transform(words, here), lambda i: i.isNotNull())
-    return F.when(F.contains(line, F.lit(f" {phrase} ")), ahead).otherwise(F.array().cast("array<int>"))
+    return F.when(F.contains(line, F.lit(f" {phrase} ")), _let(F.split(line, " "), starts)).otherwise(F.array().cast("array<int>"))
 
 
 def _labelled(starts, label: str):
@@ -204,8 +214,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """docs with __n_words, __base (array<struct<label, start>>), __detections (unsuppressed, by start), __labels, __score.
 
     Null texts are empty; texts without words have no detections. Everything happens in the row: nothing is shuffled, and
-    repeated rows come out alike. Finding places costs in proportion to a text; suppression copies the detections kept so far
-    for each of a text's detections. The score is the largest confidence of a detection or base place (0 without any). An
+    repeated rows come out alike. Finding places costs in proportion to a text, suppression in proportion to its detections (and
+    copying a few bytes for each to the power of 1.5). The score is the largest confidence of a detection or base place (0 without any). An
     empty table stays empty. Columns of docs with one of the five names are replaced; others are left alone.
     """
     table = F.from_json(F.lit(_as_json()), "array<struct<label:string,priority:int,keyword:string,expression:string>>")
@@ -229,20 +239,31 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def unsuppressed(spans):
-    """Spans not inside another of the same or higher priority; of equal intervals and priorities the first label stays."""
-    key = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), (-s["priority"]).alias("low"), s["label"].alias("label")))
-    return F.aggregate(
-        F.array_sort(key),
-        F.struct(F.array(*[F.lit(-1)] * 3).alias("far"), F.array().cast(f"array<{_SPAN}>").alias("out")),
-        lambda acc, x: F.struct(
-            F.transform(acc["far"], lambda f, i: F.when(i < -x["low"], F.greatest(f, -x["back"])).otherwise(f)).alias("far"),
-            F.when(F.element_at(acc["far"], -x["low"]) >= -x["back"], acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.struct(x["label"].alias("label"), (-x["low"]).alias("priority"), x["start"].alias("start"), (-x["back"]).alias("end")))))
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
+    """Spans not inside another of the same or higher priority; of equal intervals and priorities the first label stays.
+
+    Spans are taken in order with the farthest end so far of each priority. What stays is gathered in blocks of the root of
+    their number, since appending to an array copies it.
+    """
+    key = lambda every: F.transform(every, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), (-s["priority"]).alias("low"), s["label"].alias("label")))
+    none = F.array().cast(f"array<{_SPAN}>")
+    span = lambda x: F.struct(x["label"].alias("label"), (-x["low"]).alias("priority"), x["start"].alias("start"), (-x["back"]).alias("end"))
+    one = lambda acc, x: F.struct(
+        F.transform(acc["far"], lambda f, i: F.when(i < -x["low"], F.greatest(f, -x["back"])).otherwise(f)).alias("far"),
+        F.when(F.element_at(acc["far"], -x["low"]) >= -x["back"], acc["out"]).otherwise(F.concat(acc["out"], F.array(span(x)))).alias("out"),
+    )
+    block = lambda acc, xs: _let(
+        F.aggregate(xs, F.struct(acc["far"].alias("far"), none.alias("out")), one),
+        lambda found: F.struct(found["far"].alias("far"), F.concat(acc["out"], F.array(found["out"])).alias("out")),
     )
 
+    def kept(ordered):
+        size = F.ceil(F.sqrt(F.size(ordered))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.slice(ordered, i * size + 1, size))
+        start = F.struct(F.array(*[F.lit(-1)] * 3).alias("far"), F.array().cast(f"array<array<{_SPAN}>>").alias("out"))
+        return F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"]))
+
+    return _let(spans, lambda every: F.when(F.size(every) > 0, _let(F.array_sort(key(every)), kept)).otherwise(none))
+
 
 def _as_json() -> str:
     return json.dumps([{"label": a, "priority": p, "keyword": k, "expression": e} for a, p, k, e in rules()])

@@ -102,14 +102,15 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, factor: float = F
 
     Vectors that are null, zero, or hold null or non-finite components take no part, neither do rows without vec_id. Vectors
     of different lengths aren't compared. Rows with a vec_id twice are both candidates; a query's own vec_id never is.
-    Repeated query rows are searched once per distinct vector. Rows go to shards by a hash of vec_id, so copies of one vector
+    Of several vectors under a query's vec_id the smallest asks, so there is one result for each. An empty table gives an empty
+    result, and other columns are ignored. Rows go to shards by a hash of vec_id, so copies of one vector
     spread; in a shard they are one point with many ids, of which the k + 1 smallest suffice. Each block of queries meets
     each shard in one group.
     """
     clean = _clean(vectors)
     size = clean.count()
     shards = max(1, -(-size // shard))
-    queries = clean.where(F.col("vec_id") % every == 0).distinct()
+    queries = clean.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // block))
     h = F.xxhash64("vec_id")
     places = F.sequence(F.lit(0), F.lit(shards - 1))

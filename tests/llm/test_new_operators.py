@@ -6,11 +6,13 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from phrasewright.llm import bit_sliced, prefix_trie, spelling_variants
+from phrasewright.llm import bit_sliced, license_rules, prefix_trie, spelling_variants, vantage_trees
 
 _VECTORS = "vec_id long, embedding array<double>, label int, score int, rank int, shard string"
 
@@ -180,3 +182,25 @@ def test_op13_contract_example(spark):
     want = _check_trie(spark, rows)
     assert [r[:7] for r in want] == [(10, d, None if d == 0 else 10, 3, int(d < 3), 1, 2 * (3 - max(d - 1, 0)) if d else 6) for d in range(4)]
     assert list(itertools.islice((r[7] for r in want if r[1] == 3), 1)) == [hashlib.sha256(b"10,15,20").hexdigest()]
+
+
+def test_op4_places_and_detections_in_proportion(spark):
+    def seconds(phrase, n):
+        docs = spark.createDataFrame([(1, (phrase + " ") * n)], "doc_id long, text string")
+        began = time.time()
+        row = license_rules.scan(docs).select(F.size("__base").alias("base"), F.size("__detections").alias("found")).first()
+        assert row.base == (n if "reserved" in phrase else 0) and row.found == n * (1 if "reserved" in phrase else 3)
+        return time.time() - began
+
+    for phrase in ("all rights reserved", "mit license gpl copyright x"):
+        seconds(phrase, 500)
+        # Four times the text: far below the sixteen times of quadratic work.
+        assert seconds(phrase, 32_000) < 7 * max(seconds(phrase, 8_000), 0.5)
+
+
+def test_op3_one_result_for_a_query(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 5.0]), (100, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [4.0, 4.0]), (2, [0.0, 1.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in vantage_trees.nearest(_vectors(spark, rows), k=10, every=100).orderBy("rank").collect()]
+    # [0, 5] is the smallest of its vectors.
+    want = sorted((math.dist((0.0, 5.0), v), i) for i, v in rows if i != 100)
+    assert got == [(100, n, i, round(d, 6)) for n, (d, i) in enumerate(want, 1)]
