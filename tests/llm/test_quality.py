@@ -5,6 +5,8 @@ import math
 import random
 import re
 
+import pytest
+
 from phrasewright.llm import kneser_ney
 
 
@@ -127,3 +129,40 @@ def test_text_slices_hand_out_every_text_once():
             assert [t for _, some in out for t in some] == [t or "" for t in texts]
             assert all(some == [t or "" for t in texts[a : a + len(some)]] for a, some in out)
     assert list(text_slices(pa.array([], pa.string()), 5)) == []
+
+
+def test_query_with_and_without_the_join(spark, monkeypatch):
+    import os
+
+    from phrasewright.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    whole = {r.doc_id: r for r in queries.op8_kneser_ney(spark, folder).collect()}
+    joined, sent = [], kneser_ney.sent_to_tasks
+    monkeypatch.setattr(kneser_ney, "HOT", 3000)
+    monkeypatch.setattr(kneser_ney, "sent_to_tasks", lambda gains: joined.append((out := sent(gains))[1].count()) or out)
+    for r in queries.op8_kneser_ney(spark, folder).collect():
+        own = whole[r.doc_id]
+        assert r.keep == own.keep and (r.perplexity is None) == (own.perplexity is None)
+        assert r.perplexity is None or math.isclose(r.perplexity, own.perplexity, rel_tol=1e-9)
+    assert joined and joined[0] > 3000
+
+
+def test_honest_repetition_is_kept(spark):
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choices("aeinrst", k=rnd.randint(2, 6))) for _ in range(300)]
+    draw = lambda n: rnd.choices(vocabulary, weights=[1 / k for k in range(1, 301)], k=n)
+    # A song: every fifth text of the trusted ones and of the others says a word twice, once or twice in it.
+    def song(i):
+        words = draw(60)
+        for at in rnd.sample(range(60), 1 + i % 2) if i % 5 == 0 else ():
+            words[at] = f"{words[at]} {words[at]}"
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, song(i), "en") for i in range(600)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r["__keep"] for r in kneser_ney.classify(docs, labels).collect()}
+    twice = [kept[i] for i in range(400, 600) if i % 5 == 0]
+    assert sum(twice) >= 0.9 * len(twice) and sum(kept.values()) >= 580
