@@ -24,17 +24,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class; texts without words are classes of their own."""
+    """One document of each near-duplicate class. Texts without words, null and empty ones too, are classes of their own and stay;
+    of rows with the same doc_id and text one stays, and an empty table stays empty."""
     return dart_minhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0, 1 or 2 rows."""
+    """Each document as often as the mix takes it: 0, 1 or 2 rows. Texts without words, null and empty ones too, are not taken;
+    null is a source like any other, repeated rows are rows of their own, and an empty table stays empty."""
     return entropy_mix.copied(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their pieces."""
+    """Documents with their pieces. Null texts are coded as empty ones, which have no pieces; repeated rows are coded alike, and an
+    empty table stays empty."""
     return nbest_pieces.encode(docs)
 
 
