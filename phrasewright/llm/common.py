@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +64,27 @@ def aside(docs: DataFrame, *taken: str) -> tuple[DataFrame, list]:
 def widened(docs: DataFrame, function, added: list[T.StructField]) -> DataFrame:
     """docs with the columns that an Arrow function adds at the end. Spark can't pass names with dots to it, so these get others there."""
     plain = docs.toDF(*(f"dotted {i} {uuid.uuid4().hex}" if "." in c else c for i, c in enumerate(docs.columns)))
-    return plain.mapInArrow(function, T.StructType([*plain.schema.fields, *added])).toDF(*docs.columns, *(f.name for f in added))
+    return plain.mapInArrow(released(function), T.StructType([*plain.schema.fields, *added])).toDF(*docs.columns, *(f.name for f in added))
+
+
+def _release() -> None:
+    """What a task has freed goes back to the system; else an idle worker keeps it while other workers need memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(function):
+    """An Arrow function that releases memory before its first batch and after its last."""
+
+    def run(batches):
+        _release()
+        try:
+            yield from function(batches)
+        finally:
+            _release()
+
+    return run
 
 
 def text_key(text: str = "text"):

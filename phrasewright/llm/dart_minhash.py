@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, mix64, settle, sized_broadcast, slices, text_key
+from .common import aside, mix64, released, settle, sized_broadcast, slices, text_key
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 16, 4, 5, 0.8
 K = BANDS * ROWS
@@ -168,7 +168,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, n_words, k1, k2, bands, short) of each row; k1 and k2 are equal for equal word sequences, short holds
     four bits of each coordinate."""
     df = _word_hashes(docs.select(F.col("doc_id").cast("long"), F.col("text"))).select("doc_id", F.coalesce(text_key(), F.lit(0).cast("long")).alias("tkey"), "words")
-    return df.mapInArrow(_sketched, "doc_id long, tkey long, n_words long, k1 long, k2 long, bands array<long>, short array<long>")
+    return df.mapInArrow(released(_sketched), "doc_id long, tkey long, n_words long, k1 long, k2 long, bands array<long>, short array<long>")
 
 
 def _shingle_sets(batches):
@@ -216,7 +216,7 @@ def _similarities(pairs: DataFrame, sets: DataFrame, blocks: int) -> DataFrame:
     wanted = pairs.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
     rows = wanted.join(sets, "node").select("block", F.lit(False).alias("pair"), F.col("node").alias("a"), F.col("node").alias("b"), "h").unionByName(pairs)
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, "block").sortWithinPartitions("block", "pair").mapInArrow(_compared, "a long, b long, similarity double")
+    return rows.repartition(tasks, "block").sortWithinPartitions("block", "pair").mapInArrow(released(_compared), "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def _in_reach(spread: DataFrame, asked: DataFrame, hubs: DataFrame, scored: Data
     held = of_node.join(sets, "node").join(rare.groupBy("node").agg(F.collect_list("h").alias("rare")), "node", "left")
     held = held.select("node", F.array_except("h", F.coalesce("rare", F.array().cast("array<long>"))).alias("h"), "total").where(F.size("h") >= F.col("total") * similarity - 1e-9)
     asked_in = asked.groupBy(F.col("o").alias("node")).agg(F.collect_list("bucket").alias("asked"))
-    owned = held.select("node", "h").mapInArrow(_histograms, "node long, common long, parts array<int>").join(nodes.select("node", "short", "bands"), "node").join(asked_in, "node", "left")
+    owned = held.select("node", "h").mapInArrow(released(_histograms), "node long, common long, parts array<int>").join(nodes.select("node", "short", "bands"), "node").join(asked_in, "node", "left")
     carried = ("total", "common", "parts", "short", "bands", "asked")
     to_hub = inside.join(owned.withColumnRenamed("node", "b"), "b").join(hubs.select("bucket", "hub"), "bucket")
     to_hub = to_hub.select("bucket", F.col("b").alias("x"), "hub", "label", *carried, F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
@@ -361,7 +361,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     of_node = wanted.join(nodes.select("node", "doc_id", "tkey"), "node")
     texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tkey", text_key())
     texts = texts.join(of_node, texts.doc_id.eqNullSafe(of_node.doc_id) & (texts.tkey == of_node.tkey)).select("node", "text")
-    sets = settle(_word_hashes(texts).select("node", "words").mapInArrow(_shingle_sets, "node long, h array<long>").dropDuplicates(["node"]), "shingles")
+    sets = settle(_word_hashes(texts).select("node", "words").mapInArrow(released(_shingle_sets), "node long, h array<long>").dropDuplicates(["node"]), "shingles")
     blocks = max(1, (sets.agg(F.sum(F.size("h"))).first()[0] or 0) // BLOCK)
     labels, known = None, None
     for turn in ("hub", "second hub", "rest"):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, code_points, mix64, settle, sized_broadcast, text_key, text_slices
+from .common import aside, code_points, mix64, released, settle, sized_broadcast, text_key, text_slices
 
 ORDER, BITS = 5, 21
 #: Trusted rows with crc32(doc_id as text) mod 5 = 0 set the thresholds; the others train the model.
@@ -130,7 +130,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 _, first, n = np.unique(keys(high, low), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(high[first]), pa.array(low[first]), pa.array(n, pa.int64())], names=["high", "low", "n"])
 
-    return texts.select("text").mapInArrow(counted, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(released(counted), "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame):
@@ -195,7 +195,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, float]:
     for part in parts[1:]:
         every = every.unionByName(part)
     sums = every.groupBy("high", "low").agg(*(F.sum(c).alias(c) for c in ("gain", "carry", "heat")))
-    return settle(sums.mapInArrow(_with_keys, "key long, gain double, carry double, heat long"), "gains"), floor
+    return settle(sums.mapInArrow(released(_with_keys), "key long, gain double, carry double, heat long"), "gains"), floor
 
 
 def _bits(key: np.ndarray, size: int) -> np.ndarray:
@@ -215,7 +215,7 @@ def _filter(cold: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(at & 31)], names=["word", "bit"])
 
     one = F.expr("shiftleft(1L, cast(bit as int))")
-    got = cold.select("key").mapInArrow(placed, "word long, bit long").groupBy("word").agg(F.bit_or(one).alias("bits")).toArrow()
+    got = cold.select("key").mapInArrow(released(placed), "word long, bit long").groupBy("word").agg(F.bit_or(one).alias("bits")).toArrow()
     out = np.zeros(size >> 5, dtype=np.uint32)
     out[np.asarray(got["word"])] = np.asarray(got["bits"]).astype(np.uint32)
     return out
@@ -298,7 +298,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, float], ready=None) -> DataFr
                 )
 
     docs, back = aside(docs, "__row")
-    looked = docs.select(text_key().alias("row"), "text").where("text is not null").mapInArrow(sought, "row long, key long, n int, m int, bits double, count long")
+    looked = docs.select(text_key().alias("row"), "text").where("text is not null").mapInArrow(released(sought), "row long, key long, n int, m int, bits double, count long")
     joined = looked.join(cold.select("key", "gain", "carry"), "key", "left")
     # Copies of a text add up to the same quotient.
     sums = joined.groupBy("row").agg(F.sum(F.col("bits") + F.coalesce(F.col("n") * F.col("gain") + F.col("m") * F.col("carry"), F.lit(0.0))).alias("bits"), F.sum("count").alias("count"))
