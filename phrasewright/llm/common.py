@@ -64,7 +64,7 @@ def aside(docs: DataFrame, *taken: str) -> tuple[DataFrame, list]:
 def widened(docs: DataFrame, function, added: list[T.StructField]) -> DataFrame:
     """docs with the columns that an Arrow function adds at the end. Spark can't pass names with dots to it, so these get others there."""
     plain = docs.toDF(*(f"dotted {i} {uuid.uuid4().hex}" if "." in c else c for i, c in enumerate(docs.columns)))
-    return plain.mapInArrow(released(function), T.StructType([*plain.schema.fields, *added])).toDF(*docs.columns, *(f.name for f in added))
+    return plain.mapInArrow(released(function, keeps=True), T.StructType([*plain.schema.fields, *added])).toDF(*docs.columns, *(f.name for f in added))
 
 
 def _release() -> None:
@@ -74,10 +74,26 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def released(function):
-    """An Arrow function that releases memory before its first batch and after its last."""
+#: What a worker keeps between tasks, by name: the last one alone.
+_KEPT: dict = {}
+
+
+def kept(name: str, make):
+    """make(), once in a worker for tasks that follow each other under one name."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _release()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def released(function, keeps: bool = False):
+    """An Arrow function that releases memory before its first batch and after its last, with what is kept for other work unless
+    it keeps something itself."""
 
     def run(batches):
+        if not keeps:
+            _KEPT.clear()
         _release()
         try:
             yield from function(batches)

@@ -300,9 +300,9 @@ def score(docs: DataFrame, model: tuple[DataFrame, float], ready=None) -> DataFr
     docs, back = aside(docs, "__row")
     looked = docs.select(text_key().alias("row"), "text").where("text is not null").mapInArrow(released(sought), "row long, key long, n int, m int, bits double, count long")
     joined = looked.join(cold.select("key", "gain", "carry"), "key", "left")
-    # Copies of a text add up to the same quotient.
+    # Rounded, as sums depend on their order in the last places: a text at the limit is judged alike each time.
     sums = joined.groupBy("row").agg(F.sum(F.col("bits") + F.coalesce(F.col("n") * F.col("gain") + F.col("m") * F.col("carry"), F.lit(0.0))).alias("bits"), F.sum("count").alias("count"))
-    found = settle(sums.where("count > 0").select(F.col("row").alias("__row"), F.pow(F.lit(2.0), -F.col("bits") / F.col("count")).alias("__perplexity")), "perplexities")
+    found = settle(sums.where("count > 0").select(F.col("row").alias("__row"), F.pow(F.lit(2.0), F.round(-F.col("bits") / F.col("count"), 10)).alias("__perplexity")), "perplexities")
     return docs.withColumn("__row", text_key()).join(sized_broadcast(found), "__row", "left").select(*back, "__perplexity")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, widened
+from .common import kept, slices, widened
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Shorter segments are scored many at a time. A sum of scores under -_FAR is no path.
@@ -331,7 +331,6 @@ def words_of(text: str) -> list[str]:
 
 
 _WORDS = re.compile(r" +[^ ]*")
-_LATTICES: dict = {}
 
 
 def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_pieces: bool = True) -> DataFrame:
@@ -362,14 +361,12 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_pieces: boo
         return (*row, np.array(ids, dtype=np.int32)) if with_pieces else row
 
     def encoded(batches):
-        if name not in _LATTICES:
-            _LATTICES.clear()
-            _LATTICES[name] = Lattice(*sent.value)
+        lattice = kept(name, lambda: Lattice(*sent.value))
         # Nothing here is cyclic: the collector would only walk through the remembered words again and again.
         collects = gc.isenabled()
         gc.disable()
         try:
-            yield from coded(_LATTICES[name], batches)
+            yield from coded(lattice, batches)
         finally:
             if collects:
                 gc.enable()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, widened
+from .common import kept, text_slices, widened
 
 #: Labelled rows the fit uses at most, of each label: a bounded sample, the first in an order by hash.
 SAMPLE = 2000
@@ -165,14 +165,8 @@ def hash_text(text: str | None) -> int:
     return crc32((text or "").encode("utf-8", "surrogatepass"))
 
 
-_SCORERS: dict = {}
-
-
 def _worker(shared) -> Scorer:
-    if shared.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[shared.id] = Scorer(*shared.value)
-    return _SCORERS[shared.id]
+    return kept(shared.id, lambda: Scorer(*shared.value))
 
 
 class _Model:
