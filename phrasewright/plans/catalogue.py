@@ -6,6 +6,8 @@ fourteen characters, the same way on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from phrasewright.functions import answers, normal, numbers, ranges
 from phrasewright.functions import text as X
 from phrasewright.operators import dictionaries as D
 from phrasewright.operators import editing as E
+from phrasewright.operators import meanings as W
 from phrasewright.operators import mining as M
 from phrasewright.operators import names as N
 from phrasewright.operators import paragraphs as P
@@ -21,7 +24,8 @@ from phrasewright.operators import scan
 from phrasewright.operators import segment as G
 from phrasewright.operators import spans as S
 from phrasewright.sources import files
-from phrasewright.sources.shared import settled
+from phrasewright.sources.shared import folder, settled
+from phrasewright.streaming import books
 
 LETTERS, SCRIPT = "etaoinshrdlucm", "他很好红中人甲乙丙丁格尔一二"
 READINGS = {"他": "tha", "很": "ngận", "好": "hảo", "红": "hồng", "中": "trung", "人": "nhân", "甲": "giáp", "乙": "ất", "丙": "bính", "丁": "đinh"}
@@ -588,6 +592,85 @@ def external_list(spark, sf_dir):
     return M.refiltered(listed, turns, tables)
 
 
+_WORDS_OF, _FEW = SCRIPT[:12], LETTERS[:12]
+_SQL_LISTED = " UNION ALL ".join(f"SELECT {i} AS nth, '{mark}' AS mark, key, value FROM {_sql_values(entries)}" for i, (mark, entries) in enumerate((W.MARKS[name].replace("\n", "' || chr(10) || '"), entries) for name, entries in (("names2", SUFFIXES), ("names", NAMES), ("phrases", PHRASES), ("lookup", READINGS))))
+
+
+@_query(f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(lower(text), '{_FEW}', '{_WORDS_OF}'), '[{_WORDS_OF}]+')) AS word FROM documents) GROUP BY 1), l AS ({_SQL_LISTED}),
+    b AS (SELECT word, k, substr(word, 1, k) AS key FROM w, (SELECT unnest(range(1, 21)) AS k) WHERE k <= length(word)),
+    s AS (SELECT word, string_agg(key || mark || CASE WHEN nth < 3 THEN replace(value, '/', '; ') ELSE value END || chr(10) || '-----------------' || chr(10), '' ORDER BY nth = 3, k DESC, nth) AS said, max(k) FILTER (nth < 3) AS longest FROM b JOIN l USING (key) GROUP BY word)
+    SELECT word, n, md5(coalesce(said, substr(word, 1, 1) || chr(10) || '-----------------' || chr(10) || 'Not Found')) AS digest, CAST(coalesce(longest, 1) AS INTEGER) AS phrase_length FROM w LEFT JOIN s USING (word)""")
+def full_meanings(spark, sf_dir):
+    """What all lists say about each word of the documents, and how often it occurs."""
+    words = _t(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.translate(F.lower("text"), _FEW, _WORDS_OF), F.lit(f"[{_WORDS_OF}]+"), F.lit(0))).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+    lists = {name: _pairs(spark, entries) for name, entries in (("names2", SUFFIXES), ("names", NAMES), ("phrases", PHRASES), ("lookup", READINGS))}
+    return W.full_meanings(words, lists).select(F.col("text").alias("word"), "n", F.md5("meanings").alias("digest"), "phrase_length")
+
+
+@_query("""SELECT book, key, x.action AS action, x.at AS at FROM (SELECT CAST(user_id AS VARCHAR) AS book, CAST(event_id % 10 AS VARCHAR) AS key, max({'at': ts, 'action': CASE WHEN event_id % 3 = 0 THEN 'accept' WHEN event_id % 3 = 1 THEN 'reject' ELSE 'undo' END}) AS x FROM events GROUP BY ALL) WHERE x.action <> 'undo'""")
+def book_memory_stream(spark, sf_dir):
+    """Accepted and rejected names after a stream of all decisions."""
+    given = _t(spark, sf_dir, "events").select("event_id", "ts", "user_id").schema
+    action = F.when(F.col("event_id") % 3 == 0, "accept").when(F.col("event_id") % 3 == 1, "reject").otherwise("undo")
+    events = spark.readStream.schema(given).parquet(f"{sf_dir}/event[s].parquet").select(F.col("user_id").alias("book"), (F.col("event_id") % 10).alias("key"), F.lit("v").alias("value"), action.alias("action"), F.col("ts").alias("at"))
+    place, changes = f"{folder(spark)}/books-{uuid.uuid4().hex}", books.remembered(events)
+    books.kept(changes, f"{place}/changes", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return books.current(spark.read.schema(changes.schema).parquet(f"{place}/changes")).select("book", "key", "action", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+@_query("""WITH f AS (SELECT p_brand AS dict, 'k' || p_partkey AS key, p_type AS value, p_size, p_name FROM part), d AS (SELECT dict, key, p_name AS value FROM f WHERE p_size < 40),
+    r AS (SELECT dict, key, value FROM f WHERE p_size % 5 <> 0 UNION ALL SELECT dict, key, p_name FROM f WHERE p_size % 5 = 0 AND p_size < 40)
+    SELECT dict, key, value FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.dict = r.dict AND f.key = r.key AND p_size % 7 = 0 AND (CASE WHEN p_size % 2 = 0 THEN f.value ELSE 'x' END) = r.value)""")
+def restored_entries(spark, sf_dir):
+    """Entries with the defaults of some keys again, and some exact records removed."""
+    p = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("dict"), F.concat(F.lit("k"), "p_partkey").alias("key"), F.col("p_type").alias("value"), "p_size", "p_name")
+    defaults = p.where("p_size < 40").select("dict", "key", F.col("p_name").alias("value"))
+    gone = p.where("p_size % 7 = 0").select("dict", "key", F.when(F.col("p_size") % 2 == 0, F.col("value")).otherwise("x").alias("value"))
+    return E.without_record(E.restored(p.select("dict", "key", "value"), defaults, p.where("p_size % 5 = 0")), gone).select("dict", "key", "value")
+
+
+@_query("""WITH e AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'person' ELSE 'place' END AS kind, trim(' ' || o_clerk || ' ') AS key, trim(CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE o_orderstatus || o_orderkey END) AS value, o_orderkey AS line_no, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS late FROM (SELECT *, o_orderpriority || ' ' || (o_custkey % 50) AS o_clerk FROM orders))
+    SELECT kind, key, arg_max(value, late * 1000000000000 + line_no) AS value FROM e WHERE key <> '' AND value <> '' GROUP BY kind, key""")
+def glossary_merge(spark, sf_dir):
+    """Glossary entries of a workspace under those of a story."""
+    o = _t(spark, sf_dir, "orders")
+    entries = o.select(F.when(F.col("o_orderkey") % 2 == 0, "person").otherwise("place").alias("kind"), F.concat(F.lit(" "), "o_orderpriority", F.lit(" "), F.col("o_custkey") % 50, F.lit(" ")).alias("key"), F.when(F.col("o_orderkey") % 11 == 0, " ").otherwise(F.concat("o_orderstatus", "o_orderkey")).alias("value"), F.col("o_orderkey").alias("line_no"))
+    return E.glossary(entries.where("line_no % 3 <> 0"), entries.where("line_no % 3 = 0"))
+
+
+_SQL_LABELLED = "(SELECT doc_id, replace(replace(coalesce(text, ''), '. ', '.' || chr(10) || chr(10) || chr(10) || '[[ 7 ]] '), ', ', ',  ' || chr(13) || chr(10) || ' ') AS t FROM documents)"
+
+
+@_query(f"""SELECT doc_id, md5(regexp_replace(t, '\\[\\[\\s*[0-9]+\\s*\\]\\]\\s?', '', 'g')) AS stripped,
+    md5(array_to_string(list_transform(list_filter(list_transform(string_split_regex(t, '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), lambda x: chr(9) || x), chr(10))) AS indented FROM {_SQL_LABELLED}""")
+def labels_and_indents(spark, sf_dir):
+    """Whole documents with labels stripped, and with their lines set in."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n\n\n[[ 7 ]] ")), F.lit(", "), F.lit(",  \r\n "))
+    labelled = _t(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    return labelled.select("doc_id", F.md5(E.stripped_labels(F.col("t"))).alias("stripped"), F.md5(E.indented(F.col("t"))).alias("indented"))
+
+
+_NUMERALS = "零一二三四五六七八九"
+
+
+@_query(f"""SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'positional' WHEN o_custkey % 4 = 1 THEN 'units' WHEN o_custkey % 4 = 2 THEN 'decimal' ELSE 'digits' END AS kind,
+    CASE WHEN o_custkey % 4 = 0 AND length(CAST(o_orderkey AS VARCHAR)) >= 3 THEN CAST(o_orderkey AS VARCHAR) END AS run, CAST(nullif(o_orderkey % 10, 0) AS VARCHAR) AS last_digit, n || '百多' AS swapped
+    FROM (SELECT o_orderkey, o_custkey, translate(CAST(o_orderkey AS VARCHAR), '0123456789', '{_NUMERALS}') AS n FROM orders)""")
+def numeral_classes(spark, sf_dir):
+    """Classes of numbers, runs of numeral digits, positive digits, and modifiers behind their units."""
+    digits = F.col("o_orderkey").cast("string")
+    o = _t(spark, sf_dir, "orders").withColumn("n", F.translate(digits, "0123456789", _NUMERALS))
+    text = F.when(F.col("o_custkey") % 4 == 0, F.col("n")).when(F.col("o_custkey") % 4 == 1, F.concat("n", F.lit("百"))).when(F.col("o_custkey") % 4 == 2, F.concat(digits, F.lit(".5"))).otherwise(digits)
+    return o.select("o_orderkey", numbers.number_class(text).alias("kind"), numbers.consecutive_digits(text).alias("run"), numbers.positive_digit(F.substring("n", -1, 1)).cast("string").alias("last_digit"), X.modifiers_last(F.concat("n", F.lit("多百"))).alias("swapped"))
+
+
+@_query("""WITH p AS (SELECT l_orderkey AS doc_id, count(*) AS source, count(*) FILTER (l_linenumber % 3 = 1) AS translated FROM lineitem GROUP BY 1) SELECT doc_id, source, translated FROM p WHERE translated + 2 <= source""")
+def missing_paragraphs(spark, sf_dir):
+    """Orders that lack two lines or more of their translation."""
+    parts = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber")
+    return E.missing_paragraphs(parts, parts.where("l_linenumber % 3 = 1"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -70,7 +70,7 @@ def remembered(events: DataFrame, late: str | None = None) -> DataFrame:
 
     A change is told when a decision comes that is later than all before it on the same name: by at, then action, then value. So
     repeated decisions and older ones tell nothing, and the last change of each name doesn't depend on how the stream is cut into
-    batches. A null at is before all times, a null action is '', null books and keys are names of their own.
+    batches. A null at is before all times, one without a zone is in the session's; a null action is '', null books and keys are names of their own.
 
     With `late`, what comes later than that is left out, and undone names are forgotten once that holds for all before them;
     without it nothing is left out and the state keeps a row for each name. Each task first folds its own rows, so a name that most
@@ -80,7 +80,7 @@ def remembered(events: DataFrame, late: str | None = None) -> DataFrame:
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE)
     text = lambda c: F.col(c).cast("string").alias(c)
-    plain = events.select(text("book"), text("key"), text("value"), F.coalesce("action", F.lit("")).alias("action"), F.coalesce(F.unix_micros("at"), F.lit(_NEVER)).alias("us"))
+    plain = events.select(text("book"), text("key"), text("value"), F.coalesce("action", F.lit("")).alias("action"), F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(_NEVER)).alias("us"))
     few = plain.mapInPandas(_folded, _EVENT)
     if late:
         few = few.withColumn("at", _time()).withWatermark("at", late)
