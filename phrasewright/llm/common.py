@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -74,8 +76,10 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-#: What a worker keeps between tasks, by name: the last one alone.
+#: What a worker keeps between tasks, by name: the last one alone, until it has been idle for so many seconds.
 _KEPT: dict = {}
+_IDLE, _TASKS = 5.0, itertools.count(1)
+_LAST = [0]
 
 
 def kept(name: str, make):
@@ -87,11 +91,19 @@ def kept(name: str, make):
     return _KEPT[name]
 
 
+def _forget(task: int) -> None:
+    """Lets go of what is kept if no task has begun since. A task holds what it uses itself, so one that begins now loses nothing."""
+    if _LAST[0] == task:
+        _KEPT.clear()
+        _release()
+
+
 def released(function, keeps: bool = False):
     """An Arrow function that releases memory before its first batch and after its last, with what is kept for other work unless
-    it keeps something itself."""
+    it keeps something itself; what it keeps goes when its worker has been idle for a while."""
 
     def run(batches):
+        task = _LAST[0] = next(_TASKS)
         if not keeps:
             _KEPT.clear()
         _release()
@@ -99,6 +111,10 @@ def released(function, keeps: bool = False):
             yield from function(batches)
         finally:
             _release()
+            if keeps:
+                timer = threading.Timer(_IDLE, _forget, (task,))
+                timer.daemon = True
+                timer.start()
 
     return run
 
