@@ -79,12 +79,16 @@ def key_lengths(pairs: DataFrame) -> DataFrame:
 
 def look_up(queries: DataFrame, pairs: DataFrame, most: int = 20) -> DataFrame:
     """(id, text) -> (id, pos, source, definition): the beginnings of the trimmed text's first `most` characters, longest
-    first, then its characters; each once, those that have a definition."""
-    t = F.substring(F.trim("text"), 1, most)
+    first, then its characters; each once, those that have a definition. Equal beginnings are looked up once. No side of a
+    join is sent whole: Spark doesn't count the rows that an explode makes, and would take the probes for a small table."""
+    t = F.col("_t")
+    asked = queries.select("id", F.substring(F.trim("text"), 1, most).alias("_t"))
     begins = F.transform(F.reverse(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))), lambda n: F.substr(t, F.lit(1), n))
     probes = F.filter(F.array_distinct(F.concat(begins, F.split(t, ""))), lambda p: p != "")
-    asked = queries.select("id", F.posexplode(probes).alias("pos", "source"))
-    return asked.join(pairs.select(F.col("key").alias("source"), F.replace(F.replace("value", F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")).alias("definition")), "source").select("id", "pos", "source", "definition")
+    told = pairs.select(F.col("key").alias("source"), F.replace(F.replace("value", F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")).alias("definition"))
+    each = asked.select("_t").distinct().select("_t", F.posexplode(probes).alias("pos", "source"))
+    said = each.hint("merge").join(told, "source").groupBy("_t").agg(F.collect_list(F.struct("pos", "source", "definition")).alias("said"))
+    return asked.hint("merge").join(said, "_t").select("id", F.inline("said"))
 
 
 def missing_readings(texts: DataFrame, known: DataFrame, letters: str = r"\p{IsHan}") -> DataFrame:
