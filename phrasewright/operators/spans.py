@@ -6,6 +6,7 @@ the longest span at each position, those that begin where the last ended.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,25 +51,51 @@ def hiding_names(spans: DataFrame, names: DataFrame) -> DataFrame:
     return later.join(inner.distinct(), ["doc_id", "s"], "left_semi").select(spans.columns).distinct()
 
 
+def longest(texts: DataFrame, pairs: DataFrame, scan: int = 30) -> DataFrame:
+    """(doc_id, start, length, value): the greedy longest match from left to right, which is chosen() of all candidates(). A text
+    is searched and walked where it lies: no candidate becomes a row, and nothing is grouped."""
+    name = K.written({"keys": pairs.where(F.length("key") <= scan).groupBy("key").agg(F.max("value").alias("value"))})
+
+    def walked(batches):
+        table = K.mapped(name)
+        for batch in batches:
+            for doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
+                start, length, record = table.find(points(text or ""))
+                size, of = np.zeros((2, len(text or "")), dtype=np.int64)
+                # Keys come the shortest first, so the longest stays.
+                size[start], of[start] = length, record
+                at = np.flatnonzero(size)
+                taken = at[_greedy(at.tolist(), size[at].tolist())]
+                known, which = np.unique(of[taken], return_inverse=True)
+                said = pa.array([table.value("keys", r) for r in known.tolist()], pa.string()).take(pa.array(which))
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(taken), pa.int64()), pa.array(taken, pa.int32()), pa.array(size[taken], pa.int32()), said], names=["doc_id", "start", "length", "value"])
+
+    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(walked, "doc_id long, start int, length int, value string")
+
+
 def chosen(spans: DataFrame) -> DataFrame:
     """(doc_id, picked array<struct<start, length, value>>): the greedy longest match from left to right."""
     best = spans.groupBy("doc_id", "start").agg(F.max(F.struct("length", "value")).alias("x"))
     rows = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", F.col("x.length").alias("length"), F.col("x.value").alias("value")))).alias("all"))
-    kind = "array<struct<start:int,length:int,value:string>>"
-    return rows.select("doc_id", F.pandas_udf(_greedy, kind)("all").alias("picked"))
-
-
-def _greedy(found: pd.Series) -> pd.Series:
-    """Of sorted spans those that begin where the last taken one ended, or later."""
-    out = []
-    for spans in found:
-        at, taken = 0, []
-        for s in spans:
-            if s["start"] >= at:
-                taken.append(s)
-                at = s["start"] + s["length"]
-        out.append(taken)
-    return pd.Series(out, dtype=object)
+
+    def walked(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.column("all").slice(i, 1).flatten()
+                took = one.take(pa.array(_greedy(one.field("start").to_pylist(), one.field("length").to_pylist()), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(took)], pa.int32()), took)], names=["doc_id", "picked"])
+
+    return rows.mapInArrow(walked, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, picked array<struct<start:int,length:int,value:string>>")
+
+
+def _greedy(start: list[int], length: list[int]) -> list[int]:
+    """Of sorted spans the numbers of those that begin where the last taken one ended, or later."""
+    at, taken = 0, []
+    for i, (s, n) in enumerate(zip(start, length, strict=True)):
+        if s >= at:
+            taken.append(i)
+            at = s + n
+    return taken
 
 
 def joined(words: list[tuple[str, bool]]) -> str:

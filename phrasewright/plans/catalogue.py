@@ -179,8 +179,7 @@ _ALTERNATIVES = "|".join(sorted(PHRASES, key=lambda k: (-len(k), k)))
 def longest_match(spark, sf_dir):
     """The greedy longest match of a phrase dictionary in whole documents, counted by key."""
     pairs = _pairs(spark, {k: k for k in PHRASES})
-    picks = S.chosen(S.candidates(_script(spark, sf_dir), pairs))
-    return picks.select("doc_id", F.explode("picked.value").alias("value")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+    return S.longest(_script(spark, sf_dir), pairs).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
 
 def _dictionaries(spark) -> DataFrame:

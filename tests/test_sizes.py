@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from phrasewright.operators import dictionaries as D
+from phrasewright.operators import spans as S
 
 
 def _plan(frame) -> str:
@@ -16,3 +17,13 @@ def test_look_up_sends_no_side_whole(spark, tmp_path):
     assert "Broadcast" not in _plan(found)
     rows = [(r.pos, r.source, r.definition) for r in found.where("id = 1").orderBy("pos").collect()]
     assert rows == [(0, "ab c1", "w"), (3, "ab", "x\ny"), (7, "c", "z")] and found.count() == 50 * 2 + 17
+
+
+def test_longest_match_holds_no_group(spark):
+    texts = spark.createDataFrame([(1, "abcabab"), (2, ""), (3, None), (4, "xcx")], "doc_id long, text string")
+    pairs = spark.createDataFrame([("ab", "1"), ("ab", "2"), ("abc", "3"), ("bab", "4"), ("ca", "5")], "key string, value string")
+    found = S.longest(texts, pairs)
+    assert "Aggregate" not in _plan(found) and "Exchange" not in _plan(found)
+    assert [(r.doc_id, r.start, r.length, r.value) for r in found.orderBy("doc_id", "start").collect()] == [(1, 0, 3, "3"), (1, 3, 2, "2"), (1, 5, 2, "2")]
+    picked = S.chosen(S.candidates(texts, pairs)).collect()
+    assert [(r.doc_id, [tuple(p) for p in r.picked]) for r in picked] == [(1, [(0, 3, "3"), (3, 2, "2"), (5, 2, "2")])]
