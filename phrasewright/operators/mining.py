@@ -47,10 +47,14 @@ def numeral_run(word):
 
 
 def triggered(texts: DataFrame) -> DataFrame:
-    """(doc_id, start): places right after words that introduce a name."""
-    marks = F.regexp_extract_all("text", F.lit(f"(?s).*?{_any(sorted(TRIGGERS, key=len, reverse=True))}"), F.lit(0))
-    sizes = texts.select("doc_id", F.posexplode(marks).alias("nth", "part"))
-    return sizes.select("doc_id", F.sum(F.length("part")).over(Window.partitionBy("doc_id").orderBy("nth")).cast("int").alias("start"))
+    """(doc_id, start): places right after words that introduce a name. A text is read twice, whatever it holds: what stands
+    between the words, and the words."""
+    words = F.lit(_any(sorted(TRIGGERS, key=len, reverse=True)))
+    hit = texts.where(F.regexp("text", words))
+    each = F.arrays_zip(F.split("text", words, -1).alias("before"), F.regexp_extract_all("text", words, F.lit(0)).alias("mark"))
+    parts = hit.select("doc_id", F.posexplode(each).alias("nth", "x")).where("x.mark is not null")
+    sizes = F.sum(F.length("x.before") + F.length("x.mark")).over(Window.partitionBy("doc_id").orderBy("nth"))
+    return parts.select("doc_id", sizes.cast("int").alias("start"))
 
 
 def seeds(texts: DataFrame, inside: str, most: int, tokens: DataFrame | None = None) -> DataFrame:
@@ -158,17 +162,22 @@ def hybrid(texts: DataFrame, tables: dict[str, DataFrame], inside: str = r"\p{Is
 
 
 def part_of_names(words: DataFrame, names: DataFrame, surnames: DataFrame) -> DataFrame:
-    """Words (two characters or more) that begin a name or begin with one, or hold one and begin with no surname."""
+    """Words (two characters or more) that begin a name or begin with one, or hold one and begin with no surname. Which do is
+    found once for each word, however many documents have it, and only from pieces as long as a name."""
     keys = names.where("length(key) > 1").select("key").distinct()
     whole = words.where("length(word) > 1").select("doc_id", "word").distinct()
+    each = whole.select("word").distinct()
     starts = keys.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substr("key", F.lit(1), n))).alias("word")).distinct()
-    begins = whole.join(starts, "word", "left_semi")
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda p: F.transform(F.sequence(F.lit(1), F.length("word") - p + 1), lambda n: F.struct(p.alias("at"), F.substr("word", p, n).alias("key")))))
-    held = whole.select("doc_id", "word", F.explode(pieces).alias("x")).select("doc_id", "word", "x.at", "x.key").join(keys, "key", "left_semi")
+    begins = each.join(starts, "word", "left_semi")
+    sizes = keys.agg(F.collect_set(F.length("key")).alias("sizes"))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda p: F.struct((p == 1).alias("first"), F.substr("word", p, n).alias("key")))
+    pieces = F.array_distinct(F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length("word")), at)))
+    cut = each.crossJoin(F.broadcast(sizes)).select("word", F.explode(pieces).alias("x")).select("word", "x.first", "x.key")
+    held = cut.join(keys, "key", "left_semi").groupBy("word").agg(F.max("first").alias("first"))
     for n in (1, 2):
         held = _flag(held, F.when(F.length("word") > n, F.substring("word", 1, n)), surnames, f"_s{n}")
-    inside = held.where((F.col("at") == 1) | ~(F.col("_s1") | F.col("_s2"))).select("doc_id", "word")
-    return begins.select("doc_id", "word").unionByName(inside).distinct()
+    inside = held.where(F.col("first") | ~(F.col("_s1") | F.col("_s2"))).select("word")
+    return whole.join(begins.unionByName(inside).distinct(), "word", "left_semi").select("doc_id", "word")
 
 
 def led_by_segments(words: DataFrame, tokens: DataFrame, raw: DataFrame, phrases: DataFrame, nouns: DataFrame, surnames: DataFrame) -> DataFrame:
@@ -227,10 +236,14 @@ def refiltered(listed: DataFrame, texts: DataFrame, tables: dict[str, DataFrame]
     kept = words.join(begun, ["doc_id", "word"], "left_anti").join(tables["names"].select(F.col("key").alias("word")).distinct(), "word", "left_anti")
     kept = kept.where(~F.col("word").rlike(MARKS)).join(part_of_names(kept, names2, tables["surnames"]), ["doc_id", "word"], "left_anti")
     kept = settled(kept.where(F.lit(True) if not stops else ~F.col("word").rlike(_any(map(_escaped, stops)))), "kept")
-    # How many entries hold a word: their substrings of the lengths at hand meet the words.
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda a: F.transform(F.sequence(F.lit(1), F.length("word") - a + 1), lambda n: F.substr("word", a, n))))
-    inside = each.groupBy("doc_id", "word").agg(F.count("*").alias("times")).select("doc_id", "times", F.explode(F.array_distinct(pieces)).alias("word"))
-    counted = inside.join(kept, ["doc_id", "word"], "left_semi").groupBy("doc_id", "word").agg(F.sum("times").alias("listed"))
+    # How many entries hold a word: which words hold which depends on no document, so it is found once for each entry, and an
+    # entry meets the words of its document that it holds. The words at hand are sent nowhere whole.
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("entry")), lambda a: F.transform(F.sequence(F.lit(1), F.length("entry") - a + 1), lambda n: F.substr("entry", a, n))))
+    entries = each.groupBy("doc_id", F.col("word").alias("entry")).agg(F.count("*").alias("times"))
+    parts = entries.select("entry").distinct().select("entry", F.explode(F.array_distinct(pieces)).alias("word"))
+    holds = parts.hint("merge").join(kept.select("word").distinct(), "word", "left_semi").groupBy("entry").agg(F.collect_list("word").alias("held"))
+    inside = entries.join(settled(holds, "holds"), "entry").select("doc_id", "times", F.explode("held").alias("word"))
+    counted = inside.hint("merge").join(kept, ["doc_id", "word"], "left_semi").groupBy("doc_id", "word").agg(F.sum("times").alias("listed"))
     found = N.occurrences(texts, kept).select("doc_id", "word", "n")
     for n in (1, 2):
         found = _flag(found, F.substring("word", 1, n), tables["surnames"], f"_s{n}")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +48,14 @@ def _script(spark, sf_dir) -> DataFrame:
 
 
 def _pairs(spark, entries: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame([("d", i, k, v) for i, (k, v) in enumerate(entries.items())], "dict string, line_no int, key string, value string")
+    return _local(spark, [("d", i, k, v) for i, (k, v) in enumerate(entries.items())])
+
+
+def _local(spark, rows: list[tuple]) -> DataFrame:
+    """(dict, line_no, key, value) of our own entries. From an Arrow table Spark knows how few they are, and sends them to the other
+    side of a join; rows from Python count as endless, so that both sides were shuffled."""
+    fields = (("dict", pa.string()), ("line_no", pa.int32()), ("key", pa.string()), ("value", pa.string()))
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields]))
 
 
 _SQL_SCRIPT = f"(SELECT doc_id, translate(lower(text), '{LETTERS}', '{SCRIPT}') AS text FROM documents)"
@@ -184,7 +192,7 @@ def longest_match(spark, sf_dir):
 
 def _dictionaries(spark) -> DataFrame:
     kinds = {"vietphrase": PHRASES, "names": NAMES, "pronouns": NOUNS, "surnames": SURNAMES, "suffixes": SUFFIXES, "readings": READINGS, "rules": GRAMMAR}
-    return spark.createDataFrame([(d, i, k, v) for d, entries in kinds.items() for i, (k, v) in enumerate(entries.items())], "dict string, line_no int, key string, value string")
+    return _local(spark, [(d, i, k, v) for d, entries in kinds.items() for i, (k, v) in enumerate(entries.items())])
 
 
 @_query()

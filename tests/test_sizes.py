@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
 from phrasewright.operators import dictionaries as D
+from phrasewright.operators import mining as M
 from phrasewright.operators import spans as S
 
 
@@ -27,3 +30,12 @@ def test_longest_match_holds_no_group(spark):
     assert [(r.doc_id, r.start, r.length, r.value) for r in found.orderBy("doc_id", "start").collect()] == [(1, 0, 3, "3"), (1, 3, 2, "2"), (1, 5, 2, "2")]
     picked = S.chosen(S.candidates(texts, pairs)).collect()
     assert [(r.doc_id, [tuple(p) for p in r.picked]) for r in picked] == [(1, [(0, 3, "3"), (3, 2, "2"), (5, 2, "2")])]
+
+
+def test_triggers_in_proportion_to_a_text(spark):
+    """Without a word that introduces a name, the text was read again from each of its characters."""
+    long = "甲乙 " * 100_000
+    texts = spark.createDataFrame([(1, long), (2, "我叫甲乙名字叫丙，叫叫"), (3, None), (4, long + "自称")], "doc_id long, text string")
+    began = time.time()
+    assert [tuple(r) for r in M.triggered(texts).orderBy("doc_id", "start").collect()] == [(2, 2), (2, 7), (2, 10), (2, 11), (4, 300_002)]
+    assert time.time() - began < 40
