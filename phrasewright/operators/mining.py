@@ -236,14 +236,12 @@ def refiltered(listed: DataFrame, texts: DataFrame, tables: dict[str, DataFrame]
     kept = words.join(begun, ["doc_id", "word"], "left_anti").join(tables["names"].select(F.col("key").alias("word")).distinct(), "word", "left_anti")
     kept = kept.where(~F.col("word").rlike(MARKS)).join(part_of_names(kept, names2, tables["surnames"]), ["doc_id", "word"], "left_anti")
     kept = settled(kept.where(F.lit(True) if not stops else ~F.col("word").rlike(_any(map(_escaped, stops)))), "kept")
-    # How many entries hold a word: which words hold which depends on no document, so it is found once for each entry, and an
-    # entry meets the words of its document that it holds. The words at hand are sent nowhere whole.
+    # How many entries hold a word: an entry meets its document's words in one row, and only those it holds become rows.
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("entry")), lambda a: F.transform(F.sequence(F.lit(1), F.length("entry") - a + 1), lambda n: F.substr("entry", a, n))))
     entries = each.groupBy("doc_id", F.col("word").alias("entry")).agg(F.count("*").alias("times"))
-    parts = entries.select("entry").distinct().select("entry", F.explode(F.array_distinct(pieces)).alias("word"))
-    holds = parts.hint("merge").join(kept.select("word").distinct(), "word", "left_semi").groupBy("entry").agg(F.collect_list("word").alias("held"))
-    inside = entries.join(settled(holds, "holds"), "entry").select("doc_id", "times", F.explode("held").alias("word"))
-    counted = inside.hint("merge").join(kept, ["doc_id", "word"], "left_semi").groupBy("doc_id", "word").agg(F.sum("times").alias("listed"))
+    own = kept.groupBy("doc_id").agg(F.collect_set("word").alias("words"))
+    inside = entries.hint("merge").join(own, "doc_id").select("doc_id", "times", F.explode(F.array_intersect(pieces, F.col("words"))).alias("word"))
+    counted = inside.groupBy("doc_id", "word").agg(F.sum("times").alias("listed"))
     found = N.occurrences(texts, kept).select("doc_id", "word", "n")
     for n in (1, 2):
         found = _flag(found, F.substring("word", 1, n), tables["surnames"], f"_s{n}")

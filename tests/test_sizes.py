@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from phrasewright.functions import normal
 from phrasewright.operators import dictionaries as D
 from phrasewright.operators import mining as M
 from phrasewright.operators import spans as S
@@ -39,3 +40,31 @@ def test_triggers_in_proportion_to_a_text(spark):
     began = time.time()
     assert [tuple(r) for r in M.triggered(texts).orderBy("doc_id", "start").collect()] == [(2, 2), (2, 7), (2, 10), (2, 11), (4, 300_002)]
     assert time.time() - began < 40
+
+
+def test_part_of_names_looks_each_word_up_once(spark):
+    """Pieces were cut from a word again for each document that has it."""
+    words = spark.createDataFrame([(d, w) for d in range(50) for w in ("other", "th", "x", "ab")], "doc_id long, word string")
+    names = spark.createDataFrame([("the",), ("the",), ("o",)], "key string")
+    found = M.part_of_names(words, names, names.limit(0))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate explode(array_distinct") :]
+    assert "doc_id" not in below[below.index("Aggregate [") :].splitlines()[0] and sorted({(r.doc_id, r.word) for r in found.collect()}) == [(d, w) for d in range(50) for w in ("other", "th")]
+
+
+def test_refiltered_makes_rows_of_held_words_alone(spark):
+    listed = spark.createDataFrame([(1, "甲乙"), (1, "甲乙丙丁"), (1, "丁丙甲乙"), (1, "甲乙"), (2, "甲乙")], "doc_id long, word string")
+    texts = spark.createDataFrame([(1, "甲乙 甲乙"), (2, "甲乙 甲乙 甲乙")], "doc_id long, text string")
+    some = spark.createDataFrame([("甲", "giáp"), ("乙", "ất")], "key string, value string")
+    found = M.refiltered(listed, texts, {"names": some, "surnames": some.limit(0), "nouns": some.limit(0), "readings": some})
+    assert [(r.doc_id, r.word, r.n, r.listed) for r in found.orderBy("doc_id").collect()] == [(1, "甲乙", 2, 4), (2, "甲乙", 3, 1)]
+
+
+def test_references_are_decoded_without_python(spark):
+    said = "&#0;|&#65;&#x41;&#X000041;|&#xFEFF;|&#x10FFFF;&#x110000;&#xDFFF;|&#99999999999999999999;|&#0000000000065;|&amp;amp;|&lt;&quot;&&lt;|&#;&x"
+    df = spark.createDataFrame([(said,), (None,), ("",), ("&copy;",), ("a&b",)], "text string")
+    for legacy, names in ((True, normal.LEGACY), (False, normal.name2codepoint)):
+        found = df.select("text", normal.decoded_entities("text", legacy).alias("x"))
+        assert "Python" not in _plan(found) and "ArrowEval" not in _plan(found)
+        for r in found.collect():
+            assert r.x == (None if r.text is None else normal._ENTITY.sub(lambda m: normal.entity(m, names) or m[0], r.text))  # noqa: B023
