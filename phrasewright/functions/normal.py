@@ -207,8 +207,21 @@ def tables(simplify: tuple[str, str] = ("", ""), readings=(), ignored=()):
 
 def decoded_entities(text, legacy: bool = False) -> Column:
     """Character references decoded once; what isn't one stays. legacy: only the names that the normaliser knows, else those of HTML 4."""
-    names = LEGACY if legacy else name2codepoint
-    return F.udf(lambda t: None if t is None else _ENTITY.sub(lambda m: entity(m, names) or m[0], t), "string", useArrow=True)(col(text))
+    names = F.create_map(*(F.lit(x) for k, v in (LEGACY if legacy else name2codepoint).items() for x in (k, chr(v))))
+    t, pattern = col(text), F.lit("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z0-9]+);")
+
+    def said(m):
+        digits = F.regexp_replace(m, "^&#[xX]?0*|;$", "")
+        code = F.when(m.rlike("^&#[xX]"), F.when(F.length(digits) <= 6, F.conv(F.concat(F.lit("0"), digits), 16, 10)))
+        code = code.when(m.startswith("&#"), F.when(F.length(digits) <= 7, F.concat(F.lit("0"), digits))).try_cast("long")
+        # A mark of byte order isn't read as a character.
+        char = F.when(code == 0xFEFF, F.lit("\ufeff")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        known = F.when((code < 0xD800) | code.between(0xE000, 0x10FFFF), char)
+        return F.coalesce(known, F.try_element_at(names, F.substr(m, F.lit(2), F.length(m) - 2)), m)
+
+    marks = F.transform(F.regexp_extract_all(t, pattern, F.lit(0)), said)
+    parts = F.transform(F.arrays_zip(F.split(t, pattern, -1).alias("before"), marks.alias("mark")), lambda x: F.concat(x["before"], F.coalesce(x["mark"], F.lit(""))))
+    return F.when(F.regexp(t, pattern), F.array_join(parts, "")).otherwise(t)
 
 
 def standardized(text, simplify: tuple[str, str] = ("", ""), readings=(), ignored=()) -> Column:
