@@ -28,7 +28,8 @@ BEFORE = {BEGIN: (END, ALONE), INSIDE: (BEGIN, INSIDE), END: (BEGIN, INSIDE), AL
 LAST = (END, ALONE)
 HAN = "㐀-䶿一-鿿"
 #: Runs that a task remembers.
-SHORT, KNOWN = 12, 1 << 17
+SHORT, KNOWN, PIECE = 12, 1 << 17, 16
+_PIECES = re.compile(r"\s+|\S+")
 _OTHER = r"[A-Za-z0-9]+(?:\.[0-9]+)?%?|\s+|."
 
 
@@ -97,6 +98,8 @@ class Segmenter:
         self.weight: dict[int, float] = {}
         #: What runs of up to SHORT characters were cut to; runs between marks come again and again.
         self.known: dict[str, list[str]] = {}
+        #: Tokens of what stood between white space, up to PIECE characters.
+        self.cut_pieces: dict[str, list[tuple[int, str]]] = {}
 
     def words(self, text: str) -> tuple[list[int], list[int], list[float]]:
         """Of all dictionary words in a text, by their starts and then lengths: where those of each place begin, lengths, weights."""
@@ -164,6 +167,46 @@ class Segmenter:
                 at += len(word)
         return out
 
+    def columns(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The tokens of texts as columns: number of the text, start, word. No token reaches over an end of white space, so what
+        stands between is cut once for all texts and its tokens are taken as often as it occurs."""
+        index: dict[str, int] = {}
+        found = [_PIECES.findall(t) for t in texts]
+        code = np.array([index.setdefault(p, len(index)) for f in found for p in f], dtype=np.int64)
+        pieces = list(index)
+        solid = [i for i, p in enumerate(pieces) if not p[0].isspace()]
+        tokens: list[list[tuple[int, str]]] = [[(0, p)] for p in pieces]
+        fresh = [i for i in solid if pieces[i] not in self.cut_pieces]
+        if fresh:
+            # Together, as a search has a price of its own; the line feeds between them are tokens themselves.
+            which, at = iter(fresh), 0
+            i = next(which)
+            tokens[i] = []
+            for start, word in self.tokens("\n".join(pieces[i] for i in fresh)):
+                if word == "\n":
+                    i, at = next(which), start + 1
+                    tokens[i] = []
+                else:
+                    tokens[i].append((start - at, word))
+            for i in fresh:
+                if len(pieces[i]) <= PIECE and len(self.cut_pieces) < KNOWN:
+                    self.cut_pieces[pieces[i]] = tokens[i]
+        fresh = set(fresh)
+        for i in solid:
+            if i not in fresh:
+                tokens[i] = self.cut_pieces[pieces[i]]
+        each, long = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (tokens, pieces))
+        offset = np.fromiter((s for t in tokens for s, _ in t), dtype=np.int64, count=int(each.sum()))
+        words = pa.array([w for t in tokens for _, w in t], pa.string())
+        of = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        size, begin = each[code], (np.cumsum(each) - each)[code]
+        place = np.cumsum(long[code]) - long[code]
+        # From the start of the own text.
+        first = np.searchsorted(of, np.arange(len(texts)))
+        place -= np.append(place, 0)[first][of]
+        nth = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.repeat(of, size), np.repeat(place, size) + offset[nth], words.take(pa.array(nth))
+
 
 def segmented(texts: DataFrame, words: DataFrame, model: Model | None = None, inside: str = HAN) -> DataFrame:
     """(doc_id, start, word) of texts (doc_id, text), start in characters from 0. words: (word, n), any number of them, distinct.
@@ -183,9 +226,7 @@ def segmented(texts: DataFrame, words: DataFrame, model: Model | None = None, in
         for whole in batches:
             for a in range(0, whole.num_rows, 64):
                 batch = whole.slice(a, 64)
-                found = [own.tokens(t or "") for t in batch.column("text").to_pylist()]
-                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                flat = [x for f in found for x in f]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array([s for s, _ in flat], pa.int32()), pa.array([w for _, w in flat], pa.string())], names=["doc_id", "start", "word"])
+                row, start, words = own.columns([t or "" for t in batch.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(start, pa.int32()), words], names=["doc_id", "start", "word"])
 
     return spread(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(walked, "doc_id long, start int, word string")

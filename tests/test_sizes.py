@@ -7,6 +7,8 @@ import time
 from phrasewright.functions import normal
 from phrasewright.operators import dictionaries as D
 from phrasewright.operators import mining as M
+from phrasewright.operators import keys as K
+from phrasewright.operators import segment as G
 from phrasewright.operators import spans as S
 
 
@@ -68,3 +70,15 @@ def test_references_are_decoded_without_python(spark):
         assert "Python" not in _plan(found) and "ArrowEval" not in _plan(found)
         for r in found.collect():
             assert r.x == (None if r.text is None else normal._ENTITY.sub(lambda m: normal.entity(m, names) or m[0], r.text))  # noqa: B023
+
+
+def test_segments_of_a_piece_are_cut_once():
+    words = {"甲乙": "9", "乙丙": "4", "甲": "2", "\n甲": "50", "丁丁": "3"}
+    whole, own = (G.Segmenter(K.Keys.of(words=words), 68.0, None, inside="甲乙丙丁") for _ in range(2))
+    texts = ["甲乙丙 ab甲乙丙12.5%,丁丁", "", "  甲乙丙\n\n甲 x", "甲乙丙" * 20 + " 甲乙丙", "\x1c甲　甲乙丙 "]
+    asked, cut = [], own.tokens
+    own.tokens = lambda t: asked.append(t) or cut(t)
+    for _ in range(2):
+        row, start, word = own.columns(texts)
+        assert list(zip(row.tolist(), start.tolist(), word.to_pylist(), strict=True)) == [(i, s, w) for i, t in enumerate(texts) for s, w in whole.tokens(t)]
+    assert asked[0].split("\n").count("甲乙丙") == 1 and asked[1:] == ["甲乙丙" * 20, ] and not len(own.columns([])[0])
