@@ -158,7 +158,7 @@ def without_ignored(source: str, simplify: dict, known) -> Aligned:
     """The normaliser up to its last step."""
     text = Aligned(source)
     # One character for one: the ranges stay.
-    text.text = source.translate(simplify)
+    text.text = source.translate(simplify) if simplify else source
     text.sub(_ENTITY, entity)
     text.sub(_MARKS, lambda m: SINGLE.get(m[0]) or SEVERAL.get(m[0], ""))
     for old, new in (("  ", " "), (" \r\n", "\n"), (" \n", "\n"), (" ,", ",")):

@@ -138,6 +138,11 @@ class Keys:
             builder.add(words, {s: [d.get(w) for w in words] for s, d in slots.items()})
             return cls(builder.finish())
 
+    @staticmethod
+    def characters(edges: np.ndarray) -> np.ndarray:
+        """The code points of edges."""
+        return (edges & np.uint64((1 << 21) - 1)).astype(np.int64)
+
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, record) of all keys in a text, the shortest first and then from left to right."""
         found = []

@@ -198,7 +198,7 @@ def _dictionaries(spark) -> DataFrame:
 @_query()
 def translate_documents(spark, sf_dir):
     """Whole documents normalised and translated: phrases by first meaning, names first, rules, numbers, readings."""
-    found = scan.translated(_script(spark, sf_dir), scan.lexicon(_dictionaries(spark), one_meaning=True), normalise=True)
+    found = scan.translated(_script(spark, sf_dir), scan.lexicon(_dictionaries(spark), one_meaning=True), normalise=True, ranges=False)
     return found.select("doc_id", "translated", "n_spans")
 
 
