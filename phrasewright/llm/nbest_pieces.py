@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 import uuid
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -28,8 +29,10 @@ from pyspark.sql import types as T
 from .common import kept, slices, widened
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Shorter segments are scored many at a time. A sum of scores under -_FAR is no path.
-_WIDE, _BASE, _NONE, _FAR = 24, np.uint64(0x9E3779B97F4A7C55), -(1 << 60), 1 << 58
+#: Pairs of code points below _LOW are looked up in a table. Shorter segments are scored many at a time. A sum of scores under -_FAR is no path.
+_WIDE, _BASE, _NONE, _FAR, _LOW = 24, np.uint64(0x9E3779B97F4A7C55), -(1 << 60), 1 << 58, 512
+#: Odd: deals the sums of short pieces out over all upper bits.
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 MARK, N_BEST = "▁", 4
 _CACHE_LIMIT = 200_000
 #: Scores that aren't whole numbers are kept in this part of one.
@@ -62,6 +65,12 @@ class Lattice:
         self.longest = max(map(len, self.plain), default=1)
         self.joined = {pair for p in self.plain for pair in zip(p, p[1:], strict=False)}
         self.pairs = np.array(sorted((ord(a) << 21) | ord(b) for a, b in self.joined), dtype=np.int64)
+        self.low = np.zeros((_LOW, _LOW), dtype=bool)
+        for a, b in self.joined:
+            if a < chr(_LOW) and b < chr(_LOW):
+                self.low[ord(a), ord(b)] = True
+        self.single = np.zeros(0x110000, dtype=bool)
+        self.single[[ord(p) for p in self.plain if len(p) == 1]] = True
         self.begins = {p[:i]: None for p in self.plain for i in range(1, len(p))} | self.plain
         self.below = min((s for _, s in self.plain.values() if s > -(10**8) * self.scale), default=0) - 10 * self.scale
         self.spelling = [b""] * pieces["size"]
@@ -70,14 +79,18 @@ class Lattice:
         for b, i in self.byte.items():
             self.spelling[i] = bytes([b])
         self.numbers = list(map(str, range(pieces["size"])))
-        keys = {_poly(p): x for p, x in self.plain.items()}
+        keys = {_poly(p) * int(_SPREAD) & (1 << 64) - 1: x for p, x in self.plain.items()}
         self.keys = np.sort(np.fromiter(keys, dtype=np.uint64, count=len(keys)))
         self.key_ids = np.array([keys[int(k)][0] for k in self.keys], dtype=np.int32)
         self.key_scores = np.array([keys[int(k)][1] for k in self.keys], dtype=np.int64)
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[self.keys >> np.uint64(44)] = True
+        # By the upper bits of a key, the first with these, and how many share them at most.
+        upper = (self.keys >> np.uint64(44)).astype(np.int64)
+        self.place, self.shared = np.full(1 << 20, -1, dtype=np.int32), int(np.bincount(upper).max(initial=0)) if len(upper) else 0
+        self.place[upper[::-1]] = np.arange(len(upper))[::-1]
         self.words: dict[str, tuple] = {}
         self.parts: dict[str, tuple] = {}
+        self.options: dict[str, list] = {}
+        self.near: dict[str, list] = {}
 
     def edges(self, s: str) -> list[list[tuple[int, tuple[int, ...], int]]]:
         """By start: (end, pieces, score). A character without a piece is one edge of byte pieces."""
@@ -130,23 +143,28 @@ class Lattice:
         """The words of each text and what is known of them, after the new ones' segments were searched at once."""
         if len(self.words) > _CACHE_LIMIT:
             self.words.clear()
-        get, every = self.words.get, list(map(words_of, texts))
-        known = [list(map(get, found)) for found in every]
-        lacking = [i for i, row in enumerate(known) if not all(row)]
-        words = list({w for i in lacking for w, x in zip(every[i], known[i], strict=True) if x is None})
+        every = list(map(words_of, texts))
+        words = list(set(chain.from_iterable(every)).difference(self.words))
         cut = self.all_segments(words)
-        fresh = {s for x in cut for s in x} - self.parts.keys()
+        segments = set(chain.from_iterable(cut))
+        fresh = segments.difference(self.parts)
         if len(self.parts) + len(fresh) > _CACHE_LIMIT:
             self.parts.clear()
-            fresh = {s for x in cut for s in x}
-        plain = self.plain.keys()
-        fresh = sorted((s for s in fresh if len(s) <= _WIDE and plain >= set(s)), key=len)
+            fresh = segments
+        fresh = self.of_pieces(sorted((s for s in fresh if len(s) <= _WIDE), key=len))
         for a in range(0, len(fresh), 2048):
             self.parts.update(zip(fresh[a : a + 2048], self.together(fresh[a : a + 2048]), strict=True))
         self.words.update(zip(words, map(self.sum_of, cut), strict=True))
-        for i in lacking:
-            known[i] = [x or self.words[w] for w, x in zip(every[i], known[i], strict=True)]
-        return list(zip(every, known, strict=True))
+        get = self.words.__getitem__
+        return [(found, list(map(get, found))) for found in every]
+
+    def of_pieces(self, segments: list[str]) -> list[str]:
+        """Those whose characters are all pieces."""
+        if not segments:
+            return segments
+        starts = np.cumsum([0, *map(len, segments[:-1])])
+        points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return [s for s, ok in zip(segments, np.logical_and.reduceat(self.single[points], starts).tolist(), strict=True) if ok]
 
     def all_segments(self, words: list[str]) -> list[list[str]]:
         """segments() of many words."""
@@ -154,11 +172,14 @@ class Lattice:
         if not text:
             return [self.segments(w) for w in words]
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        pairs = (points[:-1] << 21) | points[1:]
-        at = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
-        begins = np.ones(len(points), dtype=bool)
-        if len(self.pairs):
-            begins[1:] = self.pairs[at] != pairs
+        begins, small = np.ones(len(points), dtype=bool), points < _LOW
+        small = small[:-1] & small[1:]
+        near = np.flatnonzero(small)
+        begins[near + 1] = ~self.low[points[near], points[near + 1]]
+        far = np.flatnonzero(~small)
+        if len(self.pairs) and len(far):
+            pairs = (points[far] << 21) | points[far + 1]
+            begins[far + 1] = self.pairs[np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)] != pairs
         starts = np.cumsum(sizes) - sizes
         begins[starts] = True
         cuts = np.flatnonzero(begins).tolist()
@@ -178,10 +199,12 @@ class Lattice:
         ids, scores, power = [None], [None], np.ones(1, dtype=np.uint64)
         for size in range(1, most + 1):
             power = power * _BASE
-            h = sums[size:] - sums[:-size] * power
-            near = np.flatnonzero(self.maybe[h >> np.uint64(44)])
-            wanted = h.reshape(-1)[near]
-            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            h = (sums[size:] - sums[:-size] * power) * _SPREAD
+            at = self.place[h >> np.uint64(44)].reshape(-1)
+            near = np.flatnonzero(at >= 0)
+            at, wanted = at[near], h.reshape(-1)[near]
+            for _ in range(self.shared - 1):
+                at += (self.keys[at] < wanted) & (at + 1 < len(self.keys))
             hit = (self.keys[at] == wanted) & (near // count + size <= sizes[near % count])
             i, x = np.full(h.size, -1, dtype=np.int32), np.full(h.size, _NONE)
             i[near[hit]], x[near[hit]] = self.key_ids[at[hit]], self.key_scores[at[hit]]
@@ -243,21 +266,23 @@ class Lattice:
         cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in self.joined]  # noqa: B905
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def sum_of(self, segments: list[str]) -> tuple:
-        """(pieces of the best, its score, the smallest loss of a segment's second best, the n - 1 smallest with their places)."""
+    def sum_of(self, segments: list[str]) -> tuple[tuple[int, ...], int, int]:
+        """(pieces of the best, its score, the smallest loss of a segment's second best)."""
         if len(segments) == 1:
             score, ids, loss = self.parts.get(segments[0]) or self.part(segments[0])
-            return (ids, score, _FAR, ()) if loss is None else (ids, score, loss, ((loss, 0),))
-        get, ids, score, losses = self.parts.get, (), 0, []
-        for place, s in enumerate(segments):
-            one, own, loss = get(s) or self.part(s)
-            ids += own
-            score += one
-            if loss is not None:
-                losses.append((loss, -place))
-        if len(losses) > 1:
-            losses = sorted(losses)[: self.n - 1]
-        return ids, score, losses[0][0] if losses else _FAR, losses
+            return ids, score, _FAR if loss is None else loss
+        get = self.parts.get
+        scores, pieces, losses = zip(*[get(s) or self.part(s) for s in segments], strict=True)
+        return tuple(chain.from_iterable(pieces)), sum(scores), min([x for x in losses if x is not None], default=_FAR)
+
+    def rivals(self, word: str) -> list[tuple[int, int]]:
+        """The n - 1 smallest losses of a word's segments, with their places below zero."""
+        if (out := self.near.get(word)) is None:
+            if len(self.near) >= _CACHE_LIMIT // 8:
+                self.near.clear()
+            losses = [((self.parts.get(s) or self.part(s))[2], -place) for place, s in enumerate(self.segments(word))]
+            out = self.near[word] = sorted(x for x in losses if x[0] is not None)[: self.n - 1]
+        return out
 
     def word(self, word: str) -> tuple:
         out = self.words[word] = self.sum_of(self.segments(word))
@@ -268,6 +293,14 @@ class Lattice:
         first = (self.parts.get(s) or self.nearest(s))[:2]
         return [first, *[x for x in options if x != first]][: self.n]
 
+    def best_of(self, s: str) -> list[tuple[int, tuple[int, ...]]]:
+        """The segment's n best, remembered."""
+        if (out := self.options.get(s)) is None:
+            if len(self.options) >= _CACHE_LIMIT // 8:
+                self.options.clear()
+            out = self.options[s] = self.from_first(self.search(s, self.n), s)
+        return out
+
     def part(self, s: str) -> tuple:
         if len(self.parts) >= _CACHE_LIMIT:
             self.parts.clear()
@@ -278,18 +311,15 @@ class Lattice:
         """The best pieces and score, and the n best as (score, changes): a change replaces the pieces of a segment, named by
         its word and place. primed: the text's entry of prime()."""
         found, known = primed or ((words := words_of(text)), [self.words.get(w) or self.word(w) for w in words])
-        ids, most = [], self.n - 1
-        for x in known:
-            ids += x[0]
-        total = sum([x[1] for x in known])
+        most = self.n - 1
+        ids, total = list(chain.from_iterable(map(_FIRST, known))), sum(map(_SECOND, known))
         # A text's nearest rivals stand in the words with the nearest ones.
-        least = [x[2] for x in known]
+        least = list(map(_THIRD, known))
         limit = min(_FAR - 1, sorted(least)[most - 1] if 0 < most <= len(least) else _FAR - 1)
-        near = [(loss, -k, place) for k, loss_ in enumerate(least) if loss_ <= limit for loss, place in known[k][3]]
+        near = [(loss, -k, place) for k, loss_ in enumerate(least) if loss_ <= limit for loss, place in self.rivals(found[k])]
         variants = [(0, (), [])]
         for _, k, place in sorted(sorted(near)[:most], key=lambda x: (-x[1], -x[2])):
-            options = self.search(self.segments(found[-k])[-place], self.n)
-            options = self.from_first(options, self.segments(found[-k])[-place])
+            options = self.best_of(self.segments(found[-k])[-place])
             variants = sorted(((loss + options[0][0] - score, ranks + (r,), [*changes, (-k, -place, ids_)] if r else changes) for loss, ranks, changes in variants for r, (score, ids_) in enumerate(options)), key=lambda v: v[:2])[: self.n]
         return ids, total, [(total - loss, changes) for loss, _, changes in variants]
 
@@ -314,6 +344,9 @@ class Lattice:
         return all(b"".join([self.spelling[i] for i in ids]).decode("utf-8", "surrogatepass") == self.segments(found[k])[place] for k, place, ids in changes)
 
 
+_FIRST, _SECOND, _THIRD = map(itemgetter, range(3))
+
+
 def _taken(table: list, ids) -> tuple:
     return itemgetter(*ids)(table) if len(ids) > 1 else tuple([table[i] for i in ids])
 
