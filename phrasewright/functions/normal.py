@@ -52,22 +52,28 @@ class Aligned:
 
     def sub(self, pattern: re.Pattern, replaced) -> None:
         """What pattern matches, left to right, becomes replaced(match); the new characters share the range of the old ones."""
-        text, first, last, at = [], [], [], 0
+        text, begin, end, times, at = [], [], [], [], 0
         for m in pattern.finditer(self.text):
             new = replaced(m)
             if new is None:
                 continue
             a, b = m.span()
             text += [self.text[at:a], new]
-            kept = np.arange(at, a)
-            first += [kept, np.full(len(new), a)]
-            last += [kept, np.full(len(new), b - 1)]
+            begin.append(a)
+            end.append(b)
+            times.append(len(new))
             at = b
         if text:
-            kept = np.arange(at, len(self.text))
+            size, begin, end = len(self.text), np.array(begin), np.array(end)
             self.text = "".join([*text, self.text[at:]])
-            self.take(np.concatenate([*first, kept]), np.concatenate([*last, kept]))
-
+            # How often each old character's place is taken: none inside a match but the first, for each of the new ones.
+            inside, last = np.zeros(size + 1, dtype=np.int64), np.arange(size)
+            inside[begin] += 1
+            inside[end] -= 1
+            taken = 1 - np.cumsum(inside)[:-1]
+            taken[begin], last[begin] = times, end - 1
+            first = np.repeat(np.arange(size), taken)
+            self.take(first, last[first])
 
     def separate(self, phrase: str) -> None:
         """Each place of a phrase becomes one blocked line feed, which holds the phrase's range."""
@@ -195,8 +201,10 @@ def blanked(source: str, simplify: dict, known, ignored=()) -> tuple[str, list[b
     np.add.at(units, text.start[text.blocked], 1)
     np.add.at(units, (text.start + text.size)[text.blocked], -1)
     covered = np.append(0, np.cumsum(np.cumsum(units)[:-1] > 0))
-    flags = (covered[own.start + own.size] > covered[own.start]).tolist()
-    return "".join("\n" if f else c for c, f in zip(source, flags, strict=True)), flags
+    flags = covered[own.start + own.size] > covered[own.start]
+    codes = points(source).copy()
+    codes[flags] = 10
+    return codes.tobytes().decode("utf-32-le", "surrogatepass"), flags.tolist()
 
 
 def tables(simplify: tuple[str, str] = ("", ""), readings=(), ignored=()):
