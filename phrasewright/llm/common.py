@@ -12,7 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,13 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, tag: str, **sums) -> tuple[DataFrame, dict]:
+    """settle(), and aggregates of the rows by name, taken while they are written: asking for them costs no job of its own."""
+    seen = Observation()
+    out = settle(df.observe(seen, *(c.alias(name) for name, c in sums.items())), tag)
+    return out, seen.get
+
+
 #: Rows of one or two numbers that a broadcast may have, some 64 MB.
 BROADCAST_ROWS = 2_000_000
 
@@ -69,8 +76,8 @@ def widened(docs: DataFrame, function, added: list[T.StructField]) -> DataFrame:
     return plain.mapInArrow(released(function, keeps=True), T.StructType([*plain.schema.fields, *added])).toDF(*docs.columns, *(f.name for f in added))
 
 
-def _release() -> None:
-    """What a task has freed goes back to the system; else an idle worker keeps it while other workers need memory."""
+def release() -> None:
+    """What a task, or the driver, has freed goes back to the system; else an idle process keeps it while others need memory."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -86,7 +93,7 @@ def kept(name: str, make):
     """make(), once in a worker for tasks that follow each other under one name."""
     if name not in _KEPT:
         _KEPT.clear()
-        _release()
+        release()
         _KEPT[name] = make()
     return _KEPT[name]
 
@@ -95,7 +102,7 @@ def _forget(task: int) -> None:
     """Lets go of what is kept if no task has begun since. A task holds what it uses itself, so one that begins now loses nothing."""
     if _LAST[0] == task:
         _KEPT.clear()
-        _release()
+        release()
 
 
 def released(function, keeps: bool = False):
@@ -106,11 +113,11 @@ def released(function, keeps: bool = False):
         task = _LAST[0] = next(_TASKS)
         if not keeps:
             _KEPT.clear()
-        _release()
+        release()
         try:
             yield from function(batches)
         finally:
-            _release()
+            release()
             if keeps:
                 timer = threading.Timer(_IDLE, _forget, (task,))
                 timer.daemon = True

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, mix64, released, settle, sized_broadcast, slices, text_key
+from .common import aside, mix64, observed, released, settle, sized_broadcast, slices, text_key
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 16, 4, 5, 0.8
 K = BANDS * ROWS
@@ -228,10 +228,10 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        step = settle(step.join(jump, "mid", "left").select("node", "was", F.least("mid", F.coalesce("far", "mid")).alias("label")), "labels")
-        changed = step.where("label <> was").limit(1).count()
+        step = step.join(jump, "mid", "left").select("node", "was", F.least("mid", F.coalesce("far", "mid")).alias("label"))
+        step, seen = observed(step, "labels", changed=F.count_if(F.col("label") != F.col("was")))
         labels = step.select("node", "label")
-        if not changed:
+        if not seen["changed"]:
             return labels
 
 
@@ -290,17 +290,20 @@ def _in_reach(spread: DataFrame, asked: DataFrame, hubs: DataFrame, scored: Data
     bucket's hub differ by 1 - similarity at most, and shingle totals by that factor. Distances and totals are cut into
     steps, and only neighbouring steps meet. Pairs whose sketches agree too little for a link go before they are written, and
     so do those that can't share enough: of the common shingles in each of PARTS parts, no more than the smaller number. A
-    pair is named once, in the first of the buckets in which it meets.
+    pair is named once, in the first of the buckets in which it meets. What is known of a node is written before it goes to
+    its buckets, and the pairs that met before those that share a rare shingle: a plan of all these joins would begin its
+    shuffles at once and keep their tables in the driver together.
     """
     reach = 1 - similarity
     step, ratio = max(reach, 0.01), max(1 / similarity, 1.01) if similarity > 0 else 1e9
-    inside = spread.join(asked.select("bucket").distinct(), "bucket")
-    of_node = settle(inside.select(F.col("b").alias("node"), "label", "total").distinct(), "inside")
+    inside = settle(spread.join(asked.select("bucket").distinct(), "bucket").select("bucket", "b", "label", "total"), "inside")
+    of_node = settle(inside.select(F.col("b").alias("node"), "label", "total").distinct(), "inside-nodes")
     rare = _rare(of_node.select("node"), sets)
     held = of_node.join(sets, "node").join(rare.groupBy("node").agg(F.collect_list("h").alias("rare")), "node", "left")
     held = held.select("node", F.array_except("h", F.coalesce("rare", F.array().cast("array<long>"))).alias("h"), "total").where(F.size("h") >= F.col("total") * similarity - 1e-9)
     asked_in = asked.groupBy(F.col("o").alias("node")).agg(F.collect_list("bucket").alias("asked"))
     owned = held.select("node", "h").mapInArrow(released(_histograms), "node long, common long, parts array<int>").join(nodes.select("node", "short", "bands"), "node").join(asked_in, "node", "left")
+    owned = settle(owned, "owned")
     carried = ("total", "common", "parts", "short", "bands", "asked")
     to_hub = inside.join(owned.withColumnRenamed("node", "b"), "b").join(hubs.select("bucket", "hub"), "bucket")
     to_hub = to_hub.select("bucket", F.col("b").alias("x"), "hub", "label", *carried, F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
@@ -317,8 +320,8 @@ def _in_reach(spread: DataFrame, asked: DataFrame, hubs: DataFrame, scored: Data
     needed = AGREEING if similarity >= SIMILARITY - 1e-9 else 0
     once = (F.array_min(F.array_intersect("bands", "o_asked")) == F.col("bucket")) & ((F.col("b") < F.col("o")) | F.col("asked").isNull() | ~F.arrays_overlap("asked", "o_bands"))
     may = (F.col("label") != F.col("own")) & alike & (F.least("common", "o_common") >= least) & (_agreeing("short", "o_short") >= needed) & once & (most >= least)
-    met = placed.join(beside, ["bucket", "step", "zone"]).where(may)
-    return met.select("b", "o").unionByName(_sharing_rare(rare, of_node, similarity))
+    met = settle(placed.join(beside, ["bucket", "step", "zone"]).where(may).select("b", "o"), "met")
+    return met.unionByName(_sharing_rare(rare, of_node, similarity))
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -361,8 +364,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     of_node = wanted.join(nodes.select("node", "doc_id", "tkey"), "node")
     texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tkey", text_key())
     texts = texts.join(of_node, texts.doc_id.eqNullSafe(of_node.doc_id) & (texts.tkey == of_node.tkey)).select("node", "text")
-    sets = settle(_word_hashes(texts).select("node", "words").mapInArrow(released(_shingle_sets), "node long, h array<long>").dropDuplicates(["node"]), "shingles")
-    blocks = max(1, (sets.agg(F.sum(F.size("h"))).first()[0] or 0) // BLOCK)
+    sets = _word_hashes(texts).select("node", "words").mapInArrow(released(_shingle_sets), "node long, h array<long>").dropDuplicates(["node"])
+    sets, seen = observed(sets, "shingles", elements=F.sum(F.size("h")))
+    blocks = max(1, (seen["elements"] or 0) // BLOCK)
     labels, known = None, None
     for turn in ("hub", "second hub", "rest"):
         if labels is None:
@@ -373,8 +377,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
             spread = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", "crowd", "total", F.coalesce("label", "b").alias("label"))
             spread = settle(spread, "labelled")
             differing = spread.join(_hubs(spread), "bucket").where("label <> hub_label").select("bucket", "b", "crowd", "label")
-            differing = settle(differing, "differing")
-            if not differing.limit(1).count():
+            differing, seen = observed(differing, "differing", rows=F.count(F.lit(1)))
+            if not seen["rows"]:
                 break
             # The hub of those that differ meets the whole bucket; at last, all of them do.
             if turn == "second hub":
@@ -405,6 +409,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that remain when each class keeps one: the smallest doc_id (ties: smallest tkey; repeated rows: one).
     They have the columns of docs, whatever their names."""
     kept = near_duplicate_classes(docs, similarity).where("keeper").select(F.col("doc_id").alias("kept_id"), F.col("tkey").alias("kept_key")).distinct()
+    kept = settle(kept, "kept")
     moved, back = aside(docs, "__id", "__key", "kept_id", "kept_key")
     keyed = moved.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.coalesce(text_key(), F.lit(0).cast("long"))})
     joined = keyed.join(kept, F.col("__id").eqNullSafe(F.col("kept_id")) & (F.col("__key") == F.col("kept_key")), "left_semi")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, settle
+from .common import aside, observed, settle
 
 #: The weights of the sources in order, repeating; the total as a share of all sizes; the most copies.
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
@@ -77,8 +77,9 @@ def dual(sized: DataFrame, goals: DataFrame, steps: int = NEWTON) -> DataFrame:
         half = F.greatest((F.col("low") + F.col("high")) / 2, F.least(F.lit(-1.0), F.col("high") * 2 - 1, F.col("strength") * 2))
         moved = F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(half)
         still = F.col("open") & (F.abs(F.col("words") - F.col("target")) > CLOSE * F.col("target"))
-        state = settle(step.select("source", "source_size", "target", "mean", F.when(still, moved).otherwise(F.col("strength")).alias("strength"), "low", "high", still.alias("open")), "dual")
-        if not state.where("open").limit(1).count():
+        step = step.select("source", "source_size", "target", "mean", F.when(still, moved).otherwise(F.col("strength")).alias("strength"), "low", "high", still.alias("open"))
+        state, seen = observed(step, "dual", open=F.count_if("open"))
+        if not seen["open"]:
             break
     return state.select("source", "source_size", "target", "mean", "strength")
 

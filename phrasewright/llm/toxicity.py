@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, text_slices, widened
+from .common import kept, release, text_slices, widened
 
 #: Labelled rows the fit uses at most, of each label: a bounded sample, the first in an order by hash.
 SAMPLE = 2000
@@ -150,7 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").distinct()
     got = _bounded(got).toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), map(hash_text, got["text"].to_pylist()), got["text"].to_pylist(), got["toxic"].to_pylist(), strict=True), key=lambda r: (r[0], r[1], r[3]))
-    return fit([r[2] for r in rows], [r[3] for r in rows])
+    model = fit([r[2] for r in rows], [r[3] for r in rows])
+    del got, rows
+    release()
+    return model
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
