@@ -6,9 +6,10 @@ the sum of its pieces' scores, and the best N by score are found. Characters wit
 gives back every text exactly.
 
 The lattice falls apart where no piece of the vocabulary holds two neighbouring characters
-together. Viterbi and A* run on those segments; a document's best N combine the best N of
-its segments. Between variants of a document with equal scores, the earliest segment that
-differs decides for the lower rank.
+together. Viterbi runs on words, many of one length at once (on those segments, if a word is
+long), A* on segments; a document's best N combine the best N of its segments. Between
+variants of a document with equal scores, the earliest segment that differs decides for the
+lower rank.
 """
 
 from __future__ import annotations
@@ -18,23 +19,26 @@ import hashlib
 import heapq
 import re
 import uuid
-from itertools import chain
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import kept, slices, widened
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Pairs of code points below _LOW are looked up in a table. Shorter segments are scored many at a time. A sum of scores under -_FAR is no path.
+#: Pairs of code points below _LOW are looked up in a table. Words up to _WIDE are scored many at a time. A sum of scores under -_FAR is no path.
 _WIDE, _BASE, _NONE, _FAR, _LOW = 24, np.uint64(0x9E3779B97F4A7C55), -(1 << 60), 1 << 58, 512
 #: Odd: deals the sums of short pieces out over all upper bits.
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 MARK, N_BEST = "▁", 4
 _CACHE_LIMIT = 200_000
+#: So many words are scored, and so many words of a text put together, at a time.
+_AT_ONCE, _BLOCK = 2048, 200_000
 #: Scores that aren't whole numbers are kept in this part of one.
 _FINE = 1_000_000
 
@@ -69,8 +73,6 @@ class Lattice:
         for a, b in self.joined:
             if a < chr(_LOW) and b < chr(_LOW):
                 self.low[ord(a), ord(b)] = True
-        self.single = np.zeros(0x110000, dtype=bool)
-        self.single[[ord(p) for p in self.plain if len(p) == 1]] = True
         self.begins = {p[:i]: None for p in self.plain for i in range(1, len(p))} | self.plain
         self.below = min((s for _, s in self.plain.values() if s > -(10**8) * self.scale), default=0) - 10 * self.scale
         self.spelling = [b""] * pieces["size"]
@@ -78,7 +80,9 @@ class Lattice:
             self.spelling[i] = p.encode()
         for b, i in self.byte.items():
             self.spelling[i] = bytes([b])
-        self.numbers = list(map(str, range(pieces["size"])))
+        self.bytes_of = np.array([len(x) for x in self.spelling], dtype=np.int64)
+        # The numbers of pieces as they stand in a digest's text, filled up with zero bytes.
+        self.told = np.frombuffer(b"".join([b"%d," % i + bytes(7 - len(str(i))) for i in range(pieces["size"])]), dtype=np.uint64)
         keys = {_poly(p) * int(_SPREAD) & (1 << 64) - 1: x for p, x in self.plain.items()}
         self.keys = np.sort(np.fromiter(keys, dtype=np.uint64, count=len(keys)))
         self.key_ids = np.array([keys[int(k)][0] for k in self.keys], dtype=np.int32)
@@ -87,9 +91,13 @@ class Lattice:
         upper = (self.keys >> np.uint64(44)).astype(np.int64)
         self.place, self.shared = np.full(1 << 20, -1, dtype=np.int32), int(np.bincount(upper).max(initial=0)) if len(upper) else 0
         self.place[upper[::-1]] = np.arange(len(upper))[::-1]
-        self.words: dict[str, tuple] = {}
+        self.filled = self.place >= 0
+        # One more than any, so that there is a last one without pieces too.
+        self.keys, self.key_ids, self.key_scores = np.append(self.keys, ~np.uint64(0)), np.append(self.key_ids, np.int32(-1)), np.append(self.key_scores, _NONE)
+        # What is known of words, by row: score, loss, uses, whether the pieces spell the word, and the place and number of its pieces.
+        self.rows, self.names, self.known, self.flat, self.flat_size = _Rows(), [], np.zeros(0, dtype=_WORD), np.zeros(0, dtype=np.int32), 0
         self.parts: dict[str, tuple] = {}
-        self.options: dict[str, list] = {}
+        self.options: dict[str, tuple[list, bool]] = {}
         self.near: dict[str, list] = {}
 
     def edges(self, s: str) -> list[list[tuple[int, tuple[int, ...], int]]]:
@@ -139,32 +147,110 @@ class Lattice:
                     second = so_far + score + back[j]
         return top, path, None if second is None else top - second
 
-    def prime(self, texts: list[str]) -> list[tuple[list[str], list[tuple]]]:
-        """The words of each text and what is known of them, after the new ones' segments were searched at once."""
-        if len(self.words) > _CACHE_LIMIT:
-            self.words.clear()
-        every = list(map(words_of, texts))
-        words = list(set(chain.from_iterable(every)).difference(self.words))
-        cut = self.all_segments(words)
-        segments = set(chain.from_iterable(cut))
+    @property
+    def words(self) -> dict[str, tuple[tuple[int, ...], int, int]]:
+        """What is known of words: (pieces of the best, its score, the smallest loss of a segment's second best)."""
+        return {self.name(k): (tuple(self.flat[x["at"] : x["at"] + x["count"]].tolist()), int(x["score"]), int(x["loss"])) for k, x in enumerate(self.known[: len(self.names)])}
+
+    def name(self, row: int) -> str:
+        return (b" " + self.names[row]).decode("utf-8", "surrogatepass")
+
+    def prime(self, texts: list[str]) -> list[np.ndarray]:
+        """The rows of each text's words in what is known, after new ones were scored at once. The rows hold until the next call."""
+        if len(self.rows) > _CACHE_LIMIT:
+            self.forget()
+        found, ends = split(texts)
+        met, before = found.dictionary.to_numpy(zero_copy_only=False).tolist(), len(self.rows)
+        try:
+            rows = np.fromiter(map(self.rows.__getitem__, met), dtype=np.int64, count=len(met))
+            if len(self.rows) > before:
+                self.learn([met[i] for i in np.flatnonzero(rows >= before).tolist()])
+        except BaseException:
+            self.rows, self.names, self.flat_size = _Rows(), [], 0
+            raise
+        rows = rows[found.indices.to_numpy()]
+        self.known["uses"][: len(self.rows)] += np.bincount(rows, minlength=len(self.rows))
+        return [rows[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def forget(self) -> None:
+        """Keeps words met again, at most half of the limit, those met most often lately."""
+        known = self.known[: len(self.names)]
+        keep = np.flatnonzero(known["uses"] > 1)
+        if len(keep) > _CACHE_LIMIT // 2:
+            keep = np.sort(keep[np.argsort(-known["uses"][keep], kind="stable")[: _CACHE_LIMIT // 2]])
+        self.names, self.flat = [self.names[i] for i in keep.tolist()], self.pieces(keep)
+        self.rows = _Rows(zip(self.names, range(len(keep)), strict=True))
+        self.known, self.flat_size = known[keep], len(self.flat)
+        self.known["uses"] //= 2
+        self.known["at"] = np.cumsum(self.known["count"]) - self.known["count"]
+
+    def learn(self, names: list[bytes]) -> None:
+        """Scores new words, without their first space, and adds them after those known."""
+        words = [" " + w.decode("utf-8", "surrogatepass") for w in names]
+        new, sizes = np.zeros(len(words), dtype=_WORD), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order, found = np.argsort(sizes, kind="stable"), []
+        for here, scores, losses, counts, ids in self.by_length(words, order, sizes):
+            new["score"][here], new["loss"][here], new["count"][here] = scores, losses, counts
+            found.append(ids)
+        long = order[np.searchsorted(sizes[order], _WIDE + 1) :].tolist()
+        cut = self.all_segments([words[i] for i in long])
+        self.learn_parts(set(chain.from_iterable(cut)))
+        for i, segments in zip(long, cut, strict=True):
+            ids, score, loss = self.sum_of(segments)
+            new[i] = score, loss, 0, 0, len(ids), False
+            found.append(np.array(ids, dtype=np.int32))
+        ids, ends = np.concatenate(found), np.cumsum(new["count"][order])
+        new["at"][order] = self.flat_size + ends - new["count"][order]
+        new["same"][order] = self.spelt([names[i] for i in order.tolist()], ids, ends)
+        before, size = len(self.names), self.flat_size + len(ids)
+        self.known = _longer(self.known, before, before + len(new))
+        self.known[before : before + len(new)] = new
+        self.flat = _longer(self.flat, self.flat_size, size)
+        self.flat[self.flat_size : size], self.flat_size = ids, size
+        self.names += names
+
+    def by_length(self, words: list[str], order: np.ndarray, sizes: np.ndarray):
+        """(indices, *together()) of words up to _WIDE, by order of their sizes."""
+        upto = np.searchsorted(sizes[order], np.arange(1, _WIDE + 2)).tolist()
+        for start, end in zip(upto, upto[1:], strict=False):
+            for a in range(start, end, _AT_ONCE):
+                here = order[a : min(a + _AT_ONCE, end)]
+                yield (here, *self.together([words[i] for i in here.tolist()]))
+
+    def learn_parts(self, segments: set[str]) -> None:
+        """Scores new segments of long words and remembers them."""
         fresh = segments.difference(self.parts)
         if len(self.parts) + len(fresh) > _CACHE_LIMIT:
             self.parts.clear()
             fresh = segments
-        fresh = self.of_pieces(sorted((s for s in fresh if len(s) <= _WIDE), key=len))
-        for a in range(0, len(fresh), 2048):
-            self.parts.update(zip(fresh[a : a + 2048], self.together(fresh[a : a + 2048]), strict=True))
-        self.words.update(zip(words, map(self.sum_of, cut), strict=True))
-        get = self.words.__getitem__
-        return [(found, list(map(get, found))) for found in every]
-
-    def of_pieces(self, segments: list[str]) -> list[str]:
-        """Those whose characters are all pieces."""
-        if not segments:
-            return segments
-        starts = np.cumsum([0, *map(len, segments[:-1])])
-        points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        return [s for s, ok in zip(segments, np.logical_and.reduceat(self.single[points], starts).tolist(), strict=True) if ok]
+        fresh = list(fresh)
+        sizes = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh))
+        for here, scores, losses, counts, ids in self.by_length(fresh, np.argsort(sizes, kind="stable"), sizes):
+            ids, ends = ids.tolist(), np.cumsum(counts).tolist()
+            for i, score, loss, a, b in zip(here.tolist(), scores.tolist(), losses.tolist(), [0, *ends], ends, strict=False):
+                self.parts[fresh[i]] = score, tuple(ids[a:b]), None if loss >= _FAR else loss
+
+    def spelt(self, names: list[bytes], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """By word, whether its pieces, which end at these, spell it."""
+        told, upto = self.spelling_of(ids.tolist()), np.cumsum(self.bytes_of[ids])[ends - 1].tolist()
+        return np.fromiter((told[a:b] == b" " + w for w, a, b in zip(names, [0, *upto], upto, strict=False)), dtype=bool, count=len(names))
+
+    def spelling_of(self, ids) -> bytes:
+        return b"".join(_taken(self.spelling, ids))
+
+    def pieces(self, rows: np.ndarray) -> np.ndarray:
+        """The pieces of known words, one after the other."""
+        counts = self.known["count"][rows]
+        ends = np.cumsum(counts)
+        return self.flat[np.repeat(self.known["at"][rows] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def digest_of(self, rows: np.ndarray) -> str:
+        """SHA-256 of the numbers of known words' pieces, comma-joined."""
+        out, last = hashlib.sha256(), b""
+        for a in range(0, len(rows), _BLOCK):
+            out.update(last + (text := self.told[self.pieces(rows[a : a + _BLOCK])].tobytes().translate(None, b"\0"))[:-1])
+            last = text[-1:]
+        return out.hexdigest()
 
     def all_segments(self, words: list[str]) -> list[list[str]]:
         """segments() of many words."""
@@ -187,54 +273,68 @@ class Lattice:
         upto = np.append(np.searchsorted(cuts, starts), len(cuts)).tolist()
         return [parts[a:b] for a, b in zip(upto, upto[1:], strict=False)]
 
-    def together(self, segments: list[str]) -> list[tuple[int, tuple[int, ...], int | None]]:
-        """nearest() of many short segments whose characters are pieces, by columns."""
-        count, sizes = len(segments), np.array([len(s) for s in segments])
-        wide = int(sizes.max(initial=1))
-        points = np.frombuffer("".join([s.ljust(wide, "\0") for s in segments]).encode("utf-32-le"), dtype=np.uint32).reshape(count, wide).T.astype(np.uint64)
-        sums = np.zeros((wide + 1, count), dtype=np.uint64)
+    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """nearest() of many words of one length, by columns: scores, losses (_FAR without a second best), numbers of pieces, pieces."""
+        count, wide = len(words), len(words[0])
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(count, wide).T.astype(np.uint64, order="C")
+        sums, powers = np.zeros((wide + 1, count), dtype=np.uint64), np.ones(wide + 1, dtype=np.uint64)
         for i in range(wide):
             sums[i + 1] = sums[i] * _BASE + points[i] + np.uint64(1)
-        most = min(self.longest, wide)
-        ids, scores, power = [None], [None], np.ones(1, dtype=np.uint64)
+            powers[i + 1 :] *= _BASE
+        most, scores = min(self.longest, wide), [None]
         for size in range(1, most + 1):
-            power = power * _BASE
-            h = (sums[size:] - sums[:-size] * power) * _SPREAD
-            at = self.place[h >> np.uint64(44)].reshape(-1)
-            near = np.flatnonzero(at >= 0)
-            at, wanted = at[near], h.reshape(-1)[near]
-            for _ in range(self.shared - 1):
-                at += (self.keys[at] < wanted) & (at + 1 < len(self.keys))
-            hit = (self.keys[at] == wanted) & (near // count + size <= sizes[near % count])
-            i, x = np.full(h.size, -1, dtype=np.int32), np.full(h.size, _NONE)
-            i[near[hit]], x[near[hit]] = self.key_ids[at[hit]], self.key_scores[at[hit]]
-            ids.append(i.reshape(h.shape))
-            scores.append(x.reshape(h.shape))
-        back, best = np.full((wide + 1, count), _NONE), np.full((wide + 1, count), _NONE)
-        back[sizes, np.arange(count)], best[0] = 0, 0
+            h = ((sums[size:] - sums[:-size] * powers[size]) * _SPREAD).reshape(-1)
+            near = np.flatnonzero(self.filled[(h >> np.uint64(44)).view(np.int64)])
+            at, hit = self.find(h[near])
+            x = np.full(h.size, self.below if size == 1 else _NONE)
+            x[near[hit]] = self.key_scores[at[hit]]
+            scores.append(x.reshape(-1, count))
+        back, best, take = np.full((wide + 1, count), _NONE), np.full((wide + 1, count), _NONE), np.zeros((wide, count), dtype=np.int8)
+        back[wide], best[0] = 0, 0
         for i in range(wide - 1, -1, -1):
             for size in range(1, min(most, wide - i) + 1):
-                np.maximum(back[i], scores[size][i] + back[i + size], out=back[i])
+                x = scores[size][i] + back[i + size]
+                np.copyto(take[i], size, where=x >= back[i])
+                np.maximum(back[i], x, out=back[i])
         for j in range(1, wide + 1):
             for size in range(1, min(most, j) + 1):
                 np.maximum(best[j], best[j - size] + scores[size][j - size], out=best[j])
-        at, step, taken = np.zeros(count, dtype=np.int64), np.zeros((wide, count), dtype=np.int8), np.full((wide, count), -1, dtype=np.int32)
+        at = np.zeros(count, dtype=np.int8)
         for i in range(wide):
-            here = np.flatnonzero((at == i) & (i < sizes))
-            for size in range(1, min(most, wide - i) + 1):
-                on = here[scores[size][i, here] + back[i + size, here] == back[i, here]]
-                step[i, on], taken[i, on] = size, ids[size][i, on]
-            at += step[i]
+            take[i] *= at == i
+            at += take[i]
         second = np.full(count, _NONE)
         for size in range(1, most + 1):
             through = best[: wide + 1 - size] + scores[size] + back[size:]
-            through[step[: wide + 1 - size] == size] = _NONE
+            through[take[: wide + 1 - size] == size] = _NONE
             np.maximum(second, through.max(axis=0), out=second)
-        top, losses = back[0].tolist(), (back[0] - second).tolist()
-        taken = taken.T
-        used = taken >= 0
-        flat, ends = taken[used].tolist(), np.cumsum(used.sum(axis=1)).tolist()
-        return [(t, tuple(flat[a:b]), None if x > _FAR else x) for t, a, b, x in zip(top, [0, *ends], ends, losses, strict=False)]
+        losses = back[0] - second
+        losses[losses > _FAR] = _FAR
+        word, i = np.nonzero(take.T)
+        size = take[i, word].astype(np.int64)
+        at, hit = self.find((sums[i + size, word] - sums[i, word] * powers[size]) * _SPREAD)
+        ids = self.key_ids[at]
+        if not hit.all():
+            ids, word = self.in_bytes(ids, word, np.where(hit, -1, points[i, word].astype(np.int64)))
+        return back[0], losses, np.bincount(word, minlength=count), ids
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of keys among the pieces' and whether they are there."""
+        at = np.maximum(self.place[(keys >> np.uint64(44)).view(np.int64)], 0)
+        for _ in range(self.shared - 1):
+            at += (self.keys[at] < keys) & (at + 1 < len(self.keys))
+        return at, self.keys[at] == keys
+
+    def in_bytes(self, ids: np.ndarray, word: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and their words with the byte pieces of points in place of theirs, where these aren't below 0."""
+        spelt = {p: [self.byte[b] for b in chr(p).encode("utf-8", "surrogatepass")] for p in np.unique(points[points >= 0]).tolist()}
+        counts = np.ones(len(ids), dtype=np.int64)
+        for p, new in spelt.items():
+            counts[points == p] = len(new)
+        starts, out = np.cumsum(counts) - counts, np.repeat(ids, counts)
+        for p, new in spelt.items():
+            out[starts[points == p][:, None] + np.arange(len(new))] = new
+        return out, np.repeat(word, counts)
 
     def search(self, s: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n best (score, pieces) of a segment, or all if there are fewer, by A* from its end: the forward scores are
@@ -284,21 +384,18 @@ class Lattice:
             out = self.near[word] = sorted(x for x in losses if x[0] is not None)[: self.n - 1]
         return out
 
-    def word(self, word: str) -> tuple:
-        out = self.words[word] = self.sum_of(self.segments(word))
-        return out
-
     def from_first(self, options, s: str):
         """The segment's n best, led by the one that encode() takes."""
         first = (self.parts.get(s) or self.nearest(s))[:2]
         return [first, *[x for x in options if x != first]][: self.n]
 
-    def best_of(self, s: str) -> list[tuple[int, tuple[int, ...]]]:
-        """The segment's n best, remembered."""
+    def best_of(self, s: str) -> tuple[list[tuple[int, tuple[int, ...]]], bool]:
+        """The segment's n best and whether all spell it, remembered."""
         if (out := self.options.get(s)) is None:
             if len(self.options) >= _CACHE_LIMIT // 8:
                 self.options.clear()
-            out = self.options[s] = self.from_first(self.search(s, self.n), s)
+            options = self.from_first(self.search(s, self.n), s)
+            out = self.options[s] = options, all(self.spelling_of(ids) == s.encode("utf-8", "surrogatepass") for _, ids in options)
         return out
 
     def part(self, s: str) -> tuple:
@@ -307,21 +404,31 @@ class Lattice:
         out = self.parts[s] = self.nearest(s)
         return out
 
-    def encode(self, text: str, primed=None) -> tuple[list[int], int, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """The best pieces and score, and the n best as (score, changes): a change replaces the pieces of a segment, named by
-        its word and place. primed: the text's entry of prime()."""
-        found, known = primed or ((words := words_of(text)), [self.words.get(w) or self.word(w) for w in words])
-        most = self.n - 1
-        ids, total = list(chain.from_iterable(map(_FIRST, known))), sum(map(_SECOND, known))
-        # A text's nearest rivals stand in the words with the nearest ones.
-        least = list(map(_THIRD, known))
-        limit = min(_FAR - 1, sorted(least)[most - 1] if 0 < most <= len(least) else _FAR - 1)
-        near = [(loss, -k, place) for k, loss_ in enumerate(least) if loss_ <= limit for loss, place in self.rivals(found[k])]
+    def variants(self, rows: np.ndarray) -> tuple[int, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]], bool]:
+        """The best score and the n best as (score, changes) of an entry of prime(), and whether all spell the text. A change
+        replaces the pieces of a segment, named by its word and place."""
+        most, near, known = self.n - 1, [], self.known
+        total, whole = int(known["score"][rows].sum()), bool(known["same"][rows].all())
+        # A text's nearest rivals stand in the words with the nearest ones, of equally near ones in the last.
+        least = known["loss"][rows[::-1]]
+        for _ in range(min(most, len(least))):
+            at = int(least.argmin())
+            if least[at] >= _FAR:
+                break
+            least[at], k = _FAR, len(least) - 1 - at
+            near += [(loss, -k, place) for loss, place in self.rivals(self.name(rows[k]))]
         variants = [(0, (), [])]
         for _, k, place in sorted(sorted(near)[:most], key=lambda x: (-x[1], -x[2])):
-            options = self.best_of(self.segments(found[-k])[-place])
+            options, same = self.best_of(self.segments(self.name(rows[-k]))[-place])
+            whole = whole and same
             variants = sorted(((loss + options[0][0] - score, ranks + (r,), [*changes, (-k, -place, ids_)] if r else changes) for loss, ranks, changes in variants for r, (score, ids_) in enumerate(options)), key=lambda v: v[:2])[: self.n]
-        return ids, total, [(total - loss, changes) for loss, _, changes in variants]
+        return total, [(total - loss, changes) for loss, _, changes in variants], whole
+
+    def encode(self, text: str, primed=None) -> tuple[list[int], int, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
+        """The best pieces and score, and the n best. primed: the text's entry of prime()."""
+        rows = self.prime([text])[0] if primed is None else primed
+        total, best, _ = self.variants(rows)
+        return self.pieces(rows).tolist(), total, best
 
     def applied(self, text: str, changes) -> list[int]:
         """The pieces of one of the n best."""
@@ -335,16 +442,25 @@ class Lattice:
     def decode(self, ids) -> str:
         return b"".join(_taken(self.spelling, ids)).decode("utf-8", "surrogatepass")[1:]
 
-    def digest(self, ids) -> str:
-        """SHA-256 of the numbers, comma-joined."""
-        return hashlib.sha256(",".join(_taken(self.numbers, ids)).encode()).hexdigest()
 
-    def same_text(self, found: list[str], changes) -> bool:
-        """Whether the changed segments spell what they replace."""
-        return all(b"".join([self.spelling[i] for i in ids]).decode("utf-8", "surrogatepass") == self.segments(found[k])[place] for k, place, ids in changes)
+class _Rows(dict):
+    """Rows by word, a new word's is the next."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = row = len(self)
+        return row
 
 
-_FIRST, _SECOND, _THIRD = map(itemgetter, range(3))
+_WORD = np.dtype([("score", np.int64), ("loss", np.int64), ("uses", np.int64), ("at", np.int64), ("count", np.int64), ("same", bool)], align=True)
+
+
+def _longer(column: np.ndarray, used: int, size: int) -> np.ndarray:
+    """A column whose used rows stay, with room for so many."""
+    if size <= len(column):
+        return column
+    out = np.zeros(max(size, len(column) * 3 // 2), dtype=column.dtype)
+    out[:used] = column[:used]
+    return out
 
 
 def _taken(table: list, ids) -> tuple:
@@ -363,7 +479,17 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(" " + text)
 
 
-_WORDS = re.compile(r" +[^ ]*")
+_WORDS, _REST = re.compile(r" +[^ ]*"), re.compile(rb" ( *[^ ]*)")
+
+
+def split(texts: list[str]) -> tuple[pa.DictionaryArray, list[int]]:
+    """words_of() many texts in UTF-8, without the first space of each, and where each text's end."""
+    found, counts = [], []
+    for plain, some in groupby([t.encode("utf-8", "surrogatepass") for t in texts], lambda t: t[:1] != b" " and b"  " not in t):
+        lists = pc.split_pattern(pa.array(some, pa.binary()), b" ") if plain else pa.array([_REST.findall(b" " + t) for t in some], pa.list_(pa.binary()))
+        found.append(lists.flatten())
+        counts += pc.list_value_length(lists).to_pylist()
+    return pa.concat_arrays(found).dictionary_encode(), np.cumsum(counts).tolist()
 
 
 def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_pieces: bool = True) -> DataFrame:
@@ -386,12 +512,11 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_pieces: boo
     docs = docs.drop(*added)
     sent, name, at = docs.sparkSession.sparkContext.broadcast((load(path), n)), uuid.uuid4().hex, docs.columns.index("text")
 
-    def one(lattice, text, primed):
-        ids, score, best = lattice.encode(text, primed)
-        whole = lattice.decode(ids) == text and all(lattice.same_text(primed[0], changes) for _, changes in best)
+    def one(lattice, rows):
+        score, best, whole = lattice.variants(rows)
         told = [[{"word": k, "place": p, "pieces": new} for k, p, new in changes] for _, changes in best]
-        row = len(ids), score / lattice.scale, [s / lattice.scale for s, _ in best], told, lattice.digest(ids), whole
-        return (*row, np.array(ids, dtype=np.int32)) if with_pieces else row
+        row = int(lattice.known["count"][rows].sum()), score / lattice.scale, [s / lattice.scale for s, _ in best], told, lattice.digest_of(rows), whole
+        return (*row, lattice.pieces(rows)) if with_pieces else row
 
     def encoded(batches):
         lattice = kept(name, lambda: Lattice(*sent.value))
@@ -406,12 +531,12 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, with_pieces: boo
 
     def coded(lattice, batches):
         for whole in batches:
-            for a in range(0, max(whole.num_rows, 1), 500):
-                batch, rows = whole.slice(a, 500), []
+            for a in range(0, max(whole.num_rows, 1), 1000):
+                batch, rows = whole.slice(a, 1000), []
                 texts = [text or "" for text in batch.column(at).to_pylist()]
-                for b, c in slices([len(text) for text in texts], 1_000_000):
+                for b, c in slices([len(text) for text in texts], 2_000_000):
                     for i, primed in enumerate(lattice.prime(texts[b:c]), b):
-                        rows.append(rows[-1] if i and texts[i] == texts[i - 1] else one(lattice, texts[i], primed))
+                        rows.append(rows[-1] if i and texts[i] == texts[i - 1] else one(lattice, primed))
                 columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), added.values(), strict=True)] if rows else [pa.array([], kind) for _, kind in added.values()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
