@@ -470,7 +470,7 @@ def history_compaction(spark, sf_dir):
 @_query("SELECT user_id AS id, min(s) AS start, max(e) AS \"end\" FROM (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT user_id, event_id // 50 AS s, event_id // 50 + 20 AS e FROM events))) GROUP BY user_id, island")
 def interval_coalesce(spark, sf_dir):
     """Overlapping ranges of each user as one."""
-    at = F.floor(F.col("event_id") / 50)
+    at = F.expr("event_id div 50")
     return P.coalesced(_t(spark, sf_dir, "events").select(F.col("user_id").alias("id"), at.alias("start"), (at + 20).alias("end")))
 
 
