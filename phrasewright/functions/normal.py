@@ -21,7 +21,7 @@ _ENTITY = re.compile(r"&(?:#(?P<d>[0-9]+)|#[xX](?P<x>[0-9a-fA-F]+)|(?P<name>\w+)
 _MARKS = re.compile("[" + "".join(map(re.escape, [*SINGLE, *SEVERAL, "\0"])) + "]")
 _WIDE = re.compile("[！-～]")
 #: Marks before which a character with a reading gets no space.
-_NO_SPACE = frozenset(",.:;\"'? !)\n")
+_NO_SPACE = ",.:;\"'? !)\n"
 RANGE = "struct<start:int,length:int>"
 
 
@@ -75,6 +75,9 @@ class Aligned:
             first = np.repeat(np.arange(size), taken)
             self.take(first, last[first])
 
+    def replace(self, old: str, new: str) -> None:
+        self.sub(re.compile(re.escape(old)), lambda m: new)
+
     def separate(self, phrase: str) -> None:
         """Each place of a phrase becomes one blocked line feed, which holds the phrase's range."""
         at, shift = [], 0
@@ -86,6 +89,22 @@ class Aligned:
             self.blocked[at] = True
 
 
+class Bare(Aligned):
+    """A text alone, for where no ranges are asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    def take(self, first: np.ndarray, last: np.ndarray) -> None:
+        """Nothing is kept of where characters come from."""
+
+    def sub(self, pattern: re.Pattern, replaced) -> None:
+        self.text = pattern.sub(lambda m: m[0] if (new := replaced(m)) is None else new, self.text)
+
+    def replace(self, old: str, new: str) -> None:
+        self.text = self.text.replace(old, new)
+
+
 def points(text: str) -> np.ndarray:
     """The code points of a text."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -103,6 +122,12 @@ def _known(readings: frozenset) -> np.ndarray:
     return table_of(readings)
 
 
+@lru_cache(16)
+def _ascii(marks: str) -> np.ndarray:
+    """By code point up to 127: whether it is one of the marks, which lie below that."""
+    return table_of(marks)[:128]
+
+
 @lru_cache(1)
 def _digits() -> np.ndarray:
     return table_of(c for c in map(chr, range(0x20000)) if unicodedata.category(c) == "Nd")
@@ -139,18 +164,17 @@ def spaced(text: Aligned, known) -> None:
     if len(text.text) <= 1:
         return
     all_points = points(text.text)
-    c, after = all_points[:-1], all_points[1:]
+    c, after, low = all_points[:-1], all_points[1:], np.minimum(all_points, 127)
     digit, read = _digits()[all_points], _known(frozenset(known))[all_points]
-    among = lambda x, marks: np.isin(x, [ord(m) for m in marks])
     between = (c == ord(".")) & digit[1:]
     between[0] = False
     between[1:] &= digit[:-2]
     space = np.select(
-        [digit[:-1] & (after == ord("》")), between, read[:-1], among(c, "\t\n \"'("), among(c, "!.?")],
-        [True, False, ~read[1:] & ~among(after, _NO_SPACE), False, ~among(after, "\" '")],
+        [digit[:-1] & (after == ord("》")), between, read[:-1], _ascii("\t\n \"'(")[low[:-1]], _ascii("!.?")[low[:-1]]],
+        [True, False, ~read[1:] & ~_ascii(_NO_SPACE)[low[1:]], False, ~_ascii("\" '")[low[1:]]],
         read[1:],
     )
-    control = ((c < 32) | ((c >= 127) & (c < 160))) & ~among(c, "\t\n\r")
+    control = ((c < 32) | ((c >= 127) & (c < 160))) & ~_ascii("\t\n\r")[low[:-1]]
     kept = np.append(np.flatnonzero(~control), len(c))
     times = 1 + np.append(space, False)[kept]
     new = np.repeat(all_points[kept], times)
@@ -160,15 +184,15 @@ def spaced(text: Aligned, known) -> None:
     text.sub(re.compile(r"\. \. \. \. \. \."), lambda m: "...")
 
 
-def without_ignored(source: str, simplify: dict, known) -> Aligned:
+def without_ignored(source: str, simplify: dict, known, ranges: bool = True) -> Aligned:
     """The normaliser up to its last step."""
-    text = Aligned(source)
+    text = Aligned(source) if ranges else Bare(source)
     # One character for one: the ranges stay.
     text.text = source.translate(simplify) if simplify else source
     text.sub(_ENTITY, entity)
     text.sub(_MARKS, lambda m: SINGLE.get(m[0]) or SEVERAL.get(m[0], ""))
     for old, new in (("  ", " "), (" \r\n", "\n"), (" \n", "\n"), (" ,", ",")):
-        text.sub(re.compile(old), lambda m, new=new: new)
+        text.replace(old, new)
     text.sub(_WIDE, lambda m: chr(ord(m[0]) - 0xFEE0))
     spaced(text, known)
     return text
@@ -179,14 +203,14 @@ def ignored_list(phrases, simplify: dict, known) -> list[str]:
     return sorted({p for p in (without_ignored(x, simplify, known).text.strip("\t\n") for x in phrases) if p}, key=lambda p: (len(p), p), reverse=True)
 
 
-def standardize(source: str, simplify: dict, known, ignored=()) -> Aligned:
+def standardize(source: str, simplify: dict, known, ignored=(), ranges: bool = True) -> Aligned:
     """Normalised text without the ignored phrases (of ignored_list())."""
-    text = without_ignored(source, simplify, known)
+    text = without_ignored(source, simplify, known, ranges)
     for p in ignored:
         if p in text.text:
-            text.sub(re.compile(re.escape(p)), lambda m: "")
+            text.replace(p, "")
     if ignored:
-        text.sub(re.compile("\t\n\n"), lambda m: "")
+        text.replace("\t\n\n", "")
     return text
 
 

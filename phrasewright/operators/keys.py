@@ -146,7 +146,9 @@ class Keys:
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, record) of all keys in a text, the shortest first and then from left to right."""
         found = []
-        start, node = np.arange(len(codes)), self.first[codes].astype(np.int64) if len(codes) else np.zeros(0, np.int64)
+        node = self.first[codes]
+        start = np.flatnonzero(node >= 0)
+        node = node[start].astype(np.int64)
         for level, (edges, record) in enumerate(self.levels):
             if level:
                 inside = start + level < len(codes)
@@ -154,9 +156,7 @@ class Keys:
                 sought = (node.astype(np.uint64) << _CODE) | codes[start + level].astype(np.uint64)
                 node = np.minimum(np.searchsorted(edges, sought), len(edges) - 1)
                 alive = edges[node] == sought
-            else:
-                alive = node >= 0
-            start, node = start[alive], node[alive]
+                start, node = start[alive], node[alive]
             if not len(start):
                 break
             key = record[node]
